@@ -96,19 +96,25 @@ class Slice:
     def raw(self, i: int) -> bytes:
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes()
 
-    def words(self, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts, ends and the row of each word; a word never crosses rows."""
-        blank = IS_SPACE[self.data]
-        edge = np.zeros(len(self.data) + 1, dtype=bool)
+    def runs(self, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the maximal runs of bytes marked `inside`; a run never crosses rows."""
+        edge = np.zeros(len(inside) + 1, dtype=bool)
         edge[self.offsets] = True
-        solid = ~blank
-        before = np.ones(len(blank), dtype=bool)
-        before[1:] = blank[:-1]
-        after = np.ones(len(blank), dtype=bool)
-        after[:-1] = blank[1:]
-        starts = np.flatnonzero(solid & (before | edge[:-1]))
-        ends = np.flatnonzero(solid & (after | edge[1:])) + 1
-        return starts, ends, np.searchsorted(self.offsets, starts, side="right") - 1
+        before = np.zeros(len(inside), dtype=bool)
+        before[1:] = inside[:-1]
+        after = np.zeros(len(inside), dtype=bool)
+        after[:-1] = inside[1:]
+        starts = np.flatnonzero(inside & (~before | edge[:-1]))
+        ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
+        return starts, ends
+
+    def row_of(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.offsets, at, side="right") - 1
+
+    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and the row of each word; a word never crosses rows."""
+        starts, ends = self.runs(~IS_SPACE[self.data])
+        return starts, ends, self.row_of(starts)
 
     def word_hashes(self, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """64-bit hash of each word (A-Z lowered if asked) and its row."""

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import fingerprint, mixing, quality_rules, url_filter
+from . import fingerprint, mixing, quality_rules, secrets, url_filter
 
-MODULES = [fingerprint, mixing, quality_rules, url_filter]
+MODULES = [fingerprint, mixing, quality_rules, secrets, url_filter]
 
 
 def queries() -> dict:
