@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import fingerprint, minhash, mixing, quality_rules, secrets, url_filter
+from . import fingerprint, line_dedup, minhash, mixing, quality_rules, secrets, url_filter
 
-MODULES = [fingerprint, minhash, mixing, quality_rules, secrets, url_filter]
+MODULES = [fingerprint, line_dedup, minhash, mixing, quality_rules, secrets, url_filter]
 
 
 def queries() -> dict:
