@@ -6,12 +6,13 @@ coordinate k.  Signatures are cut into bands; documents that agree in a band
 share a bucket.
 
 Documents with equal shingle sets are one class, and only classes are
-compared.  A bucket is not expanded into all its pairs.  Its members are
-compared with its pivot, the member that shares buckets with most others (the
-original of a group of edited copies does); verified links are contracted into
-components; and only members of a bucket that are then in different
-components are compared with each other.  Every link is confirmed on the full
-shingle sets.
+compared.  A bucket is not expanded into pairs.  Its members are compared with
+its pivot, the member that shares buckets with most others (the original of a
+group of edited copies does), and verified links are contracted into
+components.  Where a bucket then has members outside its pivot's component,
+these are held against all members of the pivot's group in blocks: a task gets
+two bounded blocks, compares them as matrices, and passes on no more links
+than it takes to connect them.  Every link is confirmed on full shingle sets.
 """
 
 from __future__ import annotations
@@ -36,6 +37,9 @@ COORDINATES = BANDS * ROWS
 #: itself (no band in common: 6e-11).
 AGREEMENTS = 80
 
+#: Members on either side of a comparison in blocks, on average.
+LEFT_BLOCK, RIGHT_BLOCK = 256, 1024
+
 #: A pivot with more partners is verified in several groups of about so many.
 PARTNERS = 512
 
@@ -162,6 +166,14 @@ def _verify(least: float):
     return run
 
 
+def _full_sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, set) of some classes, from the text of a document of each."""
+    wanted = classes.join(nodes, "node", "left_semi").select("node", "_hi", "_lo", F.col("_first").alias("_id"))
+    rows = docs.join(wanted, docs["_id"].eqNullSafe(wanted["_id"])).select("node", "_hi", "_lo", "_text")
+    # One of several rows that hold the same set is enough.
+    return saved(rows.mapInArrow(_sets, "node long, set binary").groupBy("node").agg(F.first("set").alias("set")))
+
+
 def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose full shingle sets are similar enough."""
     known = classes.select("node", "_n", "_sig")
@@ -170,13 +182,7 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int)
     sized = (100 * F.least("na", "nb")) >= (percent * F.greatest("na", "nb"))
     close = pairs.join(x, "a").join(y, "b").where(sized).select("a", "b", "sa", "sb").mapInArrow(_agree, "a long, b long")
     close = saved(close)
-
-    asked = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = classes.join(asked, "node", "left_semi").select("node", "_hi", "_lo", F.col("_first").alias("_id"))
-    rows = docs.join(wanted, F.coalesce(docs["_id"].eqNullSafe(wanted["_id"]), F.lit(False))).select("node", "_hi", "_lo", "_text")
-    # One of several rows that hold the same set is enough.
-    sets = rows.mapInArrow(_sets, "node long, set binary").groupBy("node").agg(F.first("set").alias("set"))
-    sets = saved(sets)
+    sets = _full_sets(close.select(F.col("a").alias("node")).union(close.select("b")).distinct(), classes, docs)
 
     # Pivots have many partners: their set is copied for each group of about PARTNERS of them.
     groups = close.groupBy("b").agg(F.ceil(F.count("*") / F.lit(PARTNERS)).cast("int").alias("_groups"))
@@ -186,6 +192,97 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int)
     return dealt.join(right, ["b", "_group"]).select("a", "b", "set_b").join(left, "a").select("a", "b", "set_a", "set_b").mapInArrow(_verify(percent), "a long, b long")
 
 
+def _in_blocks(members: DataFrame) -> DataFrame:
+    """Deal members (pivot, node, root, inside, ...) into pairs of blocks (pivot, i, j, left, ...).
+
+    Left blocks hold the members outside the pivot's component, right blocks all.
+    """
+    sizes = members.groupBy("pivot").agg(
+        F.ceil(F.count(F.when(~F.col("inside"), 1)) / F.lit(LEFT_BLOCK)).cast("int").alias("_lefts"),
+        F.ceil(F.count("*") / F.lit(RIGHT_BLOCK)).cast("int").alias("_rights"),
+    ).where("_lefts > 0")
+    sized = members.join(sizes, "pivot")
+    own = F.pmod(F.xxhash64("node"), F.lit(1 << 30))
+    left = sized.where("not inside").withColumn("i", F.pmod(own, F.col("_lefts"))).withColumn("j", F.explode(F.expr("sequence(0, _rights - 1)"))).withColumn("left", F.lit(True))
+    right = sized.withColumn("j", F.pmod(own, F.col("_rights"))).withColumn("i", F.explode(F.expr("sequence(0, _lefts - 1)"))).withColumn("left", F.lit(False))
+    kinds = {"i": "long", "j": "long"}
+    left, right = (x.withColumns({k: F.col(k).cast(v) for k, v in kinds.items()}) for x in (left, right))
+    return left.unionByName(right).drop("_lefts", "_rights")
+
+
+def _sides(group: pa.Table) -> tuple[pa.Table, pa.Table, np.ndarray]:
+    """Left and right members, and which pairs are of different components and of compatible size."""
+    side = group.column("left").to_numpy(zero_copy_only=False).astype(bool)
+    left, right = group.filter(pa.array(side)), group.filter(pa.array(~side))
+    x, y = (t.column("root").to_numpy() for t in (left, right))
+    return left, right, x[:, None] != y[None, :]
+
+
+def _alive(percent: int):
+    """The members of two blocks with a partner whose size and signature may do."""
+
+    def run(group: pa.Table) -> pa.Table:
+        left, right, may = _sides(group)
+        n, m = (t.column("_n").to_numpy().astype(np.int64) for t in (left, right))
+        may &= 100 * np.minimum(n[:, None], m[None, :]) >= percent * np.maximum(n[:, None], m[None, :])
+        x, y = (np.frombuffer(b"".join(t.column("_sig").to_pylist()), dtype=np.uint32).reshape(-1, COORDINATES) for t in (left, right))
+        for i in np.flatnonzero(may.any(axis=1)):
+            at = np.flatnonzero(may[i])
+            may[i, at] = (y[at] == x[i]).sum(axis=1) >= AGREEMENTS
+        nodes = np.unique(np.concatenate([left.column("node").to_numpy()[may.any(axis=1)], right.column("node").to_numpy()[may.any(axis=0)]]))
+        return pa.table({"pivot": pa.array(np.full(len(nodes), group.column("pivot")[0].as_py(), dtype=np.int64)), "node": pa.array(nodes)})
+
+    return run
+
+
+def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect what all `linked` (left x right) pairs connect, fewer than there are members."""
+    out = []
+    left_new, right_new = linked.any(axis=1), linked.any(axis=0)
+    while left_new.any():
+        wave = np.array([int(np.argmax(left_new))])
+        left_new[wave] = False
+        while len(wave):
+            reached = np.flatnonzero(linked[wave].any(axis=0) & right_new)
+            right_new[reached] = False
+            out += zip(wave[np.argmax(linked[np.ix_(wave, reached)], axis=0)].tolist() if len(reached) else [], reached.tolist())
+            wave = np.flatnonzero(linked[:, reached].any(axis=1) & left_new) if len(reached) else reached
+            left_new[wave] = False
+            out += zip(wave.tolist(), reached[np.argmax(linked[np.ix_(wave, reached)], axis=1)].tolist() if len(wave) else [])
+    return out
+
+
+def _connect(percent: int):
+    """Links between two blocks, by exact intersections of all their sets."""
+
+    def run(group: pa.Table) -> pa.Table:
+        left, right, may = _sides(group)
+        sets = [[np.frombuffer(v.as_buffer(), dtype=U64) for v in t.column("set").combine_chunks()] for t in (left, right)]
+        n, m = (np.array([len(v) for v in side], dtype=np.int64) for side in sets)
+        shared = np.zeros(may.shape, dtype=np.float32)
+        if len(n) and len(m):
+            # Only shingles that both sides hold count; they are taken some at a time.
+            x, y = (np.concatenate(side) for side in sets)
+            both = np.intersect1d(x, y)
+            for lo in range(0, len(both), 4096):
+                some = both[lo : lo + 4096]
+                grids = []
+                for flat, sizes in ((x, n), (y, m)):
+                    at = np.minimum(np.searchsorted(some, flat), len(some) - 1)
+                    hit = some[at] == flat
+                    grid = np.zeros((len(sizes), len(some)), dtype=np.float32)
+                    grid[np.repeat(np.arange(len(sizes)), sizes)[hit], at[hit]] = 1
+                    grids.append(grid)
+                shared += grids[0] @ grids[1].T
+        count = np.rint(shared).astype(np.int64)
+        linked = may & (100 * count >= percent * (n[:, None] + m[None, :] - count))
+        a, b = left.column("node").to_numpy(), right.column("node").to_numpy()
+        pairs = _forest(linked)
+        return pa.table({"a": pa.array(a[[i for i, _ in pairs]].astype(np.int64)), "b": pa.array(b[[j for _, j in pairs]].astype(np.int64))})
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Return (id_col, n_shingles, component_id, kept), a row for each row of `docs`.
 
@@ -233,20 +330,22 @@ def _cluster(classes: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     found = saved(_links(tested, classes, rows, percent))
     roots = components(found)
 
-    # Members of a bucket that are still in different components meet each other.
-    marked = shared.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    # Members of a bucket that are outside its pivot's component meet the members of the pivot's group.
+    root = F.coalesce("root", "node")
+    marked = shared.select("key", "node").join(roots, "node", "left").select("key", "node", root.alias("root"))
     mixed = marked.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    known = classes.select("node", "_n")
-    rest = saved(marked.join(mixed, "key", "left_semi").join(known, "node"))
-    left = rest.select("key", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("_n").alias("na"))
-    right = rest.select("key", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("_n").alias("nb"))
-    sized = (100 * F.least("na", "nb")) >= (percent * F.greatest("na", "nb"))
-    more = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & sized).select("a", "b").distinct()
-    done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = saved(more.join(done, ["a", "b"], "left_anti"))
-    if more.isEmpty():
+    rest = marked.join(mixed, "key", "left_semi").join(pivots, "key").select(F.col("b").alias("pivot"), "node", "root").distinct()
+    tops = roots.select(F.col("node").alias("pivot"), F.col("root").alias("top"))
+    rest = rest.join(tops, "pivot", "left").withColumn("inside", F.col("root") == F.coalesce("top", "pivot")).drop("top")
+    rest = saved(rest)
+    if rest.isEmpty():
         return roots
-    return components(found.unionByName(_links(more, classes, rows, percent)))
+    signed = rest.join(classes.select("node", "_n", "_sig"), "node")
+    alive = _in_blocks(signed).groupBy("pivot", "i", "j").applyInArrow(lambda t: _alive(percent)(t), "pivot long, node long").distinct()
+    alive = saved(rest.join(alive, ["pivot", "node"], "left_semi"))
+    sets = _full_sets(alive.select("node").distinct(), classes, rows)
+    more = _in_blocks(alive.join(sets, "node")).groupBy("pivot", "i", "j").applyInArrow(lambda t: _connect(percent)(t), "a long, b long")
+    return components(found.unionByName(saved(more.distinct())))
 
 
 def keep_one_of_each(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
