@@ -225,12 +225,14 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("_tie", F.xxhash64("_text"))
     lines = rows.select("_id", "_tie", "_text").mapInArrow(_lines, f"_id {kind}, _tie long, _line int, h {_HASH}, keys array<long>")
     at = F.struct(F.col("_id").isNull().alias("_null"), "_id", "_tie", "_line")
-    lines = saved(lines.select("_id", "_tie", "_line", "h", "keys", at.alias("at")))
-    first = saved(lines.groupBy("h").agg(F.min("at").alias("at"), F.count("*").alias("n")))
-
-    halves = lines.select("h", F.posexplode("keys").alias("place", "key"))
-    found = _shared(halves).groupBy("h").agg(F.bit_or(F.col("place") % 2 + 1).alias("half"))
-    wanted = found.join(first, "h").select("at", "h", "half")
+    lines = saved(lines)
+    first = saved(lines.groupBy("h").agg(F.min(at).alias("at"), F.count("*").alias("n")))
+
+    # This step goes by half of a line's hash: it only proposes, and so does a chance agreement.
+    halves = lines.select(F.col("h.x").alias("h"), F.posexplode("keys").alias("place", "key"))
+    halves = halves.withColumn("half", (F.col("place") % 2 + 1).cast("byte")).drop("place")
+    found = _shared(halves).groupBy(F.col("h").alias("x")).agg(F.bit_or("half").cast("int").alias("half"))
+    wanted = found.join(first.withColumn("x", F.col("h.x")), "x").select("at", "h", "half")
     by_doc = wanted.groupBy(F.col("at._id").alias("_wid"), F.col("at._tie").alias("_wtie")).agg(F.collect_list(F.struct("at", "h", "half")).alias("wanted"))
     same = F.col("_id").eqNullSafe(F.col("_wid")) & (F.col("_tie") == F.col("_wtie"))
     taken = rows.join(by_doc, same).select("_text", "wanted")
@@ -255,6 +257,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     judged = first.join(near.withColumn("near", F.lit(True)), "h", "left").where("n > 1 or near")
     judged = judged.select("h", F.col("at").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
+    lines = lines.withColumn("at", at)
     gone = lines.join(judged, "h").where("near or at <> first").select("_id", "_tie", "_line", (F.col("near") & (F.col("at") == F.col("first"))).alias("near"))
     return lines, gone
 
