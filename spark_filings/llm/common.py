@@ -41,7 +41,7 @@ IS_LEAD = (np.arange(256) & 0xC0) != 0x80
 
 def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A bijection of 64-bit integers whose output bits all depend on all input bits."""
-    x = np.asarray(x, dtype=U64) + U64((seed * 0xD1342543DE82EF95 + 0x2545F4914F6CDD1D) % (1 << 64))
+    x = np.atleast_1d(np.asarray(x, dtype=U64)) + U64((seed * 0xD1342543DE82EF95 + 0x2545F4914F6CDD1D) % (1 << 64))
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> U64(27))) * U64(0x94D049BB133111EB)
     return x ^ (x >> U64(31))
