@@ -282,7 +282,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     by_doc = gone.groupBy(F.col("_id").alias("_gid"), F.col("_tie").alias("_gtie")).agg(
         F.collect_set("_line").alias("_gone"), F.size(F.collect_set(F.when(F.col("near"), F.col("_line")))).alias("_near")
     )
-    rows = docs.select(F.struct(*names).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    # The text is shuffled once, not in the struct as well.
+    rest = [n for n in names if n != text_col]
+    row = F.struct(*rest) if rest else F.struct(F.lit(0))
+    rows = docs.select(row.alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     rows = rows.withColumn("_tie", F.xxhash64(F.coalesce("_text", F.lit(""))))
     same = F.col("_id").eqNullSafe(F.col("_gid")) & (F.col("_tie") == F.col("_gtie"))
     lines = F.split("_text", "\n")
