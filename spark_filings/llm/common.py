@@ -8,6 +8,7 @@ it alone), which bounds the memory of a task whatever the batch holds.
 
 from __future__ import annotations
 
+import math
 import tempfile
 from collections.abc import Iterator
 
@@ -174,3 +175,13 @@ def saved(df: DataFrame) -> DataFrame:
     """`df` cut off from its lineage by a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def compacted(df: DataFrame, rows: int = 250_000) -> DataFrame:
+    """`saved`, and read in as few partitions as hold about `rows` rows each.
+
+    Small tables that are shuffled again then leave few small files, however
+    many partitions they came from.
+    """
+    df = saved(df)
+    return df.coalesce(max(1, math.ceil(df.count() / rows)))

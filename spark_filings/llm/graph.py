@@ -5,33 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import compacted
 
 
 def components(links: DataFrame) -> DataFrame:
     """Return (node, root) for the nodes of links (a, b); root is a node of the same component.
 
     In each round every node takes the least of its neighbours and itself as
-    parent, parents are followed twice, and the links are rewritten to the
+    parent, parents are followed once, and the links are rewritten to the
     parents.  The links shrink geometrically, long chains included.  A node
     with very many links costs rows in proportion: their least is taken before
     the shuffle, and the joins may split its partition.
     """
     # Empty input must give an empty table of the right types.
-    pairs = saved(links.select("a", "b").where("a <> b").distinct())
+    pairs = compacted(links.select("a", "b").where("a <> b").distinct())
     found = None
     while not pairs.isEmpty():
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = saved(both.groupBy("a").agg(F.min("b").alias("p")).select("a", F.least("a", "p").alias("p")))
-        for _ in range(2):
-            up = parent.select(F.col("a").alias("p"), F.col("p").alias("q"))
-            parent = saved(parent.join(up, "p").select("a", F.col("q").alias("p")))
+        parent = compacted(both.groupBy("a").agg(F.min("b").alias("p")).select("a", F.least("a", "p").alias("p")))
+        up = parent.select(F.col("a").alias("p"), F.col("p").alias("q"))
+        parent = compacted(parent.join(up, "p").select("a", F.col("q").alias("p")))
         step = parent.select(F.col("a").alias("root"), "p")
         if found is None:
             found = parent.select(F.col("a").alias("node"), F.col("p").alias("root"))
         else:
-            found = saved(found.join(step, "root", "left").select("node", F.coalesce("p", "root").alias("root")))
+            found = compacted(found.join(step, "root", "left").select("node", F.coalesce("p", "root").alias("root")))
         a, b = (parent.select(F.col("a").alias(x), F.col("p").alias(f"to_{x}")) for x in "ab")
         moved = pairs.join(a, "a").join(b, "b").where("to_a <> to_b")
-        pairs = saved(moved.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct())
+        pairs = compacted(moved.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct())
     return found if found is not None else pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))

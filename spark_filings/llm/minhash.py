@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Slice, mix64, saved, slices, table
+from .common import U64, Slice, compacted, mix64, saved, slices, table
 from .graph import components
 
 SHINGLE = 5
@@ -181,7 +181,7 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int)
     y = known.select(F.col("node").alias("b"), F.col("_n").alias("nb"), F.col("_sig").alias("sb"))
     sized = (100 * F.least("na", "nb")) >= (percent * F.greatest("na", "nb"))
     close = pairs.join(x, "a").join(y, "b").where(sized).select("a", "b", "sa", "sb").mapInArrow(_agree, "a long, b long")
-    close = saved(close)
+    close = compacted(close)
     sets = _full_sets(close.select(F.col("a").alias("node")).union(close.select("b")).distinct(), classes, docs)
 
     # Pivots have many partners: their set is copied for each group of about PARTNERS of them.
@@ -321,13 +321,13 @@ def _cluster(classes: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """(node, root) of the classes that have links."""
     bands = classes.select("node", "_sig").mapInArrow(_bands, "key long, node long")
     sizes = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = saved(bands.join(sizes, "key"))
+    shared = compacted(bands.join(sizes, "key"))
     weights = shared.groupBy("node").agg(F.sum("n").alias("weight"))
     placed = shared.join(weights, "node")
     pivots = placed.groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("m"))).alias("top")).select("key", (-F.col("top.m")).alias("b"))
     pairs = shared.join(pivots, "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
-    tested = saved(pairs)
-    found = saved(_links(tested, classes, rows, percent))
+    tested = compacted(pairs)
+    found = compacted(_links(tested, classes, rows, percent))
     roots = components(found)
 
     # Members of a bucket that are outside its pivot's component meet the members of the pivot's group.
@@ -337,15 +337,23 @@ def _cluster(classes: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     rest = marked.join(mixed, "key", "left_semi").join(pivots, "key").select(F.col("b").alias("pivot"), "node", "root").distinct()
     tops = roots.select(F.col("node").alias("pivot"), F.col("root").alias("top"))
     rest = rest.join(tops, "pivot", "left").withColumn("inside", F.col("root") == F.coalesce("top", "pivot")).drop("top")
-    rest = saved(rest)
+    rest = compacted(rest)
     if rest.isEmpty():
         return roots
     signed = rest.join(classes.select("node", "_n", "_sig"), "node")
     alive = _in_blocks(signed).groupBy("pivot", "i", "j").applyInArrow(lambda t: _alive(percent)(t), "pivot long, node long").distinct()
-    alive = saved(rest.join(alive, ["pivot", "node"], "left_semi"))
+    alive = compacted(rest.join(alive, ["pivot", "node"], "left_semi"))
     sets = _full_sets(alive.select("node").distinct(), classes, rows)
     more = _in_blocks(alive.join(sets, "node")).groupBy("pivot", "i", "j").applyInArrow(lambda t: _connect(percent)(t), "a long, b long")
-    return components(found.unionByName(saved(more.distinct())))
+    more = compacted(more.distinct())
+    if more.isEmpty():
+        return roots
+    # The new links join components that are known already.
+    a, b = (roots.select(F.col("node").alias(x), F.col("root").alias(f"to_{x}")) for x in "ab")
+    lifted = more.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("to_a", "a").alias("a"), F.coalesce("to_b", "b").alias("b"))
+    above = components(lifted).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    old = roots.join(above, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return old.unionByName(above.join(roots.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root")))
 
 
 def keep_one_of_each(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
