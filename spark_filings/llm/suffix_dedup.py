@@ -46,7 +46,7 @@ BLOCK_PHRASES = 150_000
 #: Largest key: a null id comes after all others.
 LAST = (1 << 63) - 1
 
-_CODEC = "lz4"
+_CODEC = pa.Codec("zstd", compression_level=1)
 
 
 def _sliding(x: np.ndarray, width: int, best) -> np.ndarray:
@@ -114,12 +114,17 @@ def _packed(part: np.ndarray, ids: np.ndarray, groups: np.ndarray | None, items:
         yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _PACKED)], schema=_PACKED)
 
 
+def _settled(ids: np.ndarray, items: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Answers of a task to its own questions: they travel with the questions, in parts below 0."""
+    yield from _packed(np.full(len(ids), -1 - int(items[0] % U64(1 << 20)), dtype=np.int64), ids, None, items, False)
+
+
 class Packer:
     """Entries (group, item, id) of a task on their way to the parts of an exchange.
 
     `any_other` asks whether another document has the item; otherwise the
     question is whether an earlier one has it.  What the task's own entries
-    settle is answered here (part -1); for each item only its earliest entry
+    settle is answered here (parts below 0); for each item only its earliest entry
     goes out.
     """
 
@@ -151,7 +156,7 @@ class Packer:
         at = np.flatnonzero(others)
         for lo in range(0, len(at), PACK):
             some = at[lo : lo + PACK]
-            yield from _packed(np.full(len(some), -1), ids[some], None, items[some], False)
+            yield from _settled(ids[some], items[some])
         yield from _packed(part[starts].astype(np.int64), first, groups[starts] if self.grouped else None, items[starts], self.narrow)
 
 
@@ -189,9 +194,13 @@ def _answer(any_other: bool, narrow: bool):
     """What a part knows about its entries."""
 
     def run(group: pa.Table) -> pa.Table:
+        part = group.column("part")[0].as_py()
+        if part < 0:
+            ids, _, items = _unpack(group)
+            return _by_id(ids, items)
         ids, groups, items = _unpack(group, narrow)
         if narrow:
-            items = items | U64(group.column("part")[0].as_py() << 32)
+            items = items | U64(part << 32)
         if not len(groups):
             order = np.lexsort((ids, items))
             ids, items = ids[order], items[order]
@@ -214,19 +223,10 @@ def _answer(any_other: bool, narrow: bool):
     return run
 
 
-def _own_answers(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            ids, _, items = _unpack(pa.Table.from_batches([batch.slice(i, 1)]))
-            yield from _by_id(ids, items).to_batches()
-
-
 def _exchange(packed: DataFrame, any_other: bool = False, narrow: bool = False) -> DataFrame:
     """(id, answers): every question's answer, gathered for each document."""
-    packed = saved(packed)
-    asked = packed.where("part >= 0").groupBy("part").applyInArrow(lambda t: _answer(any_other, narrow)(t), _ANSWER_DDL)
-    own = packed.where("part < 0").mapInArrow(_own_answers, _ANSWER_DDL)
-    return asked.unionByName(own).groupBy("id").agg(F.collect_list(F.struct("yes", "open")).alias("answers"))
+    answers = packed.groupBy("part").applyInArrow(lambda t: _answer(any_other, narrow)(t), _ANSWER_DDL)
+    return answers.groupBy("id").agg(F.collect_list(F.struct("yes", "open")).alias("answers"))
 
 
 def _join_hashes(answers: list[dict] | None, name: str) -> np.ndarray:
@@ -246,38 +246,70 @@ def _ask_anchors(parts: int):
     return run
 
 
-_KEPT = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("blob", pa.binary()), ("marks", pa.binary())]
-_KEPT_DDL = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, blob binary, marks binary"
+_KEPT = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("blob", pa.binary()), ("marks", pa.binary()), ("near", pa.binary())]
+_KEPT_DDL = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, blob binary, marks binary, near binary"
 
 
-def _mark(parts: int):
-    """From (id, key, copy, answers, text): results of settled documents, the others compressed with their shared anchors."""
+def _squeeze(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, key, digest, text) with the text compressed."""
+    for batch in batches:
+        for piece in slices(batch.column(3)):
+            own = [batch.column(c).slice(piece.first, piece.rows) for c in (0, 1, 2)]
+            blobs = [_CODEC.compress(piece.raw(i), asbytes=True) for i in range(piece.rows)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(piece.offsets)), pa.array(blobs, pa.binary())], names=["_id", "_key", "_md5", "n_bytes", "blob"])
+
+
+def _mark(parts: int, schema: pa.Schema):
+    """From (id, key, copy, answers, size, blob) two kinds of rows.
+
+    Documents: the results of settled ones; the others compressed, with the
+    places of their shared anchors and the hashes of those neighbourhoods.
+    Questions: classes of neighbourhoods, for the second exchange.
+    """
+
+    def joined(columns: dict[str, pa.Array]) -> pa.RecordBatch:
+        n = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema)
+
+    def asked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield joined(dict(zip(b.schema.names, b.columns)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = Classes(parts)
         for batch in batches:
-            for piece in slices(batch.column(4)):
+            for at, piece in _texts(batch, 5, 4):
                 found = Anchors(piece)
                 bounds = np.searchsorted(found.row, np.arange(piece.rows + 1))
-                copies = batch.column(2).slice(piece.first, piece.rows).to_pylist()
-                answers = batch.column(3).slice(piece.first, piece.rows).to_pylist()
-                out: dict[str, list] = {n: [] for n, _ in _KEPT}
+                blobs = batch.column(5).slice(at, piece.rows).to_pylist()
+                copies = batch.column(2).slice(at, piece.rows).to_pylist()
+                answers = batch.column(3).slice(at, piece.rows).to_pylist()
                 keys = _keys(found.hash, parts, True)
+                shared = np.zeros(len(keys), dtype=bool)
+                for i in range(piece.rows):
+                    if answers[i] and not copies[i]:
+                        part = slice(bounds[i], bounds[i + 1])
+                        shared[part] = np.isin(keys[part], _join_hashes(answers[i], "yes"))
+                near = Neighbourhoods(piece, found, shared)
+                cuts = np.searchsorted(near.row, np.arange(piece.rows + 1))
+                out: dict[str, list] = {n: [] for n, _ in _KEPT}
                 for i in range(piece.rows):
                     raw = piece.raw(i)
                     row: dict = dict.fromkeys(out) | {"n_bytes": len(raw)}
-                    lo, hi = bounds[i], bounds[i + 1]
+                    part = slice(cuts[i], cuts[i + 1])
                     if copies[i]:
                         row |= {"n_removed": len(raw), "n_spans": 1, "kept_sha256": hashlib.sha256(b"").hexdigest()}
+                    elif cuts[i] < cuts[i + 1]:
+                        row |= {"blob": blobs[i], "marks": (near.at[part] - piece.offsets[i]).astype(np.int32).tobytes(), "near": near.item[part].tobytes()}
                     else:
-                        shared = np.isin(keys[lo:hi], _join_hashes(answers[i], "yes")) if answers[i] else np.zeros(0, dtype=bool)
-                        if shared.any():
-                            row |= {"blob": pa.compress(raw, codec=_CODEC, asbytes=True), "marks": (found.at[lo:hi][shared] - piece.offsets[i]).astype(np.int32).tobytes()}
-                        else:
-                            row |= {"n_removed": 0, "n_spans": 0, "kept_sha256": hashlib.sha256(raw).hexdigest()}
+                        row |= {"n_removed": 0, "n_spans": 0, "kept_sha256": hashlib.sha256(raw).hexdigest()}
                     for n in out:
                         out[n].append(row[n])
-                own = [batch.column(c).slice(piece.first, piece.rows) for c in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*own, *(pa.array(out[n], t) for n, t in _KEPT)], names=["_id", "_key", *out])
+                own = {n: batch.column(c).slice(at, piece.rows) for n, c in (("_id", 0), ("_key", 1))}
+                yield joined(own | {n: pa.array(out[n], t) for n, t in _KEPT})
+                yield from asked(classes.add(near, batch.column(1).slice(at, piece.rows).to_numpy()))
+        yield from asked(classes.flush())
+        yield from asked(classes.packer.flush())
 
     return run
 
@@ -291,7 +323,7 @@ def _texts(batch: pa.RecordBatch, blob: int, size: int, rows: int = 64) -> Itera
         while end < batch.num_rows and end - at < rows and (end == at or total < 1 << 19):
             total += sizes[end]
             end += 1
-        raw = [pa.decompress(x, sizes[k], codec=_CODEC, asbytes=True) for k, x in enumerate(batch.column(blob).slice(at, end - at).to_pylist(), at)]
+        raw = [_CODEC.decompress(x, sizes[k], asbytes=True) for k, x in enumerate(batch.column(blob).slice(at, end - at).to_pylist(), at)]
         offsets = np.zeros(len(raw) + 1, dtype=np.int64)
         np.cumsum([len(x) for x in raw], out=offsets[1:])
         yield at, Slice(at, np.frombuffer(b"".join(raw), dtype=np.uint8), offsets)
@@ -301,11 +333,8 @@ def _texts(batch: pa.RecordBatch, blob: int, size: int, rows: int = 64) -> Itera
 class Neighbourhoods:
     """The phrases around the shared anchors of a slice: from the last anchor 26 bytes or more before to the first 50 or more after."""
 
-    def __init__(self, piece: Slice, marks: list[bytes]) -> None:
-        found = Anchors(piece)
-        at = [np.frombuffer(m, dtype=np.int32).astype(np.int64) for m in marks]
-        self.row = np.repeat(np.arange(piece.rows), [len(x) for x in at])
-        self.at = np.concatenate(at) + piece.offsets[self.row] if at else np.zeros(0, dtype=np.int64)
+    def __init__(self, piece: Slice, found: Anchors, shared: np.ndarray) -> None:
+        self.row, self.at = found.row[shared], found.at[shared]
         low, high = piece.offsets[self.row], piece.offsets[self.row + 1]
         # Cuts: anchors, and the bounds of rows.
         self.cuts = np.unique(np.concatenate([found.at, piece.offsets]))
@@ -323,61 +352,66 @@ class Neighbourhoods:
         self.needed = np.cumsum(needed)[:-1][: len(self.phrase)] > 0
 
 
-def _ask_neighbourhoods(parts: int):
-    """Classes of equal neighbourhoods in a block, by its suffix array; one entry for each goes out."""
+class Classes:
+    """Classes of equal neighbourhoods in blocks of documents, by the suffix array of their phrases.
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(parts, grouped=True)
-        names: list[np.ndarray] = []
-        block: list[tuple[np.ndarray, ...]] = []
-        size = 0
-
-        def classes() -> Iterator[pa.RecordBatch]:
-            nonlocal size, names, block
-            if not block:
-                return
-            phrases = np.concatenate(names)
-            _, code = np.unique(phrases, return_inverse=True)
-            rank = np.empty(len(code), dtype=np.int64)
-            # A zero phrase separates stretches; its code is the least.
-            order = suffix_array(code.ravel() + 1)
-            rank[order] = np.arange(len(order))
-            first, shift, item, group, ids = (np.concatenate(x) for x in zip(*block))
-            names, block, size = [], [], 0
-            # Suffixes that begin with equal phrases are neighbours, so a class is a run.
-            by = np.lexsort((rank[first], shift))
-            item, group, ids = item[by], group[by], ids[by]
-            starts, n = _runs(item)
-            least = np.minimum.reduceat(ids, starts)
-            late = np.flatnonzero(ids != np.repeat(least, n))
-            if len(late):
-                yield from _packed(np.full(len(late), -1), ids[late], None, item[late], False)
-            yield from packer.add(item[starts], least, group[starts])
+    One entry of each class goes out.
+    """
 
-        for batch in batches:
-            for at, piece in _texts(batch, 1, 2):
-                near = Neighbourhoods(piece, batch.column(3).slice(at, piece.rows).to_pylist())
-                key = batch.column(0).slice(at, piece.rows).to_numpy()
-                # Needed phrases in order, and a separator after each stretch of them.
-                used = np.flatnonzero(near.needed)
-                gap = np.concatenate([np.diff(used) > 1, [True]]) if len(used) else np.zeros(0, dtype=bool)
-                shift = np.cumsum(gap) - gap
-                symbols = np.zeros(len(used) + int(gap.sum()), dtype=U64)
-                symbols[np.arange(len(used)) + shift] = near.phrase[used]
-                where = np.zeros(len(near.cuts) + 1, dtype=np.int64)
-                where[used] = np.arange(len(used)) + shift + size
-                names.append(symbols)
-                block.append((where[near.first], near.shift, near.item, near.group, key[near.row]))
-                size += len(symbols)
-                if size >= BLOCK_PHRASES:
-                    yield from classes()
-        yield from classes()
-        yield from packer.flush()
+    def __init__(self, parts: int) -> None:
+        self.packer = Packer(parts, grouped=True)
+        self.names: list[np.ndarray] = []
+        self.block: list[tuple[np.ndarray, ...]] = []
+        self.size = 0
 
-    return run
+    def add(self, near: Neighbourhoods, key: np.ndarray) -> Iterator[pa.RecordBatch]:
+        # Needed phrases in order, and a separator after each stretch of them.
+        used = np.flatnonzero(near.needed)
+        if not len(used):
+            return
+        gap = np.concatenate([np.diff(used) > 1, [True]])
+        shift = np.cumsum(gap) - gap
+        symbols = np.zeros(len(used) + int(gap.sum()), dtype=U64)
+        symbols[np.arange(len(used)) + shift] = near.phrase[used]
+        where = np.zeros(len(near.cuts) + 1, dtype=np.int64)
+        where[used] = np.arange(len(used)) + shift + self.size
+        self.names.append(symbols)
+        self.block.append((where[near.first], near.shift, near.item, near.group, key[near.row]))
+        self.size += len(symbols)
+        if self.size >= BLOCK_PHRASES:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.block:
+            return
+        _, code = np.unique(np.concatenate(self.names), return_inverse=True)
+        order = suffix_array(code.ravel() + 1)
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        first, shift, item, group, ids = (np.concatenate(x) for x in zip(*self.block))
+        self.names, self.block, self.size = [], [], 0
+        # Suffixes that begin with equal phrases are neighbours, so a class is a run.
+        by = np.lexsort((rank[first], shift))
+        item, group, ids = item[by], group[by], ids[by]
+        starts, n = _runs(item)
+        least = np.minimum.reduceat(ids, starts)
+        late = np.flatnonzero(ids != np.repeat(least, n))
+        if len(late):
+            yield from _settled(ids[late], item[late])
+        yield from self.packer.add(item[starts], least, group[starts])
+
+
+class Marks:
+    """Places and hashes of shared neighbourhoods of some texts, as saved."""
+
+    def __init__(self, piece: Slice, marks: list[bytes], near: list[bytes]) -> None:
+        at = [np.frombuffer(m, dtype=np.int32).astype(np.int64) for m in marks]
+        self.row = np.repeat(np.arange(piece.rows), [len(x) for x in at])
+        self.at = np.concatenate(at) + piece.offsets[self.row]
+        self.item = np.concatenate([np.frombuffer(x, dtype=U64) for x in near])
 
 
-def _windows(near: Neighbourhoods, piece: Slice, chosen: np.ndarray) -> np.ndarray:
+def _windows(near: Marks, piece: Slice, chosen: np.ndarray) -> np.ndarray:
     """Marks the starts of all windows that hold the chosen anchors."""
     at, row = near.at[chosen], near.row[chosen]
     lo = np.maximum(at - (LENGTH - K), piece.offsets[row])
@@ -389,7 +423,7 @@ def _windows(near: Neighbourhoods, piece: Slice, chosen: np.ndarray) -> np.ndarr
     return np.cumsum(marks)[: len(piece.data)] > 0
 
 
-def _known(batch: pa.RecordBatch, at: int, piece: Slice, column: int, near: Neighbourhoods) -> tuple[np.ndarray, np.ndarray]:
+def _known(batch: pa.RecordBatch, at: int, piece: Slice, column: int, near: Marks) -> tuple[np.ndarray, np.ndarray]:
     """Starts of windows that earlier documents have by the neighbourhoods' answers, and of those still open."""
     answers = batch.column(column).slice(at, piece.rows).to_pylist()
     bounds = np.searchsorted(near.row, np.arange(piece.rows + 1))
@@ -413,8 +447,8 @@ def _ask_windows(parts: int):
         packer = Packer(parts)
         for batch in batches:
             for at, piece in _texts(batch, 1, 2):
-                near = Neighbourhoods(piece, batch.column(3).slice(at, piece.rows).to_pylist())
-                _, left = _known(batch, at, piece, 4, near)
+                near = Marks(piece, *(batch.column(c).slice(at, piece.rows).to_pylist() for c in (3, 4)))
+                _, left = _known(batch, at, piece, 5, near)
                 starts = np.flatnonzero(left)
                 key = batch.column(0).slice(at, piece.rows).to_numpy()
                 yield from packer.add(_window_hashes(piece, starts), key[piece.row_of(starts)])
@@ -426,13 +460,13 @@ def _ask_windows(parts: int):
 def _finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at, piece in _texts(batch, 2, 3):
-            near = Neighbourhoods(piece, batch.column(4).slice(at, piece.rows).to_pylist())
-            gone, left = _known(batch, at, piece, 5, near)
+            near = Marks(piece, *(batch.column(c).slice(at, piece.rows).to_pylist() for c in (4, 5)))
+            gone, left = _known(batch, at, piece, 6, near)
             starts = np.flatnonzero(left)
             row = piece.row_of(starts)
             hashes = _window_hashes(piece, starts)
             bounds = np.searchsorted(row, np.arange(piece.rows + 1))
-            for i, a in enumerate(batch.column(6).slice(at, piece.rows).to_pylist()):
+            for i, a in enumerate(batch.column(7).slice(at, piece.rows).to_pylist()):
                 if a:
                     part = slice(bounds[i], bounds[i + 1])
                     gone[starts[part][np.isin(hashes[part], _join_hashes(a, "yes"))]] = True
@@ -475,25 +509,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copies = digests.join(first, "_md5").where("_key > _first").select(F.col("_key").alias("id"), F.col("_md5").alias("copy")).distinct()
     # One row for each id, so that the join below stays on the id alone.
     copies = copies.groupBy("id").agg(F.collect_list("copy").alias("copies"))
-    met = rows.join(anchors, F.col("_key") == anchors["id"], "left").drop("id").join(copies, F.col("_key") == copies["id"], "left").drop("id")
-    is_copy = F.coalesce(F.array_contains("copies", F.when(F.col("copies").isNotNull(), F.md5("_text"))), F.lit(False))
+    squeezed = rows.select("_id", "_key", F.md5("_text").alias("_md5"), "_text").mapInArrow(_squeeze, f"_id {kind}, _key long, _md5 string, n_bytes long, blob binary")
+    met = squeezed.join(anchors, F.col("_key") == anchors["id"], "left").drop("id").join(copies, F.col("_key") == copies["id"], "left").drop("id")
+    is_copy = F.coalesce(F.array_contains("copies", F.col("_md5")), F.lit(False))
+    id_type = pa.int32() if kind == "int" else pa.int64()
+    schema = pa.schema([("_id", id_type), ("_key", pa.int64()), *_KEPT, *_PACKED])
     marked = saved(
-        met.select("_id", "_key", is_copy.alias("_copy"), "answers", "_text").mapInArrow(_mark(parts), f"_id {kind}, _key long, {_KEPT_DDL}")
+        met.select("_id", "_key", is_copy.alias("_copy"), "answers", "n_bytes", "blob").mapInArrow(_mark(parts, schema), f"_id {kind}, _key long, {_KEPT_DDL}, {_PACKED_DDL}")
     )
     results = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    settled = marked.where("blob is null").select("_id", *results)
-    going = marked.where("blob is not null")
-
-    n = going.agg(F.sum(F.octet_length("marks") / 4)).first()[0] or 0
-    parts2 = int(n // PART + 1)
-    asked = going.select("_key", "blob", "n_bytes", "marks").mapInArrow(_ask_neighbourhoods(parts2), _PACKED_DDL)
-    near = saved(_exchange(asked))
-    known = going.join(near.withColumnRenamed("answers", "near"), F.col("_key") == F.col("id"), "left").drop("id")
-    opened = F.aggregate("near", F.lit(0).cast("long"), lambda s, a: s + F.coalesce(F.octet_length(a["open"]), F.lit(0)))
-    m = near.withColumnRenamed("answers", "near").agg(F.sum(opened / 8)).first()[0] or 0
+    settled = marked.where("kept_sha256 is not null").select("_id", *results)
+    going = marked.where("blob is not null").select("_id", "_key", "blob", "n_bytes", "marks", "near")
+
+    near = saved(_exchange(marked.where("part is not null").select(*_PACKED.names)).withColumnRenamed("answers", "known"))
+    known = going.join(near, F.col("_key") == F.col("id"), "left").drop("id")
+    opened = F.aggregate("known", F.lit(0).cast("long"), lambda s, a: s + F.coalesce(F.octet_length(a["open"]), F.lit(0)))
+    m = near.agg(F.sum(opened / 8)).first()[0] or 0
     parts3 = int(m * WINDOW // PART + 1)
-    windows = _exchange(known.select("_key", "blob", "n_bytes", "marks", "near").mapInArrow(_ask_windows(parts3), _PACKED_DDL))
-    whole = known.join(windows, F.col("_key") == F.col("id"), "left").select("_id", "_key", "blob", "n_bytes", "marks", "near", "answers")
+    windows = saved(_exchange(known.select("_key", "blob", "n_bytes", "marks", "near", "known").mapInArrow(_ask_windows(parts3), _PACKED_DDL)))
+    whole = known.join(windows, F.col("_key") == F.col("id"), "left").select("_id", "_key", "blob", "n_bytes", "marks", "near", "known", "answers")
     done = whole.mapInArrow(_finish, f"_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return settled.unionByName(done).withColumnRenamed("_id", id_col)
 
