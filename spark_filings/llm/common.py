@@ -8,6 +8,7 @@ it alone), which bounds the memory of a task whatever the batch holds.
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 from collections.abc import Iterator
@@ -172,9 +173,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """`df` cut off from its lineage by a reliable checkpoint in the shared folder."""
+    """`df` cut off from its lineage by a reliable checkpoint in the shared folder.
+
+    Spark deletes the shuffle files that led to it once the driver's garbage
+    collector has seen that nothing refers to them; that is asked for here, as
+    a driver with little garbage would otherwise keep them for long.
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    del df
+    gc.collect()
+    out.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def compacted(df: DataFrame, rows: int = 250_000) -> DataFrame:
