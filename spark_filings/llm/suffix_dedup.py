@@ -40,6 +40,9 @@ WINDOW = LENGTH - K + 1
 PACK = 1_500_000
 PART = 2_000_000
 
+#: Bytes of text handled at once: the arrays of one step then stay in a core's cache.
+STEP = 1 << 17
+
 #: Phrases that are sorted together.
 BLOCK_PHRASES = 150_000
 
@@ -69,13 +72,14 @@ class Anchors:
             self.at = np.zeros(0, dtype=np.int64)
         else:
             i = np.arange(n - K + 1)
-            hashes = mix64(span_hash(self.prefix, i, i + K)) | U64(1)
+            # Half of the bits choose anchors; where they agree by chance, both are chosen.
+            hashes = (mix64(span_hash(self.prefix, i, i + K)) >> U64(32)).astype(np.uint32) | np.uint32(1)
             least = _sliding(hashes, WINDOW, np.minimum)  # of the windows that begin at 0, 1, ...
             inside = np.ones(n + 1, dtype=bool)
             for end in offsets[1:].tolist():
                 inside[max(0, end - LENGTH + 1) : end] = False
             least[~inside[: len(least)]] = 0
-            pad = np.zeros(WINDOW - 1, dtype=U64)
+            pad = np.zeros(WINDOW - 1, dtype=np.uint32)
             most = _sliding(np.concatenate([pad, least, pad]), WINDOW, np.maximum)
             self.at = np.flatnonzero(most == hashes)
         self.hash = mix64(span_hash(self.prefix, self.at, self.at + K)) | U64(1)
@@ -101,22 +105,30 @@ _PACKED = pa.schema([("part", pa.int32()), ("ids", pa.binary()), ("counts", pa.b
 _PACKED_DDL = "part int, ids binary, counts binary, groups binary, items binary"
 
 
-def _packed(part: np.ndarray, ids: np.ndarray, groups: np.ndarray | None, items: np.ndarray, narrow: bool) -> Iterator[pa.RecordBatch]:
-    """Entries as one row for each part, with ids as runs."""
-    order = np.lexsort((ids, part))
-    part, ids, items = part[order], ids[order], items[order]
+def _packed(part: np.ndarray, rank: np.ndarray, ids: np.ndarray, groups: np.ndarray | None, items: np.ndarray, narrow: bool) -> Iterator[pa.RecordBatch]:
+    """Entries as one row for each part, with ids as runs; `rank` is an entry's place in `ids`."""
+    order = np.argsort((part.astype(np.int64) << 32) | rank)
+    part, rank, items = part[order], rank[order], items[order]
     groups = None if groups is None else groups[order]
     for lo, n in zip(*(x.tolist() for x in _runs(part))):
         hi = lo + n
-        starts, counts = _runs(ids[lo:hi])
+        starts, counts = _runs(rank[lo:hi])
         held = items[lo:hi].astype(np.uint32) if narrow else items[lo:hi]
-        row = [int(part[lo]), ids[lo:hi][starts].tobytes(), counts.astype(np.int32).tobytes(), b"" if groups is None else groups[lo:hi].tobytes(), held.tobytes()]
+        row = [int(part[lo]), ids[rank[lo:hi][starts]].tobytes(), counts.astype(np.int32).tobytes(), b"" if groups is None else groups[lo:hi].tobytes(), held.tobytes()]
         yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _PACKED)], schema=_PACKED)
 
 
-def _settled(ids: np.ndarray, items: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _ranked(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids in order, and each one's place; ids come in runs."""
+    starts, n = _runs(ids)
+    table, place = np.unique(ids[starts], return_inverse=True)
+    return table, np.repeat(place.ravel(), n)
+
+
+def _settled(rank: np.ndarray, ids: np.ndarray, items: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Answers of a task to its own questions: they travel with the questions, in parts below 0."""
-    yield from _packed(np.full(len(ids), -1 - int(items[0] % U64(1 << 20)), dtype=np.int64), ids, None, items, False)
+    part = np.full(len(items), -1 - int(items[0] % U64(1 << 20)), dtype=np.int64)
+    yield from _packed(part, rank, ids, None, items, False)
 
 
 class Packer:
@@ -144,20 +156,21 @@ class Packer:
             return
         items, ids, groups = (np.concatenate(x) for x in zip(*self.held))
         self.held, self.size = [], 0
-        part = (groups >> U64(32)) % U64(self.parts)
         items = _keys(items, self.parts, self.narrow)
-        order = np.lexsort((ids, items))
-        items, ids, groups, part = items[order], ids[order], groups[order], part[order]
+        table, rank = _ranked(ids)
+        order = np.argsort(items)
+        items, rank, groups = items[order], rank[order], groups[order]
         starts, n = _runs(items)
-        first = ids[starts]
-        others = ids != np.repeat(first, n)
+        first = np.minimum.reduceat(rank, starts)
+        others = rank != np.repeat(first, n)
         if self.any_other:
             others = np.repeat(np.logical_or.reduceat(others, starts), n)
         at = np.flatnonzero(others)
         for lo in range(0, len(at), PACK):
             some = at[lo : lo + PACK]
-            yield from _settled(ids[some], items[some])
-        yield from _packed(part[starts].astype(np.int64), first, groups[starts] if self.grouped else None, items[starts], self.narrow)
+            yield from _settled(rank[some], table, items[some])
+        part = (groups[starts] >> U64(32)) % U64(self.parts)
+        yield from _packed(part, first, table, groups[starts] if self.grouped else None, items[starts], self.narrow)
 
 
 def _unpack(group: pa.Table, narrow: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -202,10 +215,10 @@ def _answer(any_other: bool, narrow: bool):
         if narrow:
             items = items | U64(part << 32)
         if not len(groups):
-            order = np.lexsort((ids, items))
+            order = np.argsort(items)
             ids, items = ids[order], items[order]
             starts, n = _runs(items)
-            yes = ids != np.repeat(ids[starts], n)
+            yes = ids != np.repeat(np.minimum.reduceat(ids, starts), n) if len(starts) else np.zeros(0, dtype=bool)
             if any_other and len(starts):
                 yes = np.repeat(np.logical_or.reduceat(yes, starts), n)
             return _by_id(ids[yes], items[yes])
@@ -230,14 +243,21 @@ def _exchange(packed: DataFrame, any_other: bool = False, narrow: bool = False)
 
 
 def _join_hashes(answers: list[dict] | None, name: str) -> np.ndarray:
-    return np.unique(np.frombuffer(b"".join(a[name] for a in answers or [] if a[name]), dtype=U64))
+    return np.sort(np.frombuffer(b"".join(a[name] for a in answers or [] if a[name]), dtype=U64))
+
+
+def _among(values: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Which values are in the sorted array `held`."""
+    if not len(held):
+        return np.zeros(len(values), dtype=bool)
+    return held[np.minimum(np.searchsorted(held, values), len(held) - 1)] == values
 
 
 def _ask_anchors(parts: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(parts, narrow=True, any_other=True)
         for batch in batches:
-            for piece in slices(batch.column(1)):
+            for piece in slices(batch.column(1), STEP):
                 found = Anchors(piece)
                 key = batch.column(0).slice(piece.first, piece.rows).to_numpy()
                 yield from packer.add(found.hash, key[found.row])
@@ -289,7 +309,7 @@ def _mark(parts: int, schema: pa.Schema):
                 for i in range(piece.rows):
                     if answers[i] and not copies[i]:
                         part = slice(bounds[i], bounds[i + 1])
-                        shared[part] = np.isin(keys[part], _join_hashes(answers[i], "yes"))
+                        shared[part] = _among(keys[part], _join_hashes(answers[i], "yes"))
                 near = Neighbourhoods(piece, found, shared)
                 cuts = np.searchsorted(near.row, np.arange(piece.rows + 1))
                 out: dict[str, list] = {n: [] for n, _ in _KEPT}
@@ -320,7 +340,7 @@ def _texts(batch: pa.RecordBatch, blob: int, size: int, rows: int = 64) -> Itera
     at = 0
     while at < batch.num_rows:
         end, total = at, 0
-        while end < batch.num_rows and end - at < rows and (end == at or total < 1 << 19):
+        while end < batch.num_rows and end - at < rows and (end == at or total < STEP):
             total += sizes[end]
             end += 1
         raw = [_CODEC.decompress(x, sizes[k], asbytes=True) for k, x in enumerate(batch.column(blob).slice(at, end - at).to_pylist(), at)]
@@ -397,7 +417,8 @@ class Classes:
         least = np.minimum.reduceat(ids, starts)
         late = np.flatnonzero(ids != np.repeat(least, n))
         if len(late):
-            yield from _settled(ids[late], item[late])
+            table, rank = _ranked(ids[late])
+            yield from _settled(rank, table, item[late])
         yield from self.packer.add(item[starts], least, group[starts])
 
 
@@ -416,10 +437,8 @@ def _windows(near: Marks, piece: Slice, chosen: np.ndarray) -> np.ndarray:
     at, row = near.at[chosen], near.row[chosen]
     lo = np.maximum(at - (LENGTH - K), piece.offsets[row])
     hi = np.minimum(at, piece.offsets[row + 1] - LENGTH)
-    marks = np.zeros(len(piece.data) + 2, dtype=np.int64)
     ok = hi >= lo
-    np.add.at(marks, lo[ok], 1)
-    np.add.at(marks, hi[ok] + 1, -1)
+    marks = np.bincount(lo[ok], minlength=len(piece.data) + 1) - np.bincount(hi[ok] + 1, minlength=len(piece.data) + 1)
     return np.cumsum(marks)[: len(piece.data)] > 0
 
 
@@ -431,8 +450,8 @@ def _known(batch: pa.RecordBatch, at: int, piece: Slice, column: int, near: Mark
     for i, a in enumerate(answers):
         if a:
             part = slice(bounds[i], bounds[i + 1])
-            yes[part] = np.isin(near.item[part], _join_hashes(a, "yes"))
-            is_open[part] = np.isin(near.item[part], _join_hashes(a, "open"))
+            yes[part] = _among(near.item[part], _join_hashes(a, "yes"))
+            is_open[part] = _among(near.item[part], _join_hashes(a, "open"))
     gone = _windows(near, piece, yes)
     return gone, _windows(near, piece, is_open & ~yes) & ~gone
 
@@ -469,7 +488,7 @@ def _finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i, a in enumerate(batch.column(7).slice(at, piece.rows).to_pylist()):
                 if a:
                     part = slice(bounds[i], bounds[i + 1])
-                    gone[starts[part][np.isin(hashes[part], _join_hashes(a, "yes"))]] = True
+                    gone[starts[part][_among(hashes[part], _join_hashes(a, "yes"))]] = True
             first = np.flatnonzero(gone)
             marks = np.bincount(first, minlength=len(piece.data) + 1) - np.bincount(first + LENGTH, minlength=len(piece.data) + 1)
             removed = np.cumsum(marks)[:-1] > 0
