@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import retrieval
+from . import retrieval, sourcing
 
-MODULES = [retrieval]
+MODULES = [retrieval, sourcing]
 
 FLAGSHIP = retrieval.top_passages
 
