@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import retrieval, sourcing
+from . import checking, retrieval, sourcing
 
-MODULES = [retrieval, sourcing]
+MODULES = [retrieval, sourcing, checking]
 
 FLAGSHIP = retrieval.top_passages
 
