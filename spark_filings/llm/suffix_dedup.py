@@ -11,8 +11,10 @@ hash arrays, dealt by hash, each answered for every document:
    one sequence by the linear grouping construction of its suffix array, where
    equal neighbourhoods are neighbours and form classes.  A class sends one
    entry.  It learns whether an earlier document has the same neighbourhood,
-   and if not, whether another document has a different one at this anchor.
-3. Only windows at anchors of that last kind are exchanged as such.
+   and if not, whether a different one agrees with it in the anchor and the 13
+   bytes to its left or to its right, as neighbourhoods with a common window
+   must.
+3. Only windows on such a side of an anchor are exchanged as such.
 
 Texts are shuffled once, where they meet the first answers; after that only
 documents with shared anchors go on, compressed.  Copies of a whole document
@@ -36,6 +38,12 @@ LENGTH = 50
 K = 24
 WINDOW = LENGTH - K + 1
 
+#: A window reaches at least so far beyond an anchor on one of its sides.
+REACH = (LENGTH - K) // 2
+
+#: What a neighbourhood's entry says of its anchor and sides.
+_SIDES = np.dtype([("group", "<u4"), ("left", "<u4"), ("right", "<u4")])
+
 #: Entries that a task packs at once, and that a part of an exchange holds on average.
 PACK = 1_500_000
 PART = 2_000_000
@@ -142,11 +150,12 @@ class Packer:
 
     def __init__(self, parts: int, narrow: bool = False, any_other: bool = False, grouped: bool = False) -> None:
         self.parts, self.narrow, self.any_other, self.grouped = parts, narrow, any_other, grouped
-        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held: list[tuple[np.ndarray, ...]] = []
         self.size = 0
 
-    def add(self, items: np.ndarray, ids: np.ndarray, groups: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-        self.held.append((items, ids, items if groups is None else groups))
+    def add(self, items: np.ndarray, ids: np.ndarray, groups: np.ndarray | None = None, sides: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+        """`groups` decides the part; by default the item does."""
+        self.held.append((items, ids, items if groups is None else groups, np.zeros(0, dtype=_SIDES) if sides is None else sides))
         self.size += len(items)
         if self.size >= PACK:
             yield from self.flush()
@@ -154,7 +163,7 @@ class Packer:
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.size:
             return
-        items, ids, groups = (np.concatenate(x) for x in zip(*self.held))
+        items, ids, groups, sides = (np.concatenate(x) for x in zip(*self.held))
         self.held, self.size = [], 0
         items = _keys(items, self.parts, self.narrow)
         table, rank = _ranked(ids)
@@ -170,37 +179,37 @@ class Packer:
             some = at[lo : lo + PACK]
             yield from _settled(rank[some], table, items[some])
         part = (groups[starts] >> U64(32)) % U64(self.parts)
-        yield from _packed(part, first, table, groups[starts] if self.grouped else None, items[starts], self.narrow)
+        yield from _packed(part, first, table, sides[order][starts] if self.grouped else None, items[starts], self.narrow)
 
 
 def _unpack(group: pa.Table, narrow: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     columns = [[v.as_buffer() for v in group.column(c)] for c in ("ids", "counts", "groups", "items")]
     ids = np.repeat(np.frombuffer(b"".join(columns[0]), dtype=np.int64), np.frombuffer(b"".join(columns[1]), dtype=np.int32))
-    groups = np.frombuffer(b"".join(columns[2]), dtype=U64)
+    groups = np.frombuffer(b"".join(columns[2]), dtype=_SIDES)
     items = np.frombuffer(b"".join(columns[3]), dtype=np.uint32 if narrow else U64).astype(U64)
     return ids, groups, items
 
 
-_ANSWER = pa.schema([("id", pa.int64()), ("yes", pa.binary()), ("open", pa.binary())])
-_ANSWER_DDL = "id long, yes binary, open binary"
+_ANSWER = pa.schema([("id", pa.int64()), ("yes", pa.binary()), ("left", pa.binary()), ("right", pa.binary())])
+_ANSWER_DDL = "id long, yes binary, left binary, right binary"
 
 
-def _by_id(ids: np.ndarray, items: np.ndarray, is_open: np.ndarray | None = None) -> pa.Table:
+def _by_id(ids: np.ndarray, items: np.ndarray, kinds: np.ndarray | None = None) -> pa.Table:
+    """Items by id: all are `yes`, or kinds holds bits 1 (yes), 2 (left), 4 (right)."""
     order = np.argsort(ids, kind="stable")
     ids, items = ids[order], items[order]
-    is_open = None if is_open is None else is_open[order]
+    kinds = None if kinds is None else kinds[order]
     starts, n = _runs(ids)
-    yes, opened = [], []
+    out: list[list] = [[], [], []]
     for lo, k in zip(starts.tolist(), n.tolist()):
         some = items[lo : lo + k]
-        if is_open is None:
-            yes.append(some.tobytes())
-            opened.append(None)
+        if kinds is None:
+            for column, value in zip(out, (some.tobytes(), None, None)):
+                column.append(value)
         else:
-            flag = is_open[lo : lo + k]
-            yes.append(some[~flag].tobytes())
-            opened.append(some[flag].tobytes())
-    return pa.Table.from_arrays([pa.array(ids[starts]), pa.array(yes, pa.binary()), pa.array(opened, pa.binary())], schema=_ANSWER)
+            for bit, column in enumerate(out):
+                column.append(some[kinds[lo : lo + k] & (1 << bit) > 0].tobytes())
+    return pa.Table.from_arrays([pa.array(ids[starts]), *(pa.array(x, pa.binary()) for x in out)], schema=_ANSWER)
 
 
 def _answer(any_other: bool, narrow: bool):
@@ -222,16 +231,19 @@ def _answer(any_other: bool, narrow: bool):
             if any_other and len(starts):
                 yes = np.repeat(np.logical_or.reduceat(yes, starts), n)
             return _by_id(ids[yes], items[yes])
-        order = np.lexsort((ids, items, groups))
+        order = np.argsort(items)
         ids, groups, items = ids[order], groups[order], items[order]
+        # Equal items have equal groups and sides, as an item's hash covers their bytes.
         starts, n = _runs(items)
-        # Equal items have equal groups, as an item's hash covers its group's bytes.
-        yes = ids != np.repeat(ids[starts], n)
-        outer, m = _runs(groups)
-        kinds = np.add.reduceat(np.isin(np.arange(len(items)), starts, assume_unique=True).astype(np.int64), outer) if len(outer) else outer
-        is_open = ~yes & (np.repeat(kinds, m) > 1)
-        keep = yes | is_open
-        return _by_id(ids[keep], items[keep], is_open[keep])
+        yes = ids != np.repeat(np.minimum.reduceat(ids, starts), n) if len(starts) else np.zeros(0, dtype=bool)
+        kinds = yes.astype(np.uint8)
+        for bit, side in ((2, "left"), (4, "right")):
+            value = groups[side][starts].astype(U64)
+            _, same, count = np.unique((groups["group"][starts].astype(U64) << U64(32)) | value, return_inverse=True, return_counts=True)
+            others = (count[same.ravel()] > 1) & (value > 0)
+            kinds[~yes & np.repeat(others, n)] |= bit
+        keep = kinds > 0
+        return _by_id(ids[keep], items[keep], kinds[keep])
 
     return run
 
@@ -239,7 +251,7 @@ def _answer(any_other: bool, narrow: bool):
 def _exchange(packed: DataFrame, any_other: bool = False, narrow: bool = False) -> DataFrame:
     """(id, answers): every question's answer, gathered for each document."""
     answers = packed.groupBy("part").applyInArrow(lambda t: _answer(any_other, narrow)(t), _ANSWER_DDL)
-    return answers.groupBy("id").agg(F.collect_list(F.struct("yes", "open")).alias("answers"))
+    return answers.groupBy("id").agg(F.collect_list(F.struct("yes", "left", "right")).alias("answers"))
 
 
 def _join_hashes(answers: list[dict] | None, name: str) -> np.ndarray:
@@ -365,6 +377,11 @@ class Neighbourhoods:
         content = mix64(span_hash(found.prefix, start, end), 61)
         self.item = mix64(content + mix64(self.shift.astype(U64), 62) + (end - start).astype(U64), 63)
         self.group = mix64(span_hash(found.prefix, self.at, self.at + K)) | U64(1)
+        self.sides = np.zeros(len(self.at), dtype=_SIDES)
+        self.sides["group"] = self.group >> U64(32)
+        for name, begin, finish in (("left", self.at - REACH, self.at + K), ("right", self.at, self.at + K + REACH)):
+            fits = (begin >= low) & (finish <= high)
+            self.sides[name][fits] = (mix64(span_hash(found.prefix, begin[fits], finish[fits]), 66) >> U64(33)) | U64(1)
         self.phrase = mix64(span_hash(found.prefix, self.cuts[:-1], self.cuts[1:]), 64)
         needed = np.zeros(len(self.cuts) + 1, dtype=np.int64)
         np.add.at(needed, self.first, 1)
@@ -396,7 +413,7 @@ class Classes:
         where = np.zeros(len(near.cuts) + 1, dtype=np.int64)
         where[used] = np.arange(len(used)) + shift + self.size
         self.names.append(symbols)
-        self.block.append((where[near.first], near.shift, near.item, near.group, key[near.row]))
+        self.block.append((where[near.first], near.shift, near.item, near.group, near.sides, key[near.row]))
         self.size += len(symbols)
         if self.size >= BLOCK_PHRASES:
             yield from self.flush()
@@ -408,18 +425,18 @@ class Classes:
         order = suffix_array(code.ravel() + 1)
         rank = np.empty(len(order), dtype=np.int64)
         rank[order] = np.arange(len(order))
-        first, shift, item, group, ids = (np.concatenate(x) for x in zip(*self.block))
+        first, shift, item, group, sides, ids = (np.concatenate(x) for x in zip(*self.block))
         self.names, self.block, self.size = [], [], 0
         # Suffixes that begin with equal phrases are neighbours, so a class is a run.
         by = np.lexsort((rank[first], shift))
-        item, group, ids = item[by], group[by], ids[by]
+        item, group, sides, ids = item[by], group[by], sides[by], ids[by]
         starts, n = _runs(item)
         least = np.minimum.reduceat(ids, starts)
         late = np.flatnonzero(ids != np.repeat(least, n))
         if len(late):
             table, rank = _ranked(ids[late])
             yield from _settled(rank, table, item[late])
-        yield from self.packer.add(item[starts], least, group[starts])
+        yield from self.packer.add(item[starts], least, group[starts], sides[starts])
 
 
 class Marks:
@@ -432,11 +449,11 @@ class Marks:
         self.item = np.concatenate([np.frombuffer(x, dtype=U64) for x in near])
 
 
-def _windows(near: Marks, piece: Slice, chosen: np.ndarray) -> np.ndarray:
-    """Marks the starts of all windows that hold the chosen anchors."""
+def _windows(near: Marks, piece: Slice, chosen: np.ndarray, least: int, most: int) -> np.ndarray:
+    """Marks the starts of windows that hold the chosen anchors, `least` to `most` bytes before them."""
     at, row = near.at[chosen], near.row[chosen]
-    lo = np.maximum(at - (LENGTH - K), piece.offsets[row])
-    hi = np.minimum(at, piece.offsets[row + 1] - LENGTH)
+    lo = np.maximum(at - most, piece.offsets[row])
+    hi = np.minimum(at - least, piece.offsets[row + 1] - LENGTH)
     ok = hi >= lo
     marks = np.bincount(lo[ok], minlength=len(piece.data) + 1) - np.bincount(hi[ok] + 1, minlength=len(piece.data) + 1)
     return np.cumsum(marks)[: len(piece.data)] > 0
@@ -446,14 +463,17 @@ def _known(batch: pa.RecordBatch, at: int, piece: Slice, column: int, near: Mark
     """Starts of windows that earlier documents have by the neighbourhoods' answers, and of those still open."""
     answers = batch.column(column).slice(at, piece.rows).to_pylist()
     bounds = np.searchsorted(near.row, np.arange(piece.rows + 1))
-    yes, is_open = np.zeros(len(near.at), dtype=bool), np.zeros(len(near.at), dtype=bool)
+    found = {name: np.zeros(len(near.at), dtype=bool) for name in ("yes", "left", "right")}
     for i, a in enumerate(answers):
         if a:
             part = slice(bounds[i], bounds[i + 1])
-            yes[part] = _among(near.item[part], _join_hashes(a, "yes"))
-            is_open[part] = _among(near.item[part], _join_hashes(a, "open"))
-    gone = _windows(near, piece, yes)
-    return gone, _windows(near, piece, is_open & ~yes) & ~gone
+            for name, marks in found.items():
+                marks[part] = _among(near.item[part], _join_hashes(a, name))
+    beyond = LENGTH - K
+    gone = _windows(near, piece, found["yes"], 0, beyond)
+    left = _windows(near, piece, found["left"] & ~found["yes"], REACH, beyond)
+    right = _windows(near, piece, found["right"] & ~found["yes"], 0, beyond - REACH)
+    return gone, (left | right) & ~gone
 
 
 def _window_hashes(piece: Slice, starts: np.ndarray) -> np.ndarray:
@@ -542,9 +562,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     near = saved(_exchange(marked.where("part is not null").select(*_PACKED.names)).withColumnRenamed("answers", "known"))
     known = going.join(near, F.col("_key") == F.col("id"), "left").drop("id")
-    opened = F.aggregate("known", F.lit(0).cast("long"), lambda s, a: s + F.coalesce(F.octet_length(a["open"]), F.lit(0)))
+    opened = F.aggregate("known", F.lit(0).cast("long"), lambda s, a: s + F.coalesce(F.octet_length(a["left"]), F.lit(0)) + F.coalesce(F.octet_length(a["right"]), F.lit(0)))
     m = near.agg(F.sum(opened / 8)).first()[0] or 0
-    parts3 = int(m * WINDOW // PART + 1)
+    parts3 = int(m * (REACH + 1) // PART + 1)
     windows = saved(_exchange(known.select("_key", "blob", "n_bytes", "marks", "near", "known").mapInArrow(_ask_windows(parts3), _PACKED_DDL)))
     whole = known.join(windows, F.col("_key") == F.col("id"), "left").select("_id", "_key", "blob", "n_bytes", "marks", "near", "known", "answers")
     done = whole.mapInArrow(_finish, f"_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
