@@ -68,9 +68,13 @@ def quoted_in(texts: DataFrame, text_id: str, quotes: DataFrame, quote_id: str,
 
 
 def join_open(passages: DataFrame, keys: list[str], order: str, text_col: str, longest: int = 240) -> DataFrame:
-    """Add `joined`: each passage with those that follow it, while ends are open and the span is short enough."""
-    window = Window.partitionBy(*keys).orderBy(order).rowsBetween(0, longest)
-    ahead = F.collect_list(text_col).over(window)
+    """Add `joined`: each passage with those that follow it, while ends are open and the span is short enough.
+
+    What follows is cut just beyond `longest`, as a longer passage joins none;
+    with its separator a passage takes two characters at least.
+    """
+    window = Window.partitionBy(*keys).orderBy(order).rowsBetween(1, longest // 2)
+    ahead = F.collect_list(F.substring(text_col, 1, longest + 1)).over(window)
 
     def extend(done: Column, passage: Column) -> Column:
         fits = F.length(done["text"]) + 1 + F.length(passage) <= longest
@@ -79,8 +83,8 @@ def join_open(passages: DataFrame, keys: list[str], order: str, text_col: str, l
             F.struct(done["text"].alias("text"), F.lit(True).alias("closed"))
         )
 
-    start = F.struct(F.get("_ahead", F.lit(0)).alias("text"), F.lit(False).alias("closed"))
-    return passages.withColumn("_ahead", ahead).withColumn("joined", F.aggregate(F.slice("_ahead", 2, longest), start, extend)["text"]).drop("_ahead")
+    start = F.struct(F.col(text_col).alias("text"), F.lit(False).alias("closed"))
+    return passages.withColumn("_ahead", ahead).withColumn("joined", F.aggregate("_ahead", start, extend)["text"]).drop("_ahead")
 
 
 def points_covered(answers: DataFrame, points: DataFrame, key: str, least: float, marker: str | None = None) -> DataFrame:
