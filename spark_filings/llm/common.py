@@ -8,7 +8,6 @@ it alone), which bounds the memory of a task whatever the batch holds.
 
 from __future__ import annotations
 
-import gc
 import math
 import tempfile
 from collections.abc import Iterator
@@ -172,19 +171,28 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Spark's setting to delete a query's shuffle files when it ends.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(df: DataFrame) -> DataFrame:
     """`df` cut off from its lineage by a reliable checkpoint in the shared folder.
 
-    Spark deletes the shuffle files that led to it once the driver's garbage
-    collector has seen that nothing refers to them; that is asked for here, as
-    a driver with little garbage would otherwise keep them for long.
+    Nothing reads the shuffle files that led to it once it is written, so
+    Spark is asked to delete them with the query, by a setting that holds for
+    this query only.
     """
-    shared_folder(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    del df
-    gc.collect()
-    out.sparkSession.sparkContext._jvm.System.gc()
-    return out
+    spark = df.sparkSession
+    shared_folder(spark)
+    before = spark.conf.get(_CLEAN_UP, None)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN_UP)
+        else:
+            spark.conf.set(_CLEAN_UP, before)
 
 
 def compacted(df: DataFrame, rows: int = 250_000) -> DataFrame:
