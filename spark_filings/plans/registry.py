@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import checking, retrieval, sourcing
+from . import checking, claiming, retrieval, sourcing
 
-MODULES = [retrieval, sourcing, checking]
+MODULES = [retrieval, sourcing, checking, claiming]
 
 FLAGSHIP = retrieval.top_passages
 
