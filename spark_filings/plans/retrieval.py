@@ -12,21 +12,39 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def top_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three passages that cover most of each benchmark item's words.
+#: Questions' units are broadcast up to so many rows.
+BROADCAST_ROWS = 200_000
+
 
-    Passages meet questions through an inverted index on distinct words, so
-    that only pairs with a shared word are ever made; pairs are counted before
-    they are ranked.
+def candidate_passages(passages: DataFrame, asked: DataFrame, k: int = 3) -> DataFrame:
+    """The k passages that cover most of each question, from (doc_id, passage_no, n_chars, units) and (item_id, units).
+
+    A passage counts if it has more than a quarter of the question's units.
+    It then has one of those that are left when as many of the question's most
+    frequent units are set aside as a quarter holds, so only these rarer ones
+    are joined; coverage is computed in place, and only what passes is
+    shuffled.
     """
+    wanted = asked.select("item_id", F.col("units").alias("wanted"), F.size("units").alias("n_units"), F.explode("units").alias("unit"))
+    counts = passages.select(F.explode("units").alias("unit")).groupBy("unit").agg(F.count("*").alias("n"))
+    ranked = wanted.join(counts, "unit", "left").withColumn("rarity", F.row_number().over(Window.partitionBy("item_id").orderBy(F.coalesce("n", F.lit(0)), "unit")))
+    rare = ranked.where(F.col("rarity") <= F.col("n_units") - F.floor(F.col("n_units") / 4)).select("item_id", "wanted", "n_units", "unit")
+    small = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    met = passages.withColumn("unit", F.explode("units")).join(F.broadcast(rare) if small else rare, "unit")
+    shared = F.size(F.array_intersect("wanted", "units")).cast("long")
+    scored = met.withColumn("n_shared", shared).where(F.col("n_shared") * 4 > F.col("n_units"))
+    points = F.round(F.col("n_shared") * 20 / F.col("n_units")).cast("long")
+    scored = scored.select("item_id", "doc_id", "passage_no", "n_chars", "n_shared", points.alias("points")).distinct()
+    order = Window.partitionBy("item_id").orderBy(F.desc("points"), "n_chars", "doc_id", "passage_no")
+    return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+
+
+def top_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three passages that cover most of each benchmark item's words."""
     passages = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(split_passages(F.col("text"))).alias("passage_no", "passage"))
+    passages = passages.select("doc_id", "passage_no", F.length("passage").alias("n_chars"), semantic_units(F.col("passage")).alias("units"))
     asked = _table(spark, sf_dir, "benchmark").select("item_id", semantic_units(F.col("text")).alias("units"))
-    terms = asked.select("item_id", F.size("units").alias("n_units"), F.explode("units").alias("unit"))
-    units = passages.select("doc_id", "passage_no", F.length("passage").alias("n_chars"), F.explode(semantic_units(F.col("passage"))).alias("unit"))
-    shared = units.join(terms, "unit").groupBy("item_id", "n_units", "doc_id", "passage_no", "n_chars").agg(F.count("*").alias("n_shared"))
-    scored = shared.withColumn("points", F.round(F.col("n_shared") * 20 / F.col("n_units")).cast("long")).where(F.col("n_shared") * 4 > F.col("n_units"))
-    order = Window.partitionBy("item_id").orderBy(F.desc("points"), "n_chars", "doc_id", "passage_no")
-    return scored.withColumn("place", F.row_number().over(order)).where("place <= 3").select("item_id", "place", "doc_id", "passage_no", "n_shared", "points")
+    return candidate_passages(passages, asked).select("item_id", "place", "doc_id", "passage_no", "n_shared", "points")
 
 
 TOP_PASSAGES_SQL = r"""
