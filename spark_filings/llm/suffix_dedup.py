@@ -48,6 +48,9 @@ _SIDES = np.dtype([("group", "<u4"), ("left", "<u4"), ("right", "<u4")])
 PACK = 1_500_000
 PART = 2_000_000
 
+#: Documents whose answers travel together.
+BUNDLE = 256
+
 #: Bytes of text handled at once: the arrays of one step then stay in a core's cache.
 STEP = 1 << 17
 
@@ -194,32 +197,41 @@ _ANSWER = pa.schema([("id", pa.int64()), ("yes", pa.binary()), ("left", pa.binar
 _ANSWER_DDL = "id long, yes binary, left binary, right binary"
 
 
-def _by_id(ids: np.ndarray, items: np.ndarray, kinds: np.ndarray | None = None) -> pa.Table:
-    """Items by id: all are `yes`, or kinds holds bits 1 (yes), 2 (left), 4 (right)."""
+_BUNDLE = pa.schema([("bundle", pa.int64()), ("ids", pa.binary()), ("items", pa.binary()), ("kinds", pa.binary())])
+_BUNDLE_DDL = "bundle long, ids binary, items binary, kinds binary"
+
+
+def _bundles(ids: np.ndarray, items: np.ndarray, kinds: np.ndarray, count: int) -> pa.Table:
+    """Answers as a row for each bundle of documents; kinds holds bits 1 (yes), 2 (left), 4 (right)."""
+    bundle = (mix64(ids.view(U64), 67) % U64(count)).astype(np.int64) if len(ids) else np.zeros(0, dtype=np.int64)
+    order = np.argsort(bundle)
+    bundle, ids, items, kinds = bundle[order], ids[order], items[order], kinds[order]
+    starts, n = _runs(bundle)
+    cuts = [(lo, lo + k) for lo, k in zip(starts.tolist(), n.tolist())]
+    packed = [pa.array([x[lo:hi].tobytes() for lo, hi in cuts], pa.binary()) for x in (ids, items, kinds)]
+    return pa.Table.from_arrays([pa.array(bundle[starts]), *packed], schema=_BUNDLE)
+
+
+def _by_id(group: pa.Table) -> pa.Table:
+    """A bundle's answers, a row for each document."""
+    raw = [b"".join(x.as_buffer() for x in group.column(c)) for c in ("ids", "items", "kinds")]
+    ids, items, kinds = (np.frombuffer(r, dtype=t) for r, t in zip(raw, (np.int64, U64, np.uint8)))
     order = np.argsort(ids, kind="stable")
-    ids, items = ids[order], items[order]
-    kinds = None if kinds is None else kinds[order]
+    ids, items, kinds = ids[order], items[order], kinds[order]
     starts, n = _runs(ids)
-    out: list[list] = [[], [], []]
-    for lo, k in zip(starts.tolist(), n.tolist()):
-        some = items[lo : lo + k]
-        if kinds is None:
-            for column, value in zip(out, (some.tobytes(), None, None)):
-                column.append(value)
-        else:
-            for bit, column in enumerate(out):
-                column.append(some[kinds[lo : lo + k] & (1 << bit) > 0].tobytes())
-    return pa.Table.from_arrays([pa.array(ids[starts]), *(pa.array(x, pa.binary()) for x in out)], schema=_ANSWER)
+    cuts = [(lo, lo + k) for lo, k in zip(starts.tolist(), n.tolist())]
+    columns = [pa.array([items[lo:hi][kinds[lo:hi] & bit > 0].tobytes() for lo, hi in cuts], pa.binary()) for bit in (1, 2, 4)]
+    return pa.Table.from_arrays([pa.array(ids[starts]), *columns], schema=_ANSWER)
 
 
-def _answer(any_other: bool, narrow: bool):
+def _answer(any_other: bool, narrow: bool, count: int):
     """What a part knows about its entries."""
 
     def run(group: pa.Table) -> pa.Table:
         part = group.column("part")[0].as_py()
         if part < 0:
             ids, _, items = _unpack(group)
-            return _by_id(ids, items)
+            return _bundles(ids, items, np.ones(len(ids), dtype=np.uint8), count)
         ids, groups, items = _unpack(group, narrow)
         if narrow:
             items = items | U64(part << 32)
@@ -230,7 +242,7 @@ def _answer(any_other: bool, narrow: bool):
             yes = ids != np.repeat(np.minimum.reduceat(ids, starts), n) if len(starts) else np.zeros(0, dtype=bool)
             if any_other and len(starts):
                 yes = np.repeat(np.logical_or.reduceat(yes, starts), n)
-            return _by_id(ids[yes], items[yes])
+            return _bundles(ids[yes], items[yes], np.ones(int(yes.sum()), dtype=np.uint8), count)
         order = np.argsort(items)
         ids, groups, items = ids[order], groups[order], items[order]
         # Equal items have equal groups and sides, as an item's hash covers their bytes.
@@ -239,19 +251,20 @@ def _answer(any_other: bool, narrow: bool):
         kinds = yes.astype(np.uint8)
         for bit, side in ((2, "left"), (4, "right")):
             value = groups[side][starts].astype(U64)
-            _, same, count = np.unique((groups["group"][starts].astype(U64) << U64(32)) | value, return_inverse=True, return_counts=True)
-            others = (count[same.ravel()] > 1) & (value > 0)
+            _, same, times = np.unique((groups["group"][starts].astype(U64) << U64(32)) | value, return_inverse=True, return_counts=True)
+            others = (times[same.ravel()] > 1) & (value > 0)
             kinds[~yes & np.repeat(others, n)] |= bit
         keep = kinds > 0
-        return _by_id(ids[keep], items[keep], kinds[keep])
+        return _bundles(ids[keep], items[keep], kinds[keep], count)
 
     return run
 
 
-def _exchange(packed: DataFrame, any_other: bool = False, narrow: bool = False) -> DataFrame:
-    """(id, answers): every question's answer, gathered for each document."""
-    answers = packed.groupBy("part").applyInArrow(lambda t: _answer(any_other, narrow)(t), _ANSWER_DDL)
-    return answers.groupBy("id").agg(F.collect_list(F.struct("yes", "left", "right")).alias("answers"))
+def _exchange(packed: DataFrame, count: int, any_other: bool = False, narrow: bool = False) -> DataFrame:
+    """(id, answers): every question's answer, gathered for each document by way of `count` bundles."""
+    told = packed.groupBy("part").applyInArrow(lambda t: _answer(any_other, narrow, count)(t), _BUNDLE_DDL)
+    answers = told.groupBy("bundle").applyInArrow(lambda t: _by_id(t), _ANSWER_DDL)
+    return answers.select("id", F.array(F.struct("yes", "left", "right")).alias("answers"))
 
 
 def _join_hashes(answers: list[dict] | None, name: str) -> np.ndarray:
@@ -539,10 +552,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("_key"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    size, n_docs = rows.agg(F.sum(F.octet_length("_text")), F.count("*")).first()
+    size, bundles = size or 0, max(1, n_docs // BUNDLE)
     parts = max(1, size // (14 * PART) + 1)
 
-    anchors = _exchange(rows.select("_key", "_text").mapInArrow(_ask_anchors(parts), _PACKED_DDL), any_other=True, narrow=True)
+    anchors = _exchange(rows.select("_key", "_text").mapInArrow(_ask_anchors(parts), _PACKED_DDL), bundles, any_other=True, narrow=True)
     digests = rows.where(F.octet_length("_text") >= LENGTH).select("_key", F.md5("_text").alias("_md5"))
     first = digests.groupBy("_md5").agg(F.min("_key").alias("_first"), F.max("_key").alias("_last")).where("_first < _last")
     copies = digests.join(first, "_md5").where("_key > _first").select(F.col("_key").alias("id"), F.col("_md5").alias("copy")).distinct()
@@ -560,12 +574,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     settled = marked.where("kept_sha256 is not null").select("_id", *results)
     going = marked.where("blob is not null").select("_id", "_key", "blob", "n_bytes", "marks", "near")
 
-    near = saved(_exchange(marked.where("part is not null").select(*_PACKED.names)).withColumnRenamed("answers", "known"))
+    near = saved(_exchange(marked.where("part is not null").select(*_PACKED.names), bundles).withColumnRenamed("answers", "known"))
     known = going.join(near, F.col("_key") == F.col("id"), "left").drop("id")
     opened = F.aggregate("known", F.lit(0).cast("long"), lambda s, a: s + F.coalesce(F.octet_length(a["left"]), F.lit(0)) + F.coalesce(F.octet_length(a["right"]), F.lit(0)))
     m = near.agg(F.sum(opened / 8)).first()[0] or 0
     parts3 = int(m * (REACH + 1) // PART + 1)
-    windows = saved(_exchange(known.select("_key", "blob", "n_bytes", "marks", "near", "known").mapInArrow(_ask_windows(parts3), _PACKED_DDL)))
+    windows = saved(_exchange(known.select("_key", "blob", "n_bytes", "marks", "near", "known").mapInArrow(_ask_windows(parts3), _PACKED_DDL), bundles))
     whole = known.join(windows, F.col("_key") == F.col("id"), "left").select("_id", "_key", "blob", "n_bytes", "marks", "near", "known", "answers")
     done = whole.mapInArrow(_finish, f"_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return settled.unionByName(done).withColumnRenamed("_id", id_col)
