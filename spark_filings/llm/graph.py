@@ -12,21 +12,21 @@ def components(links: DataFrame) -> DataFrame:
     """Return (node, root) for the nodes of links (a, b); root is a node of the same component.
 
     In each round every node takes as parent the least of its neighbours and
-    itself by a hash that changes with the round, parents are followed once,
-    and the links are rewritten to the parents.  As the hash is random, a fixed
-    part of the nodes goes in each round, of long chains as well.  A node
+    itself by a hash, parents are followed once, and the links are rewritten to
+    the parents.  As the order is random, a fixed part of the nodes goes in
+    each round, of long chains as well; as it is the same in all rounds, what
+    is left around a hub goes in the second.  A node
     with very many links costs rows in proportion: their least is taken before
     the shuffle, and the joins may split its partition.
     """
     # Empty input must give an empty table of the right types.
     pairs = compacted(links.select("a", "b").where("a <> b").distinct())
-    found, turn = None, 0
+    found = None
     while not pairs.isEmpty():
-        turn += 1
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
         def ranked(name: str):
-            return F.struct(F.xxhash64(F.col(name), F.lit(turn)).alias("h"), F.col(name).alias("p"))
+            return F.struct(F.xxhash64(F.col(name)).alias("h"), F.col(name).alias("p"))
 
         parent = compacted(both.groupBy("a").agg(F.min(ranked("b")).alias("r")).select("a", F.least(ranked("a"), "r")["p"].alias("p")))
         up = parent.select(F.col("a").alias("p"), F.col("p").alias("q"))
