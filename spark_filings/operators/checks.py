@@ -87,19 +87,41 @@ def join_open(passages: DataFrame, keys: list[str], order: str, text_col: str, l
     return passages.withColumn("_ahead", ahead).withColumn("joined", F.aggregate("_ahead", start, extend)["text"]).drop("_ahead")
 
 
-def points_covered(answers: DataFrame, points: DataFrame, key: str, least: float, marker: str | None = None) -> DataFrame:
-    """(answer_id, n_points, n_covered, score): shares of a task's points that some line of an answer covers.
+#: Ends of lines as in Python's splitlines.
+LINE_ENDS = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 
-    Answers and points meet by task only.  With a marker, a line counts only
-    if it matches it.  An answer whose task has no points scores 1.
+
+def points_covered(answers: DataFrame, points: DataFrame, key: str, least: float, marker: str | None = None, whole: bool = False) -> DataFrame:
+    """(answer_id, n_points, n_covered, score): shares of a task's points that an answer covers.
+
+    A point is covered if some line of the answer has the share `least` of its
+    units; with `whole`, if the whole answer has.  With a marker, a line counts
+    only if it matches it.  A point without units is covered by any line, or
+    by any whole answer.  An answer whose task has no points scores 1.
+
+    Texts meet points by (task, unit).  What covers a point still has one of
+    its units when as many of the most frequent as `least` allows to miss the
+    rest are set aside, so only the rarer ones are joined.
     """
-    lines = answers.select("answer_id", key, F.explode(F.split("output", "\n")).alias("line")).where(r"line rlike '\\S'")
+    if whole:
+        parts = answers.select("answer_id", key, F.coalesce("output", F.lit("")).alias("part"))
+    else:
+        parts = answers.select("answer_id", key, F.explode(F.split("output", LINE_ENDS)).alias("part")).where(r"part rlike '\\S'")
     if marker is not None:
-        lines = lines.where(F.col("line").rlike(marker))
-    lines = lines.select("answer_id", key, semantic_units(F.col("line")).alias("units"))
+        parts = parts.where(F.col("part").rlike(marker))
+    parts = parts.select("answer_id", key, semantic_units(F.col("part")).alias("units"))
     asked = points.select(key, "point_id", semantic_units(F.col("point")).alias("wanted"))
-    met = lines.join(asked, key).groupBy("answer_id", "point_id").agg(F.max(coverage(F.col("wanted"), F.col("units"))).alias("covered"))
-    hits = met.where(F.col("covered") >= least).groupBy("answer_id").agg(F.count("*").alias("n_covered"))
-    counts = asked.groupBy(key).agg(F.count("*").alias("n_points"))
-    out = answers.select("answer_id", key).join(counts, key, "left").join(hits, "answer_id", "left").na.fill(0, ["n_points", "n_covered"])
+    wanted = asked.select(key, "point_id", "wanted", F.explode("wanted").alias("unit"))
+    counts = parts.select(key, F.explode("units").alias("unit")).groupBy(key, "unit").agg(F.count("*").alias("n"))
+    order = Window.partitionBy(key, "point_id").orderBy(F.coalesce("n", F.lit(0)), "unit")
+    ranked = wanted.join(counts, [key, "unit"], "left").withColumn("rarity", F.row_number().over(order))
+    rare = ranked.where(F.col("rarity") <= F.size("wanted") - F.greatest(F.ceil(F.size("wanted") * least - 1e-9), F.lit(1)) + 1).select(key, "unit", "point_id", "wanted")
+    small = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    met = parts.withColumn("unit", F.explode("units")).join(F.broadcast(rare) if small else rare, [key, "unit"])
+    hits = met.where(coverage(F.col("wanted"), F.col("units")) >= least).select("answer_id", "point_id").distinct().groupBy("answer_id").agg(F.count("*").alias("n_hits"))
+    free = asked.where(F.size("wanted") == 0).groupBy(key).agg(F.count("*").alias("n_free"))
+    given = parts.select("answer_id", key).distinct().join(free, key).select("answer_id", "n_free")
+    totals = asked.groupBy(key).agg(F.count("*").alias("n_points"))
+    out = answers.select("answer_id", key).join(totals, key, "left").join(hits, "answer_id", "left").join(given, "answer_id", "left").na.fill(0, ["n_points", "n_hits", "n_free"])
+    out = out.withColumn("n_covered", F.col("n_hits") + F.col("n_free"))
     return out.select("answer_id", "n_points", "n_covered", F.when(F.col("n_points") == 0, F.lit(1.0)).otherwise(F.round(F.col("n_covered") / F.col("n_points"), 6)).alias("score"))

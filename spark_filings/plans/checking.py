@@ -122,6 +122,53 @@ FROM a LEFT JOIN n USING (task) LEFT JOIN h USING (answer_id)
 """
 
 
+#: The reference's marks of counter-evidence.
+COUNTER_MARKER = (
+    r"(?i)(?:反方证据|反面证据|相反证据|但|然而|不过|风险|不确定|反方證據|反面證據|相反證據|不過|風險|不確定|"
+    r"counter[- ]evidence|on the other hand|however|risk|uncertain)"
+)
+
+
+def point_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of which the whole answer has half of the units."""
+    return checks.points_covered(*_answers(spark, sf_dir), "task", 0.5, whole=True)
+
+
+def point_counterevidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of which a line with a mark of counter-evidence has a quarter of the units."""
+    return checks.points_covered(*_answers(spark, sf_dir), "task", 0.25, COUNTER_MARKER)
+
+
+# A distinct formulation: every answer or line is paired with every point of its task, and units are counted row by row.
+_POINT_UNITS_SQL = r"""
+  SELECT {id}, unnest(list_distinct(regexp_extract_all(lower({text}), '[a-z]+(?:''[a-z]+)?') || regexp_extract_all(lower({text}), '[0-9]+(?:\.[0-9]+)?'))) AS unit FROM {rows}
+"""
+
+
+def _whole_points_sql(rows: str, least: str) -> str:
+    return rf"""
+WITH a AS (SELECT conv_id || '-' || turn AS answer_id, conv_id % 20 AS task, coalesce(text, '') AS text FROM conversations WHERE role = 'assistant'),
+r AS ({rows}),
+u AS ({_POINT_UNITS_SQL.format(id="answer_id, part_no", text="part", rows="r")}),
+w AS ({_POINT_UNITS_SQL.format(id="item_id", text="text", rows="benchmark")}),
+s AS (SELECT item_id, count(*) AS size FROM w GROUP BY item_id),
+pairs AS (SELECT answer_id, part_no, item_id, coalesce(size, 0) AS size FROM r JOIN a USING (answer_id) JOIN benchmark ON item_id % 20 = a.task LEFT JOIN s USING (item_id)),
+shared AS (SELECT answer_id, part_no, item_id, count(*) AS k FROM u JOIN w USING (unit) GROUP BY ALL),
+hit AS (SELECT DISTINCT answer_id, item_id FROM pairs LEFT JOIN shared USING (answer_id, part_no, item_id) WHERE size = 0 OR coalesce(k, 0) >= {least} * size),
+h AS (SELECT answer_id, count(*) AS k FROM hit GROUP BY answer_id),
+n AS (SELECT item_id % 20 AS task, count(*) AS n FROM benchmark GROUP BY ALL)
+SELECT answer_id, coalesce(n, 0) AS n_points, coalesce(k, 0) AS n_covered, CASE WHEN n IS NULL THEN 1.0 ELSE round(CAST(coalesce(k, 0) AS DOUBLE) / n, 6) END AS score
+FROM a LEFT JOIN n USING (task) LEFT JOIN h USING (answer_id)
+"""
+
+
+POINT_COMPLETENESS_SQL = _whole_points_sql("SELECT answer_id, 0 AS part_no, text AS part FROM a", "0.5")
+POINT_COUNTEREVIDENCE_SQL = _whole_points_sql(
+    f"SELECT * FROM (SELECT answer_id, generate_subscripts(string_split(text, chr(10)), 1) AS part_no, unnest(string_split(text, chr(10))) AS part FROM a) WHERE regexp_matches(part, '{COUNTER_MARKER}')",
+    "0.25",
+)
+
+
 def report(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels"), "doc_id").select("lang", "quality", "toxic")
     return reports.build_report(scores, ["quality", "toxic"])
@@ -194,16 +241,25 @@ SELECT * FROM r WHERE place <= 3
 """
 
 
-def streamed_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`completeness` of responses that arrive as files."""
+def _streamed(spark: SparkSession, sf_dir: str, least: float, whole: bool) -> DataFrame:
     folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
     base = f"{folder}/scores-{uuid.uuid4().hex}"
     answers, points = _answers(spark, sf_dir)
     answers.write.parquet(f"{base}/in")
-    stream_scores(spark, f"{base}/in", answers.schema, lambda batch: checks.points_covered(batch, points, "task", 0.1), f"{base}/out", f"{base}/state")
+    stream_scores(spark, f"{base}/in", answers.schema, lambda batch: checks.points_covered(batch, points, "task", least, whole=whole), f"{base}/out", f"{base}/state")
     return spark.read.parquet(f"{base}/out").drop("batch")
 
 
+def streamed_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`completeness` of responses that arrive as files."""
+    return _streamed(spark, sf_dir, 0.1, False)
+
+
+def streamed_point_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`point_completeness` of responses that arrive as files."""
+    return _streamed(spark, sf_dir, 0.5, True)
+
+
 QUERIES = {
     "contract_violations": contract_violations,
     "ngram_contamination": ngram_contamination,
@@ -219,6 +275,9 @@ QUERIES = {
     "run_summary": run_summary,
     "top_risk": top_risk,
     "streamed_completeness": streamed_completeness,
+    "point_completeness": point_completeness,
+    "point_counterevidence": point_counterevidence,
+    "streamed_point_completeness": streamed_point_completeness,
 }
 ORACLES = {
     "contract_violations": CONTRACT_SQL,
@@ -234,4 +293,7 @@ ORACLES = {
     "run_summary": SUMMARY_SQL,
     "top_risk": RISK_SQL,
     "streamed_completeness": _points_sql(0.1, ""),
+    "point_completeness": POINT_COMPLETENESS_SQL,
+    "point_counterevidence": POINT_COUNTEREVIDENCE_SQL,
+    "streamed_point_completeness": POINT_COMPLETENESS_SQL,
 }

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from spark_filings.functions import text as t
 from spark_filings.operators import checks, reports
+from spark_filings.plans import checking
 from spark_filings.sources import filings
 
 
@@ -81,6 +82,21 @@ def test_points(spark):
     assert scores == {1: 1.0, 2: 0.0, 3: 1.0}
 
 
+def test_points_of_the_whole_answer(spark):
+    answers = spark.createDataFrame([(1, 1, "net\nloss"), (2, 1, "net\nother"), (3, 1, None), (4, 9, "x")], "answer_id int, task int, output string")
+    points = spark.createDataFrame([(1, 1, "net loss rose again"), (1, 2, "..."), (1, 3, "deep water")], "task int, point_id int, point string")
+    got = {r.answer_id: (r.n_points, r.n_covered) for r in checks.points_covered(answers, points, "task", 0.5, whole=True).collect()}
+    assert got == {1: (3, 2), 2: (3, 1), 3: (3, 1), 4: (0, 0)}
+
+
+def test_counterevidence_needs_a_mark(spark):
+    texts = ["the net loss rose", "on the other hand net loss", "风险 net loss", "however\nnet loss rose", "uncertain net", "but however other"]
+    answers = spark.createDataFrame([(i, 1, x) for i, x in enumerate(texts)], "answer_id int, task int, output string")
+    points = spark.createDataFrame([(1, 1, "net loss rose again")], "task int, point_id int, point string")
+    got = {r.answer_id: r.n_covered for r in checks.points_covered(answers, points, "task", 0.25, checking.COUNTER_MARKER).collect()}
+    assert got == {0: 0, 1: 1, 2: 1, 3: 0, 4: 1, 5: 0}
+
+
 def test_quotes(spark):
     texts = spark.createDataFrame([(1, "abc def"), (2, "a" * 40), (3, None)], "id int, text string")
     quotes = spark.createDataFrame([(7, "c d"), (8, "a" * 30), (9, ""), (10, "zz")], "q int, text string")
