@@ -110,6 +110,22 @@ FROM part LEFT JOIN k ON question_id = p_partkey GROUP BY p_partkey
 """
 
 
+def resolved_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers planned for customers by the keys of their orders' parts, against the whole catalogue; what is no supplier is unknown."""
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("question_id"))
+    lines = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("document_id"))
+    catalog = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("document_id"))
+    out = claims.resolve_plan(orders.join(lines, "o_orderkey").drop("o_orderkey"), catalog, _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("question_id")))
+    return out.groupBy("question_id").agg(F.count("document_id").alias("n"), F.min("document_id").alias("first"), F.max("whole").alias("whole"))
+
+
+RESOLVED_PLANS_SQL = """
+WITH k AS (SELECT DISTINCT o_custkey, l_partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_partkey IN (SELECT s_suppkey FROM supplier))
+SELECT c_custkey AS question_id, count(l_partkey) AS n, min(l_partkey) AS first, count(l_partkey) = 0 AS whole
+FROM customer LEFT JOIN k ON o_custkey = c_custkey GROUP BY c_custkey
+"""
+
+
 def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _table(spark, sf_dir, "orders")
     return orders.select(
@@ -175,6 +191,7 @@ QUERIES = {
     "announcements": announcements,
     "assembled": assembled,
     "plans": plans,
+    "resolved_plans": resolved_plans,
     "gaps": gaps,
     "withdrawals": withdrawals,
     "counters": counters,
@@ -186,6 +203,7 @@ ORACLES = {
     "announcements": ANNOUNCEMENTS_SQL,
     "assembled": ASSEMBLED_SQL,
     "plans": PLANS_SQL,
+    "resolved_plans": RESOLVED_PLANS_SQL,
     "gaps": GAPS_SQL,
     "withdrawals": WITHDRAWALS_SQL,
     "counters": COUNTERS_SQL,

@@ -118,7 +118,7 @@ FROM pages
 
 
 def claim_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", letter_id(F.col("l_orderkey") % 20000 * 7 + F.col("l_linenumber") - 1, "C").alias("claim_id"))
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", letter_id(F.col("l_orderkey") * 7 + F.col("l_linenumber") - 1, "C").alias("claim_id"))
 
 
 CLAIM_IDS_SQL = """

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from spark_filings.functions import text as t
 from spark_filings.operators import checks, reports
-from spark_filings.plans import checking
+from spark_filings.plans import checking, sourcing
 from spark_filings.sources import filings
 
 
@@ -38,6 +38,24 @@ def test_letters(spark):
     assert [r[0] for r in df.select(t.letter_id(F.col("n"), "C")).collect()] == ["C-A", "C-Z", "C-AA", "C-ZZ", "C-AAA"]
 
 
+def test_letters_of_large_numbers(spark):
+    def letters(n):
+        out = ""
+        while n >= 0:
+            out, n = chr(65 + n % 26) + out, n // 26 - 1
+        return "C-" + out
+
+    numbers = [12_356_629, 12_356_630, 321_272_405, 321_272_406, 2**53 + 1, 2**63 - 1]
+    df = spark.createDataFrame([(n,) for n in numbers], "n long")
+    assert [r[0] for r in df.select(t.letter_id(F.col("n"), "C")).collect()] == [letters(n) for n in numbers]
+
+
+def test_claim_ids_are_distinct(spark, tmp_path):
+    lines = [(1, 1), (20_001, 1), (40_001, 2), (50_000_000, 1)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert len({r.claim_id for r in sourcing.claim_ids(spark, str(tmp_path)).collect()}) == len(lines)
+
+
 def test_html(spark):
     page = "<p>a&nbsp;&amp;  b &bogus;</p><script>x</script><div>c<br/>d</div>"
     assert one(spark, t.html_to_text, page, "no tags &amp;", None) == ["a & b &bogus;\n c\nd".replace("\n c", "\nc"), "no tags &amp;", None]
