@@ -2,9 +2,10 @@
 
 Two order-1 Markov models over characters are trained by counting bigrams in
 labelled samples from all documents: the values that the fixed patterns find
-are random strings, all other tokens are ordinary.  A long token whose
-log-likelihood ratio exceeds the prior odds against a secret is a span of its
-own kind; spans of the fixed patterns always stay.
+are random strings, all other tokens are ordinary.  The stretch of a long token
+whose log-likelihood ratio is largest is a span of its own kind if the ratio
+exceeds the prior odds against a secret, and so on in what is left of the
+token; spans of the fixed patterns always stay.
 """
 
 from __future__ import annotations
@@ -31,6 +32,9 @@ TOKEN = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 LEAST_TOKEN = 16
 N = len(TOKEN)
 
+#: A span of the models reaches to the next of these.
+SEPARATORS = b"=/-_"
+
 #: Natural logarithm of the odds that a long token is ordinary.
 PRIOR = math.log(1e6)
 SMOOTHING = 0.5
@@ -40,6 +44,8 @@ UNIFORM = (0.5, 0.05)
 
 _CODE = np.full(256, -1, dtype=np.int64)
 _CODE[np.frombuffer(TOKEN, dtype=np.uint8)] = np.arange(N)
+_SEPARATES = np.zeros(256, dtype=bool)
+_SEPARATES[np.frombuffer(SEPARATORS, dtype=np.uint8)] = True
 _IS_HEX = np.zeros(256, dtype=bool)
 _IS_HEX[np.frombuffer(b"0123456789abcdef", dtype=np.uint8)] = True
 
@@ -110,25 +116,68 @@ def train_markov(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return np.log(mixed[0]) - np.log(mixed[1]) if counts.any() else np.zeros((N, N))
 
 
+def _stretches(total: np.ndarray, separates: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of the stretches of one run that are rather random, from prefix sums `total` of its steps.
+
+    The best stretch of LEAST_TOKEN characters or more is widened to the next
+    separators, and loses parts at its edges that are rather ordinary; what is
+    left on either side is judged on its own.  Two such values that what is
+    between them does not outweigh are one stretch.
+    """
+    found, left = [], [(0, len(separates))]
+    while left:
+        lo, hi = left.pop()
+        if hi - lo < LEAST_TOKEN:
+            continue
+        # The step into a stretch does not count: [a, b) scores total[b] - total[a + 1].
+        before = total[lo + 1 : hi - LEAST_TOKEN + 2]
+        gain = total[lo + LEAST_TOKEN : hi + 1] - np.minimum.accumulate(before)
+        k = int(np.argmax(gain))
+        if gain[k] <= PRIOR:
+            continue
+        a, b = lo + int(np.argmin(before[: k + 1])), lo + LEAST_TOKEN + k
+        at = np.flatnonzero(separates[lo:a])
+        start = lo + int(at[-1]) + 1 if len(at) else lo
+        at = np.flatnonzero(separates[b:hi])
+        end = b + int(at[0]) if len(at) else hi
+        # A name or folder at an edge, of which the stretch took the last characters, is ordinary as a whole.
+        for cut in start + np.flatnonzero(separates[start:end]):
+            if end - cut <= LEAST_TOKEN or total[cut] - total[min(start + 1, cut)] > 0:
+                break
+            start = int(cut) + 1
+        for cut in start + np.flatnonzero(separates[start:end])[::-1]:
+            if cut - start < LEAST_TOKEN or total[end] - total[min(cut + 2, end)] > 0:
+                break
+            end = int(cut)
+        found.append((start, end))
+        left += [(lo, start), (end, hi)]
+    return found
+
+
 def markov_spans(piece: Slice, ratios: np.ndarray, taken: list[Span]) -> list[Span]:
-    """Long tokens outside the spans `taken` that are rather random than ordinary."""
-    starts, ends = piece.runs(_CODE[piece.data] >= 0)
+    """Stretches of long tokens, as far as they are outside the spans `taken`, that are rather random than ordinary."""
+    code = _CODE[piece.data]
+    free = code >= 0
+    for _, s, _, e, _ in taken:
+        free[s:e] = False
+    starts, ends = piece.runs(free)
     long = ends - starts >= LEAST_TOKEN
     starts, ends = starts[long], ends[long]
     if not len(starts):
         return []
-    busy = np.zeros(len(piece.data) + 1, dtype=np.int64)
-    for _, s, _, e, _ in taken:
-        busy[s + 1 : e + 1] = 1
-    busy = np.cumsum(busy)
-    code = _CODE[piece.data]
     step = np.zeros(len(code))
     both = (code[:-1] >= 0) & (code[1:] >= 0)
     step[1:][both] = ratios[code[:-1][both], code[1:][both]]
-    total = np.concatenate([[0.0], np.cumsum(step)])
-    score = total[ends] - total[starts + 1]
-    hit = (score > PRIOR) & (busy[ends] == busy[starts])
-    return [(row, s, "markov", e, s) for s, e, row in zip(starts[hit].tolist(), ends[hit].tolist(), piece.row_of(starts[hit]).tolist())]
+    total, most = (np.concatenate([[0.0], np.cumsum(x)]) for x in (step, np.maximum(step, 0)))
+    # No stretch has more than all positive steps of its run.
+    may = most[ends] - most[starts + 1] > PRIOR
+    starts, ends = starts[may], ends[may]
+    separates = _SEPARATES[piece.data]
+    return [
+        (row, s + a, "markov", s + b, s + a)
+        for s, e, row in zip(starts.tolist(), ends.tolist(), piece.row_of(starts).tolist())
+        for a, b in _stretches(total[s : e + 1], separates[s:e])
+    ]
 
 
 def _scan(ratios: np.ndarray):
