@@ -13,10 +13,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Keys of a page of a feed: pages are bounded however many rows a customer or user has.
+PAGE_KEYS = 1000
+
+
 def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders of each customer as a feed of parallel arrays."""
+    """Orders of each customer as a feed of parallel arrays, in pages."""
     orders = _table(spark, sf_dir, "orders").select(
         F.col("o_custkey").cast("string").alias("cik"),
+        F.floor(F.col("o_orderkey") / PAGE_KEYS).alias("page"),
         F.struct(
             "o_orderkey",
             F.when(F.col("o_orderkey") % 7 == 0, F.lit("")).otherwise(F.concat(F.lit("00-"), "o_orderkey")).alias("a"),
@@ -25,13 +30,13 @@ def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat("o_orderpriority", F.lit(".htm")).alias("p"),
         ).alias("x"),
     )
-    feed = orders.groupBy("cik").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    feed = orders.groupBy("cik", "page").agg(F.sort_array(F.collect_list("x")).alias("xs"))
 
     def field(name: str):
         return F.transform("xs", lambda x: x[name])
 
     recent = F.struct(field("a").alias("accessionNumber"), field("d").alias("filingDate"), field("f").alias("form"), field("p").alias("primaryDocument"))
-    return feeds.explode_submissions(feed.select("cik", F.concat(F.lit("customer "), "cik").alias("name"), recent.alias("recent")), "1995-01-01", 5)
+    return feeds.explode_submissions(feed.select("cik", "page", F.concat(F.lit("customer "), "cik").alias("name"), recent.alias("recent")), "1995-01-01", 5, "page")
 
 
 SUBMISSIONS_SQL = """
@@ -56,10 +61,10 @@ FROM orders LEFT JOIN customer ON c_name = 'Customer#' || lpad(CAST(o_custkey +
 
 
 def announcements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of each user as one JSON array, or for odd users as an envelope."""
+    """Events of each user as pages of a JSON array, or for odd users of an envelope."""
     events = _table(spark, sf_dir, "events")
     item = F.struct(F.when(F.col("event_id") % 5 > 0, F.col("event_id").cast("string")).alias("id"), F.col("event_type"), F.date_format("ts", "yyyy-MM-dd").alias("published_at"))
-    by_user = events.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", item.alias("item")))).alias("xs")).select("user_id", F.transform("xs", lambda x: x["item"]).alias("items"))
+    by_user = events.groupBy("user_id", F.floor(F.col("event_id") / PAGE_KEYS).alias("page")).agg(F.sort_array(F.collect_list(F.struct("event_id", item.alias("item")))).alias("xs")).select("user_id", F.transform("xs", lambda x: x["item"]).alias("items"))
     body = F.when(F.col("user_id") % 2 == 0, F.to_json("items")).otherwise(F.to_json(F.struct("items")))
     return feeds.parse_announcements(by_user.select("user_id", body.alias("body"))).select("user_id", "announcement_id", "published", "kind", "error")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_decimal, html_to_text, letter_id, mask_addresses, quotable_fragments, split_passages, title_of
-from ..sources.filings import disambiguate_ids, list_documents, parse_responses, search_instruments, worst_grade
+from ..sources.filings import disambiguate_ids, list_documents, parse_responses, search_instruments, worst_of_group
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,8 +81,7 @@ ORDER BY symbol LIMIT 20
 def top_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _table(spark, sf_dir, "events")
     grade = F.when(F.col("event_type") == "error", "red").when(F.col("event_type") == "purchase", "amber").when(F.col("event_type") == "signup", "blue").when(F.col("event_type") == "view", "unknown")
-    by_user = events.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", grade.alias("grade")))).alias("graded"))
-    return by_user.select("user_id", worst_grade(F.transform("graded", lambda x: x["grade"])).alias("severity"))
+    return events.groupBy("user_id").agg(worst_of_group(grade, F.col("event_id")).alias("severity"))
 
 
 TOP_SEVERITY_SQL = """

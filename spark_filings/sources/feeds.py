@@ -8,19 +8,21 @@ from pyspark.sql import functions as F
 ANNOUNCEMENT = "document_id string, id string, title string, source_published_at string, published_at string, doc_type string, ann_type string, event_type string"
 
 
-def explode_submissions(feed: DataFrame, since: str | None = None, limit: int = 20) -> DataFrame:
+def explode_submissions(feed: DataFrame, since: str | None = None, limit: int = 20, page_col: str | None = None) -> DataFrame:
     """A row for each filing of (cik, name, recent), where `recent` holds parallel arrays.
 
     Rows without an accession number or a primary document are skipped;
     `since` drops only rows with an earlier date; the feed's order is kept and
-    stops at `limit` for each company.
+    stops at `limit` for each company.  With `page_col` a company has a row for
+    each of its pages, in the order of that column.
     """
-    zipped = feed.select("cik", "name", F.posexplode(F.arrays_zip("recent.accessionNumber", "recent.filingDate", "recent.form", "recent.primaryDocument")).alias("place", "x"))
-    rows = zipped.select("cik", "name", "place", *(F.col(f"x.{c}").alias(n) for c, n in (("accessionNumber", "accession"), ("filingDate", "published_at"), ("form", "form"), ("primaryDocument", "primary"))))
+    page = F.col(page_col) if page_col else F.lit(0)
+    zipped = feed.select("cik", "name", page.alias("_page"), F.posexplode(F.arrays_zip("recent.accessionNumber", "recent.filingDate", "recent.form", "recent.primaryDocument")).alias("place", "x"))
+    rows = zipped.select("cik", "name", "_page", "place", *(F.col(f"x.{c}").alias(n) for c, n in (("accessionNumber", "accession"), ("filingDate", "published_at"), ("form", "form"), ("primaryDocument", "primary"))))
     rows = rows.where("accession <> '' and primary <> ''")
     if since is not None:
         rows = rows.where(F.col("published_at").isNull() | (F.col("published_at") == "") | (F.col("published_at") >= since))
-    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("cik").orderBy("place"))).where(F.col("k") <= limit)
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("cik").orderBy("_page", "place"))).where(F.col("k") <= limit)
     number = F.replace(F.col("accession"), F.lit("-"), F.lit(""))
     return rows.select(
         F.concat_ws(":", F.lit("edgar"), "cik", number, "primary").alias("document_id"),

@@ -38,9 +38,22 @@ def read_filings(spark: SparkSession, root: str, provider: str = "local", longes
 
 
 def disambiguate_ids(df: DataFrame, id_col: str, order: list[str | Column]) -> DataFrame:
-    """Repeated ids become id, id#2, id#3, ... in the given order."""
-    place = F.row_number().over(Window.partitionBy(id_col).orderBy(*order))
-    return df.withColumn("_place", place).withColumn(id_col, F.when(F.col("_place") == 1, F.col(id_col)).otherwise(F.concat_ws("#", id_col, "_place"))).drop("_place")
+    """Repeated ids become id, id#2, id#3, ... in the given order.
+
+    Rows are dealt by range and numbered within it, so that a frequent id is
+    numbered by many tasks; only the counts of ids that go on from one range
+    into the next are handed on.
+    """
+    dealt = df.repartitionByRange(id_col, *order).withColumn("_part", F.spark_partition_id())
+    # Ranges are drawn from a sample, so they are fixed before they are used twice.
+    dealt = dealt.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else dealt.localCheckpoint()
+    counts = dealt.groupBy("_part", F.col(id_col).alias("_of")).agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("_of").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
+    before = before.where("_before > 0").select(F.col("_part").alias("_in"), "_of", "_before")
+    place = F.row_number().over(Window.partitionBy("_part", id_col).orderBy(*order))
+    placed = dealt.withColumn("_place", place).join(F.broadcast(before), (F.col("_part") == F.col("_in")) & F.col(id_col).eqNullSafe(F.col("_of")), "left")
+    placed = placed.withColumn("_place", F.col("_place") + F.coalesce("_before", F.lit(0))).drop("_part", "_in", "_of", "_before")
+    return placed.withColumn(id_col, F.when(F.col("_place") == 1, F.col(id_col)).otherwise(F.concat_ws("#", id_col, "_place"))).drop("_place")
 
 
 def parse_responses(df: DataFrame, raw_col: str = "raw") -> DataFrame:
@@ -75,6 +88,12 @@ def search_instruments(instruments: DataFrame, query: str, limit: int = 20) -> D
 SEVERITY = {"unknown": 0, "blue": 1, "amber": 2, "red": 3}
 
 
+def worst_of_group(grade: Column, order: Column) -> Column:
+    """Aggregate: `worst_grade` of a group's grades in an order, without collecting them."""
+    rank = F.create_map(*(F.lit(x) for pair in SEVERITY.items() for x in pair))
+    return F.max_by(grade, F.when(grade.isNotNull(), F.struct(F.coalesce(rank[grade], F.lit(0)), -order)))
+
+
 def worst_grade(grades: Column) -> Column:
     """The worst of an array of grades, the first of equals; null if there is none."""
     rank = F.create_map(*(F.lit(x) for pair in SEVERITY.items() for x in pair))

@@ -1,11 +1,12 @@
 """Text expressions and sources on small rows."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from spark_filings.functions import text as t
 from spark_filings.operators import checks, reports
-from spark_filings.plans import checking, sourcing
-from spark_filings.sources import filings
+from spark_filings.plans import checking, claiming, sourcing
+from spark_filings.sources import feeds, filings
 
 
 def one(spark, column, *values):
@@ -87,6 +88,54 @@ def test_grades(spark):
     assert [r[0] for r in df.select(filings.worst_grade(F.col("g"))).collect()] == ["red", None, None, "odd"]
 
 
+def test_grades_of_a_group(spark):
+    rows = [(1, 3, "blue"), (1, 2, "red"), (1, 1, None), (2, 1, None), (3, 2, "unknown"), (3, 1, "odd"), (4, 1, "odd"), (4, 2, "amber")]
+    df = spark.createDataFrame(rows, "u int, k int, g string").groupBy("u").agg(filings.worst_of_group(F.col("g"), F.col("k")).alias("w"))
+    assert dict(map(tuple, df.collect())) == {1: "red", 2: None, 3: "odd", 4: "amber"}
+
+
+def test_hot_names_are_numbered_by_many_tasks(spark):
+    df = spark.range(20_000).select("id", F.when(F.col("id") % 10 < 8, "hot").when(F.col("id") % 10 == 8, F.concat(F.lit("n"), F.col("id") % 3)).alias("name"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = filings.disambiguate_ids(df.repartition(8), "name", ["id"]).withColumn("part", F.spark_partition_id())
+        rows = out.collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = {r.id: r.name for r in rows}
+    assert len({r.part for r in rows if r.id % 10 < 8}) > 1
+    seen, want = {}, {}
+    for i in range(20_000):
+        name = "hot" if i % 10 < 8 else f"n{i % 3}" if i % 10 == 8 else None
+        k = seen[name] = seen.get(name, 0) + 1
+        want[i] = name if k == 1 else f"{name}#{k}" if name else str(k)
+    assert got == want
+
+
+def test_no_feed_is_one_row(spark, tmp_path):
+    events = spark.range(5000).select(F.col("id").alias("event_id"), F.lit(2).alias("user_id"), F.lit("view").alias("event_type"), F.lit("2024-01-01").cast("timestamp").alias("ts"))
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    orders = spark.range(5000).select(F.col("id").alias("o_orderkey"), F.lit(1).alias("o_custkey"), F.lit("2000-01-01").cast("date").alias("o_orderdate"), F.lit("F").alias("o_orderstatus"), F.lit("p").alias("o_orderpriority"))
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    longest = []
+    parse, explode = feeds.parse_announcements, feeds.explode_submissions
+
+    def parsed(df, *args):
+        longest.append(df.agg(F.max(F.size(F.split("body", "event_type")))).first()[0])
+        return parse(df, *args)
+
+    def exploded(df, *args):
+        longest.append(df.agg(F.max(F.size("recent.form"))).first()[0])
+        return explode(df, *args)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(feeds, "parse_announcements", parsed)
+        patch.setattr(feeds, "explode_submissions", exploded)
+        assert claiming.announcements(spark, str(tmp_path)).count() == 5000
+        assert [r.document_id for r in claiming.submissions(spark, str(tmp_path)).orderBy("k").collect()] == [f"edgar:1:00{k}:p.htm" for k in (1, 2, 3, 4, 5)]
+    assert max(longest) <= 1001
+
+
 def test_open_passages(spark):
     df = spark.createDataFrame([(1, 0, "open"), (1, 1, "closed;"), (1, 2, "last"), (2, 0, "x" * 239), (2, 1, "y")], "d int, k int, p string")
     rows = checks.join_open(df, ["d"], "k", "p").orderBy("d", "k").collect()
