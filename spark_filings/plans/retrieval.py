@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import semantic_units, split_passages
+from ..functions.text import quotable_fragments, semantic_units, split_passages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,15 +16,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 BROADCAST_ROWS = 200_000
 
 
-def candidate_passages(passages: DataFrame, asked: DataFrame, k: int = 3) -> DataFrame:
-    """The k passages that cover most of each question, from (doc_id, passage_no, n_chars, units) and (item_id, units).
+#: What a digit adds to the points of a passage (0.35 of 20) if numbers are preferred.
+NUMBER_POINTS = 7
+
+
+def candidate_passages(passages: DataFrame, asked: DataFrame, k: int = 3, at: tuple[str, ...] = ("passage_no",), prefer_numbers: bool = False) -> DataFrame:
+    """The k passages that cover most of each question, from (doc_id, *at, n_chars, units) and (item_id, units).
 
     A passage counts if it has more than a quarter of the question's units.
     It then has one of those that are left when as many of the question's most
     frequent units are set aside as a quarter holds, so only these rarer ones
     are joined; coverage is computed in place, and only what passes is
-    shuffled.
+    shuffled.  A question without units is covered by every passage: its k
+    passages are the first in the order of ties.  With `prefer_numbers`,
+    passages have a column `digits`, and one with a digit has NUMBER_POINTS more.
     """
+    more = F.when(F.col("digits"), NUMBER_POINTS).otherwise(0) if prefer_numbers else F.lit(0)
     wanted = asked.select("item_id", F.col("units").alias("wanted"), F.size("units").alias("n_units"), F.explode("units").alias("unit"))
     counts = passages.select(F.explode("units").alias("unit")).groupBy("unit").agg(F.count("*").alias("n"))
     ranked = wanted.join(counts, "unit", "left").withColumn("rarity", F.row_number().over(Window.partitionBy("item_id").orderBy(F.coalesce("n", F.lit(0)), "unit")))
@@ -33,9 +40,12 @@ def candidate_passages(passages: DataFrame, asked: DataFrame, k: int = 3) -> Dat
     met = passages.withColumn("unit", F.explode("units")).join(F.broadcast(rare) if small else rare, "unit")
     shared = F.size(F.array_intersect("wanted", "units")).cast("long")
     scored = met.withColumn("n_shared", shared).where(F.col("n_shared") * 4 > F.col("n_units"))
-    points = F.round(F.col("n_shared") * 20 / F.col("n_units")).cast("long")
-    scored = scored.select("item_id", "doc_id", "passage_no", "n_chars", "n_shared", points.alias("points")).distinct()
-    order = Window.partitionBy("item_id").orderBy(F.desc("points"), "n_chars", "doc_id", "passage_no")
+    points = (F.round(F.col("n_shared") * 20 / F.col("n_units")) + more).cast("long")
+    scored = scored.select("item_id", "doc_id", *at, "n_chars", "n_shared", points.alias("points")).distinct()
+    ties = [F.desc("points"), "n_chars", "doc_id", *at]
+    first = passages.select("doc_id", *at, "n_chars", F.lit(0).cast("long").alias("n_shared"), (F.lit(20) + more).cast("long").alias("points")).orderBy(*ties).limit(k)
+    scored = scored.unionByName(asked.where(F.size("units") == 0).select("item_id").crossJoin(F.broadcast(first)))
+    order = Window.partitionBy("item_id").orderBy(*ties)
     return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
@@ -47,6 +57,21 @@ def top_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidate_passages(passages, asked).select("item_id", "place", "doc_id", "passage_no", "n_shared", "points")
 
 
+def fragments_of(docs: DataFrame, least: int = 8) -> DataFrame:
+    """(doc_id, passage_no, fragment_no, n_chars, digits, units): trimmed quotable fragments of at least so many characters."""
+    passages = docs.select("doc_id", F.posexplode(split_passages(F.col("text"))).alias("passage_no", "passage"))
+    pieces = passages.select("doc_id", "passage_no", F.posexplode(quotable_fragments(F.col("passage"))).alias("fragment_no", "fragment"))
+    pieces = pieces.withColumn("fragment", F.regexp_replace("fragment", r"^\s+|\s+$", "")).where(F.length("fragment") >= least)
+    return pieces.select("doc_id", "passage_no", "fragment_no", F.length("fragment").alias("n_chars"), F.col("fragment").rlike("[0-9]").alias("digits"), semantic_units(F.col("fragment")).alias("units"))
+
+
+def top_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three quotable fragments that cover most of each benchmark item's words, those with figures first."""
+    asked = _table(spark, sf_dir, "benchmark").select("item_id", semantic_units(F.col("text")).alias("units"))
+    found = candidate_passages(fragments_of(_table(spark, sf_dir, "documents")), asked, at=("passage_no", "fragment_no"), prefer_numbers=True)
+    return found.select("item_id", "place", "doc_id", "passage_no", "fragment_no", "n_shared", "points")
+
+
 TOP_PASSAGES_SQL = r"""
 WITH passages AS (
   SELECT doc_id, unnest(list_filter(list_transform(string_split_regex(regexp_replace(text, '([!?;。！？；]+)', '\1' || chr(10), 'g'), '\n'),
@@ -72,5 +97,5 @@ shared AS (
 SELECT item_id, place, doc_id, passage_no, n_shared, points FROM ranked WHERE place <= 3
 """
 
-QUERIES = {"top_passages": top_passages}
+QUERIES = {"top_passages": top_passages, "top_fragments": top_fragments}
 ORACLES = {"top_passages": TOP_PASSAGES_SQL}

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from spark_filings.functions import text as t
 from spark_filings.operators import checks, reports
-from spark_filings.plans import checking, claiming, sourcing
+from spark_filings.plans import checking, claiming, retrieval, sourcing
 from spark_filings.sources import feeds, filings
 
 
@@ -164,6 +164,19 @@ def test_counterevidence_needs_a_mark(spark):
     assert got == {0: 0, 1: 1, 2: 1, 3: 0, 4: 1, 5: 0}
 
 
+def test_candidate_fragments(spark):
+    long = ",".join(["net loss rose again " + "x" * 60] * 3)
+    docs = spark.createDataFrame([(1, "tiny.;\nnet loss; net loss rose again\nnet loss rose 5"), (2, long), (3, None)], "doc_id int, text string")
+    asked = spark.createDataFrame([(1, "net loss rose again"), (2, "?"), (3, None), (4, "Это")], "item_id int, text string").select("item_id", t.semantic_units(F.col("text")).alias("units"))
+    at = ("passage_no", "fragment_no")
+    rows = retrieval.candidate_passages(retrieval.fragments_of(docs), asked, 3, at, True).collect()
+    got = {i: [(r.doc_id, r.passage_no, r.fragment_no, r.points) for r in sorted(rows, key=lambda r: r.place) if r.item_id == i] for i in (1, 2, 3, 4)}
+    assert got[1] == [(1, 3, 0, 22), (1, 2, 0, 20), (2, 0, 2, 20)]
+    assert got[2] == got[3] == got[4] == [(1, 3, 0, 27), (1, 1, 0, 20), (1, 2, 0, 20)]
+    plain = retrieval.candidate_passages(retrieval.fragments_of(docs), asked, 2, at).where("item_id = 2").orderBy("place").collect()
+    assert [(r.passage_no, r.points) for r in plain] == [(1, 20), (3, 20)]
+
+
 def test_quotes(spark):
     texts = spark.createDataFrame([(1, "abc def"), (2, "a" * 40), (3, None)], "id int, text string")
     quotes = spark.createDataFrame([(7, "c d"), (8, "a" * 30), (9, ""), (10, "zz")], "q int, text string")
