@@ -359,12 +359,17 @@ def _cluster(classes: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
 def keep_one_of_each(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group, with all its columns: that with the smallest id.
 
-    Of rows that repeat an id and its text, one stays.
+    A null id is greater than all others.  Of a group's rows with one id, also
+    a null one, the one whose text has the smallest hash stays; of rows that
+    repeat an id and its text, any one.
     """
-    judged = near_duplicates(docs, percent, id_col, text_col)
-    kept = judged.where("kept").select(F.col(id_col).alias("_kept")).distinct()
-    rows = docs.join(kept, docs[id_col].eqNullSafe(kept["_kept"])).drop("_kept")
-    return rows.withColumn("_same", F.xxhash64(text_col)).dropDuplicates([id_col, "_same"]).drop("_same")
+    # An id and a text's hash together tell apart what the id alone does not.
+    mark = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"))
+    judged = near_duplicates(docs.select(mark.alias("_key"), F.col(text_col).alias("_body")), percent, "_key", "_body")
+    kept = judged.where("kept").select(F.col("_key.id").alias("_kept"), F.col("_key.h").alias("_hash")).distinct()
+    rows = docs.withColumn("_same", F.xxhash64(text_col))
+    rows = rows.join(kept, rows[id_col].eqNullSafe(kept["_kept"]) & (rows["_same"] == kept["_hash"])).drop("_kept", "_hash")
+    return rows.dropDuplicates([id_col, "_same"]).drop("_same")
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

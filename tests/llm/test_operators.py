@@ -153,6 +153,17 @@ def test_minhash_odd(spark, odd):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "4", "6", "7", "None"]
 
 
+def test_minhash_keeps_one_row_of_a_group(spark):
+    def words(name, n=60):
+        return " ".join(f"{name}{i}" for i in range(n))
+
+    near = words("a") + " end"
+    rows = [(1, words("a")), (None, near), (None, words("b")), (7, words("c")), (7, words("c") + " end"), (7, words("c") + " end"), (7, words("d")), (3, words("d") + " end"), (None, None), (8, "")]
+    kept = [tuple(r) for r in minhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(kept) == 6 and {(1, words("a")), (None, words("b")), (3, words("d") + " end"), (None, None), (8, "")} < set(kept)
+    assert sum(i == 7 and x.startswith(words("c")) for i, x in kept) == 1
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 140)] + [(100, 200), (300, 300)]
     got = dict(map(tuple, graph.components(spark.createDataFrame(links, "a long, b long")).collect()))
