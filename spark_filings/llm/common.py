@@ -8,6 +8,7 @@ it alone), which bounds the memory of a task whatever the batch holds.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import tempfile
 from collections.abc import Iterator
@@ -15,7 +16,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Words are runs of code points outside this ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -72,7 +75,12 @@ POWERS = Powers()
 
 
 def prefix_hash(values: np.ndarray) -> np.ndarray:
-    """P with P[b] - P[a] = base**a * H(values[a:b]), for `span_hash`."""
+    """P with P[b] - P[a] = base**a * H(values[a:b]), for `span_hash`.
+
+    Good for choosing places and proposing candidates only: modulo a power of
+    two, texts can be made that differ and agree in this hash.  Where a hash
+    stands for its content, `hash_spans` or `PrimeHash` is used.
+    """
     POWERS.grow(len(values) + 1)
     out = np.zeros(len(values) + 1, dtype=U64)
     np.cumsum(values * POWERS.up[: len(values)], dtype=U64, out=out[1:])
@@ -84,6 +92,82 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return (prefix[end] - prefix[start]) * POWERS.down[start]
 
 
+#: Spans of more bytes are digested one by one.
+_LONG_SPAN = 1024
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U64)
+
+
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of bytes, eight bytes at a time through a mixer; no algebra relates them."""
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    left = ends - starts
+    out = mix64(left.astype(U64), 5) if len(left) else np.zeros(0, dtype=U64)
+    for k in np.flatnonzero(left > _LONG_SPAN).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    at = np.flatnonzero(left <= _LONG_SPAN)
+    starts, left = starts[at], left[at]
+    while len(at):
+        x = (out[at] ^ (eight[starts] & _LOW_BYTES[np.minimum(left, 8)])) * U64(0xD6E8FEB86659FD93)
+        out[at] = (x ^ (x >> U64(32))) * U64(0x9E3779B97F4A7C15)
+        more = left > 8
+        at, starts, left = at[more], starts[more] + 8, left[more] - 8
+    return mix64(out, 3) if len(out) else out
+
+
+_P = U64((1 << 31) - 1)
+
+
+def _mod(x: np.ndarray) -> np.ndarray:
+    """Numbers below 2**63 modulo the prime 2**31 - 1."""
+    x = (x & _P) + (x >> U64(31))
+    x = (x & _P) + (x >> U64(31))
+    return np.where(x >= _P, x - _P, x)
+
+
+class PrimeHash:
+    """Hashes of spans of some bytes, and of spans with a gap: polynomials modulo a prime at two unrelated bases.
+
+    Both residues together have 62 bits.
+    """
+
+    BASES = (0x3A7F1C95, 0x51E2B6D3)
+    VALUES = tuple(_mod(mix64(np.arange(1, 257), 81 + k) >> U64(2)) for k in range(2))
+
+    def __init__(self, data: np.ndarray) -> None:
+        self.powers = [self._power(b, len(data) + 1) for b in self.BASES]
+        inverses = [pow(b, -1, int(_P)) for b in self.BASES]
+        self.down = [self._power(b, len(data) + 1) for b in inverses]
+        self.prefix = []
+        for values, up in zip(self.VALUES, self.powers):
+            total = np.zeros(len(data) + 1, dtype=U64)
+            np.cumsum(_mod(values[data] * up[: len(data)]), dtype=U64, out=total[1:])
+            self.prefix.append(total)
+
+    _known: dict[int, np.ndarray] = {}
+
+    @classmethod
+    def _power(cls, base: int, n: int) -> np.ndarray:
+        held = cls._known.get(base, np.ones(1, dtype=U64))
+        while len(held) < n:
+            held = np.concatenate([held, _mod(held * U64(pow(base, len(held), int(_P))))])
+        cls._known[base] = held
+        return held
+
+    def _parts(self, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+        return [_mod(_mod(p[ends] - p[starts]) * d[starts]) for p, d in zip(self.prefix, self.down)]
+
+    def span(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        x, y = self._parts(starts, ends)
+        return (x << U64(31)) | y
+
+    def without(self, starts: np.ndarray, gap: np.ndarray, after: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of the bytes from `starts` to `gap` followed by those from `after` to `ends`."""
+        head, tail = self._parts(starts, gap), self._parts(after, ends)
+        x, y = (_mod(h + _mod(t * up[gap - starts])) for h, t, up in zip(head, tail, self.powers))
+        return (x << U64(31)) | y
+
+
 class Slice:
     """Some consecutive texts of a batch as one byte array."""
 
@@ -120,9 +204,7 @@ class Slice:
     def word_hashes(self, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """64-bit hash of each word (A-Z lowered if asked) and its row."""
         starts, ends, rows = self.words()
-        data = TO_LOWER[self.data] if lower else self.data
-        prefix = prefix_hash(BYTE_VALUE[data])
-        return mix64(span_hash(prefix, starts, ends)), rows
+        return hash_spans(TO_LOWER[self.data] if lower else self.data, starts, ends), rows
 
 
 def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -159,13 +241,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def column(name: str) -> Column:
+    """The column with exactly this name, dots and all."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def arrow_type(df: DataFrame, name: str) -> pa.DataType:
+    return to_arrow_type(df.schema[name].dataType)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all machines share: spark.checkpoint.dir of the session.
 
-    Only where it is unset (as in tests on one machine) a temporary one is made.
+    Only where it is unset on a single machine (as in tests) a temporary one
+    is made; on a cluster that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         folder = tempfile.mkdtemp(prefix="checkpoints-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder

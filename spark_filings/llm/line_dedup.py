@@ -1,10 +1,10 @@
 """Line dedup: a deletion-neighbourhood join of lines within one edit.
 
-A line goes if an earlier one is equal to it or, for lines of some length, at
-an edit distance of one.  Two lines are that near if and only if they agree
-after one character at the same place is taken out of both (substitution), or
-one of them after a character is taken out equals the other (insertion,
-deletion).  So every line emits the hashes of its variants with one character
+A line goes if an earlier one is equal to it, or at an edit distance of one
+where that is no more than a given share of the longer line.  Two lines are
+that near if and only if they agree after one character at the same place is
+taken out of both (substitution), or one of them after a character is taken
+out equals the other (insertion, deletion).  So every line emits the hashes of its variants with one character
 deleted, equal hashes are joined by an aggregation that keeps the earliest
 line of each, and the edit distance of the two lines is then verified.
 
@@ -18,18 +18,20 @@ lost by this, as each step is necessary for the last.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import hashlib
+import math
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUE, IS_LEAD, IS_SPACE, POWERS, U64, Slice, mix64, prefix_hash, saved, slices, span_hash, table
+from .common import IS_LEAD, IS_SPACE, U64, PrimeHash, Slice, arrow_type, column, mix64, saved, slices, table
 
-#: Shorter lines (code points) are compared for equality only: one edit makes
-#: another word of them.
-LEAST_NEAR = 20
+#: The share of the longer line, in percent, that an edit may be: at 5, one
+#: code point in 20.  100 lets any two lines that one edit parts be near.
+EDIT_PERCENT = 5.0
 
 #: Blocks into which a half is cut.
 BLOCKS = 8
@@ -55,7 +57,7 @@ class Cutter:
     """Hashes of lines with a stretch of code points taken out."""
 
     def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        self.prefix = prefix_hash(BYTE_VALUE[data])
+        self.hashes = PrimeHash(data)
         lead = np.flatnonzero(IS_LEAD[data])
         self.at = np.concatenate([lead, [len(data)]])
         self.first = np.searchsorted(lead, starts)
@@ -64,13 +66,11 @@ class Cutter:
 
     def span(self, line: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Hash of code points a to b of each `line`."""
-        return span_hash(self.prefix, self._byte(line, a), self._byte(line, b))
+        return self.hashes.span(self._byte(line, a), self._byte(line, b))
 
     def without(self, line: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Hash of each `line` without its code points a to b."""
-        start, end = self.starts[line], self.ends[line]
-        p, q = self._byte(line, a), self._byte(line, b)
-        return span_hash(self.prefix, start, p) + span_hash(self.prefix, q, end) * POWERS.up[p - start]
+        return self.hashes.without(self.starts[line], self._byte(line, a), self._byte(line, b), self.ends[line])
 
     def _byte(self, line: np.ndarray, k: np.ndarray) -> np.ndarray:
         # The place after a line's last code point is its end, not the next line's start.
@@ -83,17 +83,31 @@ def _key(hashes: np.ndarray, *parts) -> np.ndarray:
     return mix64(hashes, 40)
 
 
-def _pairs(x: np.ndarray, y: np.ndarray) -> pa.Array:
-    return pa.StructArray.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], names=["x", "y"])
+def _digests(piece: Slice, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """128 bits of BLAKE2b of each line; they stand for its content."""
+    whole = memoryview(np.ascontiguousarray(piece.data))
+    raw = b"".join(hashlib.blake2b(whole[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist()))
+    both = np.frombuffer(raw, dtype=np.int64).reshape(-1, 2)
+    return pa.StructArray.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["x", "y"])
 
 
-def _lines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each line that has a word, with its hash and the keys of its halves.
+def _lines(least: int) -> Callable:
+    """Each line that has a word, with its digest and the keys of its halves.
 
     Keys come in the order: without the second half, without the first half,
-    and the same as the longer line of an insertion.
+    and the same as the longer line of an insertion.  A pair is near only if
+    the longer line has `least` code points.
     """
-    for batch in batches:
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _lines_of(batch, least)
+
+    return run
+
+
+def _lines_of(batch: pa.RecordBatch, least: int) -> Iterator[pa.RecordBatch]:
+    if batch.num_rows:
         for piece in slices(batch.column(2)):
             starts, ends, row, number = _line_bounds(piece)
             solid = np.concatenate([[0], np.cumsum(~IS_SPACE[piece.data])])
@@ -101,22 +115,23 @@ def _lines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts, ends, row, number = starts[keep], ends[keep], row[keep], number[keep]
             cut = Cutter(piece.data, starts, ends)
             line, zero = np.arange(len(starts)), np.zeros(len(starts), dtype=np.int64)
-            whole = cut.span(line, zero, cut.size)
             keys = np.empty((len(line), 4), dtype=U64)
             for k, longer in ((0, 0), (2, 1)):
                 size = np.maximum(cut.size - longer, 0)
                 half = size // 2
                 keys[:, k] = _key(cut.span(line, zero, half), size, 1)
                 keys[:, k + 1] = _key(cut.span(line, np.minimum(half + longer, cut.size), cut.size), size, 2)
-            near = cut.size >= LEAST_NEAR
-            offsets = np.concatenate([[0], np.cumsum(np.where(near, 4, 0))]).astype(np.int32)
+            # The longer line of an insertion and both of a substitution have the least size; the shorter may have one less.
+            asks = np.repeat((cut.size >= least)[:, None], 4, axis=1)
+            asks[:, :2] |= (cut.size >= least - 1)[:, None]
+            offsets = np.concatenate([[0], np.cumsum(asks.sum(axis=1))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(piece.first, piece.rows).take(pa.array(row)),
                     batch.column(1).slice(piece.first, piece.rows).take(pa.array(row)),
                     pa.array(number.astype(np.int32)),
-                    _pairs(mix64(whole, 51), mix64(whole + cut.size.astype(U64), 52)),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[near].ravel().view(np.int64))),
+                    _digests(piece, starts, ends),
+                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[asks].view(np.int64))),
                 ],
                 names=["_id", "_tie", "_line", "h", "keys"],
             )
@@ -161,13 +176,22 @@ def _block_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield _rows(batch, piece, line, key=key.view(np.int64), longer=kind, a=a.astype(np.int32), b=b.astype(np.int32))
 
 
-def _character_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _character_keys(least: int) -> Callable:
     """From (h, at, blocks, line): keys of the line's variants.
 
     role 0: a character at a place taken out, with the place; role 1: the
     whole line; role 2: a character taken out, without the place.
     """
-    for batch in batches:
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _variants(batch, least)
+
+    return run
+
+
+def _variants(batch: pa.RecordBatch, least: int) -> Iterator[pa.RecordBatch]:
+    if batch.num_rows:
         for piece in slices(batch.column(3)):
             cut = Cutter(piece.data, piece.offsets[:-1], piece.offsets[1:])
             line, longer, a, b = [], [], [], []
@@ -176,7 +200,7 @@ def _character_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                     line.append(i), longer.append(x["longer"]), a.append(x["a"]), b.append(x["b"] + x["longer"])
             line, longer, a, b = (np.array(x, dtype=np.int64) for x in (line, longer, a, b))
             for role in (0, 2):
-                at = np.flatnonzero(longer == role // 2)
+                at = np.flatnonzero((longer == role // 2) & (cut.size[line] >= least))
                 n = b[at] - a[at]
                 each = np.repeat(at, n)
                 p = a[each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
@@ -214,16 +238,17 @@ def _shared(rows: DataFrame) -> DataFrame:
     return rows.join(keys, "key")
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edit_percent: float = EDIT_PERCENT) -> tuple[DataFrame, DataFrame]:
     """(lines, removed): every line with a word, and those that go with the reason.
 
     Both have (_id, _tie, _line); `removed` also has `near`, false for a line
     equal to an earlier one.
     """
+    least = max(1, math.ceil(100 / edit_percent))
     kind = docs.schema[id_col].dataType.simpleString()
     at_type = f"struct<_null:boolean,_id:{kind},_tie:long,_line:int>"
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("_tie", F.xxhash64("_text"))
-    lines = rows.select("_id", "_tie", "_text").mapInArrow(_lines, f"_id {kind}, _tie long, _line int, h {_HASH}, keys array<long>")
+    lines = rows.select("_id", "_tie", "_text").mapInArrow(_lines(least), f"_id {kind}, _tie long, _line int, h {_HASH}, keys array<long>")
     at = F.struct(F.col("_id").isNull().alias("_null"), "_id", "_tie", "_line")
     lines = saved(lines)
     first = saved(lines.groupBy("h").agg(F.min(at).alias("at"), F.count("*").alias("n")))
@@ -237,8 +262,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     same = F.col("_id").eqNullSafe(F.col("_wid")) & (F.col("_tie") == F.col("_wtie"))
     taken = rows.join(by_doc, same).select("_text", "wanted")
     line_type = f"at {at_type}, h {_HASH}, half int, line string"
-    id_arrow = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
-    at_arrow = pa.struct([("_null", pa.bool_()), ("_id", id_arrow), ("_tie", pa.int64()), ("_line", pa.int32())])
+    at_arrow = pa.struct([("_null", pa.bool_()), ("_id", arrow_type(docs, id_col)), ("_tie", pa.int64()), ("_line", pa.int32())])
     h_arrow = pa.struct([("x", pa.int64()), ("y", pa.int64())])
     arrow = pa.schema([("at", at_arrow), ("h", h_arrow), ("half", pa.int32()), ("line", pa.string())])
     # Repeated rows give the same line more than once; one of them is enough.
@@ -246,7 +270,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     blocks = texts.select("h", "at", "half", "line").mapInArrow(_block_keys, f"h {_HASH}, at {at_type}, key long, longer int, a int, b int")
     matched = _shared(blocks.select("h", "key", "longer", "a", "b")).groupBy("h").agg(F.collect_set(F.struct("longer", "a", "b")).alias("blocks"))
-    variants = texts.join(matched, "h").select("h", "at", "blocks", "line").mapInArrow(_character_keys, f"h {_HASH}, at {at_type}, key long, role int")
+    variants = texts.join(matched, "h").select("h", "at", "blocks", "line").mapInArrow(_character_keys(least), f"h {_HASH}, at {at_type}, key long, role int")
     variants = saved(variants)
     earliest = variants.groupBy("key").agg(*(F.min(F.when(F.col("role") == r, F.struct("at", "h"))).alias(f"m{r}") for r in (0, 1, 2)))
     other = F.when(F.col("role") == 0, F.col("m0")).when(F.col("role") == 1, F.col("m2")).otherwise(F.col("m1"))
@@ -262,30 +286,21 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return lines, gone
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with `text_col` freed of removed lines, and the columns _n_lines, _n_removed, _n_near.
-
-    Lines are cut at `\\n`.  One without a word always stays.  A line with a
-    word goes if it equals one that comes earlier by (id, hash of the text,
-    line number), or if it has 20 code points or more and an earlier one of
-    such length is one edit (a code point inserted, deleted or replaced) away.
-    What is earlier is judged on the input, not on what is left.
+def judged_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edit_percent: float = EDIT_PERCENT) -> DataFrame:
+    """(row, n_lines, n_removed, n_near): each row of `docs` as a struct, with `text_col` freed of removed lines.
 
-    A null text stays null and counts as empty.  A null id comes last.
-    Repeated rows are one document: its copies lose the same lines and none
-    to each other.  All columns are kept, whatever their names.  An empty
-    table gives an empty result.
+    The counts are of lines with a word, of those removed, and of those of
+    them that only an edit parts from an earlier one.  See `dedup_lines`.
     """
-    names = docs.columns
-    _, gone = removed_lines(docs, id_col, text_col)
+    _, gone = removed_lines(docs, id_col, text_col, edit_percent)
     # A line that repeated rows share occurs once for each of them.
     by_doc = gone.groupBy(F.col("_id").alias("_gid"), F.col("_tie").alias("_gtie")).agg(
         F.collect_set("_line").alias("_gone"), F.size(F.collect_set(F.when(F.col("near"), F.col("_line")))).alias("_near")
     )
     # The text is shuffled once, not in the struct as well.
-    rest = [n for n in names if n != text_col]
+    rest = [column(n) for n in docs.columns if n != text_col]
     row = F.struct(*rest) if rest else F.struct(F.lit(0))
-    rows = docs.select(row.alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    rows = docs.select(row.alias("_row"), column(id_col).alias("_id"), column(text_col).alias("_text"))
     rows = rows.withColumn("_tie", F.xxhash64(F.coalesce("_text", F.lit(""))))
     same = F.col("_id").eqNullSafe(F.col("_gid")) & (F.col("_tie") == F.col("_gtie"))
     lines = F.split("_text", "\n")
@@ -293,24 +308,44 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text = F.when(F.col("_gone").isNull() | F.col("_text").isNull(), F.col("_text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n"))
     out = rows.join(by_doc, same, "left").withColumn("_lines", lines).withColumn("_kept", text)
     count = F.coalesce(F.size(F.filter("_lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]"))), F.lit(0))
-    fields = [F.col("_kept").alias(n) if n == text_col else F.col("_row")[n].alias(n) for n in names]
+    fields = [F.col("_kept").alias(n) if n == text_col else F.col("_row")[n].alias(n) for n in docs.columns]
     return out.select(
-        *fields,
-        F.greatest(count, F.lit(0)).cast("long").alias("_n_lines"),
-        F.greatest(F.coalesce(F.size("_gone"), F.lit(0)), F.lit(0)).cast("long").alias("_n_removed"),
-        F.coalesce("_near", F.lit(0)).cast("long").alias("_n_near"),
+        F.struct(*fields).alias("row"),
+        F.greatest(count, F.lit(0)).cast("long").alias("n_lines"),
+        F.greatest(F.coalesce(F.size("_gone"), F.lit(0)), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce("_near", F.lit(0)).cast("long").alias("n_near"),
     )
 
 
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edit_percent: float = EDIT_PERCENT, drop_bare: bool = False) -> DataFrame:
+    """`docs` with `text_col` freed of removed lines; with `drop_bare`, without rows that are left without a word.
+
+    Lines are cut at `\\n`.  One without a word always stays.  A line with a
+    word goes if it equals one that comes earlier by (id, hash of the text,
+    line number), or if one edit (a code point inserted, deleted or replaced)
+    parts it from an earlier one and 100 / `edit_percent` is no more than the
+    code points of the longer of the two.  What is earlier is judged on the
+    input, not on what is left; ties in all of it are one document.
+
+    A null text stays null and counts as empty.  A null id comes last.
+    Repeated rows are one document: its copies lose the same lines and none
+    to each other.  Texts and lines of any length are taken whole.  All
+    columns are kept, whatever their names.  An empty table gives an empty
+    result.
+    """
+    out = judged_lines(docs, id_col, text_col, edit_percent)
+    return (out.where("n_removed < n_lines") if drop_bare else out).select("row.*")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = judged_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(
-        "doc_id",
-        F.col("_n_lines").alias("n_lines"),
-        F.col("_n_removed").alias("n_removed"),
-        F.col("_n_near").alias("n_near"),
-        F.length("text").cast("long").alias("kept_chars"),
-        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+        "row.doc_id",
+        "n_lines",
+        "n_removed",
+        "n_near",
+        F.length("row.text").cast("long").alias("kept_chars"),
+        F.sha2(F.coalesce("row.text", F.lit("")), 256).alias("kept_sha256"),
     )
 
 

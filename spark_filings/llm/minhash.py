@@ -17,25 +17,54 @@ than it takes to connect them.  Every link is confirmed on full shingle sets.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import math
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Slice, compacted, mix64, saved, slices, table
+from .common import U64, Slice, column, compacted, mix64, saved, slices, table
 from .graph import components
 
 SHINGLE = 5
-BANDS, ROWS = 32, 4
-COORDINATES = BANDS * ROWS
 
-#: Pairs whose signatures agree in fewer coordinates are not verified.  At a
-#: similarity of 0.85 the expectation is 109 of 128 and this is seven standard
-#: deviations below; such a pair is missed about as rarely as by banding
-#: itself (no band in common: 6e-11).
-AGREEMENTS = 80
+#: Coordinates of a signature, and more where a low similarity asks for them.
+COORDINATES = 128
+
+#: A pair as similar as asked shares no band with at most this probability,
+MISS_BAND = 1e-7
+#: and agrees in fewer coordinates than are asked with at most this one.
+MISS_AGREE = 1e-11
+
+
+@dataclass(frozen=True)
+class Plan:
+    """How signatures are cut into bands, and in how many coordinates a pair must agree to be verified."""
+
+    coordinates: int
+    bands: int
+    rows: int
+    agreements: int
+
+    @classmethod
+    def of(cls, percent: float) -> Plan:
+        s = percent / 100
+        if not 0 < s <= 1:
+            raise ValueError("percent must be above 0 and at most 100")
+        size = COORDINATES if s == 1 else max(COORDINATES, math.ceil(math.log(MISS_BAND) / math.log(1 - s)))
+        rows = next(r for r in range(8, 0, -1) if r == 1 or (1 - s**r) ** (size // r) <= MISS_BAND)
+        below, least = 0.0, 0
+        while least < size:
+            log = math.lgamma(size + 1) - math.lgamma(least + 1) - math.lgamma(size - least + 1)
+            below += math.exp(log + least * math.log(s) + (size - least) * math.log(1 - s)) if s < 1 else 0.0
+            if below > MISS_AGREE:
+                break
+            least += 1
+        return cls(size, size // rows, rows, least)
+
 
 #: Members on either side of a comparison in blocks, on average.
 LEFT_BLOCK, RIGHT_BLOCK = 256, 1024
@@ -66,12 +95,12 @@ def shingles(piece: Slice, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray,
     return hashes, row, np.bincount(row, minlength=piece.rows)
 
 
-def signatures(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def signatures(hashes: np.ndarray, starts: np.ndarray, coordinates: int = COORDINATES) -> np.ndarray:
     """Circulant MinHash signatures, a row for each set that begins at `starts`."""
     scattered = (mix64(hashes, 11) >> U64(32)).astype(np.uint32)  # the first permutation
-    out = np.empty((len(starts), COORDINATES), dtype=np.uint32)
+    out = np.empty((len(starts), coordinates), dtype=np.uint32)
     x, y = np.empty_like(scattered), np.empty_like(scattered)
-    for k in range(COORDINATES):
+    for k in range(coordinates):
         # The second permutation, shifted circularly by k.
         np.add(scattered, np.uint32(k), out=x)
         for shift, factor in ((16, 0x7FEB352D), (15, 0x846CA68B), (16, None)):
@@ -101,40 +130,51 @@ def _digests(hashes: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray
     return out[0], out[1]
 
 
-def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for piece in slices(batch.column(1)):
-            hashes, row, n = shingles(piece)
-            hi, lo = _digests(hashes, row, piece.rows)
-            grid = np.zeros((piece.rows, COORDINATES), dtype=np.uint32)
-            if len(hashes):
-                full = np.flatnonzero(n)
-                grid[full] = signatures(hashes, (np.cumsum(n) - n)[full])
-            ids = batch.column(0).slice(piece.first, piece.rows)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n.astype(np.int64)), pa.array(hi), pa.array(lo), _binary(grid)], names=["_id", "_n", "_hi", "_lo", "_sig"])
+def _sign(coordinates: int) -> Callable:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch.column(1)):
+                hashes, row, n = shingles(piece)
+                hi, lo = _digests(hashes, row, piece.rows)
+                grid = np.zeros((piece.rows, coordinates), dtype=np.uint32)
+                if len(hashes):
+                    full = np.flatnonzero(n)
+                    grid[full] = signatures(hashes, (np.cumsum(n) - n)[full], coordinates)
+                ids = batch.column(0).slice(piece.first, piece.rows)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n.astype(np.int64)), pa.array(hi), pa.array(lo), _binary(grid)], names=["_id", "_n", "_hi", "_lo", "_sig"])
 
+    return run
 
-def _bands(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1024):
-            some = batch.slice(at, 1024)
-            grid = np.frombuffer(b"".join(some.column(1).to_pylist()), dtype=np.uint32).reshape(-1, BANDS, ROWS).astype(U64)
-            key = np.zeros(grid.shape[:2], dtype=U64)
-            for r in range(ROWS):
-                key = mix64(key ^ grid[:, :, r], 31 + r)
-            key = mix64(key + np.arange(BANDS, dtype=U64), 37)
-            nodes = np.repeat(some.column(0).to_numpy(), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(nodes)], names=["key", "node"])
-
-
-def _agree(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _bands(plan: Plan) -> Callable:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                some = batch.slice(at, 1024)
+                grid = np.frombuffer(b"".join(some.column(1).to_pylist()), dtype=np.uint32).reshape(-1, plan.coordinates)
+                grid = grid[:, : plan.bands * plan.rows].reshape(-1, plan.bands, plan.rows).astype(U64)
+                key = np.zeros(grid.shape[:2], dtype=U64)
+                for r in range(plan.rows):
+                    key = mix64(key ^ grid[:, :, r], 31 + r)
+                key = mix64(key + np.arange(plan.bands, dtype=U64), 37)
+                nodes = np.repeat(some.column(0).to_numpy(), plan.bands)
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(nodes)], names=["key", "node"])
+
+    return run
+
+
+def _agree(plan: Plan) -> Callable:
     """Pairs whose signatures agree enough, from (a, b, sig_a, sig_b)."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 4096):
-            some = batch.slice(at, 4096)
-            x, y = (np.frombuffer(b"".join(some.column(c).to_pylist()), dtype=np.uint32).reshape(-1, COORDINATES) for c in (2, 3))
-            keep = pa.array((x == y).sum(axis=1) >= AGREEMENTS)
-            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1)], names=["a", "b"]).filter(keep)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                some = batch.slice(at, 4096)
+                x, y = (np.frombuffer(b"".join(some.column(c).to_pylist()), dtype=np.uint32).reshape(-1, plan.coordinates) for c in (2, 3))
+                keep = pa.array((x == y).sum(axis=1) >= plan.agreements)
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1)], names=["a", "b"]).filter(keep)
+
+    return run
 
 
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +220,7 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int)
     x = known.select(F.col("node").alias("a"), F.col("_n").alias("na"), F.col("_sig").alias("sa"))
     y = known.select(F.col("node").alias("b"), F.col("_n").alias("nb"), F.col("_sig").alias("sb"))
     sized = (100 * F.least("na", "nb")) >= (percent * F.greatest("na", "nb"))
-    close = pairs.join(x, "a").join(y, "b").where(sized).select("a", "b", "sa", "sb").mapInArrow(_agree, "a long, b long")
+    close = pairs.join(x, "a").join(y, "b").where(sized).select("a", "b", "sa", "sb").mapInArrow(_agree(Plan.of(percent)), "a long, b long")
     close = compacted(close)
     sets = _full_sets(close.select(F.col("a").alias("node")).union(close.select("b")).distinct(), classes, docs)
 
@@ -221,14 +261,16 @@ def _sides(group: pa.Table) -> tuple[pa.Table, pa.Table, np.ndarray]:
 def _alive(percent: int):
     """The members of two blocks with a partner whose size and signature may do."""
 
+    plan = Plan.of(percent)
+
     def run(group: pa.Table) -> pa.Table:
         left, right, may = _sides(group)
         n, m = (t.column("_n").to_numpy().astype(np.int64) for t in (left, right))
         may &= 100 * np.minimum(n[:, None], m[None, :]) >= percent * np.maximum(n[:, None], m[None, :])
-        x, y = (np.frombuffer(b"".join(t.column("_sig").to_pylist()), dtype=np.uint32).reshape(-1, COORDINATES) for t in (left, right))
+        x, y = (np.frombuffer(b"".join(t.column("_sig").to_pylist()), dtype=np.uint32).reshape(-1, plan.coordinates) for t in (left, right))
         for i in np.flatnonzero(may.any(axis=1)):
             at = np.flatnonzero(may[i])
-            may[i, at] = (y[at] == x[i]).sum(axis=1) >= AGREEMENTS
+            may[i, at] = (y[at] == x[i]).sum(axis=1) >= plan.agreements
         nodes = np.unique(np.concatenate([left.column("node").to_numpy()[may.any(axis=1)], right.column("node").to_numpy()[may.any(axis=0)]]))
         return pa.table({"pivot": pa.array(np.full(len(nodes), group.column("pivot")[0].as_py(), dtype=np.int64)), "node": pa.array(nodes)})
 
@@ -295,12 +337,17 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     with another such text.  A null id is greater than all others: it is a
     component's id only if all its ids are null.  Repeated rows, and different
     texts under one id, are documents of their own; if one is kept, so are the
-    others with its id in the component.  Other columns are ignored; an empty
-    table gives an empty result.
+    others with its id in the component (ties).  Very long texts are one set
+    each, whole.  Other columns are ignored; an empty table gives an empty
+    result.
+
+    `percent` may be any number above 0: bands, and the agreement that a pair
+    needs to be verified, follow from it.  A link is missed with a probability
+    of at most MISS_BAND + MISS_AGREE.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    signed = saved(rows.mapInArrow(_sign, f"_id {kind}, _n long, _hi long, _lo long, _sig binary"))
+    signed = saved(rows.mapInArrow(_sign(Plan.of(percent).coordinates), f"_id {kind}, _n long, _hi long, _lo long, _sig binary"))
     classes = (
         signed.where("_n > 0")
         .groupBy("_hi", "_lo", "_n")
@@ -319,7 +366,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
 
 def _cluster(classes: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """(node, root) of the classes that have links."""
-    bands = classes.select("node", "_sig").mapInArrow(_bands, "key long, node long")
+    bands = classes.select("node", "_sig").mapInArrow(_bands(Plan.of(percent)), "key long, node long")
     sizes = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = compacted(bands.join(sizes, "key"))
     weights = shared.groupBy("node").agg(F.sum("n").alias("weight"))
@@ -357,19 +404,20 @@ def _cluster(classes: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group, with all its columns: that with the smallest id.
+    """One document of each group, with all its columns, whatever their names: that with the smallest id.
 
     A null id is greater than all others.  Of a group's rows with one id, also
-    a null one, the one whose text has the smallest hash stays; of rows that
-    repeat an id and its text, any one.
+    a null one, the one whose text has the smallest digest stays; of rows that
+    repeat an id and its text, any one.  Null, empty and very long texts are
+    as in `near_duplicates`; an empty table gives an empty result.
     """
-    # An id and a text's hash together tell apart what the id alone does not.
-    mark = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"))
-    judged = near_duplicates(docs.select(mark.alias("_key"), F.col(text_col).alias("_body")), percent, "_key", "_body")
-    kept = judged.where("kept").select(F.col("_key.id").alias("_kept"), F.col("_key.h").alias("_hash")).distinct()
-    rows = docs.withColumn("_same", F.xxhash64(text_col))
-    rows = rows.join(kept, rows[id_col].eqNullSafe(kept["_kept"]) & (rows["_same"] == kept["_hash"])).drop("_kept", "_hash")
-    return rows.dropDuplicates([id_col, "_same"]).drop("_same")
+    # An id and a text's digest together tell apart what the id alone does not.
+    digest = F.sha2(F.coalesce(column(text_col), F.lit("")), 256)
+    mark = F.struct(column(id_col).isNull().alias("n"), column(id_col).alias("id"), column(text_col).isNull().alias("t"), digest.alias("h"))
+    judged = near_duplicates(docs.select(mark.alias("_key"), column(text_col).alias("_body")), percent, "_key", "_body")
+    kept = judged.where("kept").select(F.col("_key").alias("_kept")).distinct()
+    rows = docs.select(F.struct(*map(column, docs.columns)).alias("_row"), mark.alias("_mark"))
+    return rows.join(kept, F.col("_mark").eqNullSafe(F.col("_kept"))).dropDuplicates(["_mark"]).select("_row.*")
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,14 @@ def odd(spark):
         (6, "long " * 20_000, "en", "t", 100_000),
         (7, "x" * 30_000 + " é中 \U0001f600 token = \"abcdefgh\"", "en", "t", 1),
     ]
-    return spark.createDataFrame([(*r, 1, "z", "w") for r in rows], DOCS + ", size int, _id string, kept string")
+    clashes = ["size int", "_id string", "kept string", *(f"{n} string" for n in ("_kept", "_same", "_row", "_mark", "_key", "_text", "_n_lines", "_n_removed", "n_near", "_n_near", "row", "h", "node", "`a.b`"))]
+    return spark.createDataFrame([(*r, 1, "z", "w", *"abcdefghijklmn") for r in rows], ", ".join([DOCS, *clashes]))
+
+
+def thue_morse(n):
+    """Two texts of 2**n letters that polynomials modulo a power of two take for equal."""
+    bits = [bin(i).count("1") % 2 for i in range(1 << n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
 
 
 def empty(df):
@@ -135,6 +142,26 @@ def near_copies(n=160):
     return out
 
 
+@pytest.mark.parametrize("percent", [50, 70, 85])
+def test_minhash_recall(spark, percent):
+    """Pairs just as similar as asked, each alone in its component: no link is lost."""
+    n, docs = 400, []
+    for k in range(n):
+        rng = random.Random(k)
+        words = [f"w{k}x{i}" for i in range(200)]
+        cut = next(c for c in range(1, 197) if 100 * (196 - c) < percent * (196 + c)) - 1
+        other = words[: len(words) - cut] + [f"e{k}x{i}" for i in range(cut)]
+        rng.random()
+        docs += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    got = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(8), percent)
+    assert got.where("component_id <> doc_id").count() == n
+
+
+def test_minhash_thue_morse(spark):
+    rows = minhash.near_duplicates(spark.createDataFrame(list(enumerate(thue_morse(11))), "doc_id long, text string"), 85).collect()
+    assert all(r.kept for r in rows)
+
+
 @pytest.mark.parametrize("percent", [85, 70])
 def test_minhash_near_copies(spark, percent):
     docs = near_copies()
@@ -227,7 +254,7 @@ def test_mixing_odd(spark, odd):
 # 4
 
 
-def by_lines(docs):
+def by_lines(docs, least=20):
     lines = [(i, k, x) for i, t in sorted(docs) for k, x in enumerate((t or "").split("\n")) if WORDS.search(x)]
     seen, long, out = set(), {}, {i: [0, set(), 0] for i, _ in docs}
     for i, k, x in lines:
@@ -236,17 +263,17 @@ def by_lines(docs):
             out[i][1].add(k)
             continue
         seen.add(x)
-        if len(x) >= line_dedup.LEAST_NEAR:
-            if any(line_dedup.within_one_edit(x, y) for n in (-1, 0, 1) for y in long.get(len(x) + n, [])):
-                out[i][1].add(k)
-                out[i][2] += 1
-            long.setdefault(len(x), []).append(x)
+        if any(line_dedup.within_one_edit(x, y) for n in (-1, 0, 1) for y in long.get(len(x) + n, []) if max(len(x), len(y)) >= least):
+            out[i][1].add(k)
+            out[i][2] += 1
+        long.setdefault(len(x), []).append(x)
     return out
 
 
-def test_line_dedup(spark):
+@pytest.mark.parametrize("percent", [5, 100])
+def test_line_dedup(spark, percent):
     rng = random.Random(3)
-    base = ["".join(rng.choice("abcdé ") for _ in range(rng.randrange(10, 60))) for _ in range(150)]
+    base = ["".join(rng.choice("abcdé ") for _ in range(rng.randrange(2, 60))) for _ in range(150)]
     docs = []
     for i in range(200):
         lines = []
@@ -255,24 +282,36 @@ def test_line_dedup(spark):
             p = rng.randrange(len(x))
             lines.append(rng.choice([x, x, x[:p] + c + x[p + 1 :], x[:p] + x[p + 1 :], x[:p] + c + x[p:], " "]))
         docs.append((i, "\n".join(lines)))
-    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    want = by_lines(docs)
+    got = {r.doc_id: r for r in line_dedup.judged_lines(spark.createDataFrame(docs, "doc_id long, text string"), edit_percent=percent).select("row.*", "n_lines", "n_removed", "n_near").collect()}
+    want = by_lines(docs, 100 // percent)
     assert sum(w[2] for w in want.values()) > 50
     for i, text in docs:
         n, gone, near = want[i]
         kept = "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone)
-        assert (got[i]._n_lines, got[i]._n_removed, got[i]._n_near, got[i].text) == (n, len(gone), near, kept)
+        assert (got[i].n_lines, got[i].n_removed, got[i].n_near, got[i].text) == (n, len(gone), near, kept)
 
 
 def test_line_dedup_odd(spark, odd):
     out = line_dedup.dedup_lines(odd)
     rows = out.collect()
-    assert out.columns[: len(odd.columns)] == odd.columns and len(rows) == odd.count()
+    assert out.columns == odd.columns and len(rows) == odd.count()
+    assert sorted(str(r.doc_id) for r in line_dedup.dedup_lines(odd, drop_bare=True).collect()) == ["4", "4", "6", "7", "None"]
     assert [r.text for r in rows if r.doc_id == 4] == ["one two three four five six seven"] * 2
     assert [r.text for r in rows if r.doc_id == 5] == [""] and [r.text for r in rows if r.doc_id == 1] == [None]
     assert line_dedup.dedup_lines(empty(odd)).count() == 0
 
 
+def test_line_dedup_thue_morse(spark):
+    rows = line_dedup.judged_lines(spark.createDataFrame(list(enumerate(thue_morse(11))), "doc_id long, text string")).collect()
+    assert [r.n_removed for r in rows] == [0, 0]
+
+
+@pytest.mark.parametrize("kind", ["smallint", "decimal(20,0)", "string"])
+def test_line_dedup_ids(spark, kind):
+    docs = spark.createDataFrame([(1, "one line"), (2, "one line"), (None, "one line")], "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+    assert sorted((str(r.row.doc_id), r.n_removed) for r in line_dedup.judged_lines(docs).collect()) == [("1", 0), ("2", 1), ("None", 1)]
+
+
 # 5
 
 
