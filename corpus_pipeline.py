@@ -26,8 +26,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier document has; one that is left without a word goes."""
-    out = dedup_lines(docs).where(F.col("_n_removed") < F.col("_n_lines"))
-    return out.select(*docs.columns).withColumn("n_chars", F.length("text").cast("long"))
+    return dedup_lines(docs, drop_bare=True).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def minhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
