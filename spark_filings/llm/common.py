@@ -250,6 +250,22 @@ def arrow_type(df: DataFrame, name: str) -> pa.DataType:
     return to_arrow_type(df.schema[name].dataType)
 
 
+#: Largest order key: a null id comes after all others.
+LAST = (1 << 63) - 1
+
+
+def order_keys(docs: DataFrame, id_col: str) -> DataFrame:
+    """`docs` (its id and other columns not named _key) with a long _key that orders as the id does; null comes last."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return docs.withColumn("_key", F.coalesce(column(id_col).cast("long"), F.lit(LAST)))
+    ids = docs.select(column(id_col).alias("_of")).where("_of is not null").distinct().orderBy("_of")
+    # Sorted partitions are numbered in order, and rows within them.
+    ids = saved(ids.withColumn("_key", F.monotonically_increasing_id()))
+    out = docs.drop("_key").join(ids, column(id_col) == F.col("_of"), "left").drop("_of")
+    return out.withColumn("_key", F.coalesce("_key", F.lit(LAST)))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all machines share: spark.checkpoint.dir of the session.
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Slice, slices, table
+from .common import IS_LEAD, Slice, column, slices, table
 
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -27,11 +27,13 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HINTS = (b"passw", b"secret", b"token", b"api")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 
-#: Tokens that the models judge: runs of these characters, so long at least.
+#: Tokens that the models judge: runs of these characters.
 TOKEN = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-LEAST_TOKEN = 16
 N = len(TOKEN)
 
+#: A stretch has one step between characters at least; beyond that the evidence alone decides.
+LEAST_TOKEN = 2
+
 #: A span of the models reaches to the next of these.
 SEPARATORS = b"=/-_"
 
@@ -188,9 +190,9 @@ def _scan(ratios: np.ndarray):
             for piece in slices(batch.column(1)):
                 spans: list[list] = [[] for _ in range(piece.rows)]
                 base = base_spans(piece)
+                points = np.concatenate([[0], np.cumsum(IS_LEAD[piece.data])])  # code points before each byte
                 for row, s, k, e, _ in sorted(base + markov_spans(piece, ratios, base), key=lambda x: (x[0], x[1], KINDS.index(x[2]))):
-                    lo = int(piece.offsets[row])
-                    before = len(piece.data[lo:s].tobytes().decode("utf-8", "replace"))
+                    before = int(points[s] - points[piece.offsets[row]])
                     spans[row].append({"kind": k, "start": before, "end": before + e - s})  # spans are ASCII
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.first, piece.rows), pa.array(spans, kind)], names=["_id", "spans"])
 
@@ -205,13 +207,15 @@ def scan_secrets(docs: DataFrame, ratios: np.ndarray | None = None, id_col: str
     is trained on `docs`.
 
     A null text is empty and has no spans.  A null id keeps its row.  Repeated
-    rows are scanned alike.  Other columns are ignored; an empty table gives
-    an empty result.
+    rows are scanned alike.  Spans that start at one place (ties) come in the
+    order of KINDS.  Very long texts are scanned whole, in time that grows with
+    their length.  Other columns are ignored; an empty table gives an empty
+    result.
     """
     if ratios is None:
         ratios = train_markov(docs, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    rows = docs.select(column(id_col).alias("_id"), column(text_col).alias("_text"))
     return rows.mapInArrow(_scan(ratios), f"_id {kind}, spans array<struct<kind:string,start:long,end:long>>").withColumnRenamed("_id", id_col)
 
 
@@ -227,9 +231,10 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return found.select(
         "doc_id",
-        *map(n, KINDS),
+        *map(n, KINDS[:3]),
         F.sha2(_joined(F.filter("spans", lambda s: s["kind"] != "markov")), 256).alias("base_sha256"),
         _joined(F.col("spans")).alias("spans"),
+        n("markov"),
     )
 
 

@@ -1,24 +1,32 @@
 """Suffix-array dedup: remove bytes of 50-byte strings that an earlier document has.
 
-Equal strings must meet, wherever they stand.  Every 50-byte window holds a
-local minimum among the hashes of its 24-byte strings, an anchor, and equal
-windows hold equal anchors.  The work goes through three exchanges of packed
-hash arrays, dealt by hash, each answered for every document:
-
-1. Which anchors does another document have?  Windows without one are unique.
-2. The neighbourhood of each such anchor (all windows that hold it) is cut
-   into phrases at anchors.  The phrases of a block of documents are sorted as
-   one sequence by the linear grouping construction of its suffix array, where
-   equal neighbourhoods are neighbours and form classes.  A class sends one
-   entry.  It learns whether an earlier document has the same neighbourhood,
-   and if not, whether a different one agrees with it in the anchor and the 13
-   bytes to its left or to its right, as neighbourhoods with a common window
-   must.
-3. Only windows on such a side of an anchor are exchanged as such.
+Equal strings must meet, wherever they stand.  Every 50-byte window has an
+anchor: the least among the hashes of its 24-byte strings, the first of them.
+Equal windows have equal anchors at equal places.  Consecutive windows with
+one anchor make an entry, whose bytes are at most 26 before the anchor and 50
+from it on.
+
+1. An exchange of hashes tells which anchors another document has; windows
+   with any other anchor are unique.  It only proposes.
+2. Entries with shared anchors are dealt by anchor, with their bytes.  A task
+   sends equal ones once: the phrases (text between anchors) of a block of its
+   documents are sorted as one sequence by the linear grouping construction of
+   its suffix array, where equal entries are neighbours.
+3. Where the entries of an anchor meet, their bytes from the anchor on are
+   packed into a few symbols each, and the linear grouping construction sorts
+   the suffixes of all of them.  Bytes that neighbours in this order have in
+   common give the entries that agree from the anchor to any depth; the
+   entries that also agree before it, in the order of what stands before it,
+   have windows in common, and the least document among them has them first.
+   So each decision is by suffix order and bytes, none by a hash.
+
+An anchor of very many documents (as in a passage that a third of them have)
+is dealt by window instead, so that no group grows with the corpus.
 
 Texts are shuffled once, where they meet the first answers; after that only
 documents with shared anchors go on, compressed.  Copies of a whole document
-are found by digest and take no part, as the first of them has every string.
+are found by digest (SHA-256) and take no part, as the first of them has every
+string.
 """
 
 from __future__ import annotations
@@ -31,22 +39,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUE, U64, Slice, mix64, prefix_hash, saved, slices, span_hash, table
+from .common import BYTE_VALUE, LAST, U64, Slice, arrow_type, column, hash_spans, mix64, order_keys, prefix_hash, saved, slices, span_hash, table
 from .gsaca import suffix_array
 
 LENGTH = 50
 K = 24
-WINDOW = LENGTH - K + 1
+BEFORE = LENGTH - K
+WINDOW = BEFORE + 1
 
-#: A window reaches at least so far beyond an anchor on one of its sides.
-REACH = (LENGTH - K) // 2
+#: Columns of an entry's bytes: those before the anchor, from its end on, and those from its start.
+COLUMNS = BEFORE + LENGTH
+_WIDE = COLUMNS + -COLUMNS % 8
 
-#: What a neighbourhood's entry says of its anchor and sides.
-_SIDES = np.dtype([("group", "<u4"), ("left", "<u4"), ("right", "<u4")])
-
-#: Entries that a task packs at once, and that a part of an exchange holds on average.
+#: Anchors, and entries, that a task packs at once.
 PACK = 1_500_000
-PART = 2_000_000
+PACK_ENTRIES = 200_000
+
+#: Bytes of text for each part of an exchange: so many up to MANY parts, and the second number beyond.
+PART_BYTES = 16 << 20, 128 << 20
+MANY = 2000
 
 #: Documents whose answers travel together.
 BUNDLE = 256
@@ -54,11 +65,15 @@ BUNDLE = 256
 #: Bytes of text handled at once: the arrays of one step then stay in a core's cache.
 STEP = 1 << 17
 
-#: Phrases that are sorted together.
+#: Phrases, and entries, that are sorted together (more entries only if they have one anchor).
 BLOCK_PHRASES = 150_000
+BLOCK_ENTRIES = 30_000
 
-#: Largest key: a null id comes after all others.
-LAST = (1 << 63) - 1
+#: An anchor that is estimated to occur so often is dealt by window.  The
+#: estimate only deals: results do not depend on it.
+HOT = 100_000
+#: Occurrences in the sample of documents that make an anchor hot.
+HOT_SAMPLE = 200
 
 _CODEC = pa.Codec("zstd", compression_level=1)
 
@@ -72,35 +87,8 @@ def _sliding(x: np.ndarray, width: int, best) -> np.ndarray:
     return best(x[: len(x) - (width - size)], x[width - size :]) if size < width else x
 
 
-class Anchors:
-    """Anchors of the rows of a slice: place, row and hash of their 24 bytes."""
-
-    def __init__(self, piece: Slice) -> None:
-        data, offsets = piece.data, piece.offsets
-        n = len(data)
-        self.prefix = prefix_hash(BYTE_VALUE[data])
-        if n < LENGTH:
-            self.at = np.zeros(0, dtype=np.int64)
-        else:
-            i = np.arange(n - K + 1)
-            # Half of the bits choose anchors; where they agree by chance, both are chosen.
-            hashes = (mix64(span_hash(self.prefix, i, i + K)) >> U64(32)).astype(np.uint32) | np.uint32(1)
-            least = _sliding(hashes, WINDOW, np.minimum)  # of the windows that begin at 0, 1, ...
-            inside = np.ones(n + 1, dtype=bool)
-            for end in offsets[1:].tolist():
-                inside[max(0, end - LENGTH + 1) : end] = False
-            least[~inside[: len(least)]] = 0
-            pad = np.zeros(WINDOW - 1, dtype=np.uint32)
-            most = _sliding(np.concatenate([pad, least, pad]), WINDOW, np.maximum)
-            self.at = np.flatnonzero(most == hashes)
-        self.hash = mix64(span_hash(self.prefix, self.at, self.at + K)) | U64(1)
-        self.row = piece.row_of(self.at)
-
-
-def _keys(hashes: np.ndarray, parts: int, narrow: bool) -> np.ndarray:
-    """What an exchange compares: all 64 bits, or 32 within a part."""
-    if not narrow:
-        return hashes
+def _keys(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """What the exchange of anchors compares: the part and 32 bits within it."""
     return (((hashes >> U64(32)) % U64(parts)) << U64(32)) | (hashes & U64(0xFFFFFFFF))
 
 
@@ -112,53 +100,69 @@ def _runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, len(sorted_values)))
 
 
-_PACKED = pa.schema([("part", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("groups", pa.binary()), ("items", pa.binary())])
-_PACKED_DDL = "part int, ids binary, counts binary, groups binary, items binary"
+class Anchors:
+    """The anchors of the rows of a slice: place, row, hash, and the first and last start of their windows."""
 
+    def __init__(self, piece: Slice) -> None:
+        data, n = piece.data, len(piece.data)
+        self.at = self.first = self.last = np.zeros(0, dtype=np.int64)
+        if n >= LENGTH:
+            i = np.arange(n - K + 1)
+            # This hash chooses places only; the place itself decides between equal ones.
+            hashes = mix64(span_hash(prefix_hash(BYTE_VALUE[data]), i, i + K))
+            least = _sliding((hashes & U64(0xFFFFFFFF00000000)) | i.astype(U64), WINDOW, np.minimum)
+            inside = np.ones(n, dtype=bool)
+            for end in piece.offsets[1:].tolist():
+                inside[max(0, end - LENGTH + 1) : end] = False
+            windows = np.flatnonzero(inside[: len(least)])
+            place = (least[windows] & U64(0xFFFFFFFF)).astype(np.int64)
+            starts, count = _runs(place)
+            self.at, self.first, self.last = place[starts], windows[starts], windows[starts + count - 1]
+        self.hash = hash_spans(data, self.at, self.at + K) | U64(1)
+        self.row = piece.row_of(self.at)
 
-def _packed(part: np.ndarray, rank: np.ndarray, ids: np.ndarray, groups: np.ndarray | None, items: np.ndarray, narrow: bool) -> Iterator[pa.RecordBatch]:
-    """Entries as one row for each part, with ids as runs; `rank` is an entry's place in `ids`."""
-    order = np.argsort((part.astype(np.int64) << 32) | rank)
-    part, rank, items = part[order], rank[order], items[order]
-    groups = None if groups is None else groups[order]
-    for lo, n in zip(*(x.tolist() for x in _runs(part))):
-        hi = lo + n
-        starts, counts = _runs(rank[lo:hi])
-        held = items[lo:hi].astype(np.uint32) if narrow else items[lo:hi]
-        row = [int(part[lo]), ids[rank[lo:hi][starts]].tobytes(), counts.astype(np.int32).tobytes(), b"" if groups is None else groups[lo:hi].tobytes(), held.tobytes()]
-        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _PACKED)], schema=_PACKED)
+
+_PACKED = pa.schema([("part", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("items", pa.binary()), ("shapes", pa.binary()), ("blob", pa.binary())])
+_PACKED_DDL = "part int, ids binary, counts binary, items binary, shapes binary, blob binary"
+
+
+def _packed(part: int, rank: np.ndarray, ids: np.ndarray, items: np.ndarray, shapes: np.ndarray | None = None, blob: bytes = b"") -> pa.RecordBatch:
+    """Entries in the order of `rank`, their place in `ids`, as one row; ids travel as runs."""
+    starts, counts = _runs(rank)
+    row = [part, ids[rank[starts]].tobytes(), counts.astype(np.int32).tobytes(), items.tobytes(), b"" if shapes is None else shapes.tobytes(), blob]
+    return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _PACKED)], schema=_PACKED)
 
 
 def _ranked(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct ids in order, and each one's place; ids come in runs."""
+    """The distinct ids in order, and each one's place."""
     starts, n = _runs(ids)
     table, place = np.unique(ids[starts], return_inverse=True)
     return table, np.repeat(place.ravel(), n)
 
 
-def _settled(rank: np.ndarray, ids: np.ndarray, items: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _settled(ids: np.ndarray, items: np.ndarray, masks: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     """Answers of a task to its own questions: they travel with the questions, in parts below 0."""
-    part = np.full(len(items), -1 - int(items[0] % U64(1 << 20)), dtype=np.int64)
-    yield from _packed(part, rank, ids, None, items, False)
+    for lo in range(0, len(ids), PACK):
+        table, rank = _ranked(ids[lo : lo + PACK])
+        order = np.argsort(rank, kind="stable")
+        some = items[lo : lo + PACK][order]
+        yield _packed(-1 - int(some[0] % U64(1 << 20)), rank[order], table, some, None if masks is None else masks[lo : lo + PACK][order])
 
 
-class Packer:
-    """Entries (group, item, id) of a task on their way to the parts of an exchange.
+class AnchorPacker:
+    """Anchors of a task on their way to the parts of an exchange, which asks whether another document has them.
 
-    `any_other` asks whether another document has the item; otherwise the
-    question is whether an earlier one has it.  What the task's own entries
-    settle is answered here (parts below 0); for each item only its earliest entry
-    goes out.
+    What the task's own anchors settle is answered here; of each anchor only
+    the earliest document goes out.
     """
 
-    def __init__(self, parts: int, narrow: bool = False, any_other: bool = False, grouped: bool = False) -> None:
-        self.parts, self.narrow, self.any_other, self.grouped = parts, narrow, any_other, grouped
-        self.held: list[tuple[np.ndarray, ...]] = []
+    def __init__(self, parts: int) -> None:
+        self.parts = parts
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
         self.size = 0
 
-    def add(self, items: np.ndarray, ids: np.ndarray, groups: np.ndarray | None = None, sides: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-        """`groups` decides the part; by default the item does."""
-        self.held.append((items, ids, items if groups is None else groups, np.zeros(0, dtype=_SIDES) if sides is None else sides))
+    def add(self, items: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append((items, ids))
         self.size += len(items)
         if self.size >= PACK:
             yield from self.flush()
@@ -166,109 +170,277 @@ class Packer:
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.size:
             return
-        items, ids, groups, sides = (np.concatenate(x) for x in zip(*self.held))
+        items, ids = (np.concatenate(x) for x in zip(*self.held))
         self.held, self.size = [], 0
-        items = _keys(items, self.parts, self.narrow)
+        items = _keys(items, self.parts)
         table, rank = _ranked(ids)
         order = np.argsort(items)
-        items, rank, groups = items[order], rank[order], groups[order]
+        items, rank = items[order], rank[order]
         starts, n = _runs(items)
         first = np.minimum.reduceat(rank, starts)
-        others = rank != np.repeat(first, n)
-        if self.any_other:
-            others = np.repeat(np.logical_or.reduceat(others, starts), n)
-        at = np.flatnonzero(others)
-        for lo in range(0, len(at), PACK):
-            some = at[lo : lo + PACK]
-            yield from _settled(rank[some], table, items[some])
-        part = (groups[starts] >> U64(32)) % U64(self.parts)
-        yield from _packed(part, first, table, sides[order][starts] if self.grouped else None, items[starts], self.narrow)
-
-
-def _unpack(group: pa.Table, narrow: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    columns = [[v.as_buffer() for v in group.column(c)] for c in ("ids", "counts", "groups", "items")]
-    ids = np.repeat(np.frombuffer(b"".join(columns[0]), dtype=np.int64), np.frombuffer(b"".join(columns[1]), dtype=np.int32))
-    groups = np.frombuffer(b"".join(columns[2]), dtype=_SIDES)
-    items = np.frombuffer(b"".join(columns[3]), dtype=np.uint32 if narrow else U64).astype(U64)
-    return ids, groups, items
-
+        several = np.repeat(np.logical_or.reduceat(rank != np.repeat(first, n), starts), n)
+        yield from _settled(table[rank[several]], items[several])
+        items, part = items[starts], (items[starts] >> U64(32)).astype(np.int64)
+        order = np.argsort((part << 32) | first)
+        items, part, first = items[order], part[order], first[order]
+        for lo, k in zip(*(x.tolist() for x in _runs(part))):
+            yield _packed(int(part[lo]), first[lo : lo + k], table, items[lo : lo + k].astype(np.uint32))
+
+
+#: How the windows of an entry lie: bytes before the anchor that the first one
+#: has, the number of windows, and the bit of the first in the entry's answer.
+_SHAPE = np.dtype([("left", "u1"), ("width", "u1"), ("bit", "u1")])
+
+
+class Entries:
+    """Entries as rows of `grid`: BEFORE bytes before the anchor, backwards, then LENGTH bytes from it on, 0 beyond."""
+
+    def __init__(self, ids: np.ndarray, items: np.ndarray, shape: np.ndarray, grid: np.ndarray) -> None:
+        self.ids, self.items, self.shape, self.grid = ids, items, shape, grid
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+    def take(self, at: np.ndarray) -> Entries:
+        return Entries(self.ids[at], self.items[at], self.shape[at], self.grid[at])
+
+    @staticmethod
+    def joined(parts: list[Entries]) -> Entries:
+        return Entries(*(np.concatenate(x) for x in zip(*((p.ids, p.items, p.shape, p.grid) for p in parts))))
+
+    def right(self) -> np.ndarray:
+        """Bytes from the anchor on that each entry has."""
+        return LENGTH - self.shape["left"].astype(np.int64) + self.shape["width"] - 1
+
+    def hashes(self, lo: int, hi: int) -> np.ndarray:
+        return _grid_hash(self.grid[:, lo:hi])
+
+    def windows(self) -> Entries:
+        """One entry for each window."""
+        width = self.shape["width"].astype(np.int64)
+        of = np.repeat(np.arange(len(self)), width)
+        k = np.arange(len(of)) - np.repeat(np.cumsum(width) - width, width)
+        out = self.take(of)
+        out.shape["left"] -= k.astype(np.uint8)
+        out.shape["bit"] += k.astype(np.uint8)
+        out.shape["width"] = 1
+        _trim(out.grid, out.shape["left"], out.right())
+        return out
+
+
+def _trim(grid: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
+    grid[:, :BEFORE][np.arange(BEFORE) >= left[:, None]] = 0
+    grid[:, BEFORE:COLUMNS][np.arange(LENGTH) >= right[:, None]] = 0
+
+
+def _grid_hash(grid: np.ndarray) -> np.ndarray:
+    out = np.full(len(grid), 61, dtype=U64)
+    for column in _eights(grid).T:
+        out = (out ^ column) * U64(0xD6E8FEB86659FD93)
+        out = (out ^ (out >> U64(32))) * U64(0x9E3779B97F4A7C15)
+    return mix64(out, 61) if len(out) else out
+
+
+def _eights(grid: np.ndarray) -> np.ndarray:
+    """Rows of bytes as rows of big-endian integers, which order alike."""
+    n, width = grid.shape
+    wide = np.zeros((n, width + -width % 8), dtype=np.uint8)
+    wide[:, :width] = grid
+    return wide.view(">u8").astype(U64)
+
+
+def _places(grid: np.ndarray) -> np.ndarray:
+    """The place of each row among the distinct rows in order of their bytes, from 0."""
+    columns = _eights(grid)
+    order = np.lexsort(columns.T[::-1])
+    held = columns[order]
+    out = np.zeros(len(grid), dtype=np.int64)
+    out[order[1:]] = np.cumsum((held[1:] != held[:-1]).any(axis=1))
+    return out
+
+
+def _agreement(grid: np.ndarray) -> np.ndarray:
+    """Bytes that each row of an ordered grid has in common with the one before it; 0 for the first."""
+    out = np.zeros(len(grid), dtype=np.int64)
+    differs = grid[1:] != grid[:-1]
+    out[1:] = np.where(differs.any(axis=1), differs.argmax(axis=1), grid.shape[1])
+    return out
+
+
+#: Columns from the anchor on that make a symbol: the anchor itself and two pieces of what follows.
+_SYMBOLS = [(BEFORE, BEFORE + K), (BEFORE + K, BEFORE + K + BEFORE // 2), (BEFORE + K + BEFORE // 2, COLUMNS)]
+
+
+def earlier_windows(some: Entries) -> np.ndarray:
+    """For each entry, the windows (as bits) that an entry of a smaller id has as well."""
+    n = len(some)
+    masks = np.zeros(n, dtype=np.uint32)
+    if n < 2:
+        return masks
+    # Each entry is its symbols and an end that is less than all of them.
+    text = np.ones((n, len(_SYMBOLS) + 1), dtype=np.int64)
+    base = 2
+    for c, (lo, hi) in reversed(list(enumerate(_SYMBOLS))):
+        text[:, c] = base + _places(some.grid[:, lo:hi])
+        base = int(text[:, c].max()) + 1
+    order = suffix_array(text.ravel())
+    order = order[order % text.shape[1] == 0] // text.shape[1]
+    agree = _agreement(some.grid[order, BEFORE:COLUMNS])
+    before = np.lexsort(_eights(some.grid[:, :BEFORE]).T[::-1])
+    agree_before = _agreement(some.grid[before, :BEFORE])
+    left, width = some.shape["left"].astype(np.int64), some.shape["width"].astype(np.int64)
+    follows, precedes = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
+    for k in range(WINDOW):
+        bit = left - k
+        at = np.flatnonzero((bit >= 0) & (bit < width))
+        if len(at) < 2:
+            continue
+        follows[order] = np.cumsum(agree < LENGTH - k)
+        precedes[before] = np.cumsum(agree_before < k)
+        key = precedes[at] * (n + 1) + follows[at]
+        by = np.argsort(key)
+        starts, count = _runs(key[by])
+        ids = some.ids[at[by]]
+        late = at[by[ids != np.repeat(np.minimum.reduceat(ids, starts), count)]]
+        masks[late] |= np.uint32(1) << bit[late].astype(np.uint32)
+    return masks
+
+
+def _all_bits(shape: np.ndarray) -> np.ndarray:
+    return ((np.uint64(1) << shape["width"].astype(U64)) - U64(1)).astype(np.uint32)
+
+
+class EntryPacker:
+    """Entries of a task on their way to the parts of an exchange, with their bytes."""
 
-_ANSWER = pa.schema([("id", pa.int64()), ("yes", pa.binary()), ("left", pa.binary()), ("right", pa.binary())])
-_ANSWER_DDL = "id long, yes binary, left binary, right binary"
-
-
-_BUNDLE = pa.schema([("bundle", pa.int64()), ("ids", pa.binary()), ("items", pa.binary()), ("kinds", pa.binary())])
-_BUNDLE_DDL = "bundle long, ids binary, items binary, kinds binary"
+    def __init__(self, parts: int) -> None:
+        self.parts = parts
+        self.held: list[tuple[Entries, np.ndarray]] = []
+        self.size = 0
 
+    def add(self, some: Entries, route: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append((some, route))
+        self.size += len(some)
+        if self.size >= PACK_ENTRIES:
+            yield from self.flush()
 
-def _bundles(ids: np.ndarray, items: np.ndarray, kinds: np.ndarray, count: int) -> pa.Table:
-    """Answers as a row for each bundle of documents; kinds holds bits 1 (yes), 2 (left), 4 (right)."""
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.size:
+            return
+        some, route = Entries.joined([e for e, _ in self.held]), np.concatenate([r for _, r in self.held])
+        self.held, self.size = [], 0
+        part = ((route >> U64(32)) % U64(self.parts)).astype(np.int64)
+        table, rank = _ranked(some.ids)
+        order = np.argsort((part << 32) | rank)
+        part, rank = part[order], rank[order]
+        for lo, k in zip(*(x.tolist() for x in _runs(part))):
+            own = some.take(order[lo : lo + k])
+            has = np.concatenate([np.arange(BEFORE) < own.shape["left"][:, None], np.arange(LENGTH) < own.right()[:, None]], axis=1)
+            raw = own.grid[:, :COLUMNS][has].tobytes()
+            blob = len(raw).to_bytes(8, "little") + _CODEC.compress(raw, asbytes=True)
+            yield _packed(int(part[lo]), rank[lo : lo + k], table, own.items, own.shape, blob)
+
+
+def _ids(group: pa.Table) -> np.ndarray:
+    raw = [b"".join(v.as_buffer() for v in group.column(c)) for c in ("ids", "counts")]
+    return np.repeat(np.frombuffer(raw[0], dtype=np.int64), np.frombuffer(raw[1], dtype=np.int32))
+
+
+def _unpacked(group: pa.Table) -> Iterator[Entries]:
+    """The entries of each row of a part."""
+    for i in range(group.num_rows):
+        row = group.slice(i, 1)
+        ids = _ids(row)
+        items, shape = (np.frombuffer(row.column(c)[0].as_buffer(), dtype=t) for c, t in (("items", U64), ("shapes", _SHAPE)))
+        some = Entries(ids, items, shape.copy(), np.zeros((len(ids), _WIDE), dtype=np.uint8))
+        held = row.column("blob")[0].as_buffer()
+        raw = _CODEC.decompress(held.slice(8), int.from_bytes(held.slice(0, 8).to_pybytes(), "little"), asbytes=True)
+        has = np.concatenate([np.arange(BEFORE) < shape["left"][:, None], np.arange(LENGTH) < some.right()[:, None]], axis=1)
+        some.grid[:, :COLUMNS][has] = np.frombuffer(raw, dtype=np.uint8)
+        yield some
+
+
+_BUNDLE = pa.schema([("bundle", pa.int64()), ("ids", pa.binary()), ("items", pa.binary()), ("masks", pa.binary())])
+_BUNDLE_DDL = "bundle long, ids binary, items binary, masks binary"
+_ANSWER = pa.schema([("id", pa.int64()), ("items", pa.binary()), ("masks", pa.binary())])
+_ANSWER_DDL = "id long, items binary, masks binary"
+
+
+def _bundles(ids: np.ndarray, items: np.ndarray, masks: np.ndarray | None, count: int) -> pa.Table:
+    """Answers as a row for each bundle of documents."""
     bundle = (mix64(ids.view(U64), 67) % U64(count)).astype(np.int64) if len(ids) else np.zeros(0, dtype=np.int64)
     order = np.argsort(bundle)
-    bundle, ids, items, kinds = bundle[order], ids[order], items[order], kinds[order]
+    bundle, ids, items = bundle[order], ids[order], items[order]
+    masks = np.zeros((len(ids), 0), dtype=np.uint32) if masks is None else masks[order]
     starts, n = _runs(bundle)
     cuts = [(lo, lo + k) for lo, k in zip(starts.tolist(), n.tolist())]
-    packed = [pa.array([x[lo:hi].tobytes() for lo, hi in cuts], pa.binary()) for x in (ids, items, kinds)]
+    packed = [pa.array([x[lo:hi].tobytes() for lo, hi in cuts], pa.binary()) for x in (ids, items, masks)]
     return pa.Table.from_arrays([pa.array(bundle[starts]), *packed], schema=_BUNDLE)
 
 
 def _by_id(group: pa.Table) -> pa.Table:
-    """A bundle's answers, a row for each document."""
-    raw = [b"".join(x.as_buffer() for x in group.column(c)) for c in ("ids", "items", "kinds")]
-    ids, items, kinds = (np.frombuffer(r, dtype=t) for r, t in zip(raw, (np.int64, U64, np.uint8)))
-    order = np.argsort(ids, kind="stable")
-    ids, items, kinds = ids[order], items[order], kinds[order]
+    """A bundle's answers, a row for each document, with items in order."""
+    raw = [b"".join(x.as_buffer() for x in group.column(c)) for c in ("ids", "items", "masks")]
+    ids, items, masks = (np.frombuffer(r, dtype=t) for r, t in zip(raw, (np.int64, U64, np.uint32)))
+    order = np.lexsort((items, ids))
+    ids, items = ids[order], items[order]
+    if len(ids):
+        new = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (items[1:] != items[:-1])]))
+        masks = np.bitwise_or.reduceat(masks[order], new) if len(masks) else masks
+        ids, items = ids[new], items[new]
     starts, n = _runs(ids)
     cuts = [(lo, lo + k) for lo, k in zip(starts.tolist(), n.tolist())]
-    columns = [pa.array([items[lo:hi][kinds[lo:hi] & bit > 0].tobytes() for lo, hi in cuts], pa.binary()) for bit in (1, 2, 4)]
-    return pa.Table.from_arrays([pa.array(ids[starts]), *columns], schema=_ANSWER)
+    packed = [pa.array([x[lo:hi].tobytes() for lo, hi in cuts], pa.binary()) for x in (items, masks)]
+    return pa.Table.from_arrays([pa.array(ids[starts]), *packed], schema=_ANSWER)
 
 
-def _answer(any_other: bool, narrow: bool, count: int):
-    """What a part knows about its entries."""
+def _tell_anchors(count: int):
+    """Which anchors of a part more than one document has."""
 
     def run(group: pa.Table) -> pa.Table:
-        part = group.column("part")[0].as_py()
-        if part < 0:
-            ids, _, items = _unpack(group)
-            return _bundles(ids, items, np.ones(len(ids), dtype=np.uint8), count)
-        ids, groups, items = _unpack(group, narrow)
-        if narrow:
+        part, ids = group.column("part")[0].as_py(), _ids(group)
+        items = np.frombuffer(b"".join(v.as_buffer() for v in group.column("items")), dtype=U64 if part < 0 else np.uint32).astype(U64)
+        if part >= 0:
             items = items | U64(part << 32)
-        if not len(groups):
             order = np.argsort(items)
             ids, items = ids[order], items[order]
             starts, n = _runs(items)
-            yes = ids != np.repeat(np.minimum.reduceat(ids, starts), n) if len(starts) else np.zeros(0, dtype=bool)
-            if any_other and len(starts):
-                yes = np.repeat(np.logical_or.reduceat(yes, starts), n)
-            return _bundles(ids[yes], items[yes], np.ones(int(yes.sum()), dtype=np.uint8), count)
-        order = np.argsort(items)
-        ids, groups, items = ids[order], groups[order], items[order]
-        # Equal items have equal groups and sides, as an item's hash covers their bytes.
-        starts, n = _runs(items)
-        yes = ids != np.repeat(np.minimum.reduceat(ids, starts), n) if len(starts) else np.zeros(0, dtype=bool)
-        kinds = yes.astype(np.uint8)
-        for bit, side in ((2, "left"), (4, "right")):
-            value = groups[side][starts].astype(U64)
-            _, same, times = np.unique((groups["group"][starts].astype(U64) << U64(32)) | value, return_inverse=True, return_counts=True)
-            others = (times[same.ravel()] > 1) & (value > 0)
-            kinds[~yes & np.repeat(others, n)] |= bit
-        keep = kinds > 0
-        return _bundles(ids[keep], items[keep], kinds[keep], count)
+            if len(starts):
+                several = np.repeat(np.minimum.reduceat(ids, starts) < np.maximum.reduceat(ids, starts), n)
+                ids, items = ids[several], items[several]
+        return _bundles(ids, items, None, count)
 
     return run
 
 
-def _exchange(packed: DataFrame, count: int, any_other: bool = False, narrow: bool = False) -> DataFrame:
-    """(id, answers): every question's answer, gathered for each document by way of `count` bundles."""
-    told = packed.groupBy("part").applyInArrow(lambda t: _answer(any_other, narrow, count)(t), _BUNDLE_DDL)
-    answers = told.groupBy("bundle").applyInArrow(lambda t: _by_id(t), _ANSWER_DDL)
-    return answers.select("id", F.array(F.struct("yes", "left", "right")).alias("answers"))
+def _tell_windows(count: int):
+    """Which windows of a part's entries an earlier document has."""
+
+    def run(group: pa.Table) -> pa.Table:
+        if group.column("part")[0].as_py() < 0:
+            items, masks = (np.frombuffer(b"".join(v.as_buffer() for v in group.column(c)), dtype=t) for c, t in (("items", U64), ("shapes", np.uint32)))
+            return _bundles(_ids(group), items, masks, count)
+        some = Entries.joined(list(_unpacked(group)))
+        anchor = some.hashes(BEFORE, BEFORE + K)
+        order = np.argsort(anchor)
+        starts, n = _runs(anchor[order])
+        masks = np.zeros(len(some), dtype=np.uint32)
+        lo = 0
+        for end in (starts + n).tolist():
+            if end - lo >= BLOCK_ENTRIES or end == len(order):
+                at = order[lo:end]
+                masks[at] = earlier_windows(some.take(at))
+                lo = end
+        yes = masks > 0
+        return _bundles(some.ids[yes], some.items[yes], masks[yes] << some.shape["bit"][yes].astype(np.uint32), count)
+
+    return run
 
 
-def _join_hashes(answers: list[dict] | None, name: str) -> np.ndarray:
-    return np.sort(np.frombuffer(b"".join(a[name] for a in answers or [] if a[name]), dtype=U64))
+def _exchange(packed: DataFrame, tell, count: int) -> DataFrame:
+    """(id, items, masks): every question's answer, gathered for each document by way of `count` bundles."""
+    told = packed.groupBy("part").applyInArrow(lambda t: tell(t), _BUNDLE_DDL)
+    return told.groupBy("bundle").applyInArrow(lambda t: _by_id(t), _ANSWER_DDL)
 
 
 def _among(values: np.ndarray, held: np.ndarray) -> np.ndarray:
@@ -280,7 +452,7 @@ def _among(values: np.ndarray, held: np.ndarray) -> np.ndarray:
 
 def _ask_anchors(parts: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(parts, narrow=True, any_other=True)
+        packer = AnchorPacker(parts)
         for batch in batches:
             for piece in slices(batch.column(1), STEP):
                 found = Anchors(piece)
@@ -291,8 +463,30 @@ def _ask_anchors(parts: int):
     return run
 
 
-_KEPT = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("blob", pa.binary()), ("marks", pa.binary()), ("near", pa.binary())]
-_KEPT_DDL = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, blob binary, marks binary, near binary"
+def _anchor_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(hash, count) of the anchors of some documents."""
+    for batch in batches:
+        for piece in slices(batch.column(0)):
+            found = Anchors(piece)
+            values, n = np.unique(found.hash, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n)], names=["h", "n"])
+
+
+def _hot_anchors(rows: DataFrame) -> np.ndarray:
+    """Hashes of the anchors that are estimated to occur HOT times or more, in order.
+
+    They come from the documents of a sample by hash, one in HOT / HOT_SAMPLE,
+    so there are at most as many as the text has anchors, over HOT / 2.
+    """
+    rate = max(1, HOT // HOT_SAMPLE)
+    some = rows.where(F.pmod(F.xxhash64("_key", F.lit(71)), F.lit(rate)) == 0).select("_text")
+    least = max(2, HOT_SAMPLE // 2)
+    found = some.mapInArrow(_anchor_rows, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return np.sort(found.select("h").toArrow().column("h").to_numpy().view(U64))
+
+
+_KEPT = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.binary()), ("marks", pa.binary()), ("near", pa.binary())]
+_KEPT_DDL = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, text binary, marks binary, near binary"
 
 
 def _squeeze(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,15 +495,15 @@ def _squeeze(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batch.column(3)):
             own = [batch.column(c).slice(piece.first, piece.rows) for c in (0, 1, 2)]
             blobs = [_CODEC.compress(piece.raw(i), asbytes=True) for i in range(piece.rows)]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(piece.offsets)), pa.array(blobs, pa.binary())], names=["_id", "_key", "_md5", "n_bytes", "blob"])
+            yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(piece.offsets)), pa.array(blobs, pa.binary())], names=["_id", "_key", "_digest", "n_bytes", "text"])
 
 
-def _mark(parts: int, schema: pa.Schema):
-    """From (id, key, copy, answers, size, blob) two kinds of rows.
+def _mark(parts: int, entry_parts: int, hot, schema: pa.Schema):
+    """From (id, key, copy, shared anchors, size, text) two kinds of rows.
 
     Documents: the results of settled ones; the others compressed, with the
-    places of their shared anchors and the hashes of those neighbourhoods.
-    Questions: classes of neighbourhoods, for the second exchange.
+    places and items of their entries.  Questions: entries, for the second
+    exchange.
     """
 
     def joined(columns: dict[str, pa.Array]) -> pa.RecordBatch:
@@ -321,22 +515,24 @@ def _mark(parts: int, schema: pa.Schema):
             yield joined(dict(zip(b.schema.names, b.columns)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = Classes(parts)
+        block = Block(entry_parts, hot.value)
         for batch in batches:
             for at, piece in _texts(batch, 5, 4):
                 found = Anchors(piece)
                 bounds = np.searchsorted(found.row, np.arange(piece.rows + 1))
-                blobs = batch.column(5).slice(at, piece.rows).to_pylist()
+                texts = batch.column(5).slice(at, piece.rows).to_pylist()
                 copies = batch.column(2).slice(at, piece.rows).to_pylist()
                 answers = batch.column(3).slice(at, piece.rows).to_pylist()
-                keys = _keys(found.hash, parts, True)
+                keys = _keys(found.hash, parts)
                 shared = np.zeros(len(keys), dtype=bool)
                 for i in range(piece.rows):
                     if answers[i] and not copies[i]:
                         part = slice(bounds[i], bounds[i + 1])
-                        shared[part] = _among(keys[part], _join_hashes(answers[i], "yes"))
-                near = Neighbourhoods(piece, found, shared)
-                cuts = np.searchsorted(near.row, np.arange(piece.rows + 1))
+                        shared[part] = _among(keys[part], np.frombuffer(answers[i], dtype=U64))
+                here = np.flatnonzero(shared)
+                ids = batch.column(1).slice(at, piece.rows).to_numpy()
+                some = _entries(piece, found, here, ids)
+                cuts = np.searchsorted(found.row[here], np.arange(piece.rows + 1))
                 out: dict[str, list] = {n: [] for n, _ in _KEPT}
                 for i in range(piece.rows):
                     raw = piece.raw(i)
@@ -345,16 +541,17 @@ def _mark(parts: int, schema: pa.Schema):
                     if copies[i]:
                         row |= {"n_removed": len(raw), "n_spans": 1, "kept_sha256": hashlib.sha256(b"").hexdigest()}
                     elif cuts[i] < cuts[i + 1]:
-                        row |= {"blob": blobs[i], "marks": (near.at[part] - piece.offsets[i]).astype(np.int32).tobytes(), "near": near.item[part].tobytes()}
+                        marks = found.first[here[part]] - piece.offsets[i]
+                        row |= {"text": texts[i], "marks": marks.astype(np.int32).tobytes(), "near": some.items[part].tobytes()}
                     else:
                         row |= {"n_removed": 0, "n_spans": 0, "kept_sha256": hashlib.sha256(raw).hexdigest()}
                     for n in out:
                         out[n].append(row[n])
                 own = {n: batch.column(c).slice(at, piece.rows) for n, c in (("_id", 0), ("_key", 1))}
                 yield joined(own | {n: pa.array(out[n], t) for n, t in _KEPT})
-                yield from asked(classes.add(near, batch.column(1).slice(at, piece.rows).to_numpy()))
-        yield from asked(classes.flush())
-        yield from asked(classes.packer.flush())
+                yield from asked(block.add(piece, found, here, some))
+        yield from asked(block.flush())
+        yield from asked(block.packer.flush())
 
     return run
 
@@ -375,155 +572,102 @@ def _texts(batch: pa.RecordBatch, blob: int, size: int, rows: int = 64) -> Itera
         at = end
 
 
-class Neighbourhoods:
-    """The phrases around the shared anchors of a slice: from the last anchor 26 bytes or more before to the first 50 or more after."""
-
-    def __init__(self, piece: Slice, found: Anchors, shared: np.ndarray) -> None:
-        self.row, self.at = found.row[shared], found.at[shared]
-        low, high = piece.offsets[self.row], piece.offsets[self.row + 1]
-        # Cuts: anchors, and the bounds of rows.
-        self.cuts = np.unique(np.concatenate([found.at, piece.offsets]))
-        self.first = np.searchsorted(self.cuts, np.maximum(self.at - (LENGTH - K), low), side="right") - 1
-        self.last = np.searchsorted(self.cuts, np.minimum(self.at + LENGTH, high), side="left")
-        start, end = self.cuts[self.first], self.cuts[self.last]
-        self.shift = self.at - start
-        content = mix64(span_hash(found.prefix, start, end), 61)
-        self.item = mix64(content + mix64(self.shift.astype(U64), 62) + (end - start).astype(U64), 63)
-        self.group = mix64(span_hash(found.prefix, self.at, self.at + K)) | U64(1)
-        self.sides = np.zeros(len(self.at), dtype=_SIDES)
-        self.sides["group"] = self.group >> U64(32)
-        for name, begin, finish in (("left", self.at - REACH, self.at + K), ("right", self.at, self.at + K + REACH)):
-            fits = (begin >= low) & (finish <= high)
-            self.sides[name][fits] = (mix64(span_hash(found.prefix, begin[fits], finish[fits]), 66) >> U64(33)) | U64(1)
-        self.phrase = mix64(span_hash(found.prefix, self.cuts[:-1], self.cuts[1:]), 64)
-        needed = np.zeros(len(self.cuts) + 1, dtype=np.int64)
-        np.add.at(needed, self.first, 1)
-        np.add.at(needed, self.last, -1)
-        self.needed = np.cumsum(needed)[:-1][: len(self.phrase)] > 0
-
-
-class Classes:
-    """Classes of equal neighbourhoods in blocks of documents, by the suffix array of their phrases.
-
-    One entry of each class goes out.
-    """
+def _entries(piece: Slice, found: Anchors, here: np.ndarray, ids: np.ndarray) -> Entries:
+    """The entries of the anchors `here`."""
+    at, first, last = found.at[here], found.first[here], found.last[here]
+    shape = np.zeros(len(here), dtype=_SHAPE)
+    shape["left"], shape["width"] = at - first, last - first + 1
+    grid = np.zeros((len(here), _WIDE), dtype=np.uint8)
+    padded = np.concatenate([np.zeros(BEFORE, dtype=np.uint8), piece.data, np.zeros(LENGTH, dtype=np.uint8)])
+    around = np.lib.stride_tricks.sliding_window_view(padded, COLUMNS)[at] if len(here) else np.zeros((0, COLUMNS), dtype=np.uint8)
+    grid[:, :BEFORE] = around[:, :BEFORE][:, ::-1]
+    grid[:, BEFORE:COLUMNS] = around[:, BEFORE:]
+    _trim(grid, shape["left"], last + LENGTH - at)
+    # The shape belongs to the item: it stands for the entry in its document's answers.
+    items = mix64(_grid_hash(grid) + shape["left"].astype(U64) * U64(64) + shape["width"].astype(U64), 63) if len(here) else np.zeros(0, dtype=U64)
+    return Entries(ids[found.row[here]], items, shape, grid)
 
-    def __init__(self, parts: int) -> None:
-        self.packer = Packer(parts, grouped=True)
+
+class Block:
+    """A block of documents' entries: equal ones, neighbours in the suffix array of their phrases, go out once."""
+
+    def __init__(self, parts: int, hot: np.ndarray) -> None:
+        self.packer, self.hot = EntryPacker(parts), hot
         self.names: list[np.ndarray] = []
-        self.block: list[tuple[np.ndarray, ...]] = []
+        self.held: list[tuple[Entries, np.ndarray, np.ndarray]] = []
         self.size = 0
 
-    def add(self, near: Neighbourhoods, key: np.ndarray) -> Iterator[pa.RecordBatch]:
-        # Needed phrases in order, and a separator after each stretch of them.
-        used = np.flatnonzero(near.needed)
-        if not len(used):
+    def add(self, piece: Slice, found: Anchors, here: np.ndarray, some: Entries) -> Iterator[pa.RecordBatch]:
+        if not len(here):
             return
+        # An entry's phrases: from the last cut at or before its bytes to the first one at or after them.
+        cuts = np.unique(np.concatenate([found.at, piece.offsets]))
+        first = np.searchsorted(cuts, found.first[here], side="right") - 1
+        last = np.searchsorted(cuts, found.last[here] + LENGTH, side="left")
+        edges = np.bincount(first, minlength=len(cuts) + 1) - np.bincount(last, minlength=len(cuts) + 1)
+        used = np.flatnonzero(np.cumsum(edges) > 0)
+        # Needed phrases in order, and a separator after each stretch of them.
         gap = np.concatenate([np.diff(used) > 1, [True]])
         shift = np.cumsum(gap) - gap
         symbols = np.zeros(len(used) + int(gap.sum()), dtype=U64)
-        symbols[np.arange(len(used)) + shift] = near.phrase[used]
-        where = np.zeros(len(near.cuts) + 1, dtype=np.int64)
+        symbols[np.arange(len(used)) + shift] = hash_spans(piece.data, cuts[used], cuts[used + 1])
+        where = np.zeros(len(cuts) + 1, dtype=np.int64)
         where[used] = np.arange(len(used)) + shift + self.size
         self.names.append(symbols)
-        self.block.append((where[near.first], near.shift, near.item, near.group, near.sides, key[near.row]))
+        self.held.append((some, where[first], found.first[here] - cuts[first]))
         self.size += len(symbols)
         if self.size >= BLOCK_PHRASES:
             yield from self.flush()
 
     def flush(self) -> Iterator[pa.RecordBatch]:
-        if not self.block:
+        if not self.held:
             return
         _, code = np.unique(np.concatenate(self.names), return_inverse=True)
         order = suffix_array(code.ravel() + 1)
         rank = np.empty(len(order), dtype=np.int64)
         rank[order] = np.arange(len(order))
-        first, shift, item, group, sides, ids = (np.concatenate(x) for x in zip(*self.block))
-        self.names, self.block, self.size = [], [], 0
-        # Suffixes that begin with equal phrases are neighbours, so a class is a run.
-        by = np.lexsort((rank[first], shift))
-        item, group, sides, ids = item[by], group[by], sides[by], ids[by]
-        starts, n = _runs(item)
-        least = np.minimum.reduceat(ids, starts)
-        late = np.flatnonzero(ids != np.repeat(least, n))
-        if len(late):
-            table, rank = _ranked(ids[late])
-            yield from _settled(rank, table, item[late])
-        yield from self.packer.add(item[starts], least, group[starts], sides[starts])
-
-
-class Marks:
-    """Places and hashes of shared neighbourhoods of some texts, as saved."""
-
-    def __init__(self, piece: Slice, marks: list[bytes], near: list[bytes]) -> None:
-        at = [np.frombuffer(m, dtype=np.int32).astype(np.int64) for m in marks]
-        self.row = np.repeat(np.arange(piece.rows), [len(x) for x in at])
-        self.at = np.concatenate(at) + piece.offsets[self.row]
-        self.item = np.concatenate([np.frombuffer(x, dtype=U64) for x in near])
-
-
-def _windows(near: Marks, piece: Slice, chosen: np.ndarray, least: int, most: int) -> np.ndarray:
-    """Marks the starts of windows that hold the chosen anchors, `least` to `most` bytes before them."""
-    at, row = near.at[chosen], near.row[chosen]
-    lo = np.maximum(at - most, piece.offsets[row])
-    hi = np.minimum(at - least, piece.offsets[row + 1] - LENGTH)
-    ok = hi >= lo
-    marks = np.bincount(lo[ok], minlength=len(piece.data) + 1) - np.bincount(hi[ok] + 1, minlength=len(piece.data) + 1)
-    return np.cumsum(marks)[: len(piece.data)] > 0
-
-
-def _known(batch: pa.RecordBatch, at: int, piece: Slice, column: int, near: Marks) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of windows that earlier documents have by the neighbourhoods' answers, and of those still open."""
-    answers = batch.column(column).slice(at, piece.rows).to_pylist()
-    bounds = np.searchsorted(near.row, np.arange(piece.rows + 1))
-    found = {name: np.zeros(len(near.at), dtype=bool) for name in ("yes", "left", "right")}
-    for i, a in enumerate(answers):
-        if a:
-            part = slice(bounds[i], bounds[i + 1])
-            for name, marks in found.items():
-                marks[part] = _among(near.item[part], _join_hashes(a, name))
-    beyond = LENGTH - K
-    gone = _windows(near, piece, found["yes"], 0, beyond)
-    left = _windows(near, piece, found["left"] & ~found["yes"], REACH, beyond)
-    right = _windows(near, piece, found["right"] & ~found["yes"], 0, beyond - REACH)
-    return gone, (left | right) & ~gone
-
-
-def _window_hashes(piece: Slice, starts: np.ndarray) -> np.ndarray:
-    prefix = prefix_hash(BYTE_VALUE[piece.data])
-    return mix64(span_hash(prefix, starts, starts + LENGTH), 65)
-
-
-def _ask_windows(parts: int):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(parts)
-        for batch in batches:
-            for at, piece in _texts(batch, 1, 2):
-                near = Marks(piece, *(batch.column(c).slice(at, piece.rows).to_pylist() for c in (3, 4)))
-                _, left = _known(batch, at, piece, 5, near)
-                starts = np.flatnonzero(left)
-                key = batch.column(0).slice(at, piece.rows).to_numpy()
-                yield from packer.add(_window_hashes(piece, starts), key[piece.row_of(starts)])
-        yield from packer.flush()
-
-    return run
+        some = Entries.joined([x for x, _, _ in self.held])
+        first, shift = (np.concatenate([x[c] for x in self.held]) for c in (1, 2))
+        self.names, self.held, self.size = [], [], 0
+        # Suffixes that begin with equal phrases are neighbours, so equal entries are a run; their bytes confirm it.
+        by = np.lexsort((rank[first], shift, some.shape["width"], some.shape["left"]))
+        some = some.take(by)
+        same = (some.shape[1:] == some.shape[:-1]) & (some.grid[1:] == some.grid[:-1]).all(axis=1)
+        starts = np.flatnonzero(np.concatenate([[True], ~same]))
+        n = np.diff(np.append(starts, len(some)))
+        least = np.minimum.reduceat(some.ids, starts)
+        late = np.flatnonzero(some.ids != np.repeat(least, n))
+        yield from _settled(some.ids[late], some.items[late], _all_bits(some.shape[late]))
+        some = some.take(starts)
+        some.ids = least
+        anchor = some.hashes(BEFORE, BEFORE + K)
+        often = _among(hash_spans(some.grid.ravel(), np.arange(len(some)) * _WIDE + BEFORE, np.arange(len(some)) * _WIDE + BEFORE + K) | U64(1), self.hot) if len(self.hot) else np.zeros(len(some), dtype=bool)
+        yield from self.packer.add(some.take(~often), anchor[~often])
+        if often.any():
+            windows = some.take(often).windows()
+            known = earlier_windows(windows) > 0
+            yield from _settled(windows.ids[known], windows.items[known], np.uint32(1) << windows.shape["bit"][known].astype(np.uint32))
+            windows = windows.take(~known)
+            yield from self.packer.add(windows, windows.hashes(0, COLUMNS))
 
 
 def _finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (id, text, size, marks, near, items, masks) the results of documents with entries."""
     for batch in batches:
-        for at, piece in _texts(batch, 2, 3):
-            near = Marks(piece, *(batch.column(c).slice(at, piece.rows).to_pylist() for c in (4, 5)))
-            gone, left = _known(batch, at, piece, 6, near)
-            starts = np.flatnonzero(left)
-            row = piece.row_of(starts)
-            hashes = _window_hashes(piece, starts)
-            bounds = np.searchsorted(row, np.arange(piece.rows + 1))
-            for i, a in enumerate(batch.column(7).slice(at, piece.rows).to_pylist()):
-                if a:
-                    part = slice(bounds[i], bounds[i + 1])
-                    gone[starts[part][_among(hashes[part], _join_hashes(a, "yes"))]] = True
-            first = np.flatnonzero(gone)
-            marks = np.bincount(first, minlength=len(piece.data) + 1) - np.bincount(first + LENGTH, minlength=len(piece.data) + 1)
+        for at, piece in _texts(batch, 1, 2):
+            gone = np.zeros(len(piece.data) + 1, dtype=bool)
+            columns = [batch.column(c).slice(at, piece.rows).to_pylist() for c in (3, 4, 5, 6)]
+            for start, marks, near, items, masks in zip(piece.offsets.tolist(), *columns):
+                if not items:
+                    continue
+                near, held = np.frombuffer(near, dtype=U64), np.frombuffer(items, dtype=U64)
+                place = np.minimum(np.searchsorted(held, near), len(held) - 1)
+                mask = np.where(held[place] == near, np.frombuffer(masks, dtype=np.uint32)[place], np.uint32(0))
+                first = np.frombuffer(marks, dtype=np.int32) + start
+                for bit in range(WINDOW):
+                    gone[first[(mask >> np.uint32(bit)) & np.uint32(1) > 0] + bit] = True
+            begin = np.flatnonzero(gone)
+            marks = np.bincount(begin, minlength=len(piece.data) + 1) - np.bincount(begin + LENGTH, minlength=len(piece.data) + 1)
             removed = np.cumsum(marks)[:-1] > 0
             spans = np.bincount(piece.row_of(piece.runs(removed)[0]), minlength=piece.rows)
             total = np.concatenate([[0], np.cumsum(removed)])
@@ -540,6 +684,12 @@ def _finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _parts(size: int) -> int:
+    """Parts of an exchange over so many bytes of text."""
+    small, large = PART_BYTES
+    return max(1, min(size // small, MANY), size // large)
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Return (id_col, n_bytes, n_removed, n_spans, kept_sha256), a row for each row of `docs`.
 
@@ -547,40 +697,36 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     starts in a document with a smaller id.  Strings are judged on the input.
 
     A null text is empty.  A null id is greater than all others.  Documents
-    with one id, and repeated rows, remove nothing from each other.  Ids are
-    integers.  Other columns are ignored; an empty table gives an empty result.
+    with one id, and repeated rows, remove nothing from each other (ties).
+    Very long texts are taken whole.  Ids are of any type that has an order.
+    Other columns are ignored; an empty table gives an empty result.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("_key"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    rows = order_keys(docs.select(column(id_col).alias("_id"), F.coalesce(column(text_col), F.lit("")).alias("_text")), "_id")
     size, n_docs = rows.agg(F.sum(F.octet_length("_text")), F.count("*")).first()
     size, bundles = size or 0, max(1, n_docs // BUNDLE)
-    parts = max(1, size // (14 * PART) + 1)
-
-    anchors = _exchange(rows.select("_key", "_text").mapInArrow(_ask_anchors(parts), _PACKED_DDL), bundles, any_other=True, narrow=True)
-    digests = rows.where(F.octet_length("_text") >= LENGTH).select("_key", F.md5("_text").alias("_md5"))
-    first = digests.groupBy("_md5").agg(F.min("_key").alias("_first"), F.max("_key").alias("_last")).where("_first < _last")
-    copies = digests.join(first, "_md5").where("_key > _first").select(F.col("_key").alias("id"), F.col("_md5").alias("copy")).distinct()
+    parts = _parts(size)
+    hot = docs.sparkSession.sparkContext.broadcast(_hot_anchors(rows))
+
+    anchors = _exchange(rows.select("_key", "_text").mapInArrow(_ask_anchors(parts), _PACKED_DDL), _tell_anchors(bundles), bundles).select("id", F.col("items").alias("shared"))
+    digest = F.unhex(F.sha2("_text", 256))
+    digests = rows.where(F.octet_length("_text") >= LENGTH).select("_key", digest.alias("_digest"))
+    first = digests.groupBy("_digest").agg(F.min("_key").alias("_first"), F.max("_key").alias("_last")).where("_first < _last")
+    copies = digests.join(first, "_digest").where("_key > _first").select(F.col("_key").alias("id"), F.col("_digest").alias("copy")).distinct()
     # One row for each id, so that the join below stays on the id alone.
     copies = copies.groupBy("id").agg(F.collect_list("copy").alias("copies"))
-    squeezed = rows.select("_id", "_key", F.md5("_text").alias("_md5"), "_text").mapInArrow(_squeeze, f"_id {kind}, _key long, _md5 string, n_bytes long, blob binary")
+    squeezed = rows.select("_id", "_key", digest.alias("_digest"), "_text").mapInArrow(_squeeze, f"_id {kind}, _key long, _digest binary, n_bytes long, text binary")
     met = squeezed.join(anchors, F.col("_key") == anchors["id"], "left").drop("id").join(copies, F.col("_key") == copies["id"], "left").drop("id")
-    is_copy = F.coalesce(F.array_contains("copies", F.col("_md5")), F.lit(False))
-    id_type = pa.int32() if kind == "int" else pa.int64()
-    schema = pa.schema([("_id", id_type), ("_key", pa.int64()), *_KEPT, *_PACKED])
+    is_copy = F.coalesce(F.array_contains("copies", F.col("_digest")), F.lit(False))
+    schema = pa.schema([("_id", arrow_type(docs, id_col)), ("_key", pa.int64()), *_KEPT, *_PACKED])
     marked = saved(
-        met.select("_id", "_key", is_copy.alias("_copy"), "answers", "n_bytes", "blob").mapInArrow(_mark(parts, schema), f"_id {kind}, _key long, {_KEPT_DDL}, {_PACKED_DDL}")
+        met.select("_id", "_key", is_copy.alias("_copy"), "shared", "n_bytes", "text").mapInArrow(_mark(parts, parts, hot, schema), f"_id {kind}, _key long, {_KEPT_DDL}, {_PACKED_DDL}")
     )
     results = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
     settled = marked.where("kept_sha256 is not null").select("_id", *results)
-    going = marked.where("blob is not null").select("_id", "_key", "blob", "n_bytes", "marks", "near")
-
-    near = saved(_exchange(marked.where("part is not null").select(*_PACKED.names), bundles).withColumnRenamed("answers", "known"))
-    known = going.join(near, F.col("_key") == F.col("id"), "left").drop("id")
-    opened = F.aggregate("known", F.lit(0).cast("long"), lambda s, a: s + F.coalesce(F.octet_length(a["left"]), F.lit(0)) + F.coalesce(F.octet_length(a["right"]), F.lit(0)))
-    m = near.agg(F.sum(opened / 8)).first()[0] or 0
-    parts3 = int(m * (REACH + 1) // PART + 1)
-    windows = saved(_exchange(known.select("_key", "blob", "n_bytes", "marks", "near", "known").mapInArrow(_ask_windows(parts3), _PACKED_DDL), bundles))
-    whole = known.join(windows, F.col("_key") == F.col("id"), "left").select("_id", "_key", "blob", "n_bytes", "marks", "near", "known", "answers")
+    going = marked.where("text is not null").select("_id", "_key", "text", "n_bytes", "marks", "near")
+    known = _exchange(marked.where("part is not null").select(*_PACKED.names), _tell_windows(bundles), bundles)
+    whole = going.join(known, F.col("_key") == F.col("id"), "left").select("_id", "text", "n_bytes", "marks", "near", "items", "masks")
     done = whole.mapInArrow(_finish, f"_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return settled.unionByName(done).withColumnRenamed("_id", id_col)
 

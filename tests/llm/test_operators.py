@@ -485,7 +485,11 @@ def repeats(docs):
     return out
 
 
-def test_suffix_dedup(spark, texts, monkeypatch):
+@pytest.mark.parametrize("hot", [100_000, 4])
+def test_suffix_dedup(spark, texts, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "HOT_SAMPLE", 4)
+    monkeypatch.setattr(suffix_dedup, "PART_BYTES", (1 << 14, 1 << 14))
     rng = random.Random(5)
     parts = ["".join(rng.choice("abcdefgh é") for _ in range(rng.randrange(20, 140))) for _ in range(60)]
     docs = []
@@ -498,6 +502,39 @@ def test_suffix_dedup(spark, texts, monkeypatch):
         assert got == repeats(docs)
 
 
+def test_suffix_order_decides(spark, texts, monkeypatch):
+    """With another order than that of the suffixes, repeats are not found."""
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    right = suffix_dedup.remove_repeats(docs.coalesce(1)).agg(F.sum("n_removed")).first()[0]
+    rng = np.random.default_rng(1)
+    calls = []
+
+    def shuffled(symbols):
+        calls.append(len(symbols))
+        return rng.permutation(len(symbols))
+
+    ids = np.arange(40)
+    grid = np.zeros((40, suffix_dedup._WIDE), dtype=np.uint8)
+    grid[:, suffix_dedup.BEFORE : suffix_dedup.COLUMNS] = np.frombuffer(bytes(range(100, 150)), dtype=np.uint8)
+    grid[:, suffix_dedup.COLUMNS - 1] = ids // 2
+    some = suffix_dedup.Entries(ids, ids.astype(np.uint64), np.array([(0, 1, 0)] * 40, dtype=suffix_dedup._SHAPE), grid)
+    assert right > 0 and suffix_dedup.earlier_windows(some).tolist() == [0, 1] * 20
+    monkeypatch.setattr(suffix_dedup, "suffix_array", shuffled)
+    assert suffix_dedup.earlier_windows(some).tolist() != [0, 1] * 20 and calls
+
+
+@pytest.mark.parametrize("kind", ["smallint", "decimal(20,0)", "string"])
+def test_suffix_dedup_ids(spark, kind):
+    text = "".join(chr(97 + (k * k + k // 7) % 26) for k in range(90))
+    docs = spark.createDataFrame([(1, text), (2, "x" + text), (None, text[:60])], "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed) for r in suffix_dedup.remove_repeats(docs).collect()) == [("1", 90, 0), ("2", 91, 90), ("None", 60, 60)]
+
+
+def test_suffix_dedup_thue_morse(spark):
+    rows = suffix_dedup.remove_repeats(spark.createDataFrame([(k, x[:50]) for k, x in enumerate(thue_morse(11))] + [(5, thue_morse(11)[0][64:128])], "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.n_removed) for r in rows if r.doc_id < 5} == {(0, 0), (1, 0)}
+
+
 def test_suffix_dedup_odd(spark, odd):
     rows = suffix_dedup.remove_repeats(odd).collect()
     assert len(rows) == odd.count() and all(r.n_removed == 0 for r in rows)
