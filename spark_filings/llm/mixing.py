@@ -9,8 +9,9 @@ totals, until all but two of a block are 0 or 1.
 
 Blocks are bounded, whatever the size of a source.  What a block leaves open
 moves on to the next level, where some thousands of blocks make one; at the
-last level of a source at most two documents are open, and the landing takes
-the choice that misses the word total least.
+last level of a source at most two documents are open.  The landing is a small
+program over these and some others of the block, of all sizes: of all choices
+the one that misses the word total least, then the document total.
 
 Documents of more than a two-hundredth of their source's words (fewer than two
 hundred in each source) are decided first, as no others could balance them
@@ -20,7 +21,6 @@ they make up for what this missed in words and documents.
 
 from __future__ import annotations
 
-import itertools
 import math
 import zlib
 
@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, saved, table
+from .common import SPACE, column, saved, table
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
@@ -40,6 +40,12 @@ BLOCK_ROWS = 4096
 #: A document of more than this part of its source's words is decided before the others.
 LARGE_PART = 1 / 200
 
+#: Documents whose choices the landing weighs against each other (all of them, so 2 to this power), how often it
+#: looks at others, and the part of the word total that it takes for met.
+LANDING = 12
+LANDINGS = 4
+MET = 1 / 1000
+
 #: Tables with a row for each source are broadcast up to so many rows.
 BROADCAST_SOURCES = 50_000
 
@@ -103,15 +109,39 @@ def _attach(rows: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(sources) if small else sources, ["_null", "_source"])
 
 
+def _land(size: np.ndarray, start: np.ndarray, p: np.ndarray, held: list[int]) -> None:
+    """Decide the open documents `held` in `p`, and revise some others, so that sums are near those of `start`."""
+    wanted, docs = math.fsum(size * start), math.fsum(start)
+    free = np.flatnonzero((start > 0) & (start < 1))
+    by_size = [k for k in free[np.argsort(size[free], kind="stable")].tolist() if k not in held]
+    for turn in range(LANDINGS):
+        room = LANDING - len(held)
+        # Documents of all sizes, others in each turn.
+        spread = np.linspace(0, len(by_size) - 1, room + turn).round().astype(int)[:room] if len(by_size) > room else range(len(by_size))
+        some = np.array([*held, *dict.fromkeys(by_size[k] for k in spread)], dtype=np.int64)
+        if not len(some):
+            return
+        choices = (np.arange(1 << len(some))[:, None] >> np.arange(len(some))) & 1
+        rest = np.ones(len(p), dtype=bool)
+        rest[some] = False
+        miss = np.abs(choices @ size[some] + math.fsum(size[rest] * p[rest]) - wanted)
+        off = np.abs(choices.sum(axis=1) + math.fsum(p[rest]) - docs)
+        changed = (choices != np.round(p[some])).sum(axis=1)
+        best = np.lexsort((miss, changed, off, np.maximum(miss, MET * wanted)))[0]
+        p[some] = choices[best]
+        held = []
+        if miss[best] <= MET * wanted or len(by_size) <= room:
+            return
+
+
 def flight(size: np.ndarray, p: np.ndarray, rng: np.random.Generator, land: bool) -> np.ndarray:
     """Move probabilities to 0 or 1, keeping sum(p) and sum(size * p), until at most two are open.
 
-    `land` decides those two as well: the choice that misses the words least,
-    then the documents, wins.
+    `land` decides those two as well, with some others.
     """
+    start = p
     p = p.tolist()
     s = size.tolist()
-    wanted = math.fsum(a * b for a, b in zip(s, p))
     draws = iter(rng.random(2 * len(p) + 8).tolist())
     tiny = 1e-9
     held: list[int] = []
@@ -141,16 +171,10 @@ def flight(size: np.ndarray, p: np.ndarray, rng: np.random.Generator, land: bool
                 else:
                     p[k] = 0.0 if v < 0.5 else 1.0
             held = left
-    if land and held:
-        done = math.fsum(a * b for k, (a, b) in enumerate(zip(s, p)) if k not in held)
-        docs = sum(p[k] for k in held)
-
-        def miss(choice: tuple[int, ...]) -> tuple:
-            return abs(done + sum(s[k] * x for k, x in zip(held, choice)) - wanted), abs(sum(choice) - docs), choice
-
-        for k, x in zip(held, min(itertools.product((0, 1), repeat=len(held)), key=miss)):
-            p[k] = float(x)
-    return np.array(p)
+    out = np.array(p)
+    if land:
+        _land(size.astype(float), np.array(start), out, held)
+    return out
 
 
 def _level(rows: DataFrame, schema: str, seed: int, level: int, block_rows: int) -> DataFrame:
@@ -196,6 +220,10 @@ def _decide_large(rows: DataFrame, sources: DataFrame, schema: str, seed: int) -
     return settled, tuned.withColumn("_p", p).select(*names)
 
 
+def _row_hash(names: list[str]) -> Column:
+    return F.xxhash64(*map(column, dict.fromkeys(names)))
+
+
 def mix_copies(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -215,18 +243,20 @@ def mix_copies(
     `_times`, so that they fall into different blocks.
 
     A null text has no words, a null source is a source of its own, and a null
-    id is an id like others.  A source without words has the target 0.  The
+    id is an id like others.  A very long text is one document, taken or not
+    as a whole.  A source without words has the target 0.  Ties in size are
+    decided by the hash.  The
     result depends on the rows and `seed` alone, not on their partitions.  An
     empty table gives an empty result.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = _ROW.format(id=id_type)
     one = docs.select(
-        F.col(id_col).alias("_id"),
-        F.xxhash64(*dict.fromkeys([id_col, text_col, source_col, *more])).alias("_hash"),
-        F.col(source_col).isNull().alias("_null"),
-        F.coalesce(F.col(source_col), F.lit("")).alias("_source"),
-        word_count(F.col(text_col)).alias("_size"),
+        column(id_col).alias("_id"),
+        _row_hash([id_col, text_col, source_col, *more]).alias("_hash"),
+        column(source_col).isNull().alias("_null"),
+        F.coalesce(column(source_col), F.lit("")).alias("_source"),
+        word_count(column(text_col)).alias("_size"),
     )
     one = one.groupBy("_id", "_hash", "_null", "_source", "_size").agg(F.count("*").alias("_rows"))
     rows = saved(one)
@@ -272,8 +302,8 @@ def mix_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     """The rows of `docs`, each as often as the mix takes it, with all their columns."""
     names = docs.columns
     copies = mix_copies(docs, id_col, text_col, source_col, more=names, **options).where("copies > 0")
-    hashed = F.xxhash64(*dict.fromkeys([id_col, text_col, source_col, *names]))
-    rows = docs.select(F.struct(*names).alias("_row"), hashed.alias("_hash"))
+    hashed = _row_hash([id_col, text_col, source_col, *names])
+    rows = docs.select(F.struct(*map(column, names)).alias("_row"), hashed.alias("_hash"))
     # Rows that agree in every column are interchangeable: one of them stands for all, numbered as above.
     taken = copies.groupBy("_key").agg(F.sum("copies").alias("_copies"))
     numbered = rows.groupBy("_hash").agg(F.first("_row").alias("_row"), F.count("*").alias("_rows"))
