@@ -66,7 +66,7 @@ BUNDLE = 256
 STEP = 1 << 17
 
 #: Phrases, and entries, that are sorted together (more entries only if they have one anchor).
-BLOCK_PHRASES = 150_000
+BLOCK_PHRASES = 300_000
 BLOCK_ENTRIES = 30_000
 
 #: An anchor that is estimated to occur so often is dealt by window.  The
@@ -140,13 +140,21 @@ def _ranked(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return table, np.repeat(place.ravel(), n)
 
 
-def _settled(ids: np.ndarray, items: np.ndarray, masks: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+def _settled(ids: np.ndarray, items: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Answers of a task to its own questions: they travel with the questions, in parts below 0."""
     for lo in range(0, len(ids), PACK):
         table, rank = _ranked(ids[lo : lo + PACK])
         order = np.argsort(rank, kind="stable")
         some = items[lo : lo + PACK][order]
-        yield _packed(-1 - int(some[0] % U64(1 << 20)), rank[order], table, some, None if masks is None else masks[lo : lo + PACK][order])
+        yield _packed(-1 - int(some[0] % U64(1 << 20)), rank[order], table, some)
+
+
+def _zipped(values: np.ndarray) -> bytes:
+    return values.nbytes.to_bytes(4, "little") + _CODEC.compress(np.ascontiguousarray(values), asbytes=True)
+
+
+def _unzipped(held: bytes, dtype) -> np.ndarray:
+    return np.frombuffer(_CODEC.decompress(held[4:], int.from_bytes(held[:4], "little"), asbytes=True), dtype=dtype)
 
 
 class AnchorPacker:
@@ -241,6 +249,11 @@ def _grid_hash(grid: np.ndarray) -> np.ndarray:
     return mix64(out, 61) if len(out) else out
 
 
+def _items(grid: np.ndarray, shape: np.ndarray) -> np.ndarray:
+    """What an entry is called in the answers of its document."""
+    return mix64(_grid_hash(grid) + shape["left"].astype(U64) * U64(64) + shape["width"].astype(U64), 63) if len(grid) else np.zeros(0, dtype=U64)
+
+
 def _eights(grid: np.ndarray) -> np.ndarray:
     """Rows of bytes as rows of big-endian integers, which order alike."""
     n, width = grid.shape
@@ -311,10 +324,13 @@ def _all_bits(shape: np.ndarray) -> np.ndarray:
 
 
 class EntryPacker:
-    """Entries of a task on their way to the parts of an exchange, with their bytes."""
+    """Entries of a task on their way to the parts of an exchange, with their bytes.
 
-    def __init__(self, parts: int) -> None:
-        self.parts = parts
+    Items go along only where they do not follow from the bytes.
+    """
+
+    def __init__(self, parts: int, with_items: bool) -> None:
+        self.parts, self.with_items = parts, with_items
         self.held: list[tuple[Entries, np.ndarray]] = []
         self.size = 0
 
@@ -337,8 +353,8 @@ class EntryPacker:
             own = some.take(order[lo : lo + k])
             has = np.concatenate([np.arange(BEFORE) < own.shape["left"][:, None], np.arange(LENGTH) < own.right()[:, None]], axis=1)
             raw = own.grid[:, :COLUMNS][has].tobytes()
-            blob = len(raw).to_bytes(8, "little") + _CODEC.compress(raw, asbytes=True)
-            yield _packed(int(part[lo]), rank[lo : lo + k], table, own.items, own.shape, blob)
+            items = own.items if self.with_items else own.items[:0]
+            yield _packed(int(part[lo]), rank[lo : lo + k], table, items, own.shape, _zipped(np.frombuffer(raw, dtype=np.uint8)))
 
 
 def _ids(group: pa.Table) -> np.ndarray:
@@ -353,10 +369,10 @@ def _unpacked(group: pa.Table) -> Iterator[Entries]:
         ids = _ids(row)
         items, shape = (np.frombuffer(row.column(c)[0].as_buffer(), dtype=t) for c, t in (("items", U64), ("shapes", _SHAPE)))
         some = Entries(ids, items, shape.copy(), np.zeros((len(ids), _WIDE), dtype=np.uint8))
-        held = row.column("blob")[0].as_buffer()
-        raw = _CODEC.decompress(held.slice(8), int.from_bytes(held.slice(0, 8).to_pybytes(), "little"), asbytes=True)
         has = np.concatenate([np.arange(BEFORE) < shape["left"][:, None], np.arange(LENGTH) < some.right()[:, None]], axis=1)
-        some.grid[:, :COLUMNS][has] = np.frombuffer(raw, dtype=np.uint8)
+        some.grid[:, :COLUMNS][has] = _unzipped(row.column("blob")[0].as_py(), np.uint8)
+        if not len(items):
+            some.items = _items(some.grid, some.shape)
         yield some
 
 
@@ -417,9 +433,6 @@ def _tell_windows(count: int):
     """Which windows of a part's entries an earlier document has."""
 
     def run(group: pa.Table) -> pa.Table:
-        if group.column("part")[0].as_py() < 0:
-            items, masks = (np.frombuffer(b"".join(v.as_buffer() for v in group.column(c)), dtype=t) for c, t in (("items", U64), ("shapes", np.uint32)))
-            return _bundles(_ids(group), items, masks, count)
         some = Entries.joined(list(_unpacked(group)))
         anchor = some.hashes(BEFORE, BEFORE + K)
         order = np.argsort(anchor)
@@ -485,8 +498,8 @@ def _hot_anchors(rows: DataFrame) -> np.ndarray:
     return np.sort(found.select("h").toArrow().column("h").to_numpy().view(U64))
 
 
-_KEPT = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.binary()), ("marks", pa.binary()), ("near", pa.binary())]
-_KEPT_DDL = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, text binary, marks binary, near binary"
+_KEPT = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.binary()), ("marks", pa.binary()), ("shape", pa.binary()), ("known", pa.binary())]
+_KEPT_DDL = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, text binary, marks binary, shape binary, known binary"
 
 
 def _squeeze(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -502,8 +515,8 @@ def _mark(parts: int, entry_parts: int, hot, schema: pa.Schema):
     """From (id, key, copy, shared anchors, size, text) two kinds of rows.
 
     Documents: the results of settled ones; the others compressed, with the
-    places and items of their entries.  Questions: entries, for the second
-    exchange.
+    places and shapes of their entries and the windows known so far.
+    Questions: entries, for the second exchange.
     """
 
     def joined(columns: dict[str, pa.Array]) -> pa.RecordBatch:
@@ -541,17 +554,20 @@ def _mark(parts: int, entry_parts: int, hot, schema: pa.Schema):
                     if copies[i]:
                         row |= {"n_removed": len(raw), "n_spans": 1, "kept_sha256": hashlib.sha256(b"").hexdigest()}
                     elif cuts[i] < cuts[i + 1]:
-                        marks = found.first[here[part]] - piece.offsets[i]
-                        row |= {"text": texts[i], "marks": marks.astype(np.int32).tobytes(), "near": some.items[part].tobytes()}
+                        marks = np.diff(found.first[here[part]], prepend=piece.offsets[i])
+                        row |= {"text": texts[i], "marks": _zipped(marks.astype(np.int32)), "shape": _zipped(some.shape[part])}
                     else:
                         row |= {"n_removed": 0, "n_spans": 0, "kept_sha256": hashlib.sha256(raw).hexdigest()}
                     for n in out:
                         out[n].append(row[n])
                 own = {n: batch.column(c).slice(at, piece.rows) for n, c in (("_id", 0), ("_key", 1))}
-                yield joined(own | {n: pa.array(out[n], t) for n, t in _KEPT})
-                yield from asked(block.add(piece, found, here, some))
+                documents = joined(own | {n: pa.array(out[n], t) for n, t in _KEPT})
+                if len(here):
+                    yield from asked(block.add(piece, found, here, some, documents, cuts))
+                else:
+                    yield documents
         yield from asked(block.flush())
-        yield from asked(block.packer.flush())
+        yield from asked(block.packed())
 
     return run
 
@@ -583,23 +599,23 @@ def _entries(piece: Slice, found: Anchors, here: np.ndarray, ids: np.ndarray) ->
     grid[:, :BEFORE] = around[:, :BEFORE][:, ::-1]
     grid[:, BEFORE:COLUMNS] = around[:, BEFORE:]
     _trim(grid, shape["left"], last + LENGTH - at)
-    # The shape belongs to the item: it stands for the entry in its document's answers.
-    items = mix64(_grid_hash(grid) + shape["left"].astype(U64) * U64(64) + shape["width"].astype(U64), 63) if len(here) else np.zeros(0, dtype=U64)
-    return Entries(ids[found.row[here]], items, shape, grid)
+    return Entries(ids[found.row[here]], _items(grid, shape), shape, grid)
 
 
 class Block:
-    """A block of documents' entries: equal ones, neighbours in the suffix array of their phrases, go out once."""
+    """A block of documents: equal entries, neighbours in the suffix array of their phrases, go out once."""
 
     def __init__(self, parts: int, hot: np.ndarray) -> None:
-        self.packer, self.hot = EntryPacker(parts), hot
+        self.packers, self.hot = (EntryPacker(parts, False), EntryPacker(parts, True)), hot
         self.names: list[np.ndarray] = []
-        self.held: list[tuple[Entries, np.ndarray, np.ndarray]] = []
+        self.held: list[tuple] = []
         self.size = 0
 
-    def add(self, piece: Slice, found: Anchors, here: np.ndarray, some: Entries) -> Iterator[pa.RecordBatch]:
-        if not len(here):
-            return
+    def packed(self) -> Iterator[pa.RecordBatch]:
+        for packer in self.packers:
+            yield from packer.flush()
+
+    def add(self, piece: Slice, found: Anchors, here: np.ndarray, some: Entries, documents: pa.RecordBatch, cuts_of: np.ndarray) -> Iterator[pa.RecordBatch]:
         # An entry's phrases: from the last cut at or before its bytes to the first one at or after them.
         cuts = np.unique(np.concatenate([found.at, piece.offsets]))
         first = np.searchsorted(cuts, found.first[here], side="right") - 1
@@ -614,58 +630,85 @@ class Block:
         where = np.zeros(len(cuts) + 1, dtype=np.int64)
         where[used] = np.arange(len(used)) + shift + self.size
         self.names.append(symbols)
-        self.held.append((some, where[first], found.first[here] - cuts[first]))
+        self.held.append((some, where[first], found.first[here] - cuts[first], documents, cuts_of))
         self.size += len(symbols)
         if self.size >= BLOCK_PHRASES:
             yield from self.flush()
 
     def flush(self) -> Iterator[pa.RecordBatch]:
+        """The block's documents with what it knows of their windows, and full packs of entries."""
         if not self.held:
             return
         _, code = np.unique(np.concatenate(self.names), return_inverse=True)
         order = suffix_array(code.ravel() + 1)
         rank = np.empty(len(order), dtype=np.int64)
         rank[order] = np.arange(len(order))
-        some = Entries.joined([x for x, _, _ in self.held])
+        every = Entries.joined([x[0] for x in self.held])
         first, shift = (np.concatenate([x[c] for x in self.held]) for c in (1, 2))
+        documents = [x[3:] for x in self.held]
         self.names, self.held, self.size = [], [], 0
         # Suffixes that begin with equal phrases are neighbours, so equal entries are a run; their bytes confirm it.
-        by = np.lexsort((rank[first], shift, some.shape["width"], some.shape["left"]))
-        some = some.take(by)
+        by = np.lexsort((rank[first], shift, every.shape["width"], every.shape["left"]))
+        some = every.take(by)
         same = (some.shape[1:] == some.shape[:-1]) & (some.grid[1:] == some.grid[:-1]).all(axis=1)
         starts = np.flatnonzero(np.concatenate([[True], ~same]))
         n = np.diff(np.append(starts, len(some)))
         least = np.minimum.reduceat(some.ids, starts)
-        late = np.flatnonzero(some.ids != np.repeat(least, n))
-        yield from _settled(some.ids[late], some.items[late], _all_bits(some.shape[late]))
+        masks = np.zeros(len(some), dtype=np.uint32)
+        late = some.ids != np.repeat(least, n)
+        masks[by[late]] = _all_bits(some.shape[late])
+        class_of = np.repeat(np.arange(len(starts)), n)
         some = some.take(starts)
         some.ids = least
-        anchor = some.hashes(BEFORE, BEFORE + K)
-        often = _among(hash_spans(some.grid.ravel(), np.arange(len(some)) * _WIDE + BEFORE, np.arange(len(some)) * _WIDE + BEFORE + K) | U64(1), self.hot) if len(self.hot) else np.zeros(len(some), dtype=bool)
-        yield from self.packer.add(some.take(~often), anchor[~often])
+        at = np.arange(len(some)) * _WIDE + BEFORE
+        often = _among(hash_spans(some.grid.ravel(), at, at + K) | U64(1), self.hot)
+        rare = some.take(~often)
+        yield from self.packers[0].add(rare, rare.hashes(BEFORE, BEFORE + K))
         if often.any():
             windows = some.take(often).windows()
             known = earlier_windows(windows) > 0
-            yield from _settled(windows.ids[known], windows.items[known], np.uint32(1) << windows.shape["bit"][known].astype(np.uint32))
+            bits = np.zeros(len(some), dtype=np.uint32)
+            of = np.repeat(np.flatnonzero(often), some.shape["width"][often].astype(np.int64))
+            np.bitwise_or.at(bits, of[known], np.uint32(1) << windows.shape["bit"][known].astype(np.uint32))
+            masks[by] |= bits[class_of]
             windows = windows.take(~known)
-            yield from self.packer.add(windows, windows.hashes(0, COLUMNS))
+            yield from self.packers[1].add(windows, windows.hashes(0, COLUMNS))
+        lo = 0
+        for rows, cuts in documents:
+            known = [_zipped(masks[lo + a : lo + b]) if a < b else None for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+            lo += int(cuts[-1])
+            yield rows.set_column(rows.schema.get_field_index("known"), "known", pa.array(known, pa.binary()))
+
+
+class Marks:
+    """Entries of some texts, as saved: their row, and what `Anchors` has of them."""
+
+    def __init__(self, piece: Slice, marks: list[bytes], shapes: list[bytes]) -> None:
+        firsts = [np.cumsum(_unzipped(x, np.int32), dtype=np.int64) for x in marks]
+        self.row = np.repeat(np.arange(piece.rows), [len(x) for x in firsts])
+        self.first = np.concatenate(firsts) + piece.offsets[self.row]
+        shape = np.concatenate([_unzipped(x, _SHAPE) for x in shapes])
+        self.at = self.first + shape["left"]
+        self.last = self.first + shape["width"] - 1
 
 
 def _finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (id, text, size, marks, near, items, masks) the results of documents with entries."""
+    """From (id, text, size, marks, shape, known, items, masks) the results of documents with entries."""
     for batch in batches:
         for at, piece in _texts(batch, 1, 2):
+            marks, shapes, known, items, masks = (batch.column(c).slice(at, piece.rows).to_pylist() for c in (3, 4, 5, 6, 7))
+            held = Marks(piece, marks, shapes)
+            near = _entries(piece, held, np.arange(len(held.at)), np.zeros(piece.rows, dtype=np.int64)).items
+            mask = np.concatenate([_unzipped(x, np.uint32) for x in known])
+            bounds = np.searchsorted(held.row, np.arange(piece.rows + 1))
+            for i, answer in enumerate(items):
+                if answer:
+                    part, told = slice(bounds[i], bounds[i + 1]), np.frombuffer(answer, dtype=U64)
+                    place = np.minimum(np.searchsorted(told, near[part]), len(told) - 1)
+                    mask[part] |= np.where(told[place] == near[part], np.frombuffer(masks[i], dtype=np.uint32)[place], np.uint32(0))
             gone = np.zeros(len(piece.data) + 1, dtype=bool)
-            columns = [batch.column(c).slice(at, piece.rows).to_pylist() for c in (3, 4, 5, 6)]
-            for start, marks, near, items, masks in zip(piece.offsets.tolist(), *columns):
-                if not items:
-                    continue
-                near, held = np.frombuffer(near, dtype=U64), np.frombuffer(items, dtype=U64)
-                place = np.minimum(np.searchsorted(held, near), len(held) - 1)
-                mask = np.where(held[place] == near, np.frombuffer(masks, dtype=np.uint32)[place], np.uint32(0))
-                first = np.frombuffer(marks, dtype=np.int32) + start
-                for bit in range(WINDOW):
-                    gone[first[(mask >> np.uint32(bit)) & np.uint32(1) > 0] + bit] = True
+            for bit in range(WINDOW):
+                gone[held.first[(mask >> np.uint32(bit)) & np.uint32(1) > 0] + bit] = True
             begin = np.flatnonzero(gone)
             marks = np.bincount(begin, minlength=len(piece.data) + 1) - np.bincount(begin + LENGTH, minlength=len(piece.data) + 1)
             removed = np.cumsum(marks)[:-1] > 0
@@ -724,9 +767,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     results = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
     settled = marked.where("kept_sha256 is not null").select("_id", *results)
-    going = marked.where("text is not null").select("_id", "_key", "text", "n_bytes", "marks", "near")
+    going = marked.where("text is not null").select("_id", "_key", "text", "n_bytes", "marks", "shape", "known")
     known = _exchange(marked.where("part is not null").select(*_PACKED.names), _tell_windows(bundles), bundles)
-    whole = going.join(known, F.col("_key") == F.col("id"), "left").select("_id", "text", "n_bytes", "marks", "near", "items", "masks")
+    whole = going.join(known, F.col("_key") == F.col("id"), "left").select("_id", "text", "n_bytes", "marks", "shape", "known", "items", "masks")
     done = whole.mapInArrow(_finish, f"_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return settled.unionByName(done).withColumnRenamed("_id", id_col)
 
