@@ -56,15 +56,20 @@ def quoted_in(texts: DataFrame, text_id: str, quotes: DataFrame, quote_id: str,
     """
     asked = quotes.select(F.col(quote_id), F.col("text").alias("quote")).where("length(quote) > 0")
     lengths = [r[0] for r in asked.select(F.least(F.length("quote"), F.lit(key))).distinct().collect()]
-    out = None
+    met = None
     for n in sorted(lengths):
-        own = asked.where(F.least(F.length("quote"), F.lit(key)) == n).withColumn("gram", F.substring("quote", 1, n))
-        grams = F.regexp_extract_all("text", F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1))
-        places = texts.select(F.col(text_id), "text", F.explode(grams).alias("gram"))
+        own = asked.where(F.least(F.length("quote"), F.lit(key)) == n).select(quote_id, F.xxhash64(F.substring("quote", 1, n)).alias("gram"))
+        grams = F.transform(F.regexp_extract_all("text", F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)), lambda g: F.xxhash64(g))
+        # Hashes only propose; no text goes along with them.
+        places = texts.select(F.col(text_id), F.explode(grams).alias("gram"))
         small = own.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-        met = places.join(F.broadcast(own) if small else own, "gram").where(F.col("text").contains(F.col("quote"))).select(quote_id, text_id)
-        out = met if out is None else out.unionByName(met)
-    return out.distinct() if out is not None else asked.join(texts, F.lit(False)).select(quote_id, text_id)
+        pairs = places.join(F.broadcast(own) if small else own, "gram").select(quote_id, text_id)
+        met = pairs if met is None else met.unionByName(pairs)
+    if met is None:
+        return asked.join(texts, F.lit(False)).select(quote_id, text_id)
+    few = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    met = met.distinct().join(texts.select(text_id, "text"), text_id).join(F.broadcast(asked) if few else asked, quote_id)
+    return met.where(F.col("text").contains(F.col("quote"))).select(quote_id, text_id).distinct()
 
 
 def join_open(passages: DataFrame, keys: list[str], order: str, text_col: str, longest: int = 240) -> DataFrame:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,31 +25,98 @@ BROADCAST_ROWS = 200_000
 NUMBER_POINTS = 7
 
 
+class UnitIndex:
+    """Which questions have each unit, for questions of a checked number of units."""
+
+    def __init__(self, rows: pa.Table) -> None:
+        units, items = rows.column("unit").combine_chunks(), rows.column("item").to_numpy()
+        self.units = units.unique()
+        place = pc.index_in(units, self.units).to_numpy()
+        order = np.argsort(place, kind="stable")
+        self.items = items[order]
+        self.starts = np.searchsorted(place[order], np.arange(len(self.units) + 1))
+        self.sizes = np.bincount(items)
+
+    def shared(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, question, shared units) for rows of `units` that have more than a quarter of a question's."""
+        lists = batch.column(batch.schema.get_field_index("units"))
+        row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        found = pc.index_in(lists.flatten(), self.units)
+        known = found.is_valid().to_numpy(zero_copy_only=False)
+        unit, row = found.drop_null().to_numpy(), row[known]
+        n = self.starts[unit + 1] - self.starts[unit]
+        item = self.items[np.repeat(self.starts[unit] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        counts = np.bincount(np.repeat(row, n) * len(self.sizes) + item, minlength=len(lists) * len(self.sizes))
+        counts = counts.reshape(len(lists), len(self.sizes))
+        row, item = np.nonzero(counts * 4 > np.maximum(self.sizes, 1))
+        return row, item, counts[row, item]
+
+
+def _meet(index, keep: list[str]):
+    """From passages the rows (item, *keep, n_shared) that meet a question."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # A matrix of rows and questions at a time, of bounded size.
+            step = max(1, 4_000_000 // max(1, len(index.value.sizes)))
+            for lo in range(0, batch.num_rows, step):
+                some = batch.slice(lo, step)
+                row, item, n = index.value.shared(some)
+                held = [some.column(some.schema.get_field_index(c)).take(pa.array(row)) for c in keep]
+                yield pa.RecordBatch.from_arrays([pa.array(item.astype(np.int64)), *held, pa.array(n.astype(np.int64))], names=["item", *keep, "n_shared"])
+
+    return run
+
+
+def _met(passages: DataFrame, wanted: DataFrame, keep: list[str]) -> DataFrame:
+    """(item_id, n_units, *keep, n_shared) of passages with more than a quarter of a question's units.
+
+    Questions of few units are looked up in place, so nothing is shuffled but
+    what passes.  Otherwise both sides meet by the rarer units: what has more
+    than a quarter of a question's units has one that is left when as many of
+    its most frequent ones are set aside as a quarter holds.
+    """
+    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        items = wanted.select("item_id", "n_units").distinct().toArrow()
+        if not items.num_rows:
+            return wanted.select("item_id", "n_units").where("false").crossJoin(passages.select(*keep, F.lit(0).cast("long").alias("n_shared")).where("false"))
+        asked = wanted.select("item_id", "unit").toArrow()
+        numbered = asked.append_column("item", pc.index_in(asked.column("item_id"), items.column("item_id").combine_chunks()))
+        index = passages.sparkSession.sparkContext.broadcast(UnitIndex(numbered))
+        types = passages.schema
+        ddl = ", ".join(["item long", *(f"{c} {types[c].dataType.simpleString()}" for c in keep), "n_shared long"])
+        names = passages.sparkSession.createDataFrame(items.append_column("item", pa.array(range(items.num_rows), pa.int64())))
+        found = passages.select(*keep, "units").mapInArrow(_meet(index, keep), ddl)
+        return found.join(F.broadcast(names), "item").select("item_id", "n_units", *keep, "n_shared")
+    counts = passages.select(F.explode("units").alias("unit")).groupBy("unit").agg(F.count("*").alias("n"))
+    ranked = wanted.join(counts, "unit", "left").withColumn("rarity", F.row_number().over(Window.partitionBy("item_id").orderBy(F.coalesce("n", F.lit(0)), "unit")))
+    rare = ranked.where(F.col("rarity") <= F.col("n_units") - F.floor(F.col("n_units") / 4)).select("item_id", "wanted", "n_units", "unit")
+    met = passages.withColumn("unit", F.explode("units")).join(rare, "unit")
+    shared = F.array_intersect("wanted", "units")
+    # Of the units that both have, one stands for the pair.
+    met = met.withColumn("n_shared", F.size(shared).cast("long")).where(F.col("n_shared") * 4 > F.col("n_units"))
+    return met.select("item_id", "n_units", *keep, "n_shared").distinct()
+
+
 def candidate_passages(passages: DataFrame, asked: DataFrame, k: int = 3, at: tuple[str, ...] = ("passage_no",), prefer_numbers: bool = False) -> DataFrame:
     """The k passages that cover most of each question, from (doc_id, *at, n_chars, units) and (item_id, units).
 
-    A passage counts if it has more than a quarter of the question's units.
-    It then has one of those that are left when as many of the question's most
-    frequent units are set aside as a quarter holds, so only these rarer ones
-    are joined; coverage is computed in place, and only what passes is
-    shuffled.  A question without units is covered by every passage: its k
-    passages are the first in the order of ties.  With `prefer_numbers`,
-    passages have a column `digits`, and one with a digit has NUMBER_POINTS more.
+    A passage counts if it has more than a quarter of the question's units.  A
+    question without units is covered by every passage: its k passages are the
+    first in the order of ties.  With `prefer_numbers`, passages have a column
+    `digits`, and one with a digit has NUMBER_POINTS more.
     """
     more = F.when(F.col("digits"), NUMBER_POINTS).otherwise(0) if prefer_numbers else F.lit(0)
-    wanted = asked.select("item_id", F.col("units").alias("wanted"), F.size("units").alias("n_units"), F.explode("units").alias("unit"))
-    counts = passages.select(F.explode("units").alias("unit")).groupBy("unit").agg(F.count("*").alias("n"))
-    ranked = wanted.join(counts, "unit", "left").withColumn("rarity", F.row_number().over(Window.partitionBy("item_id").orderBy(F.coalesce("n", F.lit(0)), "unit")))
-    rare = ranked.where(F.col("rarity") <= F.col("n_units") - F.floor(F.col("n_units") / 4)).select("item_id", "wanted", "n_units", "unit")
-    small = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    met = passages.withColumn("unit", F.explode("units")).join(F.broadcast(rare) if small else rare, "unit")
-    shared = F.size(F.array_intersect("wanted", "units")).cast("long")
-    scored = met.withColumn("n_shared", shared).where(F.col("n_shared") * 4 > F.col("n_units"))
+    wanted = asked.select("item_id", F.col("units").alias("wanted"), F.size("units").cast("long").alias("n_units"), F.explode("units").alias("unit"))
+    keep = ["doc_id", *at, "n_chars", *(["digits"] if prefer_numbers else [])]
+    scored = _met(passages, wanted, keep)
     points = (F.round(F.col("n_shared") * 20 / F.col("n_units")) + more).cast("long")
-    scored = scored.select("item_id", "doc_id", *at, "n_chars", "n_shared", points.alias("points")).distinct()
+    scored = scored.select("item_id", "doc_id", *at, "n_chars", "n_shared", points.alias("points"))
     ties = [F.desc("points"), "n_chars", "doc_id", *at]
-    first = passages.select("doc_id", *at, "n_chars", F.lit(0).cast("long").alias("n_shared"), (F.lit(20) + more).cast("long").alias("points")).orderBy(*ties).limit(k)
-    scored = scored.unionByName(asked.where(F.size("units") == 0).select("item_id").crossJoin(F.broadcast(first)))
+    blank = asked.where(F.size("units") == 0).select("item_id")
+    if not blank.isEmpty():
+        first = passages.select("doc_id", *at, "n_chars", F.lit(0).cast("long").alias("n_shared"), (F.lit(20) + more).cast("long").alias("points")).orderBy(*ties).limit(k)
+        scored = scored.unionByName(blank.crossJoin(F.broadcast(first)))
     order = Window.partitionBy("item_id").orderBy(*ties)
     return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
