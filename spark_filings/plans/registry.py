@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import checking, claiming, retrieval, sourcing
+from . import checking, claiming, retrieval, scoring, sourcing
 
-MODULES = [retrieval, sourcing, checking, claiming]
+MODULES = [retrieval, sourcing, checking, claiming, scoring]
 
 FLAGSHIP = retrieval.top_passages
 
