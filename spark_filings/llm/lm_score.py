@@ -40,8 +40,8 @@ OWN_CODES = 1 << 15
 CODES = 1 << 16
 
 #: Rows of the larger weight table: a power of two, one for each ROW_TOKENS training tokens, within these bounds.
-ROW_TOKENS = 256
-LEAST_ROWS, MOST_ROWS = 1 << 19, 1 << 21
+ROW_TOKENS = 1024
+LEAST_ROWS, MOST_ROWS = 1 << 17, 1 << 21
 
 
 @dataclass(frozen=True)
@@ -67,9 +67,9 @@ STEPS = 16
 FLUSH = 1_000_000
 
 #: A shard has so many tokens for each row of the larger table, so that the weights which shards send stay in proportion to the text.
-SHARD_TOKENS = 16
+SHARD_TOKENS = 32
 ROUNDS = 2
-MINIBATCH = 1 << 14
+MINIBATCH = 1 << 11
 #: The step of the gradient, and the squares that each weight begins with: they keep what few tokens say small.
 RATE = 0.3
 SQUARES = 1.0
