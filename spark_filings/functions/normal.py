@@ -8,9 +8,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc_casefold(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     # Spark has no expression for compatibility forms.
     for texts in parts:
