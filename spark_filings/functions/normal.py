@@ -5,10 +5,13 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import LongType, StringType
+
+from .text import let
 
 
 @F.pandas_udf(StringType())
@@ -53,3 +56,52 @@ def read_variants(spark: SparkSession, path: str) -> DataFrame:
 
     forms = F.explode(F.regexp_extract_all(F.get("p", F.lit(2)), F.lit(r"U\+[0-9A-F]+"), F.lit(0)))
     return rows.select(F.get("p", F.lit(0)).alias("t"), forms.alias("s")).select(character(F.col("t")).alias("traditional"), character(F.col("s")).alias("simplified"))
+
+
+def scoring_units(text: Column, script: tuple[str, str] | None = None) -> Column:
+    """Distinct units of a folded text: words, figures as they are written, and character pairs of CJK runs."""
+
+    def units(t: Column) -> Column:
+        words = F.regexp_extract_all(t, F.lit(r"[a-z]+(?:'[a-z]+)?|[-+]?(?U:\d)(?U:[\d,.%/-])*"), F.lit(0))
+        pairs = F.regexp_extract_all(t, F.lit(r"(?=([\x{3400}-\x{9fff}]{2}))"), F.lit(1))
+        single = F.regexp_extract_all(t, F.lit(r"(?<![\x{3400}-\x{9fff}])([\x{3400}-\x{9fff}])(?![\x{3400}-\x{9fff}])"), F.lit(1))
+        return F.array_distinct(F.concat(words, pairs, single))
+
+    return let(folded(F.coalesce(text, F.lit("")), script), units)
+
+
+@F.pandas_udf(LongType())
+def _longest_common(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Length of the longest substring that both texts have; null for nulls."""
+
+    def longest(a: str | None, b: str | None) -> int | None:
+        if a is None or b is None:
+            return None
+        row, best = np.zeros(len(b) + 1, dtype=np.int64), 0
+        held = np.frombuffer(b.encode("utf-32-le"), dtype=np.uint32)
+        for c in np.frombuffer(a.encode("utf-32-le"), dtype=np.uint32):
+            row[1:] = np.where(held == c, row[:-1] + 1, 0)
+            best = max(best, int(row.max()))
+        return best
+
+    for a, b in parts:
+        yield pd.Series([longest(x, y) for x, y in zip(a, b)], dtype="Int64")
+
+
+def overlap(reference: Column, candidate: Column) -> Column:
+    """How much of a normal reference a normal candidate holds: 1 if all, else by the longest part that both have.
+
+    Empty texts overlap nothing, and those of fewer than 4 characters only
+    their equals.
+    """
+    ref, cand = F.coalesce(reference, F.lit("")), F.coalesce(candidate, F.lit(""))
+    short = F.least(F.length(ref), F.length(cand)) < 4
+    simple = (
+        F.when((ref == "") | (cand == ""), 0.0)
+        .when(short, (ref == cand).cast("double"))
+        .when(cand.contains(ref), 1.0)
+        .when(ref.contains(cand), F.length(cand) / F.length(ref))
+    )
+    # The helper sees only pairs that no expression settles.
+    left, right = (F.when(simple.isNull(), x) for x in (ref, cand))
+    return F.coalesce(simple, _longest_common(left, right) / F.length(ref))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.normal import folded
+from ..functions.places import places, without_marks
 
 # The rules of each locale, and its words of refusal,
 # explanation, negation and restatement.
@@ -74,21 +75,6 @@ def _any(text: Column, patterns: dict[str, str]) -> Column:
     return reduce(lambda a, b: a | b, (text.rlike(_FLAGS + p) for p in patterns.values()))
 
 
-def _matches(sentence: Column, pattern: Column | str, **fixed: str) -> Column:
-    """Places where a pattern matches: (before, match, after) and the fixed fields."""
-    parts = F.split(F.regexp_replace(sentence, pattern, "\x01$0\x02"), "\x01")
-
-    def place(i: Column) -> Column:
-        held = F.get(parts, i)
-        return F.struct(
-            F.translate(F.array_join(F.slice(parts, F.lit(1), i), ""), "\x02", "").alias("before"),
-            F.substring_index(held, "\x02", 1).alias("match"),
-            *(F.lit(v).alias(k) for k, v in fixed.items()),
-        )
-
-    return F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), place)).otherwise(F.array().cast("array<struct<before:string,match:string" + "".join(f",{k}:string" for k in fixed) + ">>"))
-
-
 def _in_quotes(before: Column, match: Column, after: Column) -> Column:
     """Whether a match lies between the marks of one quote."""
     inside = [
@@ -124,14 +110,14 @@ def advice(answers: DataFrame, forbidden: DataFrame, sources: DataFrame) -> Data
     within a quote that `sources` (task, text) have verbatim.  Equal matches of
     equal sentences count once.  A null answer has none.
     """
-    texts = answers.select("answer_id", "task", F.translate(folded(F.coalesce("output", F.lit(""))), "\x01\x02\x03", "   ").alias("text"))
+    texts = answers.select("answer_id", "task", without_marks(folded(F.coalesce("output", F.lit("")))).alias("text"))
     texts = _sheltered(texts, sources)
     cut = rf"(?<=[{ENDS}])(?![{ENDS}])"
     rows = texts.select("answer_id", "task", "shadow", F.posexplode(F.split("text", cut)).alias("no", "sentence"))
     ahead = Window.partitionBy("answer_id").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("start", F.coalesce(F.sum(F.length("sentence")).over(ahead), F.lit(0)))
     rows = rows.where(r"sentence rlike '\\S'").withColumn("shadow", F.substr("shadow", F.col("start").cast("int") + 1, F.length("sentence")))
-    matched = rows.withColumn("places", F.concat(*(_matches(F.col("sentence"), F.lit(_FLAGS + p), rule=name, locale=locale) for locale, rules in RULES.items() for name, p in rules.items())))
+    matched = rows.withColumn("places", F.concat(*(places(F.col("sentence"), _FLAGS + p, rule=name, locale=locale) for locale, rules in RULES.items() for name, p in rules.items())))
     found = matched.select("answer_id", "no", "sentence", "shadow", F.explode("places").alias("p")).select("answer_id", "no", "sentence", "shadow", "p.*")
     after = F.substr("sentence", F.length("before") + F.length("match") + 1)
     quoted = _in_quotes(F.col("before"), F.col("match"), after)
@@ -155,7 +141,7 @@ def advice(answers: DataFrame, forbidden: DataFrame, sources: DataFrame) -> Data
     # Phrases: excused if any locale excuses them.
     asked = forbidden.where("phrase <> ''").select("task", "phrase", folded(F.col("phrase")).alias("needle")).distinct()
     own = rows.join(F.broadcast(asked) if asked.limit(10_001).count() <= 10_000 else asked, "task").where(F.col("sentence").contains(F.col("needle")))
-    own = own.withColumn("p", F.explode(_matches(F.col("sentence"), F.concat(F.lit(r"\Q"), "needle", F.lit(r"\E"))))).select("answer_id", "no", "sentence", "shadow", "phrase", "p.*")
+    own = own.withColumn("p", F.explode(places(F.col("sentence"), F.concat(F.lit(r"\Q"), "needle", F.lit(r"\E"))))).select("answer_id", "no", "sentence", "shadow", "phrase", "p.*")
     own = own.withColumn("quoted", _in_quotes(F.col("before"), F.col("match"), after)).where(~blank)
     wide = fresh_in.groupBy("answer_id", "no").pivot("locale", list(RULES)).agg(F.max("advises"))
     own = own.join(wide, ["answer_id", "no"], "left")

@@ -98,3 +98,56 @@ def test_normal_text(spark):
     assert [r[0] for r in rows.select(normal.normal_text(F.col("t"), ("億", "亿"))).collect()] == ["strasse12亿元", None]
     variants = spark.createDataFrame([("億", "亿"), ("乾", "干"), ("乾", "乾"), ("後", "后"), ("后", "后"), ("發", "发"), ("髮", "发"), ("幹", "干"), ("干", "幹")], "traditional string, simplified string")
     assert normal.script_of(variants) == ("乾億後發髮", "干亿后发发") or dict(zip(*normal.script_of(variants)))["億"] == "亿"
+
+
+def test_overlap(spark):
+    from spark_filings.functions.normal import overlap
+
+    rows = [("abcdef", "xxabcdefyy", 1.0), ("abcdef", "bcde", 4 / 6), ("abcdef", "zzcdefzz", 4 / 6), ("abc", "abc", 1.0), ("abc", "abcd", 0.0), ("", "abcd", 0.0), (None, "x", 0.0), ("宁波中院裁定", "裁定宁波中院", 4 / 6)]
+    got = spark.createDataFrame(rows, "a string, b string, want double").select("want", overlap(F.col("a"), F.col("b")).alias("got")).collect()
+    assert all(r.got == pytest.approx(r.want) for r in got), got
+
+
+CITED = [
+    ("- [C-A] 公司收到通知书。 出处原句:「公司（以下简称“宁波中院”或“法院”）送达的通知书」", [("- [C-A] 公司收到通知书。", "公司（以下简称“宁波中院”或“法院”）送达的通知书", "")]),
+    ("The total rose\nsource: it rose by half\n", [("", "it rose by half", "")]),
+    ("S-A: context/report.txt - annual\nIt fell [S-A] \"it fell by a tenth\"", [("It fell [S-A]", "it fell by a tenth", "context/report.txt")]),
+    ("a first line\nthe claim\n> quoted words\nsource_file: .\\context\\X.txt", [("a first line", "quoted words", "context/x.txt")]),
+    ("He said \"abc\" and no more", []),
+    (None, []),
+]
+
+
+def test_citations(spark):
+    from spark_filings.operators import citations
+
+    rows = citations.citations(spark.createDataFrame([(k, c[0]) for k, c in enumerate(CITED)], "answer_id int, output string")).collect()
+    for k, (_, want) in enumerate(CITED):
+        got = [(r.claim, r.citation, r.source_file) for r in rows if r.answer_id == k]
+        assert set(want) <= set(got) and (want or not got), (k, got)
+
+
+def test_citation_alignment(spark):
+    from spark_filings.operators import citations
+
+    point = "The court accepted the restructuring application"
+    quote = "the court formally accepted the application for restructuring on Monday"
+    cases = [
+        (f'{point} "{quote}" (context/a.txt)', 1.0, False),
+        (f'{point} "{quote}" (context/b.txt)', 0.0, True),
+        (f'Rainfall was high this year "{quote[:12]}" (context/a.txt)', 0.0, False),
+        (f'{point} "another alternative wording" (a.txt)', 1.0, False),
+        ("nothing at all", 0.0, False),
+    ]
+    answers = spark.createDataFrame([(k, "t", c[0]) for k, c in enumerate(cases)], "answer_id int, task string, output string")
+    points = spark.createDataFrame([("t", "K1", point, True), ("t", "K2", "Ships sail far beyond seas", False)], "task string, point_id string, point string, required boolean")
+    evidence = spark.createDataFrame([("t", "E1", "K1", [quote, "another alternative wording"], "./context/A.txt"), ("t", "E2", "K2", ["ships sail"], None)], "task string, evidence_id string, point_id string, quotes array<string>, source_file string")
+    checks = citations.citation_checks(answers, points, evidence)
+    scores = {r.answer_id: r.score for r in citations.citation_alignment(answers, checks).collect()}
+    wrong = {r.answer_id for r in checks.where("wrong_source").collect()}
+    for k, (_, score, bad) in enumerate(cases):
+        assert scores[k] == score and (k in wrong) == bad, (k, scores, wrong)
+    contrary = spark.createDataFrame([(9, "u", 'It is not yet accepted. "it is not yet accepted"; the case was accepted')], "answer_id int, task string, output string")
+    gold = spark.createDataFrame([("u", "K1", "It is not yet accepted", True)], "task string, point_id string, point string, required boolean")
+    proof = spark.createDataFrame([("u", "E1", "K1", ["it is not yet accepted"], "")], "task string, evidence_id string, point_id string, quotes array<string>, source_file string")
+    assert [(r.conflict, r.aligned, r.best_overlap) for r in citations.citation_checks(contrary, gold, proof).collect()] == [(True, False, 1.0)]
