@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import checking, claiming, retrieval, scoring, sourcing
+from . import asking, checking, claiming, retrieval, scoring, sourcing
 
-MODULES = [retrieval, sourcing, checking, claiming, scoring]
+MODULES = [retrieval, sourcing, checking, claiming, scoring, asking]
 
 FLAGSHIP = retrieval.top_passages
 

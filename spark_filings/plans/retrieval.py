@@ -7,10 +7,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import quotable_fragments, semantic_units, split_passages
+from ..operators.recipes import key_units
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,8 +38,8 @@ class UnitIndex:
         self.starts = np.searchsorted(place[order], np.arange(len(self.units) + 1))
         self.sizes = np.bincount(items)
 
-    def shared(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, question, shared units) for rows of `units` that have more than a quarter of a question's."""
+    def shared(self, batch: pa.RecordBatch, least: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, question, shared units) for rows of `units` that have `least` of a question's, or by default more than a quarter."""
         lists = batch.column(batch.schema.get_field_index("units"))
         row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
         found = pc.index_in(lists.flatten(), self.units)
@@ -48,11 +49,11 @@ class UnitIndex:
         item = self.items[np.repeat(self.starts[unit] - np.cumsum(n) + n, n) + np.arange(n.sum())]
         counts = np.bincount(np.repeat(row, n) * len(self.sizes) + item, minlength=len(lists) * len(self.sizes))
         counts = counts.reshape(len(lists), len(self.sizes))
-        row, item = np.nonzero(counts * 4 > np.maximum(self.sizes, 1))
+        row, item = np.nonzero(counts * 4 > np.maximum(self.sizes, 1) if least is None else counts >= least)
         return row, item, counts[row, item]
 
 
-def _meet(index, keep: list[str]):
+def _meet(index, keep: list[str], least: int | None):
     """From passages the rows (item, *keep, n_shared) that meet a question."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,15 +62,15 @@ def _meet(index, keep: list[str]):
             step = max(1, 4_000_000 // max(1, len(index.value.sizes)))
             for lo in range(0, batch.num_rows, step):
                 some = batch.slice(lo, step)
-                row, item, n = index.value.shared(some)
+                row, item, n = index.value.shared(some, least)
                 held = [some.column(some.schema.get_field_index(c)).take(pa.array(row)) for c in keep]
                 yield pa.RecordBatch.from_arrays([pa.array(item.astype(np.int64)), *held, pa.array(n.astype(np.int64))], names=["item", *keep, "n_shared"])
 
     return run
 
 
-def _met(passages: DataFrame, wanted: DataFrame, keep: list[str]) -> DataFrame:
-    """(item_id, n_units, *keep, n_shared) of passages with more than a quarter of a question's units.
+def _met(passages: DataFrame, wanted: DataFrame, keep: list[str], least: int | None = None) -> DataFrame:
+    """(item_id, n_units, *keep, n_shared) of passages with `least` of a question's units, or more than a quarter of them.
 
     Questions of few units are looked up in place, so nothing is shuffled but
     what passes.  Otherwise both sides meet by the rarer units: what has more
@@ -86,15 +87,16 @@ def _met(passages: DataFrame, wanted: DataFrame, keep: list[str]) -> DataFrame:
         types = passages.schema
         ddl = ", ".join(["item long", *(f"{c} {types[c].dataType.simpleString()}" for c in keep), "n_shared long"])
         names = passages.sparkSession.createDataFrame(items.append_column("item", pa.array(range(items.num_rows), pa.int64())))
-        found = passages.select(*keep, "units").mapInArrow(_meet(index, keep), ddl)
+        found = passages.select(*keep, "units").mapInArrow(_meet(index, keep, least), ddl)
         return found.join(F.broadcast(names), "item").select("item_id", "n_units", *keep, "n_shared")
     counts = passages.select(F.explode("units").alias("unit")).groupBy("unit").agg(F.count("*").alias("n"))
     ranked = wanted.join(counts, "unit", "left").withColumn("rarity", F.row_number().over(Window.partitionBy("item_id").orderBy(F.coalesce("n", F.lit(0)), "unit")))
-    rare = ranked.where(F.col("rarity") <= F.col("n_units") - F.floor(F.col("n_units") / 4)).select("item_id", "wanted", "n_units", "unit")
+    aside = F.floor(F.col("n_units") / 4) if least is None else F.lit(least - 1)
+    rare = ranked.where(F.col("rarity") <= F.col("n_units") - aside).select("item_id", "wanted", "n_units", "unit")
     met = passages.withColumn("unit", F.explode("units")).join(rare, "unit")
     shared = F.array_intersect("wanted", "units")
     # Of the units that both have, one stands for the pair.
-    met = met.withColumn("n_shared", F.size(shared).cast("long")).where(F.col("n_shared") * 4 > F.col("n_units"))
+    met = met.withColumn("n_shared", F.size(shared).cast("long")).where(F.col("n_shared") * 4 > F.col("n_units") if least is None else F.col("n_shared") >= least)
     return met.select("item_id", "n_units", *keep, "n_shared").distinct()
 
 
@@ -134,7 +136,53 @@ def fragments_of(docs: DataFrame, least: int = 8) -> DataFrame:
     passages = docs.select("doc_id", F.posexplode(split_passages(F.col("text"))).alias("passage_no", "passage"))
     pieces = passages.select("doc_id", "passage_no", F.posexplode(quotable_fragments(F.col("passage"))).alias("fragment_no", "fragment"))
     pieces = pieces.withColumn("fragment", F.regexp_replace("fragment", r"^\s+|\s+$", "")).where(F.length("fragment") >= least)
-    return pieces.select("doc_id", "passage_no", "fragment_no", F.length("fragment").alias("n_chars"), F.col("fragment").rlike("[0-9]").alias("digits"), semantic_units(F.col("fragment")).alias("units"))
+    return pieces.select("doc_id", "passage_no", "fragment_no", "fragment", F.length("fragment").alias("n_chars"), F.col("fragment").rlike("[0-9]").alias("digits"), semantic_units(F.col("fragment")).alias("units"))
+
+
+#: Wording that reports that something is not disclosed or has not happened.
+ABSENCE_WORDING = (
+    "尚未|仍未|暂未|暫未|尚无|尚無|暂无|暫無|未确定|未確定|未指定|未披露|未揭露|未提及|未说明|未說明|未明确|未明確|无法核实|無法核實|没有披露|沒有揭露|尚需|尚待|"
+    "not yet|has not|have not|not disclosed|not stated|not specified|undetermined"
+)
+
+
+def nearest_fragments(docs: DataFrame, asked: DataFrame, accept: Column | None = None) -> DataFrame:
+    """(item_id, doc_id, fragment, n_shared): the fragment of ten characters or more that shares most distinctive units with a question, two at least."""
+    pieces = fragments_of(docs, 10)
+    pieces = pieces if accept is None else pieces.where(accept)
+    wanted = asked.select("item_id", key_units(F.col("text")).alias("wanted"))
+    wanted = wanted.select("item_id", "wanted", F.size("wanted").cast("long").alias("n_units"), F.explode("wanted").alias("unit"))
+    met = _met(pieces, wanted, ["doc_id", "n_chars", "fragment"], 2)
+    order = Window.partitionBy("item_id").orderBy(F.desc("n_shared"), "n_chars", "doc_id", "fragment")
+    return met.withColumn("place", F.row_number().over(order)).where("place = 1").select("item_id", "doc_id", "fragment", "n_shared")
+
+
+def supporting_fragments(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(item_id, doc_id, fragment, n_markers, n_shared): of fragments that report an absence and share a distinctive unit with a question, the most explicit."""
+    markers = F.size(F.array_distinct(F.regexp_extract_all("fragment", F.lit(ABSENCE_WORDING), F.lit(0)))).cast("long")
+    pieces = fragments_of(docs, 10).withColumn("n_markers", markers).where("n_markers > 0")
+    wanted = asked.select("item_id", key_units(F.col("text")).alias("wanted"))
+    wanted = wanted.select("item_id", "wanted", F.size("wanted").cast("long").alias("n_units"), F.explode("wanted").alias("unit"))
+    met = _met(pieces, wanted, ["doc_id", "passage_no", "fragment_no", "n_chars", "fragment", "n_markers"], 1)
+    order = Window.partitionBy("item_id").orderBy(F.desc("n_markers"), F.desc("n_shared"), "n_chars", "doc_id", "passage_no", "fragment_no")
+    return met.withColumn("place", F.row_number().over(order)).where("place = 1").select("item_id", "doc_id", "fragment", "n_markers", "n_shared")
+
+
+def passages_containing(figures: DataFrame, passages: DataFrame, k: int = 3) -> DataFrame:
+    """(run, place, doc_id, passage_no) of the first k passages (run, doc_id, passage_no, passage) of a run that hold one of its figures (run, raw) verbatim.
+
+    Both sides meet by the runs of digits that they have, then the figure is
+    looked for as it is written.
+    """
+
+    def digits(text: str) -> Column:
+        return F.array_distinct(F.regexp_extract_all(text, F.lit("[0-9]+"), F.lit(0)))
+
+    asked = figures.select("run", "raw", F.element_at(digits("raw"), 1).alias("key")).where("key is not null").distinct()
+    held = passages.withColumn("key", F.explode(digits("passage")))
+    met = held.join(asked, ["run", "key"]).where(F.col("passage").contains(F.col("raw"))).select("run", "doc_id", "passage_no").distinct()
+    order = Window.partitionBy("run").orderBy("doc_id", "passage_no")
+    return met.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("run", "place", "doc_id", "passage_no")
 
 
 def top_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,5 +217,30 @@ shared AS (
 SELECT item_id, place, doc_id, passage_no, n_shared, points FROM ranked WHERE place <= 3
 """
 
-QUERIES = {"top_passages": top_passages, "top_fragments": top_fragments}
-ORACLES = {"top_passages": TOP_PASSAGES_SQL}
+def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = nearest_fragments(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("item_id", "doc_id", F.sha2("fragment", 256).alias("fragment_sha256"), "n_shared")
+
+
+def supporting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = supporting_fragments(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("item_id", "doc_id", F.sha2("fragment", 256).alias("fragment_sha256"), "n_markers", "n_shared")
+
+
+def figure_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three lines of a customer's orders that name one of the order keys of the customer's urgent orders."""
+    orders = _table(spark, sf_dir, "orders")
+    passages = orders.select(F.col("o_custkey").alias("run"), F.col("o_orderkey").alias("doc_id"), F.lit(0).alias("passage_no"), F.concat(F.lit("Order "), "o_orderkey", F.lit(" of "), F.date_format("o_orderdate", "yyyy-MM-dd")).alias("passage"))
+    figures = orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("run"), F.concat(F.lit("er "), "o_orderkey").alias("raw"))
+    return passages_containing(figures, passages).select("run", "place", "doc_id")
+
+
+FIGURE_PASSAGES_SQL = """
+WITH u AS (SELECT o_custkey AS run, o_orderkey AS k FROM orders WHERE o_orderpriority = '1-URGENT'),
+m AS (SELECT DISTINCT o_custkey AS run, o_orderkey AS doc_id FROM orders JOIN u ON o_custkey = run AND o_orderkey = k),
+r AS (SELECT run, doc_id, row_number() OVER (PARTITION BY run ORDER BY doc_id) AS place FROM m)
+SELECT run, place, doc_id FROM r WHERE place <= 3
+"""
+
+QUERIES = {"top_passages": top_passages, "top_fragments": top_fragments, "nearest": nearest, "supporting": supporting, "figure_passages": figure_passages}
+ORACLES = {"top_passages": TOP_PASSAGES_SQL, "figure_passages": FIGURE_PASSAGES_SQL}
