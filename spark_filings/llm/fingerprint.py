@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUE, SLICE_BYTES, U64, mix64, prefix_hash, saved, span_hash, table
+from .common import BYTE_VALUE, SLICE_BYTES, U64, arrow_type, column, mix64, prefix_hash, saved, span_hash, table
 
 WINDOW = 7
 LONGEST = 64
@@ -222,18 +222,19 @@ def fingerprint_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: st
     all with the first of all.
 
     A null text is empty.  A null id comes last.  Documents with the same id
-    follow each other by a hash of their text, and equal rows in any order.  A
+    (ties) follow each other by a hash of their text, and equal rows in any
+    order.  Very long texts are fingerprinted whole, and by 64 symbols at most
+    at each block size.  A
     table of one document is followed by itself.  Two empty fingerprints are
     alike (1), an empty and another are not (0).  Other columns are ignored;
     an empty table gives an empty result.
     """
     kind = docs.schema[id_col].dataType
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    rows = docs.select(column(id_col).alias("_id"), F.coalesce(column(text_col), F.lit("")).alias("_text"))
     rows = rows.withColumn("_tie", F.xxhash64("_text")).withColumn("_n", F.monotonically_increasing_id())
     order = [F.col("_id").isNull(), F.col("_id"), F.col("_tie"), F.col("_n")]
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("_id", "_text")
-    id_type = pa.int64() if kind.simpleString() == "bigint" else pa.int32() if kind.simpleString() == "int" else pa.string()
-    schema = _OUT.set(2, pa.field("_id", id_type))
+    schema = _OUT.set(2, pa.field("_id", arrow_type(docs, id_col)))
     ddl = _DDL.format(id=kind.simpleString())
     walked = saved(dealt.mapInArrow(_walk(schema), ddl))
 

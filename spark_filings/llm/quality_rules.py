@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, saved, table
+from .common import SPACE, WORD, column, saved, table
 
 #: Symbols that n_symbols counts.
 SYMBOLS = "#*$%&|<>"
@@ -173,6 +173,20 @@ class DecisionList:
         return F.lit(None).cast("int") if out is None else out
 
 
+def _chosen(labels: DataFrame, id_col: str, label_col: str, max_labelled: int) -> DataFrame:
+    """(_lid, _y): at most `max_labelled` labelled ids, the first by a hash."""
+    return (
+        labels.select(F.col(id_col).alias("_lid"), F.col(label_col).cast("int").alias("_y"))
+        .where(F.col("_lid").isNotNull() & F.col("_y").isin(0, 1))
+        .groupBy("_lid")
+        .agg(F.min("_y").alias("_y"), F.max("_y").alias("_z"))
+        .where("_y = _z")
+        .select("_lid", "_y")
+        .orderBy(F.xxhash64("_lid"), "_lid")
+        .limit(max_labelled)
+    )
+
+
 def learn_decision_list(
     counts: DataFrame,
     labels: DataFrame,
@@ -192,16 +206,7 @@ def learn_decision_list(
     quantiles over the labelled rows, and rows are counted by vector of
     threshold indices, label and part (grow or prune).
     """
-    chosen = (
-        labels.select(F.col(id_col).alias("_lid"), F.col(label_col).cast("int").alias("_y"))
-        .where(F.col("_lid").isNotNull() & F.col("_y").isin(0, 1))
-        .groupBy("_lid")
-        .agg(F.min("_y").alias("_y"), F.max("_y").alias("_z"))
-        .where("_y = _z")
-        .select("_lid", "_y")
-        .orderBy(F.xxhash64("_lid"), "_lid")
-        .limit(max_labelled)
-    )
+    chosen = _chosen(labels, id_col, label_col, max_labelled)
     usable = counts.where(~base_failed()).select("_id", *(ratio(n).alias(n) for n in RATIOS))
     rows = saved(usable.join(F.broadcast(chosen), F.col("_id") == F.col("_lid")).select("_y", (F.pmod(F.xxhash64("_lid", F.lit(1)), F.lit(3)) == 0).alias("_prune"), *RATIOS))
     names = list(RATIOS)
@@ -275,7 +280,8 @@ def judge_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """Return (id_col, counts, base_failed, rule, kept), a row for each document.
 
     A null text has no words and so fails the base rule.  A null id keeps its
-    row.  Repeated rows are judged alike.  Other columns are ignored.  An
+    row.  Repeated rows are judged alike; of conditions that tie, the one named
+    first wins.  Very long texts are counted whole.  Other columns are ignored.  An
     empty table, or one without labels, learns no rule.
     """
     counts = saved(with_counts(docs, id_col, text_col))
@@ -294,9 +300,13 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     The same conditional expression is applied to each row in place, so rows
     are neither joined nor reordered.
     """
-    rules = learn_decision_list(saved(with_counts(docs.join(labels.select(F.col(id_col)).distinct(), id_col, "left_semi"), id_col, text_col)), labels, id_col, **learning)
+    # Of all texts only those that may train are counted for training; the others stay where they are.
+    chosen = saved(_chosen(labels, id_col, learning.get("label_col", "quality"), learning.get("max_labelled", MAX_LABELLED)).select("_lid"))
+    some = docs.select(column(id_col).alias(id_col), column(text_col).alias(text_col))
+    some = some.join(F.broadcast(chosen), F.col(id_col) == F.col("_lid"), "left_semi")
+    rules = learn_decision_list(saved(with_counts(some, id_col, text_col)), labels, id_col, **learning)
     names = docs.columns
-    rows = docs.select(F.struct(*names).alias("_row"), F.col(text_col).alias("_text")).withColumn("_words", words_of(F.col("_text")))
+    rows = docs.select(F.struct(*map(column, names)).alias("_row"), column(text_col).alias("_text")).withColumn("_words", words_of(F.col("_text")))
     rows = rows.select("_row", *(c.alias(n) for n, c in text_counts(F.col("_text")).items()))
     return rows.where(~base_failed() & rules.column().isNull()).select("_row.*")
 

@@ -93,6 +93,59 @@ def test_fingerprint(spark, texts):
         assert by_text.setdefault(texts[i], got[i].fingerprint) == got[i].fingerprint
 
 
+def by_bytes(raw):
+    """The signature of a text, byte by byte: block size and the symbols of chunks at it and at its doubles."""
+    base, values = 0x9E3779B97F4A7C15, fingerprint.BYTE_VALUE.tolist()
+
+    def hashed(a, b, seed=0):
+        total = sum(values[raw[k]] * pow(base, k - a, 1 << 64) for k in range(a, b)) % (1 << 64)
+        return int(fingerprint.mix64(np.array([total], dtype=np.uint64), seed)[0])
+
+    rolling = [hashed(max(0, k - 6), k + 1) for k in range(len(raw))]
+
+    def triggers(size):
+        return [k + 1 for k, h in enumerate(rolling) if h % size == size - 1]
+
+    block = 0
+    while len(triggers(3 << block)) >= 64:
+        block += 1
+    parts = []
+    for level in range(3):
+        ends = triggers(3 << (block + level))
+        ends += [len(raw)] if (ends[-1] if ends else 0) < len(raw) else []
+        parts.append("".join(chr(fingerprint.ALPHABET[hashed(a, b, 5) >> 58]) for a, b in zip([0, *ends], ends)))
+    return block, parts
+
+
+def alike(x, y):
+    best = 0.0
+    for i, a in enumerate(x[1]):
+        for j, b in enumerate(y[1]):
+            if x[0] + i == y[0] + j:
+                best = max(best, 1 - levenshtein(a, b) / max(len(a), len(b)) if a or b else 1.0)
+    return best
+
+
+def test_fingerprint_by_bytes(texts):
+    """Signatures and likeness against a version that goes byte by byte."""
+    rng = random.Random(4)
+    some = [t for t in texts.values() if len(t) < 3000][:25]
+    raw = [t.encode() for t in [*some, "", "a", "é" * 90]]
+    raw += [x[: len(x) // 2] + bytes([rng.randrange(97, 123)]) + x[len(x) // 2 :] for x in raw[:12]]
+    got, want = fingerprint.signatures(raw), [by_bytes(x) for x in raw]
+    for i, (block, parts) in enumerate(want):
+        assert got.text(i) == ":".join([str(3 << block), *parts])
+    pairs = [(i, j) for i in range(len(raw)) for j in (0, 3, len(raw) - 5, (i * 7) % len(raw))]
+    left, right = (fingerprint.signatures([raw[p[c]] for p in pairs]) for c in (0, 1))
+    assert np.allclose(fingerprint.likeness(left, right), [alike(want[i], want[j]) for i, j in pairs])
+
+
+@pytest.mark.parametrize("kind", ["smallint", "decimal(20,0)", "string"])
+def test_fingerprint_ids(spark, kind):
+    docs = spark.createDataFrame([(1, "one"), (2, "two"), (None, "three")], "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+    assert sorted((str(r.doc_id), r.n_chars) for r in fingerprint.fingerprint_neighbours(docs).collect()) == [("1", 3), ("2", 3), ("None", 5)]
+
+
 def test_fingerprint_odd(spark, odd):
     rows = fingerprint.fingerprint_neighbours(odd).collect()
     assert len(rows) == odd.count()
