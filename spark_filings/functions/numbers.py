@@ -110,10 +110,8 @@ def label_of(text: Column) -> Column:
 
 def _choice(of: Column, choices: dict) -> Column:
     """The value of a choice, null for anything else."""
-    out = None
-    for name, value in choices.items():
-        out = F.when(of == name, F.lit(value)) if out is None else out.when(of == name, F.lit(value))
-    return out
+    held = F.create_map(*(F.lit(x) for pair in choices.items() for x in pair))
+    return F.try_element_at(held, of)
 
 
 def explode_numbers(texts: DataFrame, text_col: str) -> DataFrame:
@@ -127,19 +125,42 @@ def explode_numbers(texts: DataFrame, text_col: str) -> DataFrame:
     marked = F.regexp_replace(F.translate(text_col, "\x01\x02", "  "), FIGURES, "\x01$0\x02")
     pieces = F.transform(F.split(F.coalesce(marked, F.lit("")), "\x01"), lambda p: F.substring_index(p, "\x02", 1))
     rows = texts.select(*keys, F.posexplode(pieces).alias("place", "raw")).where("place > 0").withColumn("place", F.col("place") - 1)
-    raw, plain = F.col("raw"), fold_width(F.col("raw"))
-    numbers = F.regexp_extract_all(plain, F.lit(r"[0-9]+"), F.lit(0))
-    figure = canonical_decimal(F.regexp_replace(F.regexp_extract(plain, r"[-+]?[0-9][0-9,]*(?:\.[0-9]+)?", 0), r"^\+", ""))
-    mark = F.upper(F.regexp_extract(raw, rf"(?i)^{_MARK}", 0))
-    label = label_of(F.regexp_extract(raw, rf"(?iU){_LABEL}$", 0))
+    # Parts of what a figure says are columns of their own, so that each is found once.
+    raw, plain = F.col("raw"), F.col("_plain")
+    rows = rows.select(
+        *keys,
+        "place",
+        "raw",
+        fold_width(raw).alias("_plain"),
+        F.upper(F.regexp_extract(raw, rf"(?i)^{_MARK}", 0)).alias("_mark"),
+        label_of(F.regexp_extract(raw, rf"(?iU){_LABEL}$", 0)).alias("_label"),
+        F.trim(F.lower(F.regexp_extract(raw, rf"(?i)(?:{'|'.join(SCALES)})\s*$", 0))).alias("_scale"),
+        raw.rlike(rf"(?iU)^{_DATE}$").alias("_is_date"),
+    )
+    mark, label = F.col("_mark"), F.col("_label")
     kind = (
         F.when(raw.rlike(r"^[（(]"), "doc_no")
-        .when(raw.rlike(rf"(?iU)^{_DATE}$"), "date")
+        .when(F.col("_is_date"), "date")
         .when((mark != "") | (label != ""), "amount")
         .when(raw.rlike(rf"(?iU){PERCENT}$"), "percent")
         .when(raw.rlike(r"(?U)\d"), "scalar")
     )
-    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.regexp_extract(raw, rf"(?i){_MONTH}", 0)))
+    currency = F.when(mark != "", _choice(mark, MARKS)).otherwise(_choice(label, {k: v for k, (v, _) in AMOUNTS.items()}))
+    power = F.when(mark != "", _choice(F.col("_scale"), SCALES)).otherwise(_choice(label, {k: v for k, (_, v) in AMOUNTS.items()}))
+    figure = canonical_decimal(F.regexp_replace(F.regexp_extract(plain, r"[-+]?[0-9][0-9,]*(?:\.[0-9]+)?", 0), r"^\+", ""))
+    rows = rows.select(
+        *keys,
+        "place",
+        F.regexp_replace("raw", ",$", "").alias("raw"),
+        kind.alias("kind"),
+        F.when(~F.col("_is_date"), figure).alias("_figure"),
+        F.when(F.col("_is_date"), F.regexp_extract_all(plain, F.lit(r"[0-9]+"), F.lit(0))).alias("_numbers"),
+        F.when(F.col("_is_date"), F.lower(F.regexp_extract(raw, rf"(?i){_MONTH}", 0))).alias("_month"),
+        F.when(raw.rlike(r"^[（(]"), normal_document(raw)).alias("_doc"),
+        F.coalesce(power, F.lit(0)).alias("_power"),
+        currency.alias("_currency"),
+    )
+    numbers, month = F.col("_numbers"), F.array_position(F.array(*map(F.lit, MONTHS)), F.col("_month"))
     year_first = F.length(F.get(numbers, F.lit(0))) == 4
     date = F.concat_ws(
         "-",
@@ -147,12 +168,7 @@ def explode_numbers(texts: DataFrame, text_col: str) -> DataFrame:
         F.lpad(F.when(month > 0, month.cast("string")).otherwise(F.get(numbers, F.lit(1))), 2, "0"),
         F.lpad(F.when(year_first, F.get(numbers, F.lit(2))).otherwise(F.get(numbers, F.lit(0))), 2, "0"),
     )
-    scale = F.lower(F.regexp_extract(raw, rf"(?i)(?:{'|'.join(SCALES)})?\s*$", 0))
-    rows = rows.select(*keys, "place", "raw", kind.alias("kind"), figure.alias("_figure"), date.alias("_date"), mark.alias("_mark"), label.alias("_label"), F.trim(scale).alias("_scale"), normal_document(raw).alias("_doc"))
-    mark, label = F.col("_mark"), F.col("_label")
-    power = F.when(mark != "", F.coalesce(_choice(F.col("_scale"), SCALES), F.lit(0))).when(label != "", _choice(label, {k: v for k, (_, v) in AMOUNTS.items()}))
-    currency = F.when(mark != "", _choice(mark, MARKS)).otherwise(_choice(label, {k: v for k, (v, _) in AMOUNTS.items()}))
-    rows = rows.select(*keys, "place", F.regexp_replace("raw", ",$", "").alias("raw"), "kind", "_figure", "_date", "_doc", F.coalesce(power, F.lit(0)).alias("_power"), currency.alias("_currency"))
+    rows = rows.select(*keys, "place", "raw", "kind", "_figure", date.alias("_date"), "_doc", "_power", "_currency")
     amount = F.col("kind") == "amount"
     value = F.when(amount, shift_point(F.col("_figure"), F.col("_power"))).when(F.col("kind") == "date", F.col("_date")).when(F.col("kind") == "doc_no", F.col("_doc")).otherwise(F.col("_figure"))
     unit = F.when(amount, F.col("_currency")).when((F.col("kind") == "scalar") & F.col("raw").contains("倍"), "multiple").otherwise(F.col("kind"))
