@@ -47,7 +47,7 @@ b AS (SELECT page_id, html, regexp_replace(regexp_replace(regexp_replace(t, '(?s
 c AS (SELECT page_id, html, regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(replace(regexp_replace(
       t, '(?i)&lt;', '<', 'g'), '&#39;', ''''), '(?i)&gt;', '>', 'g'), '&#160;', ' '),
       '(?i)&quot;', '"', 'g'), '(?i)&apos;', '''', 'g'), '(?i)&nbsp;', ' ', 'g'), '(?i)&amp;', '&', 'g') AS t FROM b),
-d AS (SELECT page_id, html, regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), '\n\s*\n\s*\n+', chr(10) || chr(10), 'g') AS t FROM c),
+d AS (SELECT page_id, html, regexp_replace(regexp_replace(t, '[ \t\x{00A0}]+', ' ', 'g'), '\n\s*\n\s*\n+', chr(10) || chr(10), 'g') AS t FROM c),
 e AS (SELECT page_id, html, array_to_string(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), chr(10)) AS t FROM d)
 SELECT page_id, CASE WHEN regexp_matches(html, '(?i)<[a-z!/]') THEN regexp_replace(t, '^\s+|\s+$', '', 'g') ELSE html END AS text FROM e
 """

@@ -62,6 +62,79 @@ def test_html(spark):
     assert one(spark, t.html_to_text, page, "no tags &amp;", None) == ["a & b &bogus;\n c\nd".replace("\n c", "\nc"), "no tags &amp;", None]
 
 
+def test_html_pieces(spark):
+    pages = ["<div>a\u00a0\u00a0b </div><!-- <p>x</p> --><STYLE a>y</style>c &LT;d&gt; &amp;lt; & e", "<p>1</p>\n \n\n<p>2</p>", "a < b <br>c"]
+    assert one(spark, t.html_to_text, *pages) == ["a b\nc <d> &lt; & e", "1\n\n2", "a < b\nc"]
+
+
+def test_nearest_and_supporting(spark, monkeypatch):
+    """The nearest fragment, the one that reports an absence, and the same passages by either way to meet them."""
+    docs = spark.createDataFrame([(1, "The auditor signed the report of the company. The fee of the auditor is not yet stated."), (2, "An auditor report, signed in full; nothing else here."), (3, None)], "doc_id long, text string")
+    asked = spark.createDataFrame([(7, "Which auditor signed the report?"), (8, "What fee is due"), (9, "unheard words"), (10, "")], "item_id long, text string")
+
+    def found():
+        near = {r.item_id: (r.doc_id, r.fragment, r.n_shared) for r in retrieval.nearest_fragments(docs, asked).collect()}
+        told = {r.item_id: (r.doc_id, r.n_markers, r.n_shared) for r in retrieval.supporting_fragments(docs, asked).collect()}
+        return near, told
+
+    first = found()
+    assert first == ({7: (2, "An auditor report, signed in full;", 3)}, {7: (1, 1, 3), 8: (1, 1, 1)})
+    monkeypatch.setattr(retrieval, "BROADCAST_ROWS", 0)
+    assert found() == first
+
+
+def test_windows(spark):
+    from spark_filings.operators import windows
+
+    def by_hand(text, size, carry):
+        if len(text) <= size:
+            return [text]
+        out, held = [], ""
+        for passage in (x for x in text.split(" ")):
+            for piece in (passage[k : k + size] for k in range(0, len(passage), size)):
+                if held and len(held) + len(piece) > size:
+                    out.append(held)
+                    held = held[-carry:]
+                held += piece
+        return [*out, held] if held.strip() else out
+
+    texts = ["short", "", None, "aaaa; " + "b" * 25 + "; cc; dddddd; e;", "x" * 40]
+    rows = windows.window_documents(spark.createDataFrame(list(enumerate(texts)), "k int, t string"), "k", "t", 12, 3).orderBy("k", "index").collect()
+    for k, x in enumerate(texts):
+        want = by_hand(x or "", 12, 3)
+        assert [(r.window, r.total) for r in rows if r.k == k] == [(w, len(want)) for w in want], (k, want)
+    held = spark.createDataFrame([(1, i, 4, w) for i, w in enumerate(("front", "some words", "apples and pears", "pears"), 1)], "k int, index long, total long, window string")
+    focus = spark.createDataFrame([("apples pears",), ("pears",)], "question string")
+    assert [r["index"] for r in windows.select_windows(held, "k", focus, 2).collect()] == [1, 3]
+
+
+def test_tasks(spark, tmp_path):
+    import json
+
+    from spark_filings.operators import tasks
+
+    for name, body in {"A/task.json": {"id": "A", "lang": "zh-CN"}, "A/task.en.json": {"id": "A", "lang": "en"}, "A/gold.json": {"must_refuse": True}, "A/gold.en.json": {"must_refuse": False}, "T/task.json": {"id": "T", "lang": "en", "trap": True}, "T/gold.json": {"forbidden": ["x"]}}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(json.dumps(body))
+    rows = tasks.read_tasks(spark, str(tmp_path))
+    gold = {(r.folder, r.lang): (r.must_refuse, r.forbidden) for r in tasks.read_gold(spark, str(tmp_path)).collect()}
+    assert gold == {("A", "zh-CN"): (True, None), ("A", "en"): (False, None), ("T", "en"): (None, ["x"])}
+    chosen, unknown = tasks.select_tasks(rows)
+    assert chosen.count() == 2 and unknown.count() == 0
+    chosen, unknown = tasks.select_tasks(rows, ["T", "Z"], ["en"])
+    assert [r.id for r in chosen.collect()] == ["T"] and [r.id for r in unknown.collect()] == ["Z"]
+
+
+def test_scores_of_repeated_files(spark, tmp_path):
+    from spark_filings.streaming import scores
+
+    rows = spark.createDataFrame([("r", 1, "a"), ("r", 2, "bb")], "run string, task int, output string")
+    for _ in range(2):
+        rows.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        scores.stream_scores(spark, f"{tmp_path}/in", rows.schema, lambda b: b.select("run", "task", F.length("output").alias("score")), f"{tmp_path}/out", f"{tmp_path}/state")
+    assert sorted(map(tuple, scores.latest_scores(spark, f"{tmp_path}/out", ["run", "task"]).select("run", "task", "score").collect())) == [("r", 1, 1), ("r", 2, 2)]
+
+
 def test_titles(spark):
     assert one(spark, t.title_of, "\n  First line \nsecond", "", None) == ["First line", "", ""]
 
