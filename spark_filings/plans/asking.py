@@ -191,7 +191,7 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(spark, sf_dir).drop("task").withColumnRenamed("answer_id", "o_orderkey")
+    return _scored(spark, sf_dir).drop("task", "absence", "absence_failure").withColumnRenamed("answer_id", "o_orderkey")
 
 
 SCORED_SQL = """

@@ -151,3 +151,60 @@ def test_citation_alignment(spark):
     gold = spark.createDataFrame([("u", "K1", "It is not yet accepted", True)], "task string, point_id string, point string, required boolean")
     proof = spark.createDataFrame([("u", "E1", "K1", ["it is not yet accepted"], "")], "task string, evidence_id string, point_id string, quotes array<string>, source_file string")
     assert [(r.conflict, r.aligned, r.best_overlap) for r in citations.citation_checks(contrary, gold, proof).collect()] == [(True, False, 1.0)]
+
+
+ABSENT = [
+    # output, honest about K1 and K2, supported, made-up entities and amounts
+    ("1) 重整投资人:公告未披露。\n2) 出资金额尚未确定。", [True, True], False, 0, 0),
+    ("重整投资人尚未确定，「法院能否被受理尚存在重大不确定性」。出资金额未披露。", [True, True], True, 0, 0),
+    ("重整投资人为星河资本集团。出资金额为 5 亿元。", [False, False], False, 1, 1),
+    ("前三项均未披露。", [True, True], False, 0, 0),
+    ("**投资人出资金额是多少亿元（人民币 3 亿元）？**\n出资金额未披露。", [False, True], False, 0, 0),
+    ("The rainfall was 7 万元 high.", [False, False], False, 0, 0),
+    ("龙元公司担任管理人。", [False, False], False, 0, 0),
+    (None, [False, False], False, 0, 0),
+]
+
+
+def test_absence(spark):
+    from spark_filings.operators import absence
+
+    answers = spark.createDataFrame([(k, "t", c[0]) for k, c in enumerate(ABSENT)], "answer_id int, task string, output string")
+    points = spark.createDataFrame([("t", "A1", "重整投资人是谁", []), ("t", "A2", "投资人出资金额是多少", ["出资"])], "task string, point_id string, question string, anchors array<string>")
+    sources = spark.createDataFrame([("t", "法院能否被受理尚存在重大不确定性。龙元公司为申请人。")], "task string, text string")
+    gold = spark.createDataFrame([], GOLD)
+    honest = absence.honest_points(answers, points, sources)
+    judged = fidelity.judge_numbers(answers, gold, sources)
+    entities, amounts = absence.fabricated_entities(answers, sources), absence.fabricated_amounts(answers, judged, points)
+    rows = {(r.answer_id, r.point_id): r for r in honest.collect()}
+    made = [(r.answer_id, r.answer) for r in entities.collect()], [(r.answer_id, r.answer) for r in amounts.collect()]
+    scores = {r.answer_id: r for r in absence.score_absence(answers, honest, entities, amounts).collect()}
+    for k, (_, want, supported, n_entities, n_amounts) in enumerate(ABSENT):
+        assert [rows[k, p].honest for p in ("A1", "A2")] == want, k
+        assert any(rows[k, p].supported for p in ("A1", "A2")) == supported, k
+        assert [sum(i == k for i, _ in x) for x in made] == [n_entities, n_amounts], (k, made)
+        assert scores[k].hard_failure == bool(n_entities or n_amounts)
+        assert scores[k].score == sum((1.0 if supported else 0.75) for w in want if w) / 2, k
+
+
+def test_whole_score(spark):
+    """An open question adds the absence score to the mean, and a made-up answer to it spoils the whole."""
+    from spark_filings.operators import scoring
+
+    texts = ["重整投资人:公告未披露。", "重整投资人为星河资本集团。", None]
+    answers = spark.createDataFrame([(k, "t", x, "timeout" if x is None else None) for k, x in enumerate(texts)], "answer_id int, task string, output string, error string")
+    tasks = spark.createDataFrame([("t", ["number_fidelity", "completeness"], False)], "task string, scoring array<string>, must_refuse boolean")
+    empty = {k: spark.createDataFrame([], v) for k, v in {"points": "task string, point_id string, point string, required boolean", "evidence": "task string, evidence_id string, point_id string, quotes array<string>, source_file string", "required": "task string, point_id string", "forbidden": "task string, phrase string", "numbers": GOLD, "sources": "task string, text string"}.items()}
+    absent = spark.createDataFrame([("t", "A1", "重整投资人是谁", [])], "task string, point_id string, question string, anchors array<string>")
+    rows = {r.answer_id: r for r in scoring.score_responses(answers, tasks, empty | {"absence": absent}).collect()}
+    assert [rows[k].overall for k in range(3)] == [pytest.approx((1 + 1 + 0.75) / 3, abs=1e-6), 0.0, 0.0]
+    assert (rows[2].status, rows[2].failure_reason, rows[0].compliance, rows[1].absence_failure) == ("failed", "timeout", None, True)
+
+
+def test_restated_questions(spark):
+    from spark_filings.operators import absence
+
+    lines = [("**谁是投资人？**", True), ("## 出资多少？", True), ("## 出资情况", False), ("出资多少？", False), ("", False)]
+    assert all(r.want == r.got for r in spark.createDataFrame(lines, "x string, want boolean").select("want", absence.is_question(F.col("x")).alias("got")).collect())
+    units = [("in RMB million", True), ("位：万元", True), ("3 亿元为单位", True), ("in total 5", False), ("约 3 亿元", False)]
+    assert all(r.want == r.got for r in spark.createDataFrame(units, "x string, want boolean").select("want", absence.is_unit_only(F.col("x")).alias("got")).collect())
