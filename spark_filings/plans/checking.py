@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import split_passages
 from ..operators import checks, reports
-from ..streaming.scores import stream_scores
+from ..streaming.scores import latest_scores, stream_scores
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,7 +66,7 @@ QUOTED_SQL = "SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contai
 
 
 def neighbour_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lengths of the passages before and after each passage that has an exclamation."""
+    """Lengths of the lines before and after each line that has `as`."""
     from pyspark.sql import Window
 
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
@@ -242,12 +242,16 @@ SELECT * FROM r WHERE place <= 3
 
 
 def _streamed(spark: SparkSession, sf_dir: str, least: float, whole: bool) -> DataFrame:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        folder = tempfile.mkdtemp(prefix="stream-")
     base = f"{folder}/scores-{uuid.uuid4().hex}"
     answers, points = _answers(spark, sf_dir)
     answers.write.parquet(f"{base}/in")
     stream_scores(spark, f"{base}/in", answers.schema, lambda batch: checks.points_covered(batch, points, "task", least, whole=whole), f"{base}/out", f"{base}/state")
-    return spark.read.parquet(f"{base}/out").drop("batch")
+    return latest_scores(spark, f"{base}/out", ["answer_id"])
 
 
 def streamed_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
