@@ -223,10 +223,21 @@ def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def supporting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = supporting_fragments(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    """The statement about a customer that best says of each market segment that an account is not known."""
+    customers = _table(spark, sf_dir, "customer")
+    docs = customers.select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit("All is well. The account of "), "c_name", F.lit(" in "), "c_mktsegment", F.lit(" is not yet stated; it has no end")).alias("text"))
+    asked = customers.select(F.col("c_mktsegment").alias("item_id"), F.concat(F.lit("Which account is in "), "c_mktsegment").alias("text")).distinct()
+    found = supporting_fragments(docs, asked)
     return found.select("item_id", "doc_id", F.sha2("fragment", 256).alias("fragment_sha256"), "n_markers", "n_shared")
 
 
+SUPPORTING_SQL = """
+WITH f AS (SELECT c_mktsegment AS item_id, c_custkey AS doc_id, 'All is well. The account of ' || c_name || ' in ' || c_mktsegment || ' is not yet stated;' AS t FROM customer),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY length(t), doc_id) AS place FROM f)
+SELECT item_id, doc_id, sha256(t) AS fragment_sha256, CAST(1 AS BIGINT) AS n_markers, CAST(3 AS BIGINT) AS n_shared FROM r WHERE place = 1
+"""
+
+
 def figure_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first three lines of a customer's orders that name one of the order keys of the customer's urgent orders."""
     orders = _table(spark, sf_dir, "orders")
@@ -243,4 +254,4 @@ SELECT run, place, doc_id FROM r WHERE place <= 3
 """
 
 QUERIES = {"top_passages": top_passages, "top_fragments": top_fragments, "nearest": nearest, "supporting": supporting, "figure_passages": figure_passages}
-ORACLES = {"top_passages": TOP_PASSAGES_SQL, "figure_passages": FIGURE_PASSAGES_SQL}
+ORACLES = {"top_passages": TOP_PASSAGES_SQL, "figure_passages": FIGURE_PASSAGES_SQL, "supporting": SUPPORTING_SQL}
