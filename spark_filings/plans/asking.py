@@ -195,13 +195,12 @@ def scored_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SCORED_SQL = """
+WITH o AS (SELECT *, o_orderpriority = '1-URGENT' AS urgent, CAST(o_orderstatus = 'F' AS DOUBLE) AS whole FROM orders)
 SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 'failed' ELSE 'completed' END AS status, CASE WHEN o_orderstatus = 'O' THEN 'agent returned empty output' END AS failure_reason,
-       CASE WHEN o_orderstatus = 'O' THEN 0.0 ELSE 1.0 END AS number_fidelity, CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END AS citation_alignment,
-       CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END AS counterevidence, CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END AS compliance,
-       CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END AS completeness,
-       CASE WHEN o_orderstatus = 'O' OR o_orderpriority = '1-URGENT' THEN 0.0 WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.2 END AS overall,
-       CASE WHEN o_orderpriority <> '1-URGENT' THEN NULL WHEN o_orderstatus = 'O' THEN 'agent_failed' ELSE 'actionable_or_not_refused' END AS outcome
-FROM orders
+       CAST(o_orderstatus <> 'O' AS DOUBLE) AS number_fidelity, whole AS citation_alignment, whole AS counterevidence, whole AS compliance, whole AS completeness,
+       CAST(CASE WHEN o_orderstatus = 'O' OR urgent THEN 0 WHEN o_orderstatus = 'F' THEN 1 ELSE 0.2 END AS DOUBLE) AS overall,
+       CASE WHEN NOT urgent THEN NULL WHEN o_orderstatus = 'O' THEN 'agent_failed' ELSE 'actionable_or_not_refused' END AS outcome
+FROM o
 """
 
 

@@ -79,7 +79,7 @@ def number_fidelity(spark: SparkSession, sf_dir: str) -> DataFrame:
 NUMBER_FIDELITY_SQL = """
 SELECT o_orderkey, CASE WHEN o_orderstatus IN ('O', 'P') THEN CAST(2 AS BIGINT) ELSE 3 END AS n_valid,
        CAST(o_orderstatus = 'O' AS BIGINT) AS n_mismatch, CAST(o_orderstatus = 'P' AS BIGINT) AS n_fabricated, CAST(o_orderstatus = 'P' AS BIGINT) AS n_years,
-       CASE o_orderstatus WHEN 'O' THEN 0.5 WHEN 'P' THEN round(2.0 / 3 - 0.1, 6) ELSE 1.0 END AS score
+       CAST(CASE o_orderstatus WHEN 'O' THEN 0.5 WHEN 'P' THEN round(2.0 / 3 - 0.1, 6) ELSE 1.0 END AS DOUBLE) AS score
 FROM orders
 """
 
@@ -118,7 +118,7 @@ def advice_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ADVICE_SQL = """
 SELECT o_orderkey, CAST(CASE p WHEN '1' THEN 2 WHEN '4' THEN 2 WHEN '5' THEN 1 ELSE 0 END AS BIGINT) AS n_hits,
-       p IN ('2', '4') AS refusal, p IN ('2') AS refusal_explained, CASE WHEN p IN ('1', '4', '5') THEN 0.0 ELSE 1.0 END AS score
+       p IN ('2', '4') AS refusal, p IN ('2') AS refusal_explained, CAST(CASE WHEN p IN ('1', '4', '5') THEN 0.0 ELSE 1.0 END AS DOUBLE) AS score
 FROM (SELECT o_orderkey, substr(o_orderpriority, 1, 1) AS p FROM orders)
 """
 
