@@ -129,16 +129,19 @@ SELECT run, item_id, round(share, 6) AS share, share >= CASE WHEN derived THEN 0
 
 
 def questions_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part names, as questions of their brand, that no type of the brand's parts covers."""
+    """Parts whose name and type, as a question of their brand, the names and types of its smallest parts do not cover."""
     part = _table(spark, sf_dir, "part")
-    asked = part.where("p_partkey % 2 = 0").select(F.col("p_brand").alias("run"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
-    wanted = part.where("p_partkey % 2 = 1").select(F.col("p_brand").alias("run"), F.col("p_partkey").alias("question_id"), F.concat("p_name", F.lit("? "), "p_type").alias("question"))
+    asked = part.select(F.col("p_brand").alias("run"), F.concat_ws(" ", "p_type", "p_name").alias("text"), "p_size")
+    least = asked.groupBy("run").agg(F.min("p_size").alias("p_size"))
+    asked = asked.join(least, ["run", "p_size"]).select("run", "text").distinct()
+    wanted = part.select(F.col("p_brand").alias("run"), F.col("p_partkey").alias("question_id"), F.concat("p_name", F.lit("? "), "p_type").alias("question"))
     return recipes.missing_questions(wanted, asked).select("run", "question_id")
 
 
 MISSING_SQL = rf"""
-WITH a AS (SELECT p_brand AS run, {_UNITS.format("p_name || ' ' || p_type")} AS u FROM part WHERE p_partkey % 2 = 0),
-c AS (SELECT p_brand AS run, p_partkey AS question_id, unnest([p_name, p_type]) AS clause FROM part WHERE p_partkey % 2 = 1),
+WITH l AS (SELECT p_brand AS run, min(p_size) AS p_size FROM part GROUP BY p_brand),
+a AS (SELECT DISTINCT p_brand AS run, {_UNITS.format("p_type || ' ' || p_name")} AS u FROM part JOIN l ON l.run = p_brand AND l.p_size = part.p_size),
+c AS (SELECT p_brand AS run, p_partkey AS question_id, unnest([p_name, p_type]) AS clause FROM part),
 w AS (SELECT run, question_id, clause, {_UNITS.format("clause")} AS w FROM c WHERE length(trim(clause)) >= 4),
 m AS (SELECT w.run, question_id, clause, max(len(list_intersect(w, u)) * 1.0 / len(w)) AS best FROM w LEFT JOIN a ON a.run = w.run GROUP BY ALL)
 SELECT DISTINCT run, question_id FROM m WHERE coalesce(best, 0) < 0.6

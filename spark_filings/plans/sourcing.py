@@ -120,13 +120,14 @@ def claim_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", letter_id(F.col("l_orderkey") * 7 + F.col("l_linenumber") - 1, "C").alias("claim_id"))
 
 
+#: Bijective numerals of base 26, a letter for each step, as many as a long may need.
 CLAIM_IDS_SQL = """
-WITH n AS (SELECT l_orderkey, l_linenumber, CAST(l_orderkey % 20000 * 7 + l_linenumber - 1 AS BIGINT) AS a FROM lineitem),
-m AS (SELECT *, CAST(floor(a / 26.0) AS BIGINT) - 1 AS b FROM n), p AS (SELECT *, CAST(floor(b / 26.0) AS BIGINT) - 1 AS c FROM m),
-q AS (SELECT *, CAST(floor(c / 26.0) AS BIGINT) - 1 AS d FROM p)
-SELECT l_orderkey, l_linenumber, 'C-' || CASE WHEN d >= 0 THEN chr(CAST(65 + d % 26 AS INTEGER)) ELSE '' END || CASE WHEN c >= 0 THEN chr(CAST(65 + c % 26 AS INTEGER)) ELSE '' END
-  || CASE WHEN b >= 0 THEN chr(CAST(65 + b % 26 AS INTEGER)) ELSE '' END || chr(CAST(65 + a % 26 AS INTEGER)) AS claim_id
-FROM q
+WITH RECURSIVE n AS (SELECT l_orderkey, l_linenumber, CAST(l_orderkey AS BIGINT) * 7 + l_linenumber - 1 AS rest, '' AS letters FROM lineitem),
+r AS (
+  SELECT * FROM n
+  UNION ALL SELECT l_orderkey, l_linenumber, rest // 26 - 1, chr(CAST(65 + rest % 26 AS INTEGER)) || letters FROM r WHERE rest >= 0
+)
+SELECT l_orderkey, l_linenumber, 'C-' || letters AS claim_id FROM r WHERE rest < 0
 """
 
 
