@@ -290,17 +290,21 @@ def with_planted_period(text: Column, doc_id: Column) -> Column:
 
     A null id has no such number and its text stays.
     """
-    words = F.regexp_extract_all(text, F.lit(f"({WORD})"))
     h = F.crc32(doc_id.cast("string").cast("binary"))
     g = F.floor(h / 10)
 
-    def place(i: Column, n: Column) -> Column:
+    def repeated(words: Column) -> Column:
+        n = F.size(words)
         a = g % n
-        return F.when(i < a, i).otherwise(a + (i - a) % (1 + F.floor((n - a) / (3 + g % 8))))
-
-    n = F.size(words)
-    repeated = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, place(i, n).cast("int"))), " ")
-    return F.when((h % 10 == 0) & F.coalesce(n > 0, F.lit(False)), repeated).otherwise(text)
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        head = F.slice(words, F.lit(1), a.cast("int"))
+        tail = F.transform(F.sequence(F.lit(0), (n - a - 1).cast("int")), lambda k: F.get(words, (a + k % p).cast("int")))
+        return F.array_join(F.concat(head, tail), " ")
+
+    # The words are an argument of the function, so that they are found once and not for each of them.
+    words = F.array(F.regexp_extract_all(text, F.lit(f"({WORD})")))
+    planted = F.element_at(F.transform(words, lambda w: F.when(F.size(w) > 0, repeated(w)).otherwise("")), 1)
+    return F.when((h % 10 == 0) & text.isNotNull(), planted).otherwise(text)
 
 
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
