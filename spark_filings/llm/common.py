@@ -115,25 +115,30 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix64(out, 3) if len(out) else out
 
 
-def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The number of each span's content (equal contents, equal numbers), and one span of each number.
-
-    Contents meet by hash and are then compared byte by byte, so numbers are
-    exact.
-    """
-    hashes = hash_spans(data, starts, ends)
-    _, one, same = np.unique(hashes, return_index=True, return_inverse=True)
-    other = one[same]
-    equal = ends - starts == ends[other] - starts[other]
-    at = np.flatnonzero(equal & (other != np.arange(len(other))))
+def equal_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other_starts: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
+    """Whether spans have the same bytes as others, eight bytes at a time."""
+    equal = ends - starts == other_ends - other_starts
+    at = np.flatnonzero(equal & (starts != other_starts))
     padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
     eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
-    a, b, left = starts[at], starts[other[at]], (ends - starts)[at]
+    a, b, left = starts[at], other_starts[at], (ends - starts)[at]
     while len(at):
         differs = ((eight[a] ^ eight[b]) & _LOW_BYTES[np.minimum(left, 8)]) != 0
         equal[at[differs]] = False
         on = ~differs & (left > 8)
         at, a, b, left = at[on], a[on] + 8, b[on] + 8, left[on] - 8
+    return equal
+
+
+def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each span's content (equal contents, equal numbers), and one span of each number.
+
+    Contents meet by hash and are then compared byte by byte, so numbers are
+    exact.
+    """
+    _, one, same = np.unique(hash_spans(data, starts, ends), return_index=True, return_inverse=True)
+    other = one[same]
+    equal = equal_spans(data, starts, ends, starts[other], ends[other])
     if equal.all():
         return same, one
     # Two contents under one hash: number all of them by their bytes.

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import fingerprint, line_dedup, lm_score, minhash, mixing, periodic_runs, quality_rules, secrets, sentencepiece, suffix_dedup, token_counts, url_filter
+from . import collocations, fingerprint, line_dedup, lm_score, minhash, mixing, periodic_runs, quality_rules, secrets, sentencepiece, suffix_dedup, token_counts, url_filter
 
-MODULES = [fingerprint, line_dedup, lm_score, minhash, mixing, periodic_runs, quality_rules, secrets, sentencepiece, suffix_dedup, token_counts, url_filter]
+MODULES = [collocations, fingerprint, line_dedup, lm_score, minhash, mixing, periodic_runs, quality_rules, secrets, sentencepiece, suffix_dedup, token_counts, url_filter]
 
 
 def queries() -> dict:
