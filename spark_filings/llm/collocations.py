@@ -33,11 +33,14 @@ TOP = 2000
 #: Share of its count, in hundredths, that a longer phrase has to have to make a shorter one superfluous.
 WITHIN = 80
 
-#: Occurrences in a group, unless the whole has more than MOST_GROUPS times as many.
-BUDGET = 1 << 17
+#: The whole is cut into so many groups, so that a slice of texts gives a
+#: group's row for each of them and language at most, however much there is;
+#: groups have no fewer occurrences than the first budget, and no more than the
+#: second (some 100 MB of leaves), beyond which there are more groups.
+GROUPS = 512
+BUDGETS = (1 << 14, 1 << 22)
+#: Groups, and prefixes above the budget at a depth, that the driver sees at most.
 MOST_GROUPS = 1 << 18
-#: Prefixes are packed into groups by buckets of their hash (a power of two).
-BUCKETS = 1 << 18
 
 #: Bytes of text whose equal suffixes become one leaf, and whose equal prefixes become one row.
 SLICE = 1 << 21
@@ -151,7 +154,8 @@ class Partition:
 
     def __init__(self) -> None:
         self.heavy: list[np.ndarray] = []
-        self.group = np.zeros(BUCKETS, dtype=np.int32)
+        #: By the low bits of a prefix's hash.
+        self.group = np.zeros(1, dtype=np.int32)
 
     def cut(self, words: Words) -> np.ndarray:
         """The depth of the prefix by which each suffix is grouped; more than its words if even all of them are too many."""
@@ -167,7 +171,7 @@ class Partition:
         group = np.zeros(len(at), dtype=np.int32)
         for depth in range(1, LONGEST + 1):
             own = np.flatnonzero(cut == depth)
-            group[own] = self.group[(words.hashes(depth, at[own]) & U64(BUCKETS - 1)).astype(np.int64)]
+            group[own] = self.group[(words.hashes(depth, at[own]) & U64(len(self.group) - 1)).astype(np.int64)]
         return group
 
 
@@ -269,7 +273,7 @@ def subtree(packed: pa.Table, least: int) -> pa.Table:
     return pa.Table.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(phrases, pa.string()), pa.array(found, pa.int64())], schema=_NODES)
 
 
-def phrase_counts(docs: DataFrame, least: int = LEAST, budget: int = BUDGET) -> tuple[DataFrame, DataFrame, int]:
+def phrase_counts(docs: DataFrame, least: int = LEAST, budget: int | None = None) -> tuple[DataFrame, DataFrame, int]:
     """(lang, phrase, f) of all phrases of up to four words with `least` occurrences, (lang, n), and the budget taken.
 
     `docs` has the columns text and lang (never null).  The driver sees hashes
@@ -280,9 +284,11 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, budget: int = BUDGET) ->
     words = saved(prefix_counts(docs, 1, partition))
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     whole = words.agg(F.sum("f")).first()[0] or 0
-    budget = max(budget, least, whole // MOST_GROUPS)
-    weight = np.zeros(BUCKETS, dtype=np.int64)
-    bucket = F.col("_h").bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+    budget = max(budget or min(max(whole // GROUPS, BUDGETS[0]), BUDGETS[1]), least, whole // MOST_GROUPS)
+    # Prefixes are packed by buckets of their hash, 8 to 16 for a group.
+    buckets = 1 << int(8 * (whole // budget + 1)).bit_length()
+    weight = np.zeros(buckets, dtype=np.int64)
+    bucket = F.col("_h").bitwiseAND(F.lit(buckets - 1)).cast("int")
     counted, known = words, [words.where(F.col("f") >= least)]
     for depth in range(1, LONGEST):
         over = counted.where(F.col("f") > budget)
@@ -299,7 +305,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, budget: int = BUDGET) ->
             counted = saved(prefix_counts(docs, depth + 1, partition))
         else:
             # What follows is whole suffixes, one row of a slice each, which their hash spreads over all groups.
-            weight += over.agg(F.sum("f")).first()[0] // BUCKETS
+            weight += over.agg(F.sum("f")).first()[0] // buckets
     partition.group = (np.cumsum(weight) // budget).astype(np.int32)
     counts = leaves(docs, partition).groupBy("_group", "lang").applyInArrow(lambda packed: subtree(packed, least), "lang string, phrase string, f long")
     for more in known:
@@ -355,7 +361,7 @@ def not_within_longer(phrases: DataFrame, within: int = WITHIN) -> DataFrame:
     return both.where(F.col("_longer").isNull() | (100 * _wide("_longer") < within * _wide("a"))).drop("_longer")
 
 
-def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, top: int = TOP, within: int = WITHIN, budget: int = BUDGET) -> DataFrame:
+def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, top: int = TOP, within: int = WITHIN, budget: int | None = None) -> DataFrame:
     """Return (lang, rank, phrase, a, l, r, n, score): the `top` phrases of each language.
 
     Texts are lower-cased (A-Z) and split at `.,;:!?` and line ends into pieces
@@ -366,7 +372,8 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     a longer one of at least `within` hundredths of its occurrences is left
     out.  Order: score and a descending, then bytes of the phrase.
 
-    `budget` bounds the occurrences in a group of suffixes.  A null text is
+    `budget` bounds the occurrences in a group of suffixes (without one, it
+    follows from all words, see GROUPS).  A null text is
     empty, a null language is `und`.  Repeated rows count as often as they are
     there; ids are not read.  A text or word of any length is taken whole.
     Other columns are ignored; an empty table gives an empty result.
