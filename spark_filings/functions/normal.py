@@ -13,6 +13,14 @@ from pyspark.sql.types import LongType, StringType
 
 from .text import let
 
+#: Traditional forms of the characters that the fixed patterns of this library
+#: use, and their simplified ones: enough to fold a text for those patterns,
+#: not for comparing texts, which takes a whole table (`script_of`).
+PATTERN_SCRIPT = (
+    "萬億號幣單價發額總餘資對規數時間書點個節標說際兩還尚剩佔幾業證",
+    "万亿号币单价发额总余资对规数时间书点个节标说际两还尚剩占几业证",
+)
+
 
 @F.pandas_udf(StringType())
 def _nfkc_casefold(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
