@@ -17,8 +17,8 @@ from .text import let
 #: use, and their simplified ones: enough to fold a text for those patterns,
 #: not for comparing texts, which takes a whole table (`script_of`).
 PATTERN_SCRIPT = (
-    "萬億號幣單價發額總餘資對規數時間書點個節標說際兩還尚剩佔幾業證",
-    "万亿号币单价发额总余资对规数时间书点个节标说际两还尚剩占几业证",
+    "萬億號幣單價發額總餘資對規數時間書點個節標說際兩還話長佔幾業證",
+    "万亿号币单价发额总余资对规数时间书点个节标说际两还话长占几业证",
 )
 
 

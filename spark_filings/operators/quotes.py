@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable, Iterator
+
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normal import PATTERN_SCRIPT
-from ..functions.passages import Document
+from ..functions.passages import BLANK, Document
+from .lineage import saved
 
 #: Quotes of one document that are searched together; more are dealt over copies of its text.
 TOGETHER = 5_000
 
+#: Quotes are looked for in other documents of their run by grams of so many
+#: characters, the least of so many neighbours; shorter ones in all of them.
+GRAM, NEIGHBOURS = 8, 8
+SHORT = GRAM + NEIGHBOURS - 1
+
+#: Grams that are sent to every task at most.
+MOST_GRAMS = 1_000_000
+
 _FOUND = pa.schema(
     [
         ("document_id", pa.string()),
@@ -61,6 +74,53 @@ def _searched(asked: DataFrame, documents: DataFrame, script: tuple[str, str]) -
     return texts.groupBy("document_id", "_part").cogroup(asked.groupBy("document_id", "_part")).applyInArrow(search, _FOUND_DDL)
 
 
+_GRAMS = pa.schema([("run", pa.string()), ("key", pa.string()), ("gram", pa.int64())])
+
+
+def _grams(rows: DataFrame, key: str, text: Column, script: tuple[str, str]) -> DataFrame:
+    """(run, key, gram): the hashed grams of each text, without white space and in one script, that are the least of some NEIGHBOURS.
+
+    Texts that have SHORT characters in common have a gram in common.
+    """
+    table = str.maketrans(*script)
+
+    def least(text: str) -> np.ndarray:
+        points = np.frombuffer(re.sub(f"[{BLANK}]+", "", text.translate(table)).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+        n = len(points) - GRAM + 1
+        if n < NEIGHBOURS:
+            return np.zeros(0, dtype=np.int64)
+        hashed = np.zeros(n, dtype=np.uint64)
+        for k in range(GRAM):
+            hashed = hashed * np.uint64(0x9E3779B97F4A7C15) + points[k : k + n]
+            hashed ^= hashed >> np.uint64(29)
+        return np.unique(np.lib.stride_tricks.sliding_window_view(hashed.view(np.int64), NEIGHBOURS).min(axis=1))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in enumerate(batch.column(2).to_pylist()):
+                grams = least(text or "")
+                yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[i], len(grams)), pa.repeat(batch.column(1)[i], len(grams)), pa.array(grams)], schema=_GRAMS)
+
+    asked = rows.select(F.col("run").cast("string").alias("run"), F.col(key).cast("string").alias("key"), text.alias("text"))
+    return asked.mapInArrow(run, "run string, key string, gram long")
+
+
+def _elsewhere(missed: DataFrame, filings: DataFrame, script: tuple[str, str]) -> DataFrame:
+    """(run, quote, claim, document_id, position): the documents of its run in which a missed quote may be."""
+    bare = F.regexp_replace("quote", rf"[{BLANK}]+", "")
+    missed = missed.select("run", "quote", "claim").distinct().withColumn("_short", F.length(bare) < SHORT)
+    long = missed.where("not _short").drop("_short")
+    wanted = saved(_grams(long.select("run", "quote").distinct(), "quote", F.substring(bare, 1, SHORT), script))
+    grams = wanted.select("gram").distinct()
+    held = _grams(filings, "document_id", F.col("text"), script).withColumnRenamed("key", "document_id")
+    if grams.count() <= MOST_GRAMS:
+        held = held.join(F.broadcast(grams), "gram", "left_semi")
+    met = wanted.withColumnRenamed("key", "quote").join(held, ["run", "gram"]).select("run", "quote", "document_id").distinct()
+    known = filings.select("run", "document_id", "position")
+    out = long.join(met, ["run", "quote"]).join(known, ["run", "document_id"])
+    return out.unionByName(missed.where("_short").drop("_short").join(known, "run"))
+
+
 def locate_quotes(quotes: DataFrame, documents: DataFrame, script: tuple[str, str] = PATTERN_SCRIPT) -> DataFrame:
     """`quotes` (document_id, quote, ...) with start, end, located and exact.
 
@@ -97,11 +157,12 @@ def choose_spans(quotes: DataFrame, documents: DataFrame, script: tuple[str, str
 def locate_claims(proposals: DataFrame, filings: DataFrame, script: tuple[str, str] = PATTERN_SCRIPT) -> tuple[DataFrame, DataFrame]:
     """Evidence of claims (run, claim_id, place, document_id, start, end, quote, path, adjusted), and (run, claim_id, reason).
 
-    `proposals` (run, claim_id, text, quotes: array of (document_id, quote));
+    `proposals` (run: a string, claim_id, text, quotes: array of (document_id, quote));
     `filings` (run, document_id, position, text), with document ids that are
     distinct over all runs and positions that order a run's documents.  A quote is
     looked for in the document that it names, then, only if it is not there,
-    in the run's other documents, and the first in their order counts.  Blank
+    in the run's other documents that share a gram with it (all of them only for
+    quotes of less than SHORT characters), and the first in their order counts.  Blank
     quotes are left out.  A claim with a lost quote is rejected for the first
     one, and has no evidence; so is one without quotes; others have a null
     reason.
@@ -115,14 +176,14 @@ def locate_claims(proposals: DataFrame, filings: DataFrame, script: tuple[str, s
     spans = ["start", "end", "quote", "path", "adjusted"]
     found = [F.col("span_start").alias("start"), F.col("span_end").alias("end"), F.col("span").alias("quote"), "path", "adjusted"]
     named = rows.where("named_at is not null").select(*keys, F.col("named").alias("document_id"), "quote", "claim")
-    first = named.join(_searched(named, documents, script).withColumnRenamed("start", "_s").withColumnRenamed("end", "_e"), ["document_id", "quote", "claim"]).select(*keys, "document_id", "span_start", "span_end", "span", "path", "adjusted")
-    missed = rows.join(first.select(*keys), keys, "left_anti")
-    # Equal quotes of a run are looked for once.
-    elsewhere = missed.select("run", "quote", "claim").distinct().join(filings.select("run", "document_id", "position"), "run")
+    first = saved(named.join(_searched(named, documents, script).withColumnRenamed("start", "_s").withColumnRenamed("end", "_e"), ["document_id", "quote", "claim"]).select(*keys, "document_id", "span_start", "span_end", "span", "path", "adjusted"))
+    missed = saved(rows.join(first.select(*keys), keys, "left_anti"))
+    # Equal quotes of a run are looked for once, where they may be.
+    elsewhere = _elsewhere(missed, filings, script)
     hits = elsewhere.join(_searched(elsewhere, documents, script).drop("start", "end"), ["document_id", "quote", "claim"])
     best = hits.groupBy("run", "quote", "claim").agg(F.min(F.struct("position", "document_id", "span_start", "span_end", "span", "path", "adjusted")).alias("_b"))
     second = missed.join(best, ["run", "quote", "claim"]).select(*keys, "_b.document_id", "_b.span_start", "_b.span_end", "_b.span", "_b.path", "_b.adjusted")
-    evidence = first.unionByName(second).select(*keys, "document_id", *found)
+    evidence = saved(first.unionByName(second).select(*keys, "document_id", *found))
     lost = rows.join(evidence.select(*keys), keys, "left_anti").groupBy("run", "claim_id").agg(F.min(F.struct("place", "quote")).alias("_lost"))
     held = rows.select("run", "claim_id").distinct().withColumn("_held", F.lit(True))
     verdicts = proposals.select("run", "claim_id").join(lost, ["run", "claim_id"], "left").join(held, ["run", "claim_id"], "left")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import asking, checking, claiming, retrieval, scoring, sourcing
+from . import asking, checking, claiming, retrieval, scoring, sourcing, verifying
 
-MODULES = [retrieval, sourcing, checking, claiming, scoring, asking]
+MODULES = [retrieval, sourcing, checking, claiming, scoring, asking, verifying]
 
 FLAGSHIP = retrieval.top_passages
 

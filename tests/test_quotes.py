@@ -110,7 +110,7 @@ def test_located_rows(spark, monkeypatch):
 
 
 def test_located_claims(spark):
-    filings = spark.createDataFrame([("r", "a", 0, "甲公司收入 5 元。同一句话。"), ("r", "b", 1, "同一句话。乙公司"), ("r", "n", 2, None), ("q", "c", 0, "只在这里。")], "run string, document_id string, position int, text string")
+    filings = spark.createDataFrame([("r", "a", 0, "甲公司收入 5 元。同一句话。"), ("r", "b", 1, "同一句话。乙公司。同一句话，说得很长很长很长很长很长很长。"), ("r", "n", 2, None), ("q", "c", 0, "只在这里。")], "run string, document_id string, position int, text string")
     proposals = [
         ("r", "named", "x", [("b", "同一句话")]),
         ("r", "other", "x", [("b", "收入 5 元")]),
@@ -121,12 +121,13 @@ def test_located_claims(spark):
         ("r", "none", "x", []),
         ("r", "null", "x", None),
         ("q", "named", None, [("c", "只在")]),
+        ("r", "long", "x", [(None, "同一句話，说得 很长很长很长很长很长很長")]),
     ]
     rows = spark.createDataFrame(proposals, "run string, claim_id string, text string, quotes array<struct<document_id:string,quote:string>>")
     evidence, verdicts = quotes.locate_claims(rows, filings)
     lost = "quote is not present in any retrieved document: 「{}」"
     assert {(r.run, r.claim_id): r.reason for r in verdicts.collect()} == {
-        **{("r", k): None for k in ("named", "other", "first")},
+        **{("r", k): None for k in ("named", "other", "first", "long")},
         ("q", "named"): None,
         ("r", "lost"): lost.format("没有" * 20),
         ("r", "other run"): lost.format("只在这里"),
@@ -136,6 +137,7 @@ def test_located_claims(spark):
         ("q", "named", 0, "c", "只在这里。"),
         ("r", "first", 0, "a", "同一句话。"),
         ("r", "first", 2, "a", "甲公司收入 5 元。"),
+        ("r", "long", 0, "b", "同一句话，说得很长很长很长很长很长很长。"),
         ("r", "named", 0, "b", "同一句话。"),
         ("r", "other", 0, "a", "甲公司收入 5 元。"),
     ]
