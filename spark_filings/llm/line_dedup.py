@@ -247,7 +247,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     least = max(1, math.ceil(100 / edit_percent))
     kind = docs.schema[id_col].dataType.simpleString()
     at_type = f"struct<_null:boolean,_id:{kind},_tie:long,_line:int>"
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("_tie", F.xxhash64("_text"))
+    rows = docs.select(column(id_col).alias("_id"), F.coalesce(column(text_col), F.lit("")).alias("_text")).withColumn("_tie", F.xxhash64("_text"))
     lines = rows.select("_id", "_tie", "_text").mapInArrow(_lines(least), f"_id {kind}, _tie long, _line int, h {_HASH}, keys array<long>")
     at = F.struct(F.col("_id").isNull().alias("_null"), "_id", "_tie", "_line")
     lines = saved(lines)

@@ -130,7 +130,7 @@ def text_counts(text: Column) -> dict[str, Column]:
 
 def with_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_id, counts): a row for each document."""
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).withColumn("_words", words_of(F.col("_text")))
+    rows = docs.select(column(id_col).alias("_id"), column(text_col).alias("_text")).withColumn("_words", words_of(F.col("_text")))
     return rows.select("_id", *(c.alias(n) for n, c in text_counts(F.col("_text")).items()))
 
 
@@ -176,7 +176,7 @@ class DecisionList:
 def _chosen(labels: DataFrame, id_col: str, label_col: str, max_labelled: int) -> DataFrame:
     """(_lid, _y): at most `max_labelled` labelled ids, the first by a hash."""
     return (
-        labels.select(F.col(id_col).alias("_lid"), F.col(label_col).cast("int").alias("_y"))
+        labels.select(column(id_col).alias("_lid"), column(label_col).cast("int").alias("_y"))
         .where(F.col("_lid").isNotNull() & F.col("_y").isin(0, 1))
         .groupBy("_lid")
         .agg(F.min("_y").alias("_y"), F.max("_y").alias("_z"))
@@ -303,7 +303,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     # Of all texts only those that may train are counted for training; the others stay where they are.
     chosen = saved(_chosen(labels, id_col, learning.get("label_col", "quality"), learning.get("max_labelled", MAX_LABELLED)).select("_lid"))
     some = docs.select(column(id_col).alias(id_col), column(text_col).alias(text_col))
-    some = some.join(F.broadcast(chosen), F.col(id_col) == F.col("_lid"), "left_semi")
+    some = some.join(F.broadcast(chosen), column(id_col) == F.col("_lid"), "left_semi")
     rules = learn_decision_list(saved(with_counts(some, id_col, text_col)), labels, id_col, **learning)
     names = docs.columns
     rows = docs.select(F.struct(*map(column, names)).alias("_row"), column(text_col).alias("_text")).withColumn("_words", words_of(F.col("_text")))

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -108,7 +109,7 @@ def train_markov(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     independent uniform characters, so that few samples do not overfit and one
     unusual pair in an identifier counts for little.  Without any text the ratios are those of the smoothing alone (all 0).
     """
-    cells = docs.select(F.col(text_col)).mapInArrow(_count, "label int, cell int, n long").groupBy("label", "cell").agg(F.sum("n")).collect()
+    cells = docs.select(column(text_col)).mapInArrow(_count, "label int, cell int, n long").groupBy("label", "cell").agg(F.sum("n")).collect()
     counts = np.zeros((2, N * N))
     for label, cell, n in cells:
         counts[label, cell] = n
@@ -118,39 +119,96 @@ def train_markov(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return np.log(mixed[0]) - np.log(mixed[1]) if counts.any() else np.zeros((N, N))
 
 
+class _Best:
+    """The best stretch within any part of a run, by a tree of parts.
+
+    [a, b) scores total[b] - total[a + 1] (the step into a stretch does not
+    count) and has LEAST_TOKEN characters or more.  Each node has the least
+    total before and the greatest after of its places, and its best pair; so a
+    part is asked in as many nodes as the run's length has digits.
+    """
+
+    def __init__(self, total: np.ndarray) -> None:
+        n = len(total) - LEAST_TOKEN
+        low, high = total[1 : n + 1], total[LEAST_TOKEN:]
+        at = np.arange(n)
+        self.levels = [(low, at, high, at, high - low, at, at)]
+        while n > 1:
+            if n % 2:
+                pad = (np.inf, 0, -np.inf, 0, -np.inf, 0, 0)
+                self.levels[-1] = tuple(np.append(x, x.dtype.type(p)) for x, p in zip(self.levels[-1], pad))
+            left, right = [tuple(x[k::2] for x in self.levels[-1]) for k in (0, 1)]
+            self.levels.append(self._merged(left, right, np.where))
+            n = len(self.levels[-1][0])
+        self.nodes = [list(zip(*(x.tolist() for x in level))) for level in self.levels]
+
+    @staticmethod
+    def _merged(left: tuple, right: tuple, where) -> tuple:
+        """Of equal scores the pair that ends first, and of those the one that begins first."""
+        keep = left[0] <= right[0]
+        low, low_at = where(keep, left[0], right[0]), where(keep, left[1], right[1])
+        keep = left[2] >= right[2]
+        high, high_at = where(keep, left[2], right[2]), where(keep, left[3], right[3])
+        across = right[2] - left[0]
+        own = (right[4] > across) | ((right[4] == across) & (right[6] < right[3]))
+        best, i, j = where(own, right[4], across), where(own, right[5], left[1]), where(own, right[6], right[3])
+        keep = left[4] >= best
+        return low, low_at, high, high_at, where(keep, left[4], best), where(keep, left[5], i), where(keep, left[6], j)
+
+    def of(self, lo: int, hi: int) -> tuple[float, int, int]:
+        """(score, a, b) of the best stretch within [lo, hi)."""
+        lo, hi, level, front, back = lo, hi - LEAST_TOKEN + 1, 0, [], []
+        while lo < hi:
+            if lo & 1:
+                front.append(self.nodes[level][lo])
+                lo += 1
+            if hi & 1:
+                hi -= 1
+                back.append(self.nodes[level][hi])
+            lo, hi, level = lo >> 1, hi >> 1, level + 1
+        parts = front + back[::-1]
+        out = parts[0]
+        for part in parts[1:]:
+            out = self._merged(out, part, lambda c, x, y: x if c else y)
+        return out[4], out[5], out[6] + LEAST_TOKEN
+
+
 def _stretches(total: np.ndarray, separates: np.ndarray) -> list[tuple[int, int]]:
     """(start, end) of the stretches of one run that are rather random, from prefix sums `total` of its steps.
 
     The best stretch of LEAST_TOKEN characters or more is widened to the next
     separators, and loses parts at its edges that are rather ordinary; what is
     left on either side is judged on its own.  Two such values that what is
-    between them does not outweigh are one stretch.
+    between them does not outweigh are one stretch.  A stretch costs as many
+    steps as the run's length has digits, so a run costs little more than its
+    length.
     """
+    if len(separates) < LEAST_TOKEN:
+        return []
+    best = _Best(total)
+    at = np.flatnonzero(separates).tolist()
     found, left = [], [(0, len(separates))]
     while left:
         lo, hi = left.pop()
         if hi - lo < LEAST_TOKEN:
             continue
-        # The step into a stretch does not count: [a, b) scores total[b] - total[a + 1].
-        before = total[lo + 1 : hi - LEAST_TOKEN + 2]
-        gain = total[lo + LEAST_TOKEN : hi + 1] - np.minimum.accumulate(before)
-        k = int(np.argmax(gain))
-        if gain[k] <= PRIOR:
+        gain, a, b = best.of(lo, hi)
+        if gain <= PRIOR:
             continue
-        a, b = lo + int(np.argmin(before[: k + 1])), lo + LEAST_TOKEN + k
-        at = np.flatnonzero(separates[lo:a])
-        start = lo + int(at[-1]) + 1 if len(at) else lo
-        at = np.flatnonzero(separates[b:hi])
-        end = b + int(at[0]) if len(at) else hi
+        k, m = bisect_left(at, a), bisect_left(at, b)
+        start = at[k - 1] + 1 if k and at[k - 1] >= lo else lo
+        end = at[m] if m < len(at) and at[m] < hi else hi
         # A name or folder at an edge, of which the stretch took the last characters, is ordinary as a whole.
-        for cut in start + np.flatnonzero(separates[start:end]):
+        for k in range(bisect_left(at, start), m):
+            cut = at[k]
             if end - cut <= LEAST_TOKEN or total[cut] - total[min(start + 1, cut)] > 0:
                 break
-            start = int(cut) + 1
-        for cut in start + np.flatnonzero(separates[start:end])[::-1]:
+            start = cut + 1
+        for k in range(bisect_left(at, end) - 1, bisect_left(at, start) - 1, -1):
+            cut = at[k]
             if cut - start < LEAST_TOKEN or total[end] - total[min(cut + 2, end)] > 0:
                 break
-            end = int(cut)
+            end = cut
         found.append((start, end))
         left += [(lo, start), (end, hi)]
     return found

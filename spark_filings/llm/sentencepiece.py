@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import IS_LEAD, U64, hash_spans, mix64, slices, table
+from .common import IS_LEAD, U64, column, hash_spans, mix64, slices, table
 
 SAMPLES = 2
 
@@ -463,7 +463,7 @@ _COMMON_DDL = "sample int, n_tokens long, log_p double, log_inclusion double"
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, row: str) -> DataFrame:
-    return docs.select(F.col(row).alias("_key"), F.xxhash64(F.col(id_col)).alias("_seed"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    return docs.select(column(row).alias("_key"), F.xxhash64(column(id_col)).alias("_seed"), F.coalesce(column(text_col), F.lit("")).alias("_text"))
 
 
 def encode_samples(docs: DataFrame, samples: int = SAMPLES, model: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

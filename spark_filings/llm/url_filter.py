@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, table
+from .common import LOWER, UPPER, column, table
 
 #: Hex digits of a digest that the equi-join compares.
 PREFIX_DIGITS = 8
@@ -96,7 +96,7 @@ def filter_urls(
     keyed = listed.withColumn("_digest", F.sha2(F.concat("_rh", F.lit("\n"), _directory(F.col("_rp"))), 256))
     keyed = keyed.withColumn("_short", F.substring("_digest", 1, PREFIX_DIGITS))
 
-    rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url")).groupBy("_id", "_url").agg(F.count("*").alias("_copies"))
+    rows = pages.select(column(id_col).alias("_id"), column(url_col).alias("_url")).groupBy("_id", "_url").agg(F.count("*").alias("_copies"))
     rows = rows.withColumn("_host", F.coalesce(url_host(F.col("_url")), F.lit(""))).withColumn("_path", F.coalesce(url_path(F.col("_url")), F.lit("")))
     terms = rows.withColumn("_term", F.explode_outer(_expressions(F.col("_host"), F.col("_path"), labels or 1, max((depth or 1) - 1, 1))))
     terms = terms.withColumn("_full", F.sha2("_term", 256)).withColumn("_key", F.substring("_full", 1, PREFIX_DIGITS)).drop("_term")

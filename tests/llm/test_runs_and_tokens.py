@@ -9,6 +9,7 @@ from fractions import Fraction
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spark_filings.llm import common, periodic_runs, token_counts
 
@@ -186,3 +187,58 @@ def test_distinct_spans_with_equal_hashes(monkeypatch):
     starts, ends = np.array([0, 2, 4, 6, 26]), np.array([2, 4, 6, 26, 46])
     same, one = common.distinct_spans(data, starts, ends)
     assert same.tolist() == [0, 1, 0, 2, 3] and one.tolist() == [0, 1, 3, 4]
+
+
+def test_best_stretches_are_those_of_all_pairs():
+    """The tree's best stretch of any part is the best of all pairs: it ends first, then begins first."""
+    from spark_filings.llm import secrets
+
+    rng = np.random.default_rng(6)
+    least = secrets.LEAST_TOKEN
+    for _ in range(150):
+        n = int(rng.integers(least, 90))
+        total = np.concatenate([[0.0], np.cumsum(rng.choice([-1.0, -0.5, 0, 0.5, 1, 2], n))])
+        best = secrets._Best(total)
+        for _ in range(10):
+            lo, hi = sorted(rng.integers(0, n + 1, 2).tolist())
+            if hi - lo >= least:
+                want = min((total[a + 1] - total[b], b, a) for a in range(lo, hi - least + 1) for b in range(a + least, hi + 1))
+                assert best.of(lo, hi) == (-want[0], want[2], want[1])
+
+
+def test_stretches_take_time_in_proportion():
+    import time
+
+    from spark_filings.llm import secrets
+
+    rng, took = np.random.default_rng(7), []
+    for n in (100_000, 400_000):
+        unit = np.concatenate([rng.normal(-3, 0.3, 20), rng.normal(2, 0.3, 20)])
+        total, separates = np.concatenate([[0.0], np.cumsum(np.tile(unit, n // 40))]), np.arange(n) % 40 == 0
+        began = time.process_time()
+        assert len(secrets._stretches(total, separates)) == n // 40
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0]
+
+
+@pytest.mark.parametrize("name", ["fingerprint", "minhash", "mixing", "line_dedup", "quality_rules", "lm_score", "sentencepiece", "suffix_dedup", "secrets", "url_filter"])
+def test_ids_whose_name_has_a_dot(spark, name):
+    from spark_filings.llm import fingerprint, line_dedup, lm_score, minhash, mixing, quality_rules, secrets, sentencepiece, suffix_dedup, url_filter
+
+    docs = spark.createDataFrame([(k, f"some words of text number {k} " * 12, "s") for k in range(6)], "`id.of` long, text string, source string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(6)], "`id.of` long, quality int")
+    pages = spark.createDataFrame([(1, "http://a.net/es/")], "`id.of` long, url string")
+    rules = spark.createDataFrame([("net", "/es/", "block")], "host string, path string, verdict string")
+    out = {
+        "fingerprint": lambda: fingerprint.fingerprint_neighbours(docs, "id.of"),
+        "minhash": lambda: minhash.near_duplicates(docs, id_col="id.of"),
+        "mixing": lambda: mixing.mix_rows(docs, id_col="id.of"),
+        "line_dedup": lambda: line_dedup.dedup_lines(docs, "id.of"),
+        "quality_rules": lambda: quality_rules.keep_good(docs, labels, "id.of"),
+        "lm_score": lambda: lm_score.score_texts(docs, F.lit(False), id_col="id.of"),
+        "sentencepiece": lambda: sentencepiece.encode_samples(docs, id_col="id.of"),
+        "suffix_dedup": lambda: suffix_dedup.remove_repeats(docs, id_col="id.of"),
+        "secrets": lambda: secrets.scan_secrets(docs, id_col="id.of"),
+        "url_filter": lambda: url_filter.filter_urls(pages, rules, id_col="id.of"),
+    }[name]()
+    assert "id.of" in out.columns and out.count() >= 0
