@@ -13,6 +13,9 @@ from pyspark.sql.types import LongType, StringType
 
 from .text import let
 
+#: Characters to replace and what they become, one for one; None leaves texts as they are.
+Script = tuple[str, str] | None
+
 #: Traditional forms of the characters that the fixed patterns of this library
 #: use, and their simplified ones: enough to fold a text for those patterns,
 #: not for comparing texts, which takes a whole table (`script_of`).
@@ -29,13 +32,13 @@ def _nfkc_casefold(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
 
 
-def folded(text: Column, script: tuple[str, str] | None = None) -> Column:
+def folded(text: Column, script: Script = None) -> Column:
     """Compatibility forms and case folded away, then characters of `script` replaced one by one."""
     out = _nfkc_casefold(text)
     return F.translate(out, *script) if script else out
 
 
-def normal_text(text: Column, script: tuple[str, str] | None = None) -> Column:
+def normal_text(text: Column, script: Script = None) -> Column:
     """`folded`, and nothing left but word characters and CJK."""
     return F.regexp_replace(folded(text, script), r"[^\p{L}\p{N}_\x{3400}-\x{9fff}]+", "")
 
@@ -66,7 +69,7 @@ def read_variants(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.get("p", F.lit(0)).alias("t"), forms.alias("s")).select(character(F.col("t")).alias("traditional"), character(F.col("s")).alias("simplified"))
 
 
-def scoring_units(text: Column, script: tuple[str, str] | None = None) -> Column:
+def scoring_units(text: Column, script: Script = None) -> Column:
     """Distinct units of a folded text: words, figures as they are written, and character pairs of CJK runs."""
 
     def units(t: Column) -> Column:

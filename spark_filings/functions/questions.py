@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import fold_width
+from .normal import PATTERN_SCRIPT
+from .text import fold_width, let
 
 # Characters and words by language and kind.
 CJK = r"[\x{3400}-\x{9fff}]"
@@ -70,14 +71,14 @@ def states_unverifiable(text: Column, lang: Column) -> Column:
     return _by_lang(lang, lambda k: reduce(lambda a, b: a | b, (F.lower(text).contains(m) for m in UNVERIFIABLE[k])))
 
 
-def asked_kinds(question: Column) -> Column:
-    """The kinds of figures that a question asks for, in the order of ASKED."""
-    return F.array_compact(F.array(*(F.when(question.rlike(p), F.lit(k)) for k, p in ASKED.items())))
+def asked_kinds(question: Column, script: tuple[str, str] = PATTERN_SCRIPT) -> Column:
+    """The kinds of figures that a question asks for, in either script, in the order of ASKED."""
+    return let(F.translate(question, *script), lambda q: F.array_compact(F.array(*(F.when(q.rlike(p), F.lit(k)) for k, p in ASKED.items()))))
 
 
-def asks_remaining(question: Column) -> Column:
-    """Whether a question asks for what is left of an amount."""
-    return question.rlike(REMAINING)
+def asks_remaining(question: Column, script: tuple[str, str] = PATTERN_SCRIPT) -> Column:
+    """Whether a question asks, in either script, for what is left of an amount."""
+    return F.translate(question, *script).rlike(REMAINING)
 
 
 def written_numerals(text: Column) -> Column:

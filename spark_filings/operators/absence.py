@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.normal import normal_text, scoring_units
+from ..functions.normal import Script, normal_text, scoring_units
 from ..functions.places import places, without_marks
 from ..functions.text import coverage
 from .citations import citations
@@ -69,16 +69,16 @@ def _speaks_of(segment: Column, units: Column, normal: Column) -> Column:
     return (coverage(F.col("wanted"), units) >= MENTIONED) | numbered | anchored | topic
 
 
-def _asked(points: DataFrame) -> DataFrame:
+def _asked(points: DataFrame, script: Script) -> DataFrame:
     # The anchors are folded as one text and cut again, as the folding is a helper's.
     anchors = F.array_join(F.coalesce("anchors", F.array().cast("array<string>")), "\n")
     lines = F.split(F.coalesce(anchors, F.lit("")), "\n")
-    rows = points.select("task", "point_id", "question", scoring_units(F.col("question")).alias("wanted"), normal_text(F.col("question")).alias("normal_question"), F.explode_outer(lines).alias("anchor"))
-    rows = rows.withColumn("normal_anchor", normal_text(F.col("anchor")))
+    rows = points.select("task", "point_id", "question", scoring_units(F.col("question"), script).alias("wanted"), normal_text(F.col("question"), script).alias("normal_question"), F.explode_outer(lines).alias("anchor"))
+    rows = rows.withColumn("normal_anchor", normal_text(F.col("anchor"), script))
     return rows.groupBy("task", "point_id", "question", "wanted", "normal_question").agg(F.collect_set("normal_anchor").alias("normal_anchors"))
 
 
-def honest_points(answers: DataFrame, points: DataFrame, sources: DataFrame, hints: DataFrame | None = None) -> DataFrame:
+def honest_points(answers: DataFrame, points: DataFrame, sources: DataFrame, hints: DataFrame | None = None, script: Script = None) -> DataFrame:
     """(answer_id, point_id, honest, supported, score) for each absence point of an answer's task.
 
     `points` is (task, point_id, question, anchors), `hints` (task, hint) words
@@ -87,12 +87,12 @@ def honest_points(answers: DataFrame, points: DataFrame, sources: DataFrame, hin
     is supported by a quote that a source of the task has and that says or
     explains the same.
     """
-    asked = _asked(points)
+    asked = _asked(points, script)
     pieces = F.filter(F.transform(F.split("output", r"(?<=[。！？；;])|\n+"), F.trim), lambda x: x != "")
     segments = answers.select("answer_id", "task", F.explode(pieces).alias("segment"))
-    segments = segments.select("answer_id", "task", "segment", scoring_units(F.col("segment")).alias("units"), normal_text(F.col("segment")).alias("normal")).where(F.col("segment").rlike(ABSENCE))
+    segments = segments.select("answer_id", "task", "segment", scoring_units(F.col("segment"), script).alias("units"), normal_text(F.col("segment"), script).alias("normal")).where(F.col("segment").rlike(ABSENCE))
     said = segments.join(asked, "task").where(_speaks_of(F.col("segment"), F.col("units"), F.col("normal"))).select("answer_id", "point_id").distinct().withColumn("said", F.lit(True))
-    cited = citations(answers).select("answer_id", "citation").distinct().withColumn("words", normal_text(F.col("citation"))).where("words <> ''")
+    cited = citations(answers).select("answer_id", "citation").distinct().withColumn("words", normal_text(F.col("citation"), script)).where("words <> ''")
     cited = cited.join(answers.select("answer_id", "task"), "answer_id")
     explains = F.col("citation").rlike(ABSENCE) | F.col("citation").rlike(EXPLAINED)
     if hints is not None:
@@ -100,7 +100,7 @@ def honest_points(answers: DataFrame, points: DataFrame, sources: DataFrame, hin
         cited = cited.join(words, "task", "left")
         explains = explains | F.coalesce(F.exists("words_of", lambda h: F.lower("citation").contains(h)), F.lit(False))
     cited = cited.where(explains)
-    held = sources.select("task", normal_text(F.col("text")).alias("held"))
+    held = sources.select("task", normal_text(F.col("text"), script).alias("held"))
     found = cited.select("task", "words").distinct().join(held, "task").where(F.col("held").contains(F.col("words"))).select("task", "words").distinct()
     backed = cited.join(found, ["task", "words"]).select("answer_id").distinct().withColumn("backed", F.lit(True))
     out = answers.select("answer_id", "task", F.coalesce(F.col("output").rlike(BLANKET), F.lit(False)).alias("blanket")).join(points.select("task", "point_id"), "task")
@@ -114,7 +114,7 @@ def _group(text: Column, pattern: str, k: int) -> Column:
     return F.call_function("regexp_extract", text, F.col(pattern), F.lit(k))
 
 
-def fabricated_entities(answers: DataFrame, known: DataFrame, roles: DataFrame | None = None) -> DataFrame:
+def fabricated_entities(answers: DataFrame, known: DataFrame, roles: DataFrame | None = None, script: Script = None) -> DataFrame:
     """(answer_id, role, answer) for each role that an answer gives to someone whom no text of `known` (task, text) names.
 
     `roles` (task, role) adds to ROLES.
@@ -136,13 +136,13 @@ def fabricated_entities(answers: DataFrame, known: DataFrame, roles: DataFrame |
     given = F.get(F.split(F.trim(F.regexp_replace(given, r"^(?:由)?\s*", "")), r"担任|擔任|出资|承诺|作为|作為|（|\("), F.lit(0))
     found = found.select("answer_id", "task", role.alias("role"), F.regexp_replace(given, "^[ ：:,.，。「」“”\"*_#]+|[ ：:,.，。「」“”\"*_#]+$", "").alias("answer"))
     found = found.where((F.col("answer") != "") & ~F.col("answer").rlike(ABSENCE) & ~F.col("answer").rlike(QUESTION)).distinct()
-    found = found.withColumn("words", normal_text(F.col("answer"))).where(F.length("words") >= 2)
-    held = known.select("task", normal_text(F.col("text")).alias("held"))
+    found = found.withColumn("words", normal_text(F.col("answer"), script)).where(F.length("words") >= 2)
+    held = known.select("task", normal_text(F.col("text"), script).alias("held"))
     real = found.select("task", "words").distinct().join(held, "task").where(F.col("held").contains(F.col("words"))).select("task", "words").distinct()
     return found.join(real, ["task", "words"], "left_anti").select("answer_id", "role", "answer")
 
 
-def fabricated_amounts(answers: DataFrame, judged: DataFrame, points: DataFrame) -> DataFrame:
+def fabricated_amounts(answers: DataFrame, judged: DataFrame, points: DataFrame, script: Script = None) -> DataFrame:
     """(answer_id, answer) for each amount that is not borne out (`judged`, of `fidelity.judge_numbers`) and that answers an absence point.
 
     Restated questions and units in brackets do not count, nor statements of
@@ -161,8 +161,8 @@ def fabricated_amounts(answers: DataFrame, judged: DataFrame, points: DataFrame)
     statement = F.concat(F.regexp_extract("before", r"[^\n。]*$", 0), "match", F.regexp_extract("after", r"^[^\n。]*", 0))
     rows = rows.withColumn("statement", statement)
     paid = F.regexp_like("statement", F.concat(F.lit(f"(?i){PAID}" + r"\Q"), "raw", F.lit(r"\E")))
-    rows = rows.where(paid | ~F.col("statement").rlike(ABSENCE)).select("answer_id", "task", "raw", "statement", scoring_units(F.col("statement")).alias("units"), normal_text(F.col("statement")).alias("normal"))
-    spoken = rows.join(_asked(points), "task").where(_speaks_of(F.col("statement"), F.col("units"), F.col("normal"))).select("answer_id", "raw")
+    rows = rows.where(paid | ~F.col("statement").rlike(ABSENCE)).select("answer_id", "task", "raw", "statement", scoring_units(F.col("statement"), script).alias("units"), normal_text(F.col("statement"), script).alias("normal"))
+    spoken = rows.join(_asked(points, script), "task").where(_speaks_of(F.col("statement"), F.col("units"), F.col("normal"))).select("answer_id", "raw")
     free = rows.join(points.select("task").distinct(), "task", "left_anti").select("answer_id", "raw")
     return spoken.unionByName(free).distinct().select("answer_id", F.col("raw").alias("answer"))
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.normal import normal_text, overlap, scoring_units
+from ..functions.normal import Script, normal_text, overlap, scoring_units
 from ..functions.places import places, without_marks
 from ..functions.text import coverage, fold_width
 
@@ -126,8 +126,8 @@ def _base(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
 
-def citation_checks(answers: DataFrame, points: DataFrame, evidence: DataFrame) -> DataFrame:
-    """(answer_id, evidence_id, best_overlap, best_with_source, conflict, aligned, wrong_source) for each piece of evidence that applies.
+def citation_checks(answers: DataFrame, points: DataFrame, evidence: DataFrame, script: Script = None) -> DataFrame:
+    """(answer_id, task, evidence_id, point_id, best_overlap, best_with_source, conflict, aligned, wrong_source) for each piece of evidence that applies.
 
     `points` is (task, point_id, point, required), `evidence` (task,
     evidence_id, point_id, quotes, source_file) with the quotes in the
@@ -137,11 +137,11 @@ def citation_checks(answers: DataFrame, points: DataFrame, evidence: DataFrame)
     file that is asked for, and the answer does not say the contrary.
     """
     wanted = evidence.join(points, ["task", "point_id"], "left").select(
-        "task", "evidence_id", "quotes", F.coalesce("point", F.lit("")).alias("point"), F.coalesce("required", F.lit(True)).alias("required"), file_name(F.coalesce("source_file", F.lit(""))).alias("wanted_file")
-    ).withColumn("wanted", scoring_units(F.col("point")))
-    said = answers.select("answer_id", "task", "output", scoring_units(F.col("output")).alias("units"))
+        "task", "evidence_id", "point_id", "quotes", F.coalesce("point", F.lit("")).alias("point"), F.coalesce("required", F.lit(True)).alias("required"), file_name(F.coalesce("source_file", F.lit(""))).alias("wanted_file")
+    ).withColumn("wanted", scoring_units(F.col("point"), script))
+    said = answers.select("answer_id", "task", "output", scoring_units(F.col("output"), script).alias("units"))
     asked = said.join(wanted, "task").where(F.col("required") | (coverage(F.col("wanted"), F.col("units")) >= OPTIONAL)).drop("units")
-    records = citations(answers).select("answer_id", "citation", "source_file", scoring_units(F.col("claim")).alias("claim_units"), scoring_units(F.col("citation")).alias("cited_units"), normal_text(F.col("citation")).alias("cited"))
+    records = citations(answers).select("answer_id", "citation", "source_file", scoring_units(F.col("claim"), script).alias("claim_units"), scoring_units(F.col("citation"), script).alias("cited_units"), normal_text(F.col("citation"), script).alias("cited"))
     pairs = asked.select("answer_id", "evidence_id", "quotes", "wanted", "wanted_file").join(records, "answer_id")
     eligible = (
         (coverage(F.col("wanted"), F.col("claim_units")) >= CLAIM_COVERAGE)
@@ -149,7 +149,7 @@ def citation_checks(answers: DataFrame, points: DataFrame, evidence: DataFrame)
         | (coverage(F.col("wanted"), F.col("cited_units")) >= CITATION_COVERAGE)
     )
     pairs = pairs.where(eligible).select("answer_id", "evidence_id", "wanted_file", "source_file", "cited", F.posexplode("quotes").alias("quote_no", "quote"))
-    pairs = pairs.withColumn("overlap", overlap(normal_text(F.col("quote")), F.col("cited")))
+    pairs = pairs.withColumn("overlap", overlap(normal_text(F.col("quote"), script), F.col("cited")))
     fits = (F.col("wanted_file") == "") | ((F.col("source_file") != "") & (_base(F.col("source_file")) == _base(F.col("wanted_file"))))
     by_quote = pairs.groupBy("answer_id", "evidence_id", "quote_no").agg(F.max("overlap").alias("best"), F.coalesce(F.max(F.when(fits, F.col("overlap"))), F.lit(0.0)).alias("sourced"))
     best = by_quote.groupBy("answer_id", "evidence_id").agg(F.max("best").alias("best_overlap"), F.max(F.struct("sourced", (-F.col("quote_no")).alias("m"))).alias("top"))
@@ -161,6 +161,7 @@ def citation_checks(answers: DataFrame, points: DataFrame, evidence: DataFrame)
         "answer_id",
         "task",
         "evidence_id",
+        "point_id",
         F.round(met, 6).alias("best_overlap"),
         F.round(sourced, 6).alias("best_with_source"),
         conflict.alias("conflict"),

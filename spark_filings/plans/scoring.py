@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.normal import normal_text
 from ..functions.numbers import declared_units, explode_numbers
-from ..operators import compliance, fidelity
+from ..operators import compliance, fidelity, scoring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -133,7 +133,36 @@ SELECT doc_id, length(t) AS n_normal, sha256(t) AS normal_sha256
 FROM (SELECT doc_id, regexp_replace(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '[^\p{L}\p{N}_]+', '', 'g') AS t FROM documents)
 """
 
+# Ten characters in both scripts: a point is an order's total in simplified ones.
+_SIMPLE, _OTHER, _DIGITS = "价单发号总资对数时间", "價單發號總資對數時間", "0123456789"
+
+
+def folded_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points in simplified characters and answers in traditional ones: the whole point, half of it, or its reverse."""
+    digits = F.regexp_replace(F.col("price").cast("string"), r"\.", "")
+    part = F.element_at(F.array(digits, F.substr(digits, F.lit(1), F.floor(F.length(digits) / 2).cast("int")), F.reverse(digits)), (F.col("o_orderkey") % 3).cast("int") + 1)
+    orders = _orders(spark, sf_dir)
+    task = F.col("o_orderkey").alias("task")
+    answers = orders.select(F.col("o_orderkey").alias("answer_id"), task, F.translate(part, _DIGITS, _OTHER).alias("output"))
+    points = orders.select(task, F.lit("K2").alias("point_id"), F.translate(digits, _DIGITS, _SIMPLE).alias("point"), F.lit(True).alias("required"))
+    refusals = orders.select(F.col("o_orderkey").alias("answer_id"), F.lit(False).alias("refusal_explained"))
+    both = scoring.completeness(answers, points, refusals, (_OTHER, _SIMPLE)).join(scoring.completeness(answers, points, refusals).withColumnRenamed("completeness", "unfolded"), "answer_id")
+    return both.select(F.col("answer_id").alias("o_orderkey"), "completeness", "unfolded")
+
+
+FOLDED_SQL = f"""
+WITH o AS (SELECT o_orderkey, replace(CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS VARCHAR), '.', '') AS d FROM orders),
+t AS (SELECT o_orderkey, translate(d, '{_DIGITS}', '{_SIMPLE}') AS point, translate(CASE o_orderkey % 3 WHEN 0 THEN d WHEN 1 THEN substring(d, 1, length(d) // 2) ELSE reverse(d) END, '{_DIGITS}', '{_OTHER}') AS answer FROM o),
+f AS (SELECT o_orderkey, point, answer, translate(answer, '{_OTHER}', '{_SIMPLE}') AS folded FROM t),
+g AS (SELECT o_orderkey,
+        list_distinct(list_transform(range(1, length(point)), lambda i: substring(point, i, 2))) AS wanted,
+        list_distinct(list_transform(range(1, length(folded)), lambda i: substring(folded, i, 2))) AS said,
+        list_distinct(list_transform(range(1, length(answer)), lambda i: substring(answer, i, 2))) AS plain FROM f)
+SELECT o_orderkey, CAST(2 * len(list_intersect(wanted, said)) >= len(wanted) AS DOUBLE) AS completeness, CAST(2 * len(list_intersect(wanted, plain)) >= len(wanted) AS DOUBLE) AS unfolded FROM g
+"""
+
 QUERIES = {
+    "folded_completeness": folded_completeness,
     "number_tokens": number_tokens,
     "number_verdicts": number_verdicts,
     "number_fidelity": number_fidelity,
@@ -142,6 +171,7 @@ QUERIES = {
     "normal_documents": normal_documents,
 }
 ORACLES = {
+    "folded_completeness": FOLDED_SQL,
     "number_tokens": NUMBER_TOKENS_SQL,
     "number_verdicts": NUMBER_VERDICTS_SQL,
     "number_fidelity": NUMBER_FIDELITY_SQL,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import title_of
+from ..operators.lineage import saved
 
 FILING = T.StructType(
     [
@@ -46,10 +47,11 @@ def disambiguate_ids(df: DataFrame, id_col: str, order: list[str | Column]) -> D
     """
     dealt = df.repartitionByRange(id_col, *order).withColumn("_part", F.spark_partition_id())
     # Ranges are drawn from a sample, so they are fixed before they are used twice.
-    dealt = dealt.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else dealt.localCheckpoint()
+    dealt = saved(dealt)
     counts = dealt.groupBy("_part", F.col(id_col).alias("_of")).agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("_of").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
     before = before.where("_before > 0").select(F.col("_part").alias("_in"), "_of", "_before")
+    # At most one id goes on from a range into the next, so `before` has no more rows than there are ranges.
     place = F.row_number().over(Window.partitionBy("_part", id_col).orderBy(*order))
     placed = dealt.withColumn("_place", place).join(F.broadcast(before), (F.col("_part") == F.col("_in")) & F.col(id_col).eqNullSafe(F.col("_of")), "left")
     placed = placed.withColumn("_place", F.col("_place") + F.coalesce("_before", F.lit(0))).drop("_part", "_in", "_of", "_before")

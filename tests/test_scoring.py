@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spark_filings.functions import numbers
-from spark_filings.operators import fidelity
+from spark_filings.operators import absence, citations, fidelity, scoring
 
 GOLD = "task string, gold_id string, verbatim string, value string, unit string, derived boolean"
 
@@ -208,3 +208,46 @@ def test_restated_questions(spark):
     assert all(r.want == r.got for r in spark.createDataFrame(lines, "x string, want boolean").select("want", absence.is_question(F.col("x")).alias("got")).collect())
     units = [("in RMB million", True), ("位：万元", True), ("3 亿元为单位", True), ("in total 5", False), ("约 3 亿元", False)]
     assert all(r.want == r.got for r in spark.createDataFrame(units, "x string, want boolean").select("want", absence.is_unit_only(F.col("x")).alias("got")).collect())
+
+
+def test_scripts_are_folded(spark):
+    """Traditional answers are scored against simplified gold as simplified ones are."""
+    script = ("證據顯財務虛資", "证据显财务虚资")
+    points = spark.createDataFrame([("t", "K2", "证据显示财务造假", True)], "task string, point_id string, point string, required boolean")
+    evidence = spark.createDataFrame([("t", "E1", "K2", ["财务造假虚增资产"], None)], "task string, evidence_id string, point_id string, quotes array<string>, source_file string")
+    answers = spark.createDataFrame([("zh-CN", "t", "证据显示财务造假「财务造假虚增资产」"), ("zh-TW", "t", "證據顯示財務造假「財務造假虛增資產」".replace("產", "产"))], "answer_id string, task string, output string")
+    refusals = spark.createDataFrame([("zh-CN", False), ("zh-TW", False)], "answer_id string, refusal_explained boolean")
+    full = {r.answer_id: r.completeness for r in scoring.completeness(answers, points, refusals, script).collect()}
+    assert full == {"zh-CN": 1.0, "zh-TW": 1.0}
+    assert {r.answer_id: r.completeness for r in scoring.completeness(answers, points, refusals).collect()} == {"zh-CN": 1.0, "zh-TW": 0.0}
+    aligned = {r.answer_id: (r.point_id, r.aligned) for r in citations.citation_checks(answers, points, evidence, script).collect()}
+    assert aligned == {"zh-CN": ("K2", True), "zh-TW": ("K2", True)}
+    open_points = spark.createDataFrame([("t", "Q1", "财务资料", None)], "task string, point_id string, question string, anchors array<string>")
+    said = spark.createDataFrame([("zh-TW", "t", "財務資料未披露。")], "answer_id string, task string, output string")
+    sources = spark.createDataFrame([], "task string, text string")
+    (row,) = absence.honest_points(said, open_points, sources, script=script).collect()
+    assert row.honest
+
+
+def test_trap_limits(spark):
+    scores = spark.createDataFrame([("t", 0.5, 0.0, 1.0, True), ("u", 1.0, 1.0, 1.0, None)], "task string, overall double, compliance double, completeness double, absence_failure boolean")
+    for name in scoring.DIMENSIONS:
+        if name not in scores.columns:
+            scores = scores.withColumn(name, F.lit(None).cast("double"))
+    checks = spark.createDataFrame([("t", "E9", "K1", True, False), ("t", "E8", "K2", True, True)], "task string, evidence_id string, point_id string, wrong_source boolean, aligned boolean")
+    limits = [("t", "overall_max", "0.5"), ("t", "overall_min", "0.6"), ("t", "compliance", "fail"), ("u", "compliance", "fail"), ("t", "completeness", "1"), ("t", "absence_hard_failure", "true"), ("u", "absence_hard_failure", "true"), ("u", "absence_hard_failure", "false"), ("t", "wrong_source_point", "K1"), ("t", "wrong_source_point", "K2"), ("t", "wrong_source_point", "E9"), ("t", "unheard_of", "1"), ("z", "overall_max", "1")]
+    planted = spark.createDataFrame(limits, "task string, key string, expected string")
+    got = [tuple(r) for r in scoring.check_traps(scores, planted, checks).collect()]
+    held = set(got)
+    assert len(got) == len(limits)
+    assert {("t", "overall_max", True), ("t", "overall_min", False), ("t", "compliance", True), ("u", "compliance", False), ("t", "completeness", True), ("t", "absence_hard_failure", True), ("t", "unheard_of", False), ("z", "overall_max", False)} <= held
+    assert {("u", "absence_hard_failure", True), ("u", "absence_hard_failure", False), ("t", "wrong_source_point", True), ("t", "wrong_source_point", False)} <= held
+    assert [tuple(r) for r in scoring.check_traps(scores, planted.where("false"), checks).collect()] == [(None, "no traps found", False)]
+
+
+def test_kinds_asked_in_either_script(spark):
+    from spark_filings.functions.questions import asked_kinds, asks_remaining
+
+    asked = {"案號是什麼": (["doc_no"], False), "單價多少": (["price"], False), "单价多少": (["price"], False), "募集資金還可使用多少": (["amount"], True), "發行股數": (["count"], False), "何時": (["date"], False), "佔比": (["percent"], False), "why": ([], False)}
+    rows = spark.createDataFrame([(q,) for q in asked], "q string").select("q", asked_kinds(F.col("q")).alias("k"), asks_remaining(F.col("q")).alias("r")).collect()
+    assert {r.q: (r.k, r.r) for r in rows} == asked
