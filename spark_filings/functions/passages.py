@@ -52,6 +52,39 @@ def passages_at(text: Column) -> Column:
     return run(text)
 
 
+_BLANK_LINE = re.compile(r"\r?\n[\t ]*\r?\n")
+_SENTENCE = re.compile(rf"(?:[^{TERMINATORS}\r\n]|\r(?!\n))*(?:[{TERMINATORS}]+|\r?\n|$)")
+
+SENTENCE = "struct<paragraph:int,region_start:int,region_end:int,start:int,end:int,text:string>"
+
+
+def sentences_of(text: str) -> list[dict]:
+    """The sentences of each paragraph, trimmed, as slices of the text.
+
+    Blank lines part paragraphs; a paragraph's region begins with the blank
+    line before it, so that every place is in one.
+    """
+    out, cuts = [], [(0, 0), *(m.span() for m in _BLANK_LINE.finditer(text)), (len(text), len(text))]
+    for number, ((begin, inner), (end, _)) in enumerate(zip(cuts, cuts[1:])):
+        for m in _SENTENCE.finditer(text, inner, end):
+            kept = m[0].strip()
+            if kept:
+                start = m.start() + m[0].index(kept)
+                out.append({"paragraph": number, "region_start": begin, "region_end": end, "start": start, "end": start + len(kept), "text": kept})
+    return out
+
+
+def sentences_at(text: Column) -> Column:
+    """The sentences of a text as an array of SENTENCE; null has none."""
+
+    @F.pandas_udf(f"array<{SENTENCE}>")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            yield texts.map(lambda t: sentences_of(t or ""))
+
+    return run(text)
+
+
 def _units(text: str) -> set[str]:
     out = set(re.findall(r"[a-z]+(?:'[a-z]+)?|[-+]?[0-9][0-9,.%/-]*", text))
     for run in re.findall("[㐀-鿿]+", text):
