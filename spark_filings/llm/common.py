@@ -313,6 +313,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete what is under a path, in whatever store it is."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 #: Spark's setting to delete a query's shuffle files when it ends.
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

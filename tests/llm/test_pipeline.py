@@ -25,6 +25,16 @@ def test_stages(spark, tmp_path):
     assert set(ids.columns) >= {"doc_id", "ids"} and ids.where("ids is null").count() == 0
 
 
+def test_run_leaves_its_last_result_alone(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "shared_folder", lambda spark: str(tmp_path))
+    assert corpus_pipeline.run(spark, DATA).count() > 0
+    assert [p.name for p in tmp_path.glob("pipeline-*/*")] == ["4-sentencepiece"]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [*corpus_pipeline.STAGES[:1], ("fails", lambda spark, docs, sf_dir: docs.select("none"))])
+    with pytest.raises(Exception):
+        corpus_pipeline.run(spark, DATA)
+    assert len(list(tmp_path.glob("pipeline-*/*"))) == 1
+
+
 @pytest.mark.parametrize("name", ["op2_minhash", "op10_url_filter"])
 def test_sql(spark, name):
     con = duckdb.connect()
