@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spark_filings.llm.common import shared_folder, table
+from spark_filings.llm.common import discard, shared_folder, table
 from spark_filings.llm.line_dedup import dedup_lines
 from spark_filings.llm.minhash import keep_one_of_each
 from spark_filings.llm.mixing import mix_rows
@@ -57,10 +57,24 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table `documents`, each written to the shared folder and read again."""
+    """All stages over the table `documents`, each written to the shared folder and read again.
+
+    What a stage has read is deleted when its result is written, and all of it
+    if one fails; the last result stays, as the rows that are returned are
+    read from it.
+    """
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+    before = None
+    try:
+        for k, (name, stage) in enumerate(STAGES):
+            written = f"{folder}/{k}-{name}"
+            stage(spark, docs, sf_dir).write.parquet(written)
+            docs = spark.read.parquet(written)
+            if before:
+                discard(spark, before)
+            before = written
+    except BaseException:
+        discard(spark, folder)
+        raise
     return docs

@@ -15,16 +15,21 @@ from .citations import citations
 # Wording of absence, of its explanation and of blanket
 # statements, roles that someone may be given, forms of questions and of units.
 ABSENCE = (
-    r"(?i)未(?:予|曾|能)?(?:披露|揭露)|没有(?:披露|说明|提及|明确)|尚未|仍未|暂未|暂无|尚无|不详|未说明|未提及|未明确|查无|"
-    r"无法(?:核实|确认|判断|得知|从[^，。；;\n]{0,20}得出)|无从得知|无(?:相关|对应|此类)?(?:信息|资料)|原文未|公告未|材料未|未指定|未确定|"
-    r"沒有(?:披露|說明|提及|明確)|無法(?:核實|確認|判斷|得知)|暫無|尚無|不詳|查無|未(?:予|曾|能)?(?:說明|提及|明確|指定|確定)|原文未|公告未|資料未|無從得知|"
+    r"(?i)(?:未(?:予|曾|能)?(?:披露|揭露)|没有(?:披露|说明|提及|明确)|"
+    r"尚未|仍未|暂未|暂无|尚无|不详|未说明|未提及|未明确|查无|"
+    r"无法(?:核实|确认|判断|得知|从[^，。；;\n]{0,20}得出)|无从得知|"
+    r"无(?:相关|对应|此类)?(?:信息|资料)|原文未|公告未|材料未|未指定|未确定|"
+    r"沒有(?:披露|說明|提及|明確)|無法(?:核實|確認|判斷|得知)|暫無|尚無|不詳|查無|"
+    r"未(?:予|曾|能)?(?:說明|提及|明確|指定|確定)|原文未|公告未|資料未|無從得知|"
     r"未在[^，。；;\n]{0,16}中(?:披露|揭露|确定|確定|说明|說明)|"
     r"not\s+(?:yet\s+)?(?:disclosed|stated|available|verifiable|determined|specified|finali[sz]ed|set|named|designated|identified)|"
-    r"(?:do(?:es)?|did)\s+not\s+(?:disclose|designate|name|state|specify|identify|provide|mention)|\bnor\s+(?:the|any|does|did)\b|"
-    r"(?:remains?|is)\s+undetermined|to\s+be\s+determined|\bTBD\b|cannot\s+(?:verify|determine|confirm)"
+    r"(?:do(?:es)?|did)\s+not\s+(?:disclose|designate|name|state|specify|identify|provide|mention)|"
+    r"\bnor\s+(?:the|any|does|did)\b|"
+    r"(?:remains?|is)\s+undetermined|to\s+be\s+determined|\bTBD\b|"
+    r"cannot\s+(?:verify|determine|confirm))"
 )
-EXPLAINED = r"(?i)立案审查|申请阶段|尚处|未受理|尚未受理|未进入|未指定|程序|重大不确定|能否被受理|截至本公告披露日"
-BLANKET = r"(?i)(?:前三项|前3项|问题?\s*1\s*(?:[-~至到]至?)?\s*3|上述三项|上述3项|第[123]问(?:均|都).{0,8})[^\n。；;]{0,20}(?:未披露|尚未|无法核实|暂无)"
+EXPLAINED = r"(?i)(?:立案审查|申请阶段|尚处|未受理|尚未受理|未进入|未指定|程序|重大不确定|能否被受理|截至本公告披露日)"
+BLANKET = r"(?i)(?:前三项|前3项|问题?\s*1\s*(?:[-~至到]至?)?\s*3|上述三项|上述3项|第[123]问(?:均|都).{0,8})(?:[^\n。；;]{0,20})(?:未披露|尚未|无法核实|暂无)"
 ROLES = ("重整投资人", "重整管理人", "投资人", "管理人")
 TOPICS = ("重整投资人", "投资人", "出资金额", "出资", "重整管理人", "管理人")
 GIVEN = (
@@ -32,7 +37,7 @@ GIVEN = (
     r"(?!谁|什么|什麼|哪|未|尚|无法|沒有|不详|待定|暂无|公告未|原文未|不超过|不超過)([^，,。；;\n\]}】]{1,60})"
 )
 TAKES = r"((?:由\s*)?[A-Za-z\x{3400}-\x{9fff}][A-Za-z0-9\x{3400}-\x{9fff}·・\s]{1,40}?)(?:将|已)?\s*(?:担任|擔任|作为|作為|系|係)\s*"
-QUESTION = r"[？?]|多少|几多|哪些|哪家|哪几|哪幾|几家|幾家|什么|什麼|是谁|是誰|何时|何時|吗$|嗎$"
+QUESTION = r"[？?]|(?:多少|几多|哪些|哪家|哪几|哪幾|几家|幾家|什么|什麼|是谁|是誰|何时|何時|吗$|嗎$)"
 _LABEL = r"(?:人民币|人民幣)?(?:万亿元|萬億元|亿元|億元|百万元|百萬元|万元|萬元|千元|元|万港元|萬港元|港元|万美元|萬美元|美元)"
 _VALUE = rf"(?:\d[\d,]*(?:\.\d+)?\s*)?{_LABEL}"
 UNIT_ONLY = (

@@ -29,8 +29,8 @@ SOURCE_FILE = (
 )
 SIGIL = r"\b([A-Z][A-Za-z0-9]{0,3}-[A-Z0-9]{1,4})\b"
 CONFLICTS = (
-    (r"(?i)尚未|未曾|没有|沒有|not yet|has not|have not", r"(?i)已(?:经|經)?进入|已(?:经|經)?受理|已获批准|已獲批准|has entered|was accepted|has been accepted"),
-    (r"(?i)不确定|不確定|uncertain|uncertainty", r"(?i)肯定|必然|确定会|確定會|一定会|一定會|definitely|certain to|will surely"),
+    (r"(?i)(?:尚未|未曾|没有|沒有|not yet|has not|have not)", r"(?i)(?:已(?:经|經)?进入|已(?:经|經)?受理|已获批准|已獲批准|has entered|was accepted|has been accepted)"),
+    (r"(?i)(?:不确定|不確定|uncertain|uncertainty)", r"(?i)(?:肯定|必然|确定会|確定會|一定会|一定會|definitely|certain to|will surely)"),
 )
 
 #: Overlap from which a citation is the evidence, and what makes a citation speak of a point.

@@ -9,8 +9,41 @@ from ..functions.text import coverage, semantic_units
 
 #: Units too common to make a text be about something.
 GENERIC = (
-    "公司 本次 是否 多少 哪家 什么 什麼 披露 揭露 公告 是谁 是誰 机构 機構 情况 情況 有关 有關 相关 相關 进行 進行 以及 关于 關於 是多 的是 the of is are what which company"
-).split()
+    "公司",
+    "本次",
+    "是否",
+    "多少",
+    "哪家",
+    "什么",
+    "什麼",
+    "披露",
+    "揭露",
+    "公告",
+    "是谁",
+    "是誰",
+    "机构",
+    "機構",
+    "情况",
+    "情況",
+    "有关",
+    "有關",
+    "相关",
+    "相關",
+    "进行",
+    "進行",
+    "以及",
+    "关于",
+    "關於",
+    "是多",
+    "的是",
+    "the",
+    "of",
+    "is",
+    "are",
+    "what",
+    "which",
+    "company",
+)
 
 #: Share of a checklist item's, and of a derivation's, units that claims must have.
 COVERED, DERIVED = 0.4, 0.5

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import split_passages
 from ..operators import checks, reports
+from ..operators.scoring import COUNTER_MARKS
 from ..streaming.scores import latest_scores, stream_scores
 
 
@@ -122,13 +123,6 @@ FROM a LEFT JOIN n USING (task) LEFT JOIN h USING (answer_id)
 """
 
 
-#: The reference's marks of counter-evidence.
-COUNTER_MARKER = (
-    r"(?i)(?:反方证据|反面证据|相反证据|但|然而|不过|风险|不确定|反方證據|反面證據|相反證據|不過|風險|不確定|"
-    r"counter[- ]evidence|on the other hand|however|risk|uncertain)"
-)
-
-
 def point_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points of which the whole answer has half of the units."""
     return checks.points_covered(*_answers(spark, sf_dir), "task", 0.5, whole=True)
@@ -136,7 +130,7 @@ def point_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def point_counterevidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points of which a line with a mark of counter-evidence has a quarter of the units."""
-    return checks.points_covered(*_answers(spark, sf_dir), "task", 0.25, COUNTER_MARKER)
+    return checks.points_covered(*_answers(spark, sf_dir), "task", 0.25, COUNTER_MARKS)
 
 
 # A distinct formulation: every answer or line is paired with every point of its task, and units are counted row by row.
@@ -164,7 +158,7 @@ FROM a LEFT JOIN n USING (task) LEFT JOIN h USING (answer_id)
 
 POINT_COMPLETENESS_SQL = _whole_points_sql("SELECT answer_id, 0 AS part_no, text AS part FROM a", "0.5")
 POINT_COUNTEREVIDENCE_SQL = _whole_points_sql(
-    f"SELECT * FROM (SELECT answer_id, generate_subscripts(string_split(text, chr(10)), 1) AS part_no, unnest(string_split(text, chr(10))) AS part FROM a) WHERE regexp_matches(part, '{COUNTER_MARKER}')",
+    f"SELECT * FROM (SELECT answer_id, generate_subscripts(string_split(text, chr(10)), 1) AS part_no, unnest(string_split(text, chr(10))) AS part FROM a) WHERE regexp_matches(part, '{COUNTER_MARKS}')",
     "0.25",
 )
 
