@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.grams import code_points, gram_hashes
 from ..functions.text import coverage, has_open_end, semantic_units
 
 #: A side of a join is broadcast up to so many rows.
@@ -33,16 +39,40 @@ def character_grams(df: DataFrame, id_col: str, text_col: str, size: int, stride
     return df.select(F.col(id_col).alias("id"), F.explode(grams).alias("gram"))
 
 
+def _held_grams(texts: DataFrame, grams: list[str], size: int) -> DataFrame:
+    """(gram): those of some grams that are in the texts, repeated at most once a text.
+
+    A text's grams are hashed where they stand, and only those whose hash one
+    of the given has are made.
+    """
+    wanted = np.unique(np.array([gram_hashes(code_points(g), size)[0] for g in grams], dtype=np.uint64))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: set[str] = set()
+            for text in batch.column(0).to_pylist():
+                text = re.sub("[ \t\n\x0b\f\r]+", "", text or "")
+                hashed = gram_hashes(code_points(text), size)
+                at = np.minimum(np.searchsorted(wanted, hashed), len(wanted) - 1)
+                found.update(text[i : i + size] for i in np.flatnonzero(wanted[at] == hashed).tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["gram"])
+
+    return texts.select(F.col("text").cast("string")).mapInArrow(run, "gram string")
+
+
 def contamination(texts: DataFrame, text_id: str, gold: DataFrame, gold_id: str, size: int = 8, stride: int = 4) -> DataFrame:
     """(gold_id, n_grams, n_found): how many runs of each gold text occur in the texts.
 
     Grams are the equi-join key.  The texts' side is reduced to the distinct
-    grams that gold has before it is shuffled any further.
+    grams that gold has before it is shuffled any further: in place where gold
+    has few, which are counted first, and else by a join.
     """
     asked = character_grams(gold, gold_id, "text", size, stride).distinct()
-    wanted = asked.select("gram").distinct()
-    small = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    held = character_grams(texts, text_id, "text", size).select("gram").join(F.broadcast(wanted) if small else wanted, "gram", "left_semi").distinct()
+    wanted = [r[0] for r in asked.select("gram").distinct().limit(BROADCAST_ROWS + 1).collect()]
+    if 0 < len(wanted) <= BROADCAST_ROWS:
+        held = _held_grams(texts, wanted, size).distinct()
+    else:
+        held = character_grams(texts, text_id, "text", size).select("gram").join(asked.select("gram").distinct(), "gram", "left_semi").distinct()
     found = held.withColumn("_hit", F.lit(1))
     return asked.join(found, "gram", "left").groupBy(F.col("id").alias(gold_id)).agg(F.count("*").alias("n_grams"), F.count("_hit").alias("n_found"))
 

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.grams import code_points, gram_hashes
 from ..functions.normal import PATTERN_SCRIPT
 from ..functions.passages import BLANK, Document
 from .lineage import saved
@@ -85,14 +86,9 @@ def _grams(rows: DataFrame, key: str, text: Column, script: tuple[str, str]) ->
     table = str.maketrans(*script)
 
     def least(text: str) -> np.ndarray:
-        points = np.frombuffer(re.sub(f"[{BLANK}]+", "", text.translate(table)).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-        n = len(points) - GRAM + 1
-        if n < NEIGHBOURS:
+        hashed = gram_hashes(code_points(re.sub(f"[{BLANK}]+", "", text.translate(table))), GRAM)
+        if len(hashed) < NEIGHBOURS:
             return np.zeros(0, dtype=np.int64)
-        hashed = np.zeros(n, dtype=np.uint64)
-        for k in range(GRAM):
-            hashed = hashed * np.uint64(0x9E3779B97F4A7C15) + points[k : k + n]
-            hashed ^= hashed >> np.uint64(29)
         return np.unique(np.lib.stride_tricks.sliding_window_view(hashed.view(np.int64), NEIGHBOURS).min(axis=1))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

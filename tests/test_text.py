@@ -233,7 +233,7 @@ def test_counterevidence_needs_a_mark(spark):
     texts = ["the net loss rose", "on the other hand net loss", "风险 net loss", "however\nnet loss rose", "uncertain net", "but however other"]
     answers = spark.createDataFrame([(i, 1, x) for i, x in enumerate(texts)], "answer_id int, task int, output string")
     points = spark.createDataFrame([(1, 1, "net loss rose again")], "task int, point_id int, point string")
-    got = {r.answer_id: r.n_covered for r in checks.points_covered(answers, points, "task", 0.25, checking.COUNTER_MARKER).collect()}
+    got = {r.answer_id: r.n_covered for r in checks.points_covered(answers, points, "task", 0.25, checking.COUNTER_MARKS).collect()}
     assert got == {0: 0, 1: 1, 2: 1, 3: 0, 4: 1, 5: 0}
 
 
