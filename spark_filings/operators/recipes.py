@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import coverage, semantic_units
+from .lineage import saved
 
 #: Units too common to make a text be about something.
 GENERIC = (
@@ -111,3 +112,46 @@ def missing_questions(questions: DataFrame, asked: DataFrame, least: float = 0.6
     met = clauses.join(held, "run").where(coverage(F.col("wanted"), F.col("units")) >= least).select("run", "question_id", "clause").distinct()
     open_ones = clauses.join(met, ["run", "question_id", "clause"], "left_anti").select("run", "question_id").distinct()
     return questions.join(open_ones, ["run", "question_id"], "left_semi")
+
+
+#: Share of each other's units from which two questions ask the same.
+SAME = 0.75
+
+
+def dedupe_questions(questions: DataFrame) -> DataFrame:
+    """(run, question_id, kept_id): each question (run, question_id, position, text) with the one that is kept for it, itself or an earlier one.
+
+    In the order of positions a question is kept, unless it and an earlier kept
+    one have SAME of each other's units; then it merges into the first such.
+    Questions without units are the same question.
+
+    Questions with equal units share their fate and are one row; others meet
+    by the rarest of their units, of which two that are the same have one in
+    common.  The order is worked off in rounds: a question is decided when all
+    earlier ones that it meets are, or when one of them is kept; rounds are as
+    many as the longest chain of undecided ones.
+    """
+    units = semantic_units(F.col("text"))
+    rows = questions.select("run", "question_id", "position", F.when(F.size(units) == 0, F.array(F.lit(""))).otherwise(F.array_sort(units)).alias("units"))
+    rows = saved(rows)
+    firsts = saved(rows.groupBy("run", "units").agg(F.min(F.struct("position", "question_id")).alias("node")))
+    terms = firsts.select("run", "node", "units", F.explode("units").alias("unit"))
+    n = terms.groupBy("run", "unit").agg(F.count("*").alias("n"))
+    rarity = F.row_number().over(Window.partitionBy("run", "node").orderBy("n", "unit"))
+    rare = terms.join(n, ["run", "unit"]).withColumn("_r", rarity).where(F.col("_r") <= F.size("units") - F.ceil(F.size("units") * SAME) + 1)
+    later, earlier = rare.select("run", "unit", "node", "units"), rare.select("run", "unit", F.col("node").alias("before"), F.col("units").alias("units_before"))
+    met = later.join(earlier, ["run", "unit"]).where(F.col("before") < F.col("node"))
+    mutual = (coverage(F.col("units"), F.col("units_before")) >= SAME) & (coverage(F.col("units_before"), F.col("units")) >= SAME)
+    edges = saved(met.where(mutual).select("run", "node", "before").distinct())
+    state = saved(firsts.join(edges.select("run", "node").distinct(), ["run", "node"], "left_anti").select("run", "node", F.lit(True).alias("kept")))
+    while True:
+        known = edges.join(state.select("run", F.col("node").alias("before"), F.col("kept").alias("_k")), ["run", "before"], "left")
+        judged = known.join(state.select("run", "node"), ["run", "node"], "left_anti").groupBy("run", "node").agg(F.max(F.coalesce("_k", F.lit(False))).alias("_any"), F.max(F.col("_k").isNull()).alias("_open"))
+        new = saved(judged.where("_any or not _open").select("run", "node", (~F.col("_any")).alias("kept")))
+        if new.isEmpty():
+            break
+        state = saved(state.unionByName(new))
+    kept = state.where("kept").select("run", F.col("node").alias("before"))
+    into = edges.join(kept, ["run", "before"]).groupBy("run", "node").agg(F.min("before").alias("_into"))
+    fate = firsts.join(into, ["run", "node"], "left").select("run", "units", F.coalesce("_into", "node").getField("question_id").alias("kept_id"))
+    return rows.join(fate, ["run", "units"]).select("run", "question_id", "kept_id")

@@ -1,6 +1,10 @@
 """Claims that state what is asked, and units that claims translate: one case for each rule."""
 
-from spark_filings.operators import settling
+import random
+
+import pytest
+
+from spark_filings.operators import recipes, settling
 
 
 def test_settled_claims(spark):
@@ -38,3 +42,28 @@ def test_translated_units(spark):
     evidence = spark.createDataFrame([("a", 1, "共 7,654,321元"), ("a", 0, "5 美元"), ("b", 0, "7,654,321元"), ("c", 0, "7,654,321元"), ("d", 0, "2,468.13万元"), ("e", 0, "CNY 9"), ("f", 0, None)], "claim_id string, position int, quote string")
     got = {r.claim_id: (r.written, r.printed) for r in settling.translated_units(claims, evidence).collect()}
     assert got == {"a": ("RMB 7,654,321", "7,654,321元"), "d": ("CNY 2,468.13", "2,468.13万元")}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_questions_merge_in_order(spark, seed):
+    """Against the greedy walk, with chains in which who is kept depends on the order."""
+    rng = random.Random(seed)
+    words = [f"w{chr(97 + k)}" for k in range(9)]
+    rows = [(run, f"q{k}", k, " ".join(rng.sample(words[: rng.choice([5, 6, 9])], rng.choice([0, 3, 4, 4, 5])))) for run in ("r", "s") for k in range(60)]
+    rows += [("t", "only", 0, None), ("t", "same", 1, "?!"), ("t", "other", 2, "a")]
+    want = []
+    for run in ("r", "s", "t"):
+        kept = []
+        for _, q, _, text in [x for x in rows if x[0] == run]:
+            own = set((text or "").replace("?!", "").split())
+
+            def same(other):
+                return own == other if not own or not other else len(own & other) >= 0.75 * max(len(own), len(other))
+
+            twin = next((k for k, u in kept if same(u)), None)
+            if twin is None:
+                kept.append((q, own))
+            want.append((run, q, twin or q))
+    got = recipes.dedupe_questions(spark.createDataFrame(rows, "run string, question_id string, position int, text string").repartition(3))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    assert len({(r, k) for r, _, k in want}) < len(want)
