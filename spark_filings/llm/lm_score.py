@@ -207,25 +207,31 @@ class Model:
         hashed = _SALT[0][before], (_SALT[1][before] ^ (_SALT[2][before2] * U64(31))) >> U64(20), _SALT[3][before2]
         return [(h & mask).astype(np.int64) for h in hashed]
 
-    def forward(self, rows: list[np.ndarray], bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Probabilities of classes and of buckets in the true class, and log probabilities."""
+    def forward(self, rows: list[np.ndarray], bucket: np.ndarray, within: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Probabilities of classes and of buckets in the true class, and log probabilities; `within`: rows of `inner`, if known."""
         kind, inside = bucket >> 4, bucket & 15
-        a = self.class_bias + self.classes[rows[0]]
-        b = self.inner_bias[kind] + self.inner[self.inner_row(rows[0], kind)]
-        for r in rows[1:]:
-            a += self.classes[r]
-            b += self.inner[self.inner_row(r, kind)]
-        each = np.arange(len(bucket))
-        logs = a[each, kind] + b[each, inside]
+        within = within or [self.inner_row(r, kind) for r in rows]
+        a, b = self.classes.take(rows[0], axis=0), self.inner.take(within[0], axis=0)
+        a += self.class_bias
+        b += self.inner_bias.take(kind, axis=0)
+        for r, w in zip(rows[1:], within[1:]):
+            a += self.classes.take(r, axis=0)
+            b += self.inner.take(w, axis=0)
+        first = np.arange(len(bucket)) * IN_CLASS
+        logs = a.take(first + kind) + b.take(first + inside)
+        out = []
         for x in (a, b):
-            top = x.max(axis=1, keepdims=True)
+            # A column for each token: sums and maxima then run over whole rows at once.
+            x = x.T.copy()
+            top = x.max(axis=0)
             x -= top
-            logs -= top[:, 0]
             np.exp(x, out=x)
-            total = x.sum(axis=1, keepdims=True)
+            total = x.sum(axis=0)
             x /= total
-            logs -= np.log(total[:, 0])
-        return a, b, logs
+            logs -= top
+            logs -= np.log(total)
+            out.append(x.T.copy())
+        return *out, logs
 
 
 def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -235,17 +241,32 @@ def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), dtype=np.uint16), np.cumsum(sizes) - sizes
 
 
+def _put(table: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """table[at] = rows, each row moved as one item."""
+    item = f"V{table.itemsize * table.shape[1]}"
+    table.view(item)[:, 0].put(at, rows.view(item)[:, 0])
+
+
 def _descend(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, gradient: np.ndarray) -> None:
     """An adaptive gradient step on the rows of a weight table."""
     # Rows and places in one number sort fast and keep ties in order.
     packed = np.sort((rows << 14) | np.arange(len(rows)))
     rows, order = packed >> 14, packed & (MINIBATCH - 1)
     new = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-    total = np.add.reduceat(gradient[order], new, axis=0)
-    at = rows[new]
-    held = squares[at] + total * total
-    squares[at] = held
-    weights[at] -= RATE * total / np.sqrt(held)
+    at, times = rows[new], np.diff(new, append=len(rows))
+    total = gradient.take(order[new], axis=0)
+    # Sums are slow by row, and most rows occur once.
+    many = np.flatnonzero(times > 1)
+    if len(many):
+        n = times[many]
+        total[many] = np.add.reduceat(gradient.take(order[np.repeat(times > 1, times)], axis=0), np.cumsum(n) - n, axis=0)
+    held = squares.take(at, axis=0)
+    held += total * total
+    _put(squares, at, held)
+    np.sqrt(held, out=held)
+    total *= RATE
+    total /= held
+    _put(weights, at, weights.take(at, axis=0) - total)
 
 
 def _train(model) -> object:
@@ -261,13 +282,14 @@ def _train(model) -> object:
                 for k in range(0, len(codes), MINIBATCH):
                     part = slice(k, k + MINIBATCH)
                     some, target = [r[part] for r in rows], bucket[part]
-                    a, b, _ = own.forward(some, target)
                     kind, each = target >> 4, np.arange(len(target))
+                    within = [own.inner_row(r, kind) for r in some]
+                    a, b, _ = own.forward(some, target, within)
                     a[each, kind] -= 1
                     b[each, target & 15] -= 1
-                    for r in some:
+                    for r, w in zip(some, within):
                         _descend(own.classes, squares[0], r, a)
-                        _descend(own.inner, squares[1], own.inner_row(r, kind), b)
+                        _descend(own.inner, squares[1], w, b)
                 seen += len(codes)
         # Changes travel with half precision; they are a few units at most.
         blocks = np.array_split(own.flat() - model.value.flat(), BLOCKS)
