@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import canonical_decimal, fold_width, let
+from .text import fold_width, let
 
 # Labels of amounts with their currency and power of ten, marks
 # before amounts, scales, and the forms of dates, documents and shares.
@@ -118,28 +118,43 @@ FIGURES = (
 _UNIT_DECLARED = r"[单單]位[:：]\s*(?:人民[币幣])?\s*(万亿元|萬億元|亿元|億元|万元|萬元|千元|元)"
 
 
+def _canonical(whole: Column, part: Column, negative: Column) -> Column:
+    """A decimal from its digits before and after the point, without zeros at either end."""
+    parts = F.struct(F.ltrim(whole, F.lit("0")).alias("head"), F.rtrim(part, F.lit("0")).alias("tail"), negative.alias("negative"))
+
+    def number(p: Column) -> Column:
+        sign = F.when(p["negative"] & ((p["head"] != "") | (p["tail"] != "")), "-").otherwise("")
+        return F.concat(sign, F.when(p["head"] == "", "0").otherwise(p["head"]), F.when(p["tail"] == "", "").otherwise(F.concat(F.lit("."), p["tail"])))
+
+    return let(parts, number)
+
+
+def _digits(decimal: Column) -> Column:
+    """The digits before and after the point, and whether there is a minus; of a text that is a decimal."""
+    def parts(plain: Column) -> Column:
+        return F.struct(F.substring_index(plain, ".", 1).alias("whole"), F.when(plain.contains("."), F.substring_index(plain, ".", -1)).otherwise("").alias("part"), decimal.startswith("-").alias("negative"))
+
+    return let(F.translate(decimal, ",+-", ""), parts)
+
+
 def shift_point(decimal: Column, places: Column) -> Column:
-    """A canonical decimal times ten to the power `places` (of either sign), exactly."""
+    """A canonical decimal times ten to the power `places` (of either sign), exactly; null for anything else."""
     up, down = F.greatest(places, F.lit(0)), F.greatest(-places, F.lit(0))
 
-    def moved(parts: Column) -> Column:
-        """From (whole, part) with as many digits in both as the point moves over."""
-        whole, part = parts["whole"], parts["part"]
-        head = F.concat(F.substr(whole, F.lit(1), F.length(whole) - down), F.substr(part, F.lit(1), up))
-        return F.concat(F.when(decimal.startswith("-"), F.lit("-")).otherwise(F.lit("")), head, F.lit("."), F.substr(whole, F.length(whole) - down + 1), F.substr(part, up + 1), F.lit("0"))
+    def padded(d: Column) -> Column:
+        whole = F.greatest(F.length(d["whole"]), down + 1)
+        digits = F.concat(F.lpad(d["whole"], whole, F.lit("0")), F.rpad(d["part"], F.greatest(F.length(d["part"]), up), F.lit("0")))
+        return F.struct(digits.alias("digits"), (whole - down + up).alias("at"), d["negative"].alias("negative"))
 
-    def padded(digits: Column) -> Column:
-        whole, part = F.substring_index(digits, ".", 1), F.substring_index(digits, ".", -1)
-        return F.struct(F.lpad(whole, F.greatest(F.length(whole), down + 1), F.lit("0")).alias("whole"), F.rpad(part, F.greatest(F.length(part), up), F.lit("0")).alias("part"))
+    def cut(d: Column) -> Column:
+        return _canonical(F.substr(d["digits"], F.lit(1), d["at"]), F.substr(d["digits"], d["at"] + 1), d["negative"])
 
-    digits = F.regexp_replace(decimal, "^-", "")
-    digits = F.when(digits.contains("."), digits).otherwise(F.concat(digits, F.lit(".0")))
-    return canonical_decimal(let(let(digits, padded), moved))
+    return F.when(decimal.rlike(r"^-?[0-9][0-9,]*(?:\.[0-9]+)?\z"), let(let(_digits(decimal), padded), cut))
 
 
 def label_of(text: Column) -> Column:
     """A label of amounts in one form: lower case, single spaces, simplified characters."""
-    return F.translate(F.lower(F.regexp_replace(F.trim(text), r"(?U)\s+", " ")), *TRADITIONAL_LABELS)
+    return F.translate(F.lower(F.trim(F.regexp_replace(text, r"(?U)\s+", " "))), *TRADITIONAL_LABELS)
 
 
 def _choice(of: Column, choices: dict) -> Column:
@@ -167,21 +182,22 @@ def explode_numbers(texts: DataFrame, text_col: str) -> DataFrame:
         "raw",
         fold_width(raw).alias("_plain"),
         F.upper(F.regexp_extract(raw, rf"(?i)^{_MARK}", 0)).alias("_mark"),
-        label_of(F.regexp_extract(raw, rf"(?iU){_LABEL}$", 0)).alias("_label"),
-        F.trim(F.lower(F.regexp_extract(raw, rf"(?i)(?:{'|'.join(SCALES)})\s*$", 0))).alias("_scale"),
         raw.rlike(rf"(?iU)^{_DATE}$").alias("_is_date"),
     )
+    # What stands after the last digit: a label, a scale, or neither.
+    rows = rows.withColumn("_label", label_of(F.regexp_extract("_plain", r"[^0-9.,]*$", 0)))
     mark, label = F.col("_mark"), F.col("_label")
     kind = (
         F.when(raw.rlike(r"^[（(]"), "doc_no")
         .when(F.col("_is_date"), "date")
-        .when((mark != "") | (label != ""), "amount")
+        .when((mark != "") | label.isin(*AMOUNTS), "amount")
         .when(raw.rlike(rf"(?iU){PERCENT}$"), "percent")
         .when(raw.rlike(r"(?U)\d"), "scalar")
     )
     currency = F.when(mark != "", _choice(mark, MARKS)).otherwise(_choice(label, {k: v for k, (v, _) in AMOUNTS.items()}))
-    power = F.when(mark != "", _choice(F.col("_scale"), SCALES)).otherwise(_choice(label, {k: v for k, (_, v) in AMOUNTS.items()}))
-    figure = canonical_decimal(F.regexp_replace(F.regexp_extract(plain, r"[-+]?[0-9][0-9,]*(?:\.[0-9]+)?", 0), r"^\+", ""))
+    power = F.when(mark != "", _choice(label, SCALES)).otherwise(_choice(label, {k: v for k, (_, v) in AMOUNTS.items()}))
+    printed = F.regexp_extract(plain, r"[-+]?[0-9][0-9,]*(?:\.[0-9]+)?", 0)
+    figure = let(printed, lambda p: F.when(p != "", let(_digits(p), lambda d: _canonical(d["whole"], d["part"], d["negative"]))))
     rows = rows.select(
         *keys,
         "place",
@@ -206,7 +222,11 @@ def explode_numbers(texts: DataFrame, text_col: str) -> DataFrame:
     amount = F.col("kind") == "amount"
     value = F.when(amount, shift_point(F.col("_figure"), F.col("_power"))).when(F.col("kind") == "date", F.col("_date")).when(F.col("kind") == "doc_no", F.col("_doc")).otherwise(F.col("_figure"))
     unit = F.when(amount, F.col("_currency")).when((F.col("kind") == "scalar") & F.col("raw").contains("倍"), "multiple").otherwise(F.col("kind"))
-    return rows.select(*keys, "place", "raw", "kind", value.alias("value"), unit.alias("unit"), F.when(amount, F.col("_figure")).alias("numeric_raw"), F.when(amount, F.col("_power")).alias("power")).where("kind is not null and value is not null and unit is not null")
+    rows = rows.select(*keys, "place", "raw", "kind", value.alias("value"), unit.alias("unit"), F.when(amount, F.col("_figure")).alias("numeric_raw"), F.when(amount, F.col("_power")).alias("power"))
+    # What is no figure is left out by exploding: a filter would be moved down, with all that it asks about computed again for it.
+    read = F.struct("place", "raw", "kind", "value", "unit", "numeric_raw", "power")
+    known = F.when(F.col("kind").isNotNull() & F.col("value").isNotNull() & F.col("unit").isNotNull(), F.array(read))
+    return rows.select(*keys, F.explode(known).alias("_read")).select(*keys, "_read.*")
 
 
 def normal_document(text: Column) -> Column:
