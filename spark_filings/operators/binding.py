@@ -14,7 +14,7 @@ def _hints(df: DataFrame) -> Column:
     return F.coalesce("hints", none) if "hints" in df.columns else none
 
 
-def bind_numbers(claims: DataFrame, evidence: DataFrame, derived: DataFrame | None = None) -> DataFrame:
+def bind_numbers(claims: DataFrame, evidence: DataFrame, derived: DataFrame | None = None, years: bool = True) -> DataFrame:
     """(claim_id, place, raw, kind, value, unit, provenance, source_id, unit_from, state): a row for each figure of each claim.
 
     `claims` (claim_id, text); `evidence` (claim_id, evidence_id, position,
@@ -23,7 +23,8 @@ def bind_numbers(claims: DataFrame, evidence: DataFrame, derived: DataFrame | No
     the claim prints is derived; else the first of the claim's own quotes that
     justifies it binds it (verbatim, by the first printed figure that does);
     a bare year is weak, anything else unbound (state).  unit_from is the
-    declaration that gave a bare figure its unit.
+    declaration that gave a bare figure its unit.  Without `years` no figure
+    is a year, for texts that state only sums.
 
     All rules are keys of one join within a claim: candidates are ranked by
     source, position, place and rule, and the least is taken by an aggregate.
@@ -47,11 +48,11 @@ def bind_numbers(claims: DataFrame, evidence: DataFrame, derived: DataFrame | No
         F.when(bound, F.when(F.col("_hit._of") == 0, "derived").otherwise("verbatim")).alias("provenance"),
         F.col("_hit._source").alias("source_id"),
         F.col("_hit._unit_from").alias("unit_from"),
-        F.when(bound, "bound").when(is_year(), "weak").otherwise("unbound").alias("state"),
+        F.when(bound, "bound").when(is_year() & F.lit(years), "weak").otherwise("unbound").alias("state"),
     )
 
 
-def verify_numbers(texts: DataFrame, sources: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+def verify_numbers(texts: DataFrame, sources: DataFrame, allowed: DataFrame | None = None, years: bool = True) -> DataFrame:
     """(run, text_id, place, raw, kind, value, unit, verdict, severity, nearest): each figure of each text against its run's sources.
 
     `texts` (run, text_id, text), `sources` (run, document_id, text) and
@@ -60,7 +61,8 @@ def verify_numbers(texts: DataFrame, sources: DataFrame, allowed: DataFrame | No
     itself declares; else `unit_mismatch` (high) if a source or computed
     amount prints the same figure in another unit or scale, with one such in
     `nearest`; else a bare year is `unsupported_year` (low), and anything else
-    `not_in_source` (high).
+    `not_in_source` (high).  Without `years` no figure is a year, for texts
+    that state only sums.
 
     Sources are reduced to the distinct keys of a run before they meet a text,
     so a figure that every document prints is one row.  Null texts have no
@@ -88,7 +90,7 @@ def verify_numbers(texts: DataFrame, sources: DataFrame, allowed: DataFrame | No
     other = F.filter("_forms", lambda x: (x["_form"]["unit"] != F.col("unit")) | (F.col("_key").startswith("figure") & (x["_form"]["multiplier"] != F.col("multiplier"))))
     met = met.withColumn("_near", F.when(is_near, F.array_min(F.transform(other, lambda x: x["_raw"]))))
     out = met.groupBy(*names).agg(F.max(F.col("_forms").isNotNull() & ~is_near).alias("_held"), F.min("_near").alias("_near"))
-    verdict = F.when(F.col("_held"), "verified").when(F.col("_near").isNotNull(), "unit_mismatch").when(is_year(), "unsupported_year").otherwise("not_in_source")
+    verdict = F.when(F.col("_held"), "verified").when(F.col("_near").isNotNull(), "unit_mismatch").when(is_year() & F.lit(years), "unsupported_year").otherwise("not_in_source")
     out = out.select(*names, verdict.alias("verdict"), "_near")
     severity = F.when(F.col("verdict") == "unsupported_year", "low").when(F.col("verdict") != "verified", "high")
     return out.select(*names, "verdict", severity.alias("severity"), F.when(F.col("verdict") == "unit_mismatch", F.col("_near")).alias("nearest"))

@@ -1,10 +1,13 @@
 """The verifier's figures, bindings, sweeps and derivations: one case for each rule."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from spark_filings.functions.figures import figures, figures_of, unit_hints, unit_hints_of
 from spark_filings.operators import binding, derivations
+from spark_filings.operators.matching import exploded
+from spark_filings.plans import verifying
 
 ROWS = "claim_id string, text string"
 
@@ -261,3 +264,22 @@ def test_no_proposals(spark):
     empty = spark.createDataFrame([], "run string, proposal_id string, position int, op string, precision int, operands array<struct<display:string,evidence_id:string,derived_id:string>>")
     evidence = spark.createDataFrame([], "run string, evidence_id string, position int, document_id string, quote string")
     assert derivations.compute_derivations(empty, evidence).collect() == []
+
+
+def test_totals_are_no_years(spark, tmp_path):
+    """Totals that would be bare years as well, in every form, against the SQL."""
+    totals = [1899.0, 1900.0, 1999.0, 2000.0, 2099.0, 2100.0, 2100.5, 1000.0, 499999.99]
+    rows = [(169 * k + i, k % 4, t) for k, t in enumerate(totals) for i in range(169)] + [(169 * (k + 9) + i, (k + 1) % 4, t) for k, t in enumerate(totals) for i in range(169)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view orders as select * from '{tmp_path}/orders.parquet/*.parquet'")
+    for name in ("swept_figures", "bound_figures"):
+        want = con.sql(verifying.ORACLES[name])
+        got = verifying.QUERIES[name](spark, str(tmp_path)).select(*want.columns)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(want.fetchall(), key=str)
+
+
+def test_a_figure_is_found_once(spark):
+    texts = spark.range(2).select("id", F.col("id").cast("string").alias("text")).repartition(1)
+    found = exploded(texts.select("id", figures(F.col("text")).alias("a")), "a")
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
