@@ -53,25 +53,38 @@ class UnitIndex:
         return row, item, counts[row, item]
 
 
-def _meet(index, keep: list[str], least: int | None):
-    """From passages the rows (item, *keep, n_shared) that meet a question."""
+def _meet(index, keep: list[str], least: int | None, best: str | None):
+    """From passages the rows (item, *keep, n_shared) that meet a question.
+
+    With `best` a task leaves out what a row it has seen beats: fewer shared
+    units, or as many and more of the column `best`.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.full(len(index.value.sizes), -1, dtype=np.int64)
         for batch in batches:
             # A matrix of rows and questions at a time, of bounded size.
             step = max(1, 4_000_000 // max(1, len(index.value.sizes)))
             for lo in range(0, batch.num_rows, step):
                 some = batch.slice(lo, step)
                 row, item, n = index.value.shared(some, least)
+                if best:
+                    # One number that is greater for a better row; the column is below 2**32.
+                    rank = (n.astype(np.int64) << 32) - some.column(some.schema.get_field_index(best)).to_numpy(zero_copy_only=False)[row]
+                    np.maximum.at(seen, item, rank)
+                    row, item, n = (x[rank == seen[item]] for x in (row, item, n))
                 held = [some.column(some.schema.get_field_index(c)).take(pa.array(row)) for c in keep]
                 yield pa.RecordBatch.from_arrays([pa.array(item.astype(np.int64)), *held, pa.array(n.astype(np.int64))], names=["item", *keep, "n_shared"])
 
     return run
 
 
-def _met(passages: DataFrame, wanted: DataFrame, keep: list[str], least: int | None = None) -> DataFrame:
+def _met(passages: DataFrame, wanted: DataFrame, keep: list[str], least: int | None = None, best: str | None = None) -> DataFrame:
     """(item_id, n_units, *keep, n_shared) of passages with `least` of a question's units, or more than a quarter of them.
 
+    With `best`, passages may be left out that share fewer units with a question
+    than another, or as many and have more in the column of that name.
+
     Questions of few units are looked up in place, so nothing is shuffled but
     what passes.  Otherwise both sides meet by the rarer units: what has more
     than a quarter of a question's units has one that is left when as many of
@@ -87,7 +100,7 @@ def _met(passages: DataFrame, wanted: DataFrame, keep: list[str], least: int | N
         types = passages.schema
         ddl = ", ".join(["item long", *(f"{c} {types[c].dataType.simpleString()}" for c in keep), "n_shared long"])
         names = passages.sparkSession.createDataFrame(items.append_column("item", pa.array(range(items.num_rows), pa.int64())))
-        found = passages.select(*keep, "units").mapInArrow(_meet(index, keep, least), ddl)
+        found = passages.select(*keep, "units").mapInArrow(_meet(index, keep, least, best), ddl)
         return found.join(F.broadcast(names), "item").select("item_id", "n_units", *keep, "n_shared")
     counts = passages.select(F.explode("units").alias("unit")).groupBy("unit").agg(F.count("*").alias("n"))
     ranked = wanted.join(counts, "unit", "left").withColumn("rarity", F.row_number().over(Window.partitionBy("item_id").orderBy(F.coalesce("n", F.lit(0)), "unit")))
@@ -152,7 +165,7 @@ def nearest_fragments(docs: DataFrame, asked: DataFrame, accept: Column | None =
     pieces = pieces if accept is None else pieces.where(accept)
     wanted = asked.select("item_id", key_units(F.col("text")).alias("wanted"))
     wanted = wanted.select("item_id", "wanted", F.size("wanted").cast("long").alias("n_units"), F.explode("wanted").alias("unit"))
-    met = _met(pieces, wanted, ["doc_id", "n_chars", "fragment"], 2)
+    met = _met(pieces, wanted, ["doc_id", "n_chars", "fragment"], 2, "n_chars")
     order = Window.partitionBy("item_id").orderBy(F.desc("n_shared"), "n_chars", "doc_id", "fragment")
     return met.withColumn("place", F.row_number().over(order)).where("place = 1").select("item_id", "doc_id", "fragment", "n_shared")
 
