@@ -20,7 +20,8 @@ RULES = ("same", "printed", "cell", "declared")
 def exploded(df: DataFrame, array: str, keep: list[str] | None = None) -> DataFrame:
     """A row for each figure of the array column: the kept columns, place (from 0) and the figure's fields."""
     keys = [c for c in df.columns if c != array] if keep is None else keep
-    return df.select(*keys, F.posexplode(array).alias("place", "_f")).select(*keys, "place", "_f.*")
+    # Of a bare column Spark would ask whether it is empty below, and run the helper that made it once more for that.
+    return df.select(*keys, F.posexplode(F.array_compact(array)).alias("place", "_f")).select(*keys, "place", "_f.*")
 
 
 def _key(rule: str, *parts: Column) -> Column:
