@@ -2,13 +2,17 @@
 
 import random
 import re
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from spark_filings.functions.normal import PATTERN_SCRIPT
 from spark_filings.functions.passages import Document, passages_at, passages_of
 from spark_filings.operators import quotes
+from spark_filings.plans import retrieval
 
 TEXT = "第一节 概况\n本次发行募集资金总额不超过人民币 360,000.00 万元（含本数）。公司计提存货跌价准备 879.50\n万元！！其后说明；\n\n  尾注\n"
 
@@ -141,3 +145,19 @@ def test_located_claims(spark):
         ("r", "named", 0, "b", "同一句话。"),
         ("r", "other", 0, "a", "甲公司收入 5 元。"),
     ]
+
+
+def test_only_wanted_grams_leave_the_helper(spark):
+    rows = spark.createDataFrame([("r", "a", "the quick brown fox jumps over it"), ("r", "b", "a quick  brown fox jumps as well"), ("r", "c", "nothing of the kind is said here"), ("r", "d", None)], "run string, document_id string, text string")
+    every = {tuple(r) for r in quotes._grams(rows, "document_id", F.col("text"), PATTERN_SCRIPT).collect()}
+    wanted = {g for _, key, g in every if key == "a"}
+    got = quotes._grams(rows, "document_id", F.col("text"), PATTERN_SCRIPT, np.array(sorted(wanted))).collect()
+    assert {tuple(r) for r in got} == {r for r in every if r[2] in wanted} and {r.key for r in got} == {"a", "b"}
+    assert not quotes._grams(rows, "document_id", F.col("text"), PATTERN_SCRIPT, np.zeros(0, dtype=np.int64)).collect()
+
+
+def test_only_the_nearest_leave_a_task():
+    index = SimpleNamespace(value=retrieval.UnitIndex(pa.table({"unit": ["a", "b", "c"], "item": [0, 0, 0]})))
+    batch = pa.record_batch({"doc_id": [1, 2, 3, 4, 5], "n_chars": [9, 5, 9, 8, 8], "units": [["a", "b"], ["a", "b"], ["a", "b", "c"], ["a", "b", "c"], ["c", "b", "a"]]})
+    left = [r for b in retrieval._meet(index, ["doc_id"], 2, "n_chars")([batch, batch.slice(0, 2)]) for r in b.to_pylist()]
+    assert [(r["doc_id"], r["n_shared"]) for r in left] == [(4, 3), (5, 3)]
