@@ -15,7 +15,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
-from math import floor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -45,7 +44,7 @@ class Rejected(ValueError):
 
 def rounded(x: Fraction, digits: int) -> Fraction:
     """Half away from zero."""
-    whole = floor(abs(x) * 10**digits + Fraction(1, 2))
+    whole = (2 * abs(x.numerator) * 10**digits + x.denominator) // (2 * x.denominator)
     return Fraction(whole if x >= 0 else -whole, 10**digits)
 
 
@@ -196,28 +195,27 @@ def locate_operands(operands: DataFrame, evidence: DataFrame) -> DataFrame:
     none = F.array().cast(f"array<{HINT}>")
     hints = F.coalesce("hints", none) if "hints" in evidence.columns else none
     asked = operands.select("run", "proposal_id", "place", F.trim(F.coalesce("display", F.lit(""))).alias("_display"), F.col("evidence_id").alias("_named"))
-    asked = asked.withColumn("_f", F.get(figures(F.col("_display")), F.lit(0)))
     where = evidence.select("run", F.col("evidence_id").alias("_named"), F.col("document_id").alias("_document")).groupBy("run", "_named").agg(F.min("_document").alias("_document"))
-    asked = asked.join(where, ["run", "_named"], "left")
+    # Read once for both that look for its figure and for what becomes of it.
+    asked = saved(asked.join(where, ["run", "_named"], "left").withColumn("_f", F.get(figures(F.col("_display")), F.lit(0))))
     printed = exploded(evidence.select("run", "evidence_id", "position", F.col("document_id").alias("_of"), hints.alias("_hints"), figures(F.col("quote")).alias("_a")), "_a", ["run", "evidence_id", "position", "_of", "_hints"])
+
+    def scope(of: str, name: Column) -> Column:
+        return F.concat(F.lit(of), name)
+
+    # A figure offers its keys within its quote, its document and its run; the first of each is one row for a lookup.
     offered = printed.select(
         "run", "evidence_id", "position", "_of", F.col("place").alias("_at"), F.struct("raw", "kind", "value", "unit", "multiplier").alias("_hit"), F.explode(offers(F.col("_hints"))).alias("_k")
-    ).select("run", "evidence_id", "_of", F.col("_k.key").alias("_key"), F.struct("position", "_at", F.col("_k.rule").alias("_rule"), "evidence_id", "_hit").alias("_where"))
-    keyed = asked.where("_f is not null").select("*", "_f.*").withColumn("_key", F.explode(F.transform(wants(), lambda w: w["key"])))
-    keyed = keyed.select("run", "proposal_id", "place", "_named", "_document", "_key")
-    # The first figure with a key in each quote, each document, and each run: one row for a lookup.
-    by_quote = offered.groupBy("run", F.col("evidence_id").alias("_named"), "_key").agg(F.min("_where").alias("_where"))
-    by_document = offered.groupBy("run", F.col("_of").alias("_document"), "_key").agg(F.min("_where").alias("_where"))
-    by_run = offered.groupBy("run", "_key").agg(F.min("_where").alias("_where"))
-
-    def hits(of: DataFrame, rank: int) -> DataFrame:
-        return of.select("run", "proposal_id", "place", F.struct(F.lit(rank).alias("_rank"), "_where").alias("_best"))
-
-    named = keyed.where("_document is not null")
-    best = hits(named.join(by_quote, ["run", "_named", "_key"]), 0)
-    best = best.unionByName(hits(named.join(by_document, ["run", "_document", "_key"]), 1))
-    best = best.unionByName(hits(keyed.where("_document is null").join(by_run, ["run", "_key"]), 1))
-    best = best.groupBy("run", "proposal_id", "place").agg(F.min("_best").alias("_best"))
+    )
+    scopes = F.array_compact(F.array(scope("q", F.col("evidence_id")), scope("d", F.col("_of")), F.lit("r")))
+    offered = offered.select("run", F.explode(scopes).alias("_scope"), F.col("_k.key").alias("_key"), F.struct("position", "_at", F.col("_k.rule").alias("_rule"), "evidence_id", "_hit").alias("_where"))
+    offered = offered.groupBy("run", "_scope", "_key").agg(F.min("_where").alias("_where"))
+    known = F.col("_document").isNotNull()
+    wider = F.struct(F.lit(1).alias("rank"), F.when(known, scope("d", F.col("_document"))).otherwise("r").alias("scope"))
+    asking = F.when(known, F.array(F.struct(F.lit(0).alias("rank"), scope("q", F.col("_named")).alias("scope")), wider)).otherwise(F.array(wider))
+    keyed = asked.where("_f is not null").select("run", "proposal_id", "place", "_named", "_document", "_f.*").withColumn("_key", F.explode(F.transform(wants(), lambda w: w["key"])))
+    keyed = keyed.select("run", "proposal_id", "place", "_key", F.explode(asking).alias("_s")).select("run", "proposal_id", "place", "_key", F.col("_s.rank").alias("_rank"), F.col("_s.scope").alias("_scope"))
+    best = keyed.join(offered, ["run", "_scope", "_key"]).groupBy("run", "proposal_id", "place").agg(F.min(F.struct("_rank", "_where")).alias("_best"))
     out = asked.join(best, ["run", "proposal_id", "place"], "left")
     hit, wanted = F.col("_best._where._hit"), F.col("_f")
     bare = (wanted["kind"] == "scalar") & (hit["kind"] != "scalar")
@@ -297,7 +295,8 @@ def compute_derivations(proposals: DataFrame, evidence: DataFrame) -> DataFrame:
     of repeated ones the first by position counts.
     """
     proposals = proposals.withColumn("_n", F.row_number().over(Window.partitionBy("run", "proposal_id").orderBy("position"))).where("_n = 1").drop("_n")
-    numbered = proposals.select("run", "proposal_id", "position", "op", F.coalesce("precision", F.lit(2)).alias("precision"), F.coalesce("operands", F.array().cast(proposals.schema["operands"].dataType)).alias("operands"))
+    # Saved, as every level asks for it again.
+    numbered = saved(proposals.select("run", "proposal_id", "position", "op", F.coalesce("precision", F.lit(2)).alias("precision"), F.coalesce("operands", F.array().cast(proposals.schema["operands"].dataType)).alias("operands")))
     terms = numbered.select("run", "proposal_id", F.posexplode("operands").alias("place", "_o")).select("run", "proposal_id", "place", "_o.*")
     leaves = locate_operands(terms.where("derived_id is null"), evidence)
     leaves = saved(leaves.select("run", "proposal_id", "place", F.lit(1).alias("depth"), "value", "half", "unit", F.col("raw").alias("shown"), "found_in", "reason"))
