@@ -135,7 +135,7 @@ def judge_numbers(answers: DataFrame, gold: DataFrame, sources: DataFrame) -> Da
     names = ["answer_id", "task", "place", "raw", "kind", "value", "unit"]
     pair = F.struct("unit", "power")
     rows = tokens.select(*names, pair.alias("pair"), asked.alias("_asked"))
-    rows = rows.select(*names, "pair", F.size("_asked").alias("n_asked"), F.explode("_asked").alias("_a")).select(*names, "pair", "n_asked", "_a.*")
+    rows = rows.select(*names, "pair", F.size("_asked").alias("n_asked"), F.explode(F.array_compact("_asked")).alias("_a")).select(*names, "pair", "n_asked", "_a.*")
     met = rows.join(facts, ["task", "key"], "left")
     a, of = F.col("as_number"), F.substring("key", 1, 1)
     near = F.exists("goals", lambda b: F.when(b == 0, a == 0).otherwise(F.abs(a - b) / F.abs(b) <= TOLERANCE))
