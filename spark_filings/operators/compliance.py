@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.normal import folded
 from ..functions.places import places, without_marks
+from .lineage import saved
 
 # The rules of each locale, and its words of refusal,
 # explanation, negation and restatement.
@@ -118,7 +119,7 @@ def advice(answers: DataFrame, forbidden: DataFrame, sources: DataFrame) -> Data
     rows = rows.withColumn("start", F.coalesce(F.sum(F.length("sentence")).over(ahead), F.lit(0)))
     rows = rows.where(r"sentence rlike '\\S'").withColumn("shadow", F.substr("shadow", F.col("start").cast("int") + 1, F.length("sentence")))
     matched = rows.withColumn("places", F.concat(*(places(F.col("sentence"), _FLAGS + p, rule=name, locale=locale) for locale, rules in RULES.items() for name, p in rules.items())))
-    found = matched.select("answer_id", "no", "sentence", "shadow", F.explode("places").alias("p")).select("answer_id", "no", "sentence", "shadow", "p.*")
+    found = matched.select("answer_id", "no", "sentence", "shadow", F.explode(F.array_compact("places")).alias("p")).select("answer_id", "no", "sentence", "shadow", "p.*")
     after = F.substr("sentence", F.length("before") + F.length("match") + 1)
     quoted = _in_quotes(F.col("before"), F.col("match"), after)
 
@@ -128,15 +129,17 @@ def advice(answers: DataFrame, forbidden: DataFrame, sources: DataFrame) -> Data
     governed = by_locale(lambda k: F.col("before").rlike(f"{_FLAGS}(?:{NEGATION[k]})(?:(?!{ADVERSATIVE}).)*$"))
     fresh = ~F.substring("before", -6, 6).rlike(f"(?i){NEGATED}") & ~quoted & ~governed
     found = found.withColumn("quoted", quoted).withColumn("fresh", fresh)
-    fresh_in = found.groupBy("answer_id", "no", "locale").agg(F.max("fresh").alias("advises"))
     blank = F.substr("shadow", F.length("before") + 1, F.length("match")) == F.repeat(F.lit(_SHELTER), F.length("match"))
 
-    def excused(k: str, advises: Column) -> Column:
+    def spared(k: str) -> Column:
         negative = F.col("sentence").rlike(_FLAGS + f"(?:{NEGATION[k]})")
-        return ~advises & (negative | (F.col("quoted") & F.col("sentence").rlike(_FLAGS + f"(?:{RESTATEMENT[k]})")))
+        return negative | (F.col("quoted") & F.col("sentence").rlike(_FLAGS + f"(?:{RESTATEMENT[k]})"))
 
-    hits = found.where(~blank).join(fresh_in, ["answer_id", "no", "locale"]).where(~by_locale(lambda k: excused(k, F.col("advises"))))
-    hits = hits.select("answer_id", "rule", "match", "sentence", F.length("before").alias("at"))
+    # Matches are few and asked for three times; without this, each time would search all texts again.
+    found = saved(found.select("answer_id", "no", "locale", "rule", "match", "sentence", F.length("before").alias("at"), "fresh", blank.alias("blank"), by_locale(spared).alias("spared")))
+    fresh_in = found.groupBy("answer_id", "no", "locale").agg(F.max("fresh").alias("advises"))
+    hits = found.where("not blank").join(fresh_in, ["answer_id", "no", "locale"]).where(F.col("advises") | ~F.col("spared"))
+    hits = hits.select("answer_id", "rule", "match", "sentence", "at")
 
     # Phrases: excused if any locale excuses them.
     asked = forbidden.where("phrase <> ''").select("task", "phrase", folded(F.col("phrase")).alias("needle")).distinct()
@@ -145,7 +148,7 @@ def advice(answers: DataFrame, forbidden: DataFrame, sources: DataFrame) -> Data
     own = own.withColumn("quoted", _in_quotes(F.col("before"), F.col("match"), after)).where(~blank)
     wide = fresh_in.groupBy("answer_id", "no").pivot("locale", list(RULES)).agg(F.max("advises"))
     own = own.join(wide, ["answer_id", "no"], "left")
-    held = reduce(lambda a, b: a | b, (excused(k, F.coalesce(F.col(f"`{k}`"), F.lit(False))) for k in RULES))
+    held = reduce(lambda a, b: a | b, (~F.coalesce(F.col(f"`{k}`"), F.lit(False)) & spared(k) for k in RULES))
     own = own.where(~held).select("answer_id", F.lit("task_forbidden").alias("rule"), F.col("phrase").alias("match"), "sentence", F.length("before").alias("at"))
     return hits.unionByName(own).distinct().select("answer_id", "rule", "match")
 
