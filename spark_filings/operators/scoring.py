@@ -11,6 +11,7 @@ from ..functions.normal import Script, scoring_units
 from ..functions.text import coverage
 from . import absence, citations, compliance, fidelity
 from .checks import LINE_ENDS
+from .lineage import saved
 
 #: Marks of counter-evidence, and what a failed answer says.
 COUNTER_MARKS = (
@@ -87,7 +88,8 @@ def score_responses(answers: DataFrame, tasks: DataFrame, gold: dict[str, DataFr
     reason = F.when(F.trim(F.coalesce("error", F.lit(""))) != "", F.trim("error")).when(~F.coalesce("output", F.lit("")).rlike(r"\S"), F.lit(EMPTY))
     judged = answers.join(tasks, "task").withColumn("failure_reason", reason)
     whole = judged.where("failure_reason is null").select("answer_id", "task", "output")
-    said = compliance.score_compliance(whole, gold["forbidden"], gold["sources"])
+    # Saved, as completeness asks for it as well.
+    said = saved(compliance.score_compliance(whole, gold["forbidden"], gold["sources"]))
     judged_numbers = fidelity.judge_numbers(whole, gold["numbers"], gold["sources"])
     parts = [
         fidelity.number_fidelity(whole, judged_numbers).select("answer_id", F.col("score").alias("number_fidelity")),

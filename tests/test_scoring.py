@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spark_filings.functions import numbers
-from spark_filings.operators import absence, citations, fidelity, scoring
+from spark_filings.operators import absence, citations, compliance, fidelity, scoring
 
 GOLD = "task string, gold_id string, verbatim string, value string, unit string, derived boolean"
 
@@ -275,3 +275,12 @@ def test_points_move_exactly(spark):
     cases = [("1,2", -2, "0.12"), ("-12.50", -2, "-0.125"), ("0.5", 12, "500000000000"), ("-0.00", 3, "0"), ("007", 0, "7"), ("5", -3, "0.005"), ("1e3", 2, None), ("12%", 2, None), ("", 1, None), (None, 1, None)]
     rows = spark.createDataFrame(cases, "value string, places int, want string")
     assert [(r.value, r.places, r.got) for r in rows.select("*", numbers.shift_point(F.col("value"), F.col("places")).alias("got")).collect()] == cases
+
+
+def test_matches_of_advice_are_searched_once(spark):
+    """The hits read what was found, not the answers again."""
+    answers = spark.range(2).select(F.col("id").alias("answer_id"), F.lit("t").alias("task"), F.lit("You should buy it.").alias("output"))
+    none = spark.createDataFrame([], "task string, phrase string"), spark.createDataFrame([], "task string, text string")
+    found = compliance.advice(answers, *none)
+    assert "accumulate" not in _optimized(found)
+    assert sorted(map(tuple, found.collect())) == [(k, "actionable_buy_sell", "should buy") for k in range(2)]
